@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from wattloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from wattloom.llm.langid import op2_language_id
+from wattloom.llm.minhash import op1_minhash_dedup
+from wattloom.llm.mixing import op7_mix_sources
+from wattloom.llm.quality import op8_quality
+from wattloom.llm.toxicity import op10_toxicity
 from wattloom.llm.url_filter import OP9_SQL, op9_url_filter
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op9_url_filter": op9_url_filter}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_language_id": op2_language_id, "op6_exact_dedup": op6_exact_dedup, "op7_mix_sources": op7_mix_sources, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_toxicity": op10_toxicity}
 SQL = {"op6_exact_dedup": OP6_SQL, "op9_url_filter": OP9_SQL}
