@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from wattloom.plans import usage_queries
+
+_MODULES = (usage_queries,)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
+FLAGSHIP = "d3_extrapolate_week"
