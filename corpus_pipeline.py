@@ -1,10 +1,63 @@
-"""A pipeline of five text stages, each written as Parquet and read again as the documents of the next one."""
+"""A pipeline of five text stages, each written as Parquet and read again as the documents of the next one.
+
+Quality classifier, line dedup, MinHash near-dedup, mixing to target weights, SentencePiece encoding. Each stage works
+on all that the one before it kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wattloom.llm.common import stash
+from wattloom.llm.line_dedup import dedup_lines
+from wattloom.llm.minhash import near_duplicates
+from wattloom.llm.mixing import mixed_documents
+from wattloom.llm.quality import quality_scores
+from wattloom.llm.sentencepiece_sampling import default_model, encode_samples
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; it learns from the table of labels. Joined by id and text, so
+    that rows which repeat an id are judged by their own text."""
+    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    bad = scored.where("predicted = 0").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that match an earlier line; documents of which no line is left go."""
+    out = dedup_lines(docs).where("kept")
+    n = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n).select(*COLUMNS)
+
+
+def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, by shingles of five words and a similarity of 0.8."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the target weights of their sources ask, in the order of the mix."""
+    return mixed_documents(docs.select(*COLUMNS))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of the whole texts, with the check that decoding gives the text."""
+    return encode_samples(docs, default_model())
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_dups", near_dups), ("mixture", mixture), ("encoding", encoding)]
+
+#: The classifier, sketches and sampled segmentations are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+from wattloom.llm.embedding_dedup import op3_embedding_dedup
 from wattloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from wattloom.llm.langid import op2_language_id
+from wattloom.llm.line_dedup import op5_line_dedup
 from wattloom.llm.minhash import op1_minhash_dedup
 from wattloom.llm.mixing import op7_mix_sources
 from wattloom.llm.quality import op8_quality
+from wattloom.llm.sentencepiece_sampling import op4_sentencepiece_sampling
 from wattloom.llm.toxicity import op10_toxicity
 from wattloom.llm.url_filter import OP9_SQL, op9_url_filter
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_language_id": op2_language_id, "op6_exact_dedup": op6_exact_dedup, "op7_mix_sources": op7_mix_sources, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_toxicity": op10_toxicity}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup,
+        op2_language_id,
+        op3_embedding_dedup,
+        op4_sentencepiece_sampling,
+        op5_line_dedup,
+        op6_exact_dedup,
+        op7_mix_sources,
+        op8_quality,
+        op9_url_filter,
+        op10_toxicity,
+    )
+}
+#: The others are beyond SQL; tests hold them against brute force.
 SQL = {"op6_exact_dedup": OP6_SQL, "op9_url_filter": OP9_SQL}
