@@ -139,6 +139,6 @@ def sql(text: str, *needs: str) -> str:
     return (f"WITH {',\n'.join(done)}{text}" if text.startswith(",") else f"WITH {',\n'.join(done)}\n{text}") if done else text
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, as engines add them in different orders; no -0."""
     return df.select(*((F.round(c, digits) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
