@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import connected_components, fresh_key, mixed, set_digest, shingles, small_batches, stash, word_hashes
+from wattloom.llm.common import connected_components, fresh_key, mixed, set_digest, shingles, small_batches, stash, whole_groups, word_hashes
 
 #: Buckets of a sketch; a register has 6 bits for the count of leading zeros and 10 of mantissa; four make a band.
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BANDS = BUCKETS // ROWS
+#: Classes of one side of a block.
+BLOCK = 64
 
 
 def _borrowing_order() -> np.ndarray:
@@ -112,19 +114,65 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.select("a", "b", "t_a", "t_b").mapInPandas(linked, "a long, b long")
 
 
+def _linked_across(frames: Iterator[pd.DataFrame], words: int, percent: int, margin: float) -> Iterator[pd.DataFrame]:
+    """From blocks of classes, links between rows of the first side and rows of other components, one for each
+    component that a row links with."""
+    threshold = percent / 100
+    for g in whole_groups(frames, ["hub", "i", "j"]):
+        a, b = g[g["first"]], g[~g["first"]]
+        na, nb = a["n"].to_numpy(), b["n"].to_numpy()
+        small, large = np.minimum.outer(na, nb), np.maximum.outer(na, nb)
+        open_ = (a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :]) & (small >= large * (threshold - 1e-9))
+        i, j = np.nonzero(open_)
+        if not len(i):
+            continue
+        sa, sb = (np.stack(x["bands"].to_numpy()).astype(np.int64).view(np.uint16) for x in (a, b))
+        likely = estimated(sa[i], sb[j], na[i], nb[j]) >= threshold - margin
+        i, j = i[likely], j[likely]
+        if not len(i):
+            continue
+        ua, ub = np.unique(i), np.unique(j)
+        sets = [shingles(word_hashes(t), words) for t in [*a["text"].iloc[ua], *b["text"].iloc[ub]]]
+        if len(i) <= 32:
+            at_a, at_b = np.searchsorted(ua, i), len(ua) + np.searchsorted(ub, j)
+            both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(at_a, at_b, strict=True)])
+        else:
+            both = _intersections(sets, len(ua))[np.searchsorted(ua, i), np.searchsorted(ub, j)]
+        yes = 100 * both >= percent * (na[i] + nb[j] - both)
+        out = pd.DataFrame({"a": a["cid"].to_numpy()[i[yes]], "b": b["cid"].to_numpy()[j[yes]], "component": b["component"].to_numpy()[j[yes]]})
+        yield out.drop_duplicates(["a", "component"])[["a", "b"]]
+
+
+def _intersections(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections of the first split sets with the others, by products of incidence matrices."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    all_, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    out = np.zeros((split, len(sets) - split), np.int64)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for lo in range(0, len(all_), 1 << 16):
+        i, j = np.searchsorted(at, [lo, lo + (1 << 16)])
+        m = np.zeros((len(sets), min(1 << 16, len(all_) - lo)), np.float32)
+        m[row[i:j], at[i:j] - lo] = 1
+        out += (m[:split] @ m[split:].T).astype(np.int64)
+    return out
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, margin: float = 0.2) -> DataFrame:
     """One row for each row of df: id, n_shingles, component_id (smallest id reachable by links), kept, class_id.
 
     Rows with the same shingle set are one class (class_id: its smallest id). A class has a HyperMinHash sketch, cut
     into 32 bands of four registers; classes that share a band are candidates. First each class is compared with the
-    smallest one of each of its bands. Then, in the bands where more than one component is left, all pairs of
-    different components are compared, so that no candidate link between components is missed, while a band of
-    thousands of copies costs one comparison each. A comparison first bounds the similarity by the sizes and by the
-    collision-corrected estimate from the sketches (less margin), then counts the full sets.
+    smallest one (the hub) of each of its bands. Classes with a common hub hold all other candidate pairs: where they
+    are of more than one component, those outside the largest component are compared with all of other components,
+    in blocks of 64 by 64 of which only links leave a task. So no candidate link between components is missed, and
+    thousands of copies cost about one comparison each. A comparison first bounds the similarity by the sizes and by
+    the collision-corrected estimate from the sketches (less margin), then counts the full sets.
 
     Two sets of similarity 0.8 share no band once in twenty million times. Null and empty texts, and texts without
     words, have no shingles and link with nothing, not even each other; a text of fewer words than a shingle is one
-    shingle. Rows that repeat an id share its class if their texts agree and are linked as if ids differed otherwise.
+    shingle. Rows that repeat an id share its class if their texts agree; if not, one of the texts is compared.
     Rows with null id stay alone. An empty table gives an empty result. Other columns are not read. Ids are integers.
     """
     small_batches(df.sparkSession)
@@ -135,27 +183,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = classes.select("cid", F.posexplode("bands").alias("at", "band")).select("cid", F.xxhash64("at", "band").alias("key"))
     shared = rows.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = stash(rows.withColumn("k", fresh_key("key")).join(shared.withColumn("k", fresh_key("key")), ["k", "key"]).select("key", "cid", "hub"), "members")
+    members = rows.withColumn("k", fresh_key("key")).join(shared.withColumn("k", fresh_key("key")), ["k", "key"]).where("cid <> hub")
+    pairs = stash(members.select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "members")
 
-    some = members.select("cid").distinct()
+    some = pairs.select("a").union(pairs.select("b")).distinct()
     texts = df.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    texts = stash(texts.join(some, "cid", "left_semi").dropDuplicates(["cid"]), "texts")
+    texts = stash(texts.join(some.withColumnRenamed("a", "cid"), "cid", "left_semi").dropDuplicates(["cid"]), "texts")
 
-    first = members.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
-    links = stash(_verified(stash(_plausible(first, classes, threshold, margin), "pairs"), texts, words, percent), "links")
+    links = stash(_verified(stash(_plausible(pairs, classes, threshold, margin), "pairs"), texts, words, percent), "links")
     found = stash(connected_components(links), "found")
 
-    owned = members.withColumn("k", fresh_key("cid")).join(found.select(F.col("node").alias("cid"), "component", fresh_key("node").alias("k")), ["k", "cid"], "left")
-    owned = owned.select("key", "cid", "hub", F.coalesce("component", "cid").alias("component"))
-    open_ = owned.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", fresh_key("key").alias("k"))
-    owned = stash(owned.withColumn("k", fresh_key("key")).join(open_, ["k", "key"], "left_semi").drop("k"), "open")
-    major = owned.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"))
-    minor = owned.withColumn("k", fresh_key("key")).join(major.withColumn("k", fresh_key("key")), ["k", "key"]).where("component <> major and cid <> hub")
-    minor = minor.select("key", F.col("cid").alias("x"), F.col("component").alias("x_component"), "major", fresh_key("key").alias("k"))
-    others = owned.where("cid <> hub").withColumn("k", fresh_key("key"))
-    rest = minor.join(others, ["k", "key"]).where("component <> x_component and (component = major or x < cid)")
-    rest = rest.select(F.greatest("x", "cid").alias("a"), F.least("x", "cid").alias("b")).distinct()
-    more = stash(_verified(stash(_plausible(rest, classes, threshold, margin), "pairs"), texts, words, percent), "links")
+    parts = found.select(F.col("node").alias("cid"), "component", fresh_key("node").alias("k"))
+    owned = pairs.select(F.col("a").alias("cid"), F.col("b").alias("hub"), fresh_key("a").alias("k")).join(parts, ["k", "cid"], "left")
+    owned = owned.select("cid", "hub", F.coalesce("component", "cid").alias("component"))
+    counts = owned.groupBy("hub", "component").agg(F.count("*").alias("c"))
+    open_ = counts.groupBy("hub").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("long")
+    open_ = open_.select("hub", F.col("major.component").alias("major"), blocks(F.col("m") - F.col("major.c")).alias("bi"), blocks(F.col("m")).alias("bj"), fresh_key("hub").alias("k"))
+    sides = owned.withColumn("k", fresh_key("hub")).join(open_, ["k", "hub"]).drop("k").withColumn("k", fresh_key("cid"))
+    sides = sides.join(classes.select("cid", "n", "bands", fresh_key("cid").alias("k")), ["k", "cid"]).join(texts.withColumn("k", fresh_key("cid")), ["k", "cid"])
+    at = lambda n: F.pmod(F.xxhash64(F.lit(23), "cid"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = ["hub", "cid", "component", "n", "bands", "text"]
+    one = sides.where("component <> major").select(*kept, F.lit(True).alias("first"), at("bi").alias("i"), upto("bj").alias("j"))
+    other = sides.select(*kept, F.lit(False).alias("first"), upto("bi").alias("i"), at("bj").alias("j"))
+    tasks = one.unionByName(other).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    more = stash(tasks.mapInPandas(lambda frames: _linked_across(frames, words, percent, margin), "a long, b long"), "links")
     if not more.isEmpty():
         found = stash(connected_components(links.union(more)), "found")
 
