@@ -188,7 +188,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     some = pairs.select("a").union(pairs.select("b")).distinct()
     texts = df.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    texts = stash(texts.join(some.withColumnRenamed("a", "cid"), "cid", "left_semi").dropDuplicates(["cid"]), "texts")
+    # merged at every size: the ids grow with the table, and a plan that changes with size can't be projected
+    texts = stash(texts.join(some.withColumnRenamed("a", "cid").hint("merge"), "cid", "left_semi").dropDuplicates(["cid"]), "texts")
 
     links = stash(_verified(stash(_plausible(pairs, classes, threshold, margin), "pairs"), texts, words, percent), "links")
     found = stash(connected_components(links), "found")
