@@ -114,7 +114,7 @@ def identify_language(
     if len(rows) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     langs = [r.lang for r in rows]
-    prototypes = np.array([r.v for r in rows]).reshape(len(rows), -1)
+    prototypes = np.array([r.v for r in rows]).reshape(len(rows), size)
     prototypes = (prototypes / np.maximum(1e-12, np.linalg.norm(prototypes, axis=1, keepdims=True))).astype(np.float32)
 
     def predicted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
