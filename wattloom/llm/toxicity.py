@@ -173,7 +173,8 @@ def toxicity_scores(
     marks = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held & F.col(id_col).isNotNull()).withColumnRenamed(id_col, "id")
     part = min(1.0, sample / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) < part * (1 << 20))
-    train = stash(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id").select("text", "y"), "toxic")
+    # the sampled labels are bounded, so they go to the texts
+    train = stash(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id").select("text", "y"), "toxic")
     n = {r.y: r["count"] for r in train.groupBy("y").count().collect()}
 
     words = learn_words(train, n.get(1, 0), n.get(0, 0))
