@@ -69,7 +69,7 @@ QUERIES = {
     "d42_skew_kurtosis": _q(lambda i: D.skew_kurtosis(i.model_rows, XY)),
     "d48_outliers_zscore": _q(lambda i: D.outliers_zscore(i.readings, ["value"])),
     "d49_outliers_iqr": _q(lambda i: D.outliers_iqr(i.readings, ["value"])),
-    "e12_ramp_pairs": _q(_pairs, 6),
+    "e12_ramp_pairs": _q(_pairs, 9),
     "e13_spearman": _q(lambda i: M.ramp_scores(_pairs(i)).select("city", "spearman")),
     "e14_cross_correlation": _q(lambda i: D.cross_correlation(i.grid_5min.withColumn("thermal", F.col("thermal") + F.minute("timestamp")), "thermal", "gas", 3)),
     "b26_winsorize": _q(lambda i: C.winsorize(i.readings, C.winsorize_fit(i.readings, ["value"], 0.05, 0.95))),
@@ -170,7 +170,7 @@ SQL = {
     "d42_skew_kurtosis": sql(" UNION ALL ".join(f"SELECT '{a}' AS column, round(avg(pow(({a} - mu) / sd, 3)), 4) + 0.0 AS skewness, round(avg(pow(({a} - mu) / sd, 4)) - 3, 4) AS kurtosis FROM model_rows, (SELECT avg({a}) AS mu, stddev_pop({a}) AS sd FROM model_rows)" for a in XY), "model_rows"),
     "d48_outliers_zscore": sql("SELECT 'value' AS column, count(*) FILTER (abs(value - m) > 3 * s) AS outliers, round(count(*) FILTER (abs(value - m) > 3 * s) / count(value) * 100, 4) AS percent FROM readings, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM readings)", "readings"),
     "d49_outliers_iqr": sql(", b AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS c FROM readings) SELECT 'value' AS column, count(*) FILTER (value < a - (c - a) * 1.5 OR value > c + (c - a) * 1.5) AS outliers, round(count(*) FILTER (value < a - (c - a) * 1.5 OR value > c + (c - a) * 1.5) / count(value) * 100, 4) AS percent FROM readings, b", "readings"),
-    "e12_ramp_pairs": sql(_RP + " SELECT city, timestamp, round(minutes, 6) AS minutes, round(dq, 6) AS dq, round(dy, 6) AS dy, round(m, 6) AS m, round(s, 6) AS s FROM rp", "model_rows"),
+    "e12_ramp_pairs": sql(_RP + " SELECT city, timestamp, round(minutes, 9) AS minutes, round(dq, 9) AS dq, round(dy, 9) AS dy, round(m, 9) AS m, round(s, 9) AS s FROM rp", "model_rows"),
     "e13_spearman": sql(_RP + ", rk AS (SELECT city, rank() OVER (PARTITION BY city ORDER BY s) + (count(*) OVER (PARTITION BY city, s) - 1) / 2 AS a, rank() OVER (PARTITION BY city ORDER BY m) + (count(*) OVER (PARTITION BY city, m) - 1) / 2 AS b FROM rp) SELECT city, round(corr(a, b), 4) AS spearman FROM rk GROUP BY city", "model_rows"),
     "e14_cross_correlation": sql(", h AS (SELECT date_trunc('hour', timestamp) AS h, avg(thermal + minute(timestamp)) AS x, avg(gas) AS y FROM grid_5min GROUP BY ALL), l AS (SELECT unnest(range(-3, 4))::INT AS lag) SELECT lag, round(corr(a.x, b.y), 4) AS r, count(*) AS n FROM l, h a JOIN h b ON b.h = a.h + to_hours(lag) GROUP BY lag", "grid_5min"),
     "b26_winsorize": sql("SELECT ca_id, date, round(least(greatest(value, a), b), 4) AS value, city FROM readings, (SELECT quantile_cont(value, 0.05) AS a, quantile_cont(value, 0.95) AS b FROM readings)", "readings"),
