@@ -21,7 +21,8 @@ _UNIT = re.compile(r" *[^ \n]+|\n| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A literal U+2581 in a text; no piece has it, so that it is spelled in bytes and comes back.
 _LITERAL = 0x110000
-_CHARS = 4_000_000
+_CHARS = 2_000_000
+_PLACE_BITS = 18
 
 
 class Vocabulary:
@@ -49,10 +50,29 @@ class Vocabulary:
                     for c in piece:
                         h = h * _BASE + np.uint64(ord(c) + 1)
                 by_length.setdefault(len(piece), []).append((int(h), i, -float(np.log(2 - min(0.0, model.get_score(i))))))
-        self.tables = {}
-        for n, rows in by_length.items():
-            rows.sort()
-            self.tables[n] = tuple(np.array(x, t) for x, t in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.float64), strict=True))
+        self.longest = max(by_length)
+        rows = [row for found in by_length.values() for row in found]
+        self.keys, self.ids, self.weights = (np.array(x, t) for x, t in zip(zip(*rows, strict=True), (np.uint64, np.int32, np.float64), strict=True))
+        # a table of places by the top bits of a scrambled hash, and a sorted one for the few that share a place
+        place = self.keys * _BASE >> np.uint64(64 - _PLACE_BITS)
+        order = np.argsort(place, kind="stable")
+        first = np.ones(len(order), bool)
+        first[1:] = place[order][1:] != place[order][:-1]
+        self.table = np.full(1 << _PLACE_BITS, -1, np.int32)
+        self.table[place[order[first]]] = order[first]
+        rest = order[~first]
+        self.rest = rest[np.argsort(self.keys[rest])]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of the piece of each hash, or -1."""
+        at = self.table[(h * _BASE >> np.uint64(64 - _PLACE_BITS)).astype(np.int64)]
+        out = np.where(self.keys[at] == h, at, -1)
+        other = np.flatnonzero((out < 0) & (at >= 0))
+        if len(other) and len(self.rest):
+            i = np.minimum(np.searchsorted(self.keys[self.rest], h[other]), len(self.rest) - 1)
+            hit = self.keys[self.rest[i]] == h[other]
+            out[other[hit]] = self.rest[i[hit]]
+        return out
 
 
 @lru_cache(4)
@@ -74,19 +94,17 @@ class Lattice:
         room = np.repeat(np.cumsum(n), n) - np.arange(len(raw))
         found: list[tuple[np.ndarray, ...]] = []
         places, h, single = np.arange(len(raw)), np.zeros(len(raw), np.uint64), np.zeros(len(raw), bool)
-        for length in range(1, max(vocab.tables) + 1):
+        for length in range(1, vocab.longest + 1):
             fits = room[places] >= length
             places, h = places[fits], h[fits]
             if not len(places):
                 break
             h = h * _BASE + (codes[places + length - 1] + 1).astype(np.uint64)
-            if length in vocab.tables:
-                keys, ids, weights = vocab.tables[length]
-                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[i] == h
-                found.append((at[places[hit]], length, ids[i[hit]], weights[i[hit]]))
-                if length == 1:
-                    single[places[hit]] = True
+            i = vocab.find(h)
+            hit = np.flatnonzero(i >= 0)
+            found.append((at[places[hit]], length, vocab.ids[i[hit]], vocab.weights[i[hit]]))
+            if length == 1:
+                single[places[hit]] = True
         lone = np.flatnonzero(~single)  # characters without a piece are spelled in bytes
         spelled = 1 + (raw[lone] > 0x7F).astype(np.int64) + (raw[lone] > 0x7FF) + (raw[lone] > 0xFFFF)
         found.append((at[lone], 1, -1 - raw[lone], vocab.byte_weight * spelled))
@@ -94,7 +112,7 @@ class Lattice:
         for source, *_ in found:
             degree[source] += 1
         self.first = np.cumsum(degree) - degree
-        self.target, self.piece, weight = np.empty(self.first[-1], np.int64), np.empty(self.first[-1], np.int64), np.empty(self.first[-1])
+        self.target, self.piece, weight = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.int32), np.empty(self.first[-1])
         slot = self.first.copy()
         for source, length, piece, w in reversed(found):  # long pieces first, which are the likelier ones
             e = slot[source]
@@ -224,41 +242,57 @@ def sample_segmentations(texts: list[str], keys: list[int], k: int, vocab: Vocab
     mu = np.where(single, -np.inf, before + others)
     value = _below(mu, top[step_text], spare)
 
+    # A path of a text: its edges, the unit of each, the values of the sets beside them, the edges taken at a branch.
+    paths: list[list] = [[] for _ in texts]
+    found: list[list] = [[] for _ in texts]
+    first = np.add.reduceat(np.append(logp, 0.0), np.minimum(bound[:-1], len(logp))) if len(texts) else []
     for d in range(len(texts)):
-        if not n_units[d]:
-            continue
-        lo, hi = bound[d], bound[d + 1]
-        # A path: its edges, the unit of each, the values of the sets beside them, the edges taken at a branch.
-        paths = [(edges[lo:hi], step_unit[lo:hi], value[lo:hi].copy(), {})]
-        found = [(edges[lo:hi], float(logp[lo:hi].sum()), float(top[d]))]
-        while True:
-            best = max(range(len(paths)), key=lambda i: paths[i][2].max(initial=-np.inf))
-            e, units, values, taken = paths[best]
-            kappa = float(values.max(initial=-np.inf))
-            if len(found) == k or kappa == -np.inf:
-                break
-            t, j = int(values.argmax()), len(found)
+        if n_units[d]:
+            at = slice(bound[d], bound[d + 1])
+            paths[d].append((edges[at], step_unit[at], value[at], {}))
+            found[d].append((edges[at], float(first[d]), float(top[d])))
+    kappa = np.full(len(texts), -np.inf)
+    for j in range(1, k + 1):
+        branches = []
+        for d in range(len(texts)):
+            if len(found[d]) < j:
+                continue
+            e, units, values, taken = max(paths[d], key=lambda path: path[2].max())
+            t = int(values.argmax())
+            kappa[d] = values[t]
+            if j == k or kappa[d] == -np.inf:
+                continue
+            h = _hashed(key[d], 1 << 41 | j)
             used = taken.setdefault(t, [int(e[t])])
-            pick = lattice.sibling(used, float(_uniform(_hashed(key[d], 1 << 41 | j))))
-            used.append(pick)
-            rest = lattice.others(used)
+            used.append(pick := lattice.sibling(used, float(_uniform(h))))
             ahead = float(lattice.logp[e[:t]].sum())
-            values[t] = _below(np.array(ahead + rest), np.array(kappa), _uniform(_hashed(key[d], 1 << 41 | j), 1))
-            after = np.arange(units[t], unit_start[d] + n_units[d])
-            node = lattice.start[unit[after]]
-            node[0] = lattice.target[pick]
-            new, c, spare = _completed(lattice, node, unit_key[after], j)
-            path, path_units = np.concatenate([e[: t + 1], new]), np.concatenate([units[: t + 1], np.repeat(after, c)])
-            path[t] = pick
-            lp = lattice.logp[path]
-            own = np.full(len(path), -np.inf)
-            with np.errstate(divide="ignore"):
-                m = np.where(lp[t + 1 :] > -1e-12, -np.inf, np.cumsum(lp)[t:-1] + np.log(-np.expm1(np.minimum(lp[t + 1 :], 0.0))))
-            own[t + 1 :] = _below(m, np.array(kappa), spare)
-            paths.append((path, path_units, own, {}))
-            found.append((path, float(lp.sum()), kappa))
-        for j, (path, lp, g) in enumerate(found):
-            yield d, j, _ids(lattice.piece[path], vocab), lp, g, float(-np.expm1(-np.exp(min(lp - kappa, 700.0))))
+            values[t] = _below(np.array(ahead + lattice.others(used)), kappa[d], _uniform(h, 1))
+            branches.append((d, e[:t], units[: t + 1], pick, ahead + float(lattice.logp[pick]), unit_start[d] + n_units[d]))
+        if not branches:
+            continue
+        begin, end = np.array([b[2][-1] for b in branches]), np.array([b[5] for b in branches])
+        size = end - begin
+        after = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        node = lattice.start[unit[after]]
+        node[np.cumsum(size) - size] = lattice.target[[b[3] for b in branches]]
+        new, c, spare = _completed(lattice, node, unit_key[after], j)
+        new_units = np.repeat(after, c)
+        cut = np.concatenate([[0], np.cumsum(np.add.reduceat(c, np.cumsum(size) - size))])
+        who = np.repeat(np.arange(len(branches)), np.diff(cut))
+        lp = lattice.logp[new]
+        run = np.cumsum(lp)
+        base = np.array([b[4] for b in branches]) - np.concatenate([[0.0], run])[cut[:-1]]
+        with np.errstate(divide="ignore"):
+            mu = np.where(lp > -1e-12, -np.inf, base[who] + run - lp + np.log(-np.expm1(np.minimum(lp, 0.0))))
+        own = _below(mu, kappa[[b[0] for b in branches]][who], spare)
+        for i, (d, head, units, pick, ahead, _) in enumerate(branches):
+            at = slice(cut[i], cut[i + 1])
+            path = np.concatenate([head, [pick], new[at]])
+            paths[d].append((path, np.concatenate([units, new_units[at]]), np.concatenate([np.full(len(units), -np.inf), own[at]]), {}))
+            found[d].append((path, ahead + float(lp[at].sum()), float(kappa[d])))
+    for d in range(len(texts)):
+        for j, (path, lp, g) in enumerate(found[d]):
+            yield d, j, _ids(lattice.piece[path], vocab), lp, g, float(-np.expm1(-np.exp(min(lp - kappa[d], 700.0))))
 
 
 def _ids(pieces: np.ndarray, vocab: Vocabulary) -> np.ndarray:
