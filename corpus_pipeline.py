@@ -20,8 +20,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; it learns from the table of labels. Joined by id and text, so
-    that rows which repeat an id are judged by their own text."""
+    """Documents that the classifier doesn't reject; it learns from the table of labels. Rows that repeat an id go if
+    one of them is rejected."""
     scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     bad = scored.where("predicted = 0").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
