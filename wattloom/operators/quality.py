@@ -80,3 +80,31 @@ def timestamp_regularity(df: DataFrame, keys: Sequence[str], ts: str = "timestam
     steps = df.withColumn("step", F.timestamp_diff("SECOND", F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts)), F.col(ts))).where(F.col("step").isNotNull())
     counts = steps.groupBy(*keys, "step").agg(F.count("*").alias("n"))
     return counts.groupBy(*keys).agg(F.count("*").alias("n_steps"), F.max_by("step", F.struct("n", -F.col("step"))).alias("modal_step_s"), (F.count("*") == 1).alias("is_regular"))
+
+
+def share_of_total(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
+    """col as a share of its sum within keys."""
+    return df.withColumn(f"{col}_share", F.try_divide(F.col(col), F.nullif(F.sum(col).over(Window.partitionBy(*keys)), F.lit(0.0))))
+
+
+def carried_values(df: DataFrame, col: str, keys: Sequence[str], ts: str = "timestamp") -> DataFrame:
+    """Previous and next non-null value with their times, and the value interpolated between them by time."""
+    w = Window.partitionBy(*keys).orderBy(ts)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    at = F.when(F.col(col).isNotNull(), F.col(ts))
+    out = df.withColumns({"prev_value": F.last(col, True).over(back), "prev_time": F.last(at, True).over(back), "next_value": F.first(col, True).over(ahead), "next_time": F.first(at, True).over(ahead)})
+    since, until = F.timestamp_diff("SECOND", F.col("prev_time"), F.col(ts)), F.timestamp_diff("SECOND", F.col(ts), F.col("next_time"))
+    line = F.col("prev_value") + (F.col("next_value") - F.col("prev_value")) * since / F.nullif(since + until, F.lit(0))
+    return out.withColumn("interpolated", F.coalesce(F.col(col), line))
+
+
+def series_bounds(df: DataFrame, col: str, keys: Sequence[str], ts: str = "timestamp") -> DataFrame:
+    """df with the first and last value of col, by time, within keys."""
+    w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumns({f"first_{col}": F.first(col).over(w), f"last_{col}": F.last(col).over(w)})
+
+
+def with_totals(df: DataFrame, key: str, sums: Sequence[str], name: str = "TOTAL") -> DataFrame:
+    """Sums by key and over all, in one rollup."""
+    out = df.rollup(key).agg(*(F.sum(x).alias(x) for x in sums), F.grouping(key).alias("_g"))
+    return out.withColumn(key, F.when(F.col("_g") == 1, name).otherwise(F.col(key))).drop("_g")
