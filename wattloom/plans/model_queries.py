@@ -111,7 +111,7 @@ QUERIES = {
     "l2_household_week_savings": _q(lambda i: R.household_week_savings(_table(i)), 6),
     "l3_moves_by_category": _q(lambda i: R.moves_by_category(_table(i)), 6),
     "l3_giveback": _q(lambda i: R.giveback(_table(i)), 6),
-    "l4_overall_reduction": _q(lambda i: R.overall_reduction(_metrics(i)), 6),
+    "l4_overall_reduction": _q(lambda i: R.overall_reduction(_metrics(i)), 3),
     "l5_weekly_coverage": _q(lambda i: R.weekly_move_coverage(_metrics(i)), 6),
     "l6_customers_with_shift": _q(lambda i: R.customers_with_shift(_metrics(i)), 6),
     "l7_origin_destination": _q(lambda i: R.origin_destination(_table(i)), 6),
@@ -127,7 +127,7 @@ QUERIES = {
     "l17_quota_and_boundary": _q(lambda i: R.quota_and_boundary(_table(i), P.moves_per_day, P.window), 6),
     "l18_savings_disagreement": _q(lambda i: R.savings_disagreement(_metrics(i)), 6),
     "l20_usage_hourly": _q(lambda i: R.usage_hourly(i.readings), 6),
-    "l22_weekly_summary": _q(lambda i: R.weekly_summary(_metrics(i)), 6),
+    "l22_weekly_summary": _q(lambda i: R.weekly_summary(_metrics(i)), 3),
 }
 
 _SC = ", sc AS (SELECT *, 1500 * q AS p FROM model_rows)"
@@ -156,7 +156,7 @@ def _tb(text: str) -> str:
     return sql(_TB + " " + text, "shift_input")
 
 
-_RED = "round(sum(ba), 6) AS baseline_avg_g, round(sum(ba + da), 6) AS post_avg_g, round(sum(bm), 6) AS baseline_marg_g, round(sum(bm + dm), 6) AS post_marg_g, round(sum(moved_kwh), 6) AS moved_kwh, round(sum(baseline_kwh), 6) AS baseline_kwh, round((sum(ba) - sum(ba + da)) / sum(ba), 6) AS reduction_avg, round((sum(bm) - sum(bm + dm)) / sum(bm), 6) AS reduction_marg"
+_RED = "round(sum(ba), 3) AS baseline_avg_g, round(sum(ba + da), 3) AS post_avg_g, round(sum(bm), 3) AS baseline_marg_g, round(sum(bm + dm), 3) AS post_marg_g, round(sum(moved_kwh), 3) AS moved_kwh, round(sum(baseline_kwh), 3) AS baseline_kwh, round((sum(ba) - sum(ba + da)) / sum(ba), 3) AS reduction_avg, round((sum(bm) - sum(bm + dm)) / sum(bm), 3) AS reduction_marg"
 
 SQL = {
     "d32_energy_weights": sql("SELECT g, round(sum(q) * 0.5::DOUBLE, 4) AS energy FROM model_rows GROUP BY g", "model_rows"),
