@@ -61,7 +61,8 @@ def fresh_key(*cols: str) -> Column:
     """A derived join key beside the real ones.
 
     A grouped table is already partitioned by its key, and a join would use that without a new exchange; only
-    joins whose two sides are fresh exchanges are split by adaptive execution when a key is hot.
+    joins whose two sides are fresh exchanges are split by adaptive execution when a key is hot. The columns must have
+    the same types on both sides, as equal numbers of different types hash differently.
     """
     return F.xxhash64(F.lit(17), *cols)
 
@@ -96,21 +97,44 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def whole_groups(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """From the sorted batches of a task, the rows of one key after the other."""
+def grouped_frames(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """From the sorted batches of a task, frames that hold whole keys, with the places where their groups begin and the
+    end."""
     rest: pd.DataFrame | None = None
     for frame in frames:
-        if rest is not None:
-            frame = pd.concat([rest, frame], ignore_index=True)
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
         if frame.empty:
             continue
         k = frame[keys].to_numpy()
-        ends = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-        for i, j in zip([0, *ends[:-1]], ends, strict=False):
-            yield frame.iloc[i:j]
-        rest = frame.iloc[ends[-1] if len(ends) else 0 :]
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        if len(cuts):
+            yield frame.iloc[: cuts[-1]], np.append(0, cuts)
+        rest = (frame.iloc[cuts[-1] :] if len(cuts) else frame).reset_index(drop=True)
     if rest is not None and len(rest):
-        yield rest
+        yield rest, np.array([0, len(rest)])
+
+
+def whole_groups(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """From the sorted batches of a task, the rows of one key after the other."""
+    for frame, cuts in grouped_frames(frames, keys):
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            yield frame.iloc[i:j]
+
+
+def intersections(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections of the first split sets with the others, by products of incidence matrices."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    all_, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    out = np.zeros((split, len(sets) - split), np.int64)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for lo in range(0, len(all_), 1 << 16):
+        i, j = np.searchsorted(at, [lo, lo + (1 << 16)])
+        m = np.zeros((len(sets), min(1 << 16, len(all_) - lo)), np.float32)
+        m[row[i:j], at[i:j] - lo] = 1
+        out += (m[:split] @ m[split:].T).astype(np.int64)
+    return out
 
 
 def words(text: str) -> list[bytes]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,108 +13,218 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import fresh_key, mixed, small_batches, stash
+from wattloom.llm.common import fresh_key, grouped_frames, intersections, mixed, small_batches, stash
 
 _ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+_BYTE = mixed(np.arange(1000, 1256, dtype=np.uint64))
+_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_BASE = 0xD6E8FEB86659FD93
 #: Counts of frequent tokens reach every task; there are at most so many (16 bytes each).
 MOST_FREQUENT = 100_000
 _PIECE = 4_000_000
-
-
-def tokens(lines: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each token, index of its line), in text order. A token is a run of words in lower case; a line of
-    fewer words is one token, a line of none has none."""
-    split = [x.split() for x in lines]
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for x in split for w in x), np.uint64, n.sum())
-    start = np.cumsum(n) - n
+_BYTES = 2_000_000
+#: Lines of one side of a block.
+BLOCK = 64
+
+
+@lru_cache(2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base, and of its inverse, modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(1 << bits, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+@dataclass(frozen=True)
+class Scan:
+    """Words and lines of some texts: hash of each word and its line; of each line its hash, text and number in it."""
+
+    word: np.ndarray
+    line: np.ndarray
+    line_hash: np.ndarray
+    text: np.ndarray
+    no: np.ndarray
+
+    @property
+    def n_words(self) -> np.ndarray:
+        return np.bincount(self.line, minlength=len(self.text))
+
+
+def scanned(texts: list[str]) -> Scan:
+    """All words and lines at once: sums of byte values times powers of a base, whose differences, scaled back to the
+    same place and mixed, are the hashes of byte ranges."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    buf = np.frombuffer(b"".join(x + b"\n" for x in raw), np.uint8)
+    powers, inverse = _powers(max(16, int(len(buf)).bit_length()))
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * powers[: len(buf)], out=sums[1:])
+
+    def hashed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+    end = np.flatnonzero(buf == 10)
+    start = np.append(0, end[:-1] + 1)[: len(end)]
+    last = np.cumsum([len(x) + 1 for x in raw]).astype(np.int64)
+    text = np.searchsorted(last, start, side="right")
+    no = np.arange(len(end)) - np.searchsorted(start, np.append(0, last[:-1])[: len(last)])[text]
+    letter = ~_BLANK[buf]
+    edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    if len(letter) and letter[0]:
+        edge = np.append(0, edge)
+    words, ends = edge[::2], edge[1::2]  # the last byte is blank
+    return Scan(hashed(words, ends), np.searchsorted(end, words), hashed(start, end), text, no)
+
+
+def tokens(s: Scan, words: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each token, its line), in text order, of the lines to keep. A token is a run of words in lower case; a
+    line of fewer words is one token, a line of none has none."""
+    n = s.n_words
     count = np.where(n > 0, np.maximum(n - words + 1, 1), 0)
+    if keep is not None:
+        count = np.where(keep, count, 0)
     line = np.repeat(np.arange(len(n)), count)
-    at = start[line] + np.arange(len(line)) - (np.cumsum(count) - count)[line]
+    at = (np.cumsum(n) - n)[line] + np.arange(len(line)) - (np.cumsum(count) - count)[line]
     t = np.zeros(len(line), np.uint64)
-    h = np.concatenate([h, np.zeros(words, np.uint64)])
-    short = (n < words)[line]
+    h = np.concatenate([s.word, np.zeros(words, np.uint64)])
+    short = np.flatnonzero((n < words)[line])
     for i in range(words):
         x = h[at + i] * _ODD[i]
-        if short.any():
-            x[short & (i >= n[line])] = _ODD[32 + i]
+        gone = short[i >= n[line[short]]]
+        x[gone] = _ODD[32 + i]
         t += x
     return mixed(t), line
 
 
-def _lines(texts: Iterable[str | None]) -> list[list[bytes]]:
-    return [t.encode("utf-8", "surrogatepass").lower().split(b"\n") if t is not None else [] for t in texts]
+def _pieces(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(row numbers, texts) of a batch, in pieces of bounded size."""
+    held: list[tuple[int, str]] = []
+    size = 0
+    for i, t in enumerate(b.column("text").to_pylist()):
+        held.append((i, t))
+        size += len(t)
+        if size > _BYTES:
+            yield np.array([x[0] for x in held]), [x[1] for x in held]
+            held, size = [], 0
+    if held:
+        yield np.array([x[0] for x in held]), [x[1] for x in held]
 
 
 def _counts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Tokens that different lines of a task share, with the number of such lines."""
+    """Tokens that different lines of a task share, with the number of such lines, a few million tokens at a time."""
     held: list[np.ndarray] = []
-    seen: set[bytes] = set()
+    seen = np.empty(0, np.uint64)
+    total = 0
 
     def counted() -> pa.RecordBatch:
         t, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        held.clear()
-        seen.clear()
-        return pa.record_batch({"token": t[n > 1].view(np.int64), "n": n[n > 1], "of": np.full((n > 1).sum(), 0)})
+        return pa.record_batch({"token": t[n > 1].view(np.int64), "n": n[n > 1], "of": np.zeros((n > 1).sum(), np.int64)})
 
-    total = 0
     for b in batches:
-        new = [x for doc in _lines(b.column("text").to_pylist()) for x in doc if x not in seen and not seen.add(x)]
-        if new:
-            held.append(tokens(new, words)[0])
+        for _, texts in _pieces(b):
+            s = scanned(texts)
+            new = np.zeros(len(s.text), bool)
+            new[np.unique(s.line_hash, return_index=True)[1]] = True
+            new &= ~np.isin(s.line_hash, seen)
+            seen = np.concatenate([seen, s.line_hash[new]])
+            held.append(tokens(s, words, new)[0])
             total += len(held[-1])
-        if sum(map(len, held)) > _PIECE:
-            yield counted()
+            if sum(map(len, held)) > _PIECE:
+                yield counted()
+                held.clear()
+                seen = seen[:0]
     yield counted()
     yield pa.record_batch({"token": np.zeros(1, np.int64), "n": np.zeros(1, np.int64), "of": np.full(1, total)})
 
 
+def _ordered(t: np.ndarray, rare: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Order by line, then frequency (from 1023 on all alike), then token: by one packed key unless that has ties."""
+    rare = np.minimum(rare, 1023)
+    if len(line) and line[-1] < 1 << 21:
+        key = line.astype(np.uint64) << np.uint64(43) | rare.astype(np.uint64) << np.uint64(33) | t >> np.uint64(31)
+        order = np.argsort(key)
+        k, x = key[order], t[order]
+        if not ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
+            return order
+    return np.lexsort((t, rare, line))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token, those whose token a neighbour has; and the first and the last of a task, whose
+    neighbours are in other tasks."""
+    held, was = None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            b = pa.concat_batches([held, b])
+        t = b.column("token").to_numpy()
+        same = t[1:] == t[:-1]
+        keep = np.append(was, same)
+        keep[:-1] |= same
+        held, was = b.slice(b.num_rows - 1), bool(keep[-1])
+        yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
+    if held is not None:
+        yield held
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, threshold: float, known: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each line with at least least words: its token set's size and digest, and its rarest tokens as a prefix."""
+    """For each line with at least least words: its token set's size and digest, and its rarest tokens as a prefix.
+
+    Of equal sets in a piece of a batch, the first has the prefix and the others null."""
     for b in batches:
-        ids, docs = b.column("id").to_numpy(zero_copy_only=False), _lines(b.column("text").to_pylist())
-        per = np.fromiter(map(len, docs), np.int64, len(docs))
-        flat = [x for d in docs for x in d]
-        t, line = tokens(flat, words)
-        rare = np.zeros(len(t), np.int64)
-        if len(known) and len(t):
-            at = np.minimum(np.searchsorted(known, t), len(known) - 1)
-            rare = np.where(known[at] == t, counts[at], 0)
-        order = np.lexsort((t, rare, line))
-        t, line = t[order], line[order]
-        first = np.ones(len(t), bool)
-        first[1:] = (t[1:] != t[:-1]) | (line[1:] != line[:-1])
-        t, line = t[first], line[first]
-        n = np.bincount(line, minlength=len(flat))
-        some = np.flatnonzero(n >= 1)
-        if least > 1:
-            some = some[[len(flat[i].split()) >= least for i in some]]
-        start = np.cumsum(n) - n
-        size = n[some]
-        p = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[s : s + k]) for s, k in zip(start[some], size, strict=True)), np.int64).reshape(-1, 2)
-        offsets = np.concatenate([[0], np.cumsum(p)])
-        take = np.repeat(start[some] - offsets[:-1], p) + np.arange(offsets[-1])
-        doc = np.repeat(np.arange(len(docs)), per)[some]
-        no = some - (np.cumsum(per) - per)[doc]
-        yield pa.record_batch(
-            {
-                "doc": pa.array(ids[doc].astype(np.int64)), "line": pa.array(no), "n": pa.array(size), "h0": pa.array(digests[:, 0]), "h1": pa.array(digests[:, 1]),
-                "prefix": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(t[take].view(np.int64))),
-            }
-        )
-
-
-def _similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= threshold * (len(a) + len(b) - both) - 1e-9
+        ids = b.column("id").to_numpy(zero_copy_only=False)
+        for rows, texts in _pieces(b):
+            s = scanned(texts)
+            t, line = tokens(s, words, s.n_words >= max(1, least))
+            rare = np.zeros(len(t), np.int64)
+            if len(known) and len(t):
+                at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+                rare = np.where(known[at] == t, counts[at], 0)
+            order = _ordered(t, rare, line)
+            t, line = t[order], line[order]
+            first = np.ones(len(t), bool)
+            first[1:] = (t[1:] != t[:-1]) | (line[1:] != line[:-1])
+            t, line = t[first], line[first]
+            n = np.bincount(line, minlength=len(s.text))
+            some = np.flatnonzero(n)
+            start = (np.cumsum(n) - n)[some]
+            size = n[some]
+            p = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[i : i + k]) for i, k in zip(start, size, strict=True)), np.int64).reshape(-1, 2)
+            again = np.ones(len(some), bool)
+            again[np.unique(digests, axis=0, return_index=True)[1] if len(digests) else []] = False
+            p[again] = 0
+            offsets = np.concatenate([[0], np.cumsum(p)])
+            take = np.repeat(start - offsets[:-1], p) + np.arange(offsets[-1])
+            yield pa.record_batch(
+                {
+                    "doc": pa.array(ids[rows[s.text[some]]].astype(np.int64)), "line": pa.array(s.no[some].astype(np.int32)), "n": pa.array(size), "h0": pa.array(digests[:, 0]), "h1": pa.array(digests[:, 1]),
+                    "prefix": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(t[take].view(np.int64)), mask=pa.array(again)),
+                }
+            )
+
+
+def _similar(pairs: pd.DataFrame, words: int, threshold: float) -> list[bool]:
+    """Whether the Jaccard similarity of the lines t_a, t_b of each pair is at least threshold."""
+    t, line = tokens(scanned([*pairs["t_a"], *pairs["t_b"]]), words)
+    cut = np.searchsorted(line, np.arange(2 * len(pairs) + 1))
+    out = []
+    for i in range(len(pairs)):
+        a, b = (np.unique(t[cut[j] : cut[j + 1]]) for j in (i, len(pairs) + i))
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        out.append(both >= threshold * (len(a) + len(b) - both) - 1e-9)
+    return out
 
 
 def _picked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The lines of each text that are asked for."""
     for f in frames:
-        rows = [(i, n, x[n].decode("utf-8", "surrogatepass")) for i, x, want in zip(f["id"], _lines(f["text"]), f["want"], strict=True) for n in want if n < len(x)]
-        yield pd.DataFrame({"doc": pd.Series([r[0] for r in rows], dtype="int64"), "line": pd.Series([r[1] for r in rows], dtype="int64"), "t": pd.Series([r[2] for r in rows], dtype=object)})
+        rows = [(i, n, x[n]) for i, x, want in zip(f["id"], (t.split("\n") for t in f["text"]), f["want"], strict=True) for n in want if n < len(x)]
+        yield pd.DataFrame({"doc": pd.Series([r[0] for r in rows], dtype="int64"), "line": pd.Series([r[1] for r in rows], dtype="int32"), "t": pd.Series([r[2] for r in rows], dtype=object)})
 
 
 def _allowed(a: str, b: str, threshold: float) -> Column:
@@ -130,19 +242,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
 
     def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            one = lambda t: np.unique(tokens([t.encode("utf-8", "surrogatepass")], words)[0])
-            keep = [_similar(one(t), one(u), threshold) for t, u in zip(f["t_a"], f["t_b"], strict=True)]
-            yield f.loc[keep, ["doc_a", "line_a"]].rename(columns={"doc_a": "doc", "line_a": "line"})
+            yield f.loc[_similar(f, words, threshold), ["doc_a", "line_a"]].rename(columns={"doc_a": "doc", "line_a": "line"})
+
+    return both.select("doc_a", "line_a", "t_a", "t_b").mapInPandas(matched, "doc long, line int").distinct()
 
-    return both.select("doc_a", "line_a", "t_a", "t_b").mapInPandas(matched, "doc long, line long").distinct()
+
+def _matched_in_crowds(crowd: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(doc, line) of the lines of a crowd (those that share tokens with its hub) that aren't done and match an earlier
+    line of it. Lines that aren't done meet all others in blocks of 64 by 64, of which only matched lines leave a task."""
+    hub = ["doc_b", "line_b"]
+    open_ = crowd.groupBy(*hub).agg(F.count("*").alias("m"), F.count_if(F.col("done").isNull()).alias("o")).where("o > 0 and m > 1")
+    open_ = open_.select(*hub, F.ceil(F.col("o") / BLOCK).cast("int").alias("bi"), F.ceil(F.col("m") / BLOCK).cast("int").alias("bj"), fresh_key(*hub).alias("k"))
+    sides = crowd.withColumn("k", fresh_key(*hub)).join(open_, ["k", *hub]).drop("k").withColumnsRenamed({"doc_a": "doc", "line_a": "line"})
+    sides = sides.withColumn("k", fresh_key("doc", "line")).join(texts.withColumn("k", fresh_key("doc", "line")), ["k", "doc", "line"])
+    at = lambda n: F.pmod(F.xxhash64(F.lit(29), "doc", "line"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = sides.where("done is null").select(*hub, "doc", "line", "t", F.lit(True).alias("first"), at("bi").alias("i"), upto("bj").alias("j"))
+    other = sides.select(*hub, "doc", "line", "t", F.lit(False).alias("first"), upto("bi").alias("i"), at("bj").alias("j"))
+    tasks = one.unionByName(other).repartition(*hub, "i", "j").sortWithinPartitions(*hub, "i", "j")
+
+    def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, cuts in grouped_frames(frames, [*hub, "i", "j"]):
+            t, row = tokens(scanned(list(f["t"])), words)
+            order = np.lexsort((t, row))
+            t, row = t[order], row[order]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (row[1:] != row[:-1])
+            t, row = t[new], row[new]
+            begin = np.searchsorted(row, np.arange(len(f) + 1))
+            size = np.diff(begin)
+            doc, line, first = f["doc"].to_numpy(), f["line"].to_numpy(), f["first"].to_numpy()
+            hit: list[np.ndarray] = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                a, b = lo + np.flatnonzero(first[lo:hi]), lo + np.flatnonzero(~first[lo:hi])
+                earlier = (doc[b] < doc[a][:, None]) | (doc[b] == doc[a][:, None]) & (line[b] < line[a][:, None])
+                x, y = np.nonzero(earlier & (np.minimum.outer(size[a], size[b]) >= threshold * np.maximum.outer(size[a], size[b]) - 1e-9))
+                if not len(x):
+                    continue
+                own = lambda i: t[begin[i] : begin[i + 1]]  # noqa: B023, E731
+                if len(x) <= 16:
+                    both = np.array([len(np.intersect1d(own(a[i]), own(b[j]), assume_unique=True)) for i, j in zip(x, y, strict=True)])
+                else:
+                    both = intersections([own(i) for i in [*a, *b]], len(a))[x, y]
+                hit.append(a[x[both >= threshold * (size[a[x]] + size[b[y]] - both) - 1e-9]])
+            found = np.unique(np.concatenate(hit)) if hit else np.empty(0, np.int64)
+            yield pd.DataFrame({"doc": doc[found], "line": line[found]})
+
+    return tasks.mapInPandas(matched, "doc long, line int").distinct()
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, least: int = 5) -> DataFrame:
     """doc, line (from 0) of every line that matches an earlier line, in the order of (id, line).
 
     Lines match when the Jaccard similarity of their token sets is at least threshold. Equal sets are one class, with
-    its first line. Each class is joined on its prefix (its rarest tokens) with others; first with the first class
-    of each token, then, if that gave no match, with all earlier ones.
+    its first line. Classes that share a token of their prefixes (their rarest tokens) are candidates. First each is
+    compared with the earliest class (the hub) of each of its tokens. Those without a match are then compared with all
+    earlier classes that have a hub in common with them, in blocks, so that no candidate is missed.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -155,31 +310,30 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = common.assign(token=common["token"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
     frequent = spark.sparkContext.broadcast((common["token"].to_numpy(np.uint64), common["n"].to_numpy(np.int64)))
 
-    kind = "doc long, line long, n long, h0 long, h1 long, prefix array<long>"
+    kind = "doc long, line int, n long, h0 long, h1 long, prefix array<long>"
     lines = stash(docs.mapInArrow(lambda b: _prefixes(b, words, least, threshold, *frequent.value), kind), "lines")
     first = F.min(F.struct("doc", "line")).alias("first")
-    classes = stash(lines.groupBy("h0", "h1").agg(first, F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    classes = stash(lines.groupBy("h0", "h1").agg(first, F.first("n").cast("int").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix")), "classes")
 
-    rows = classes.select(F.col("first.doc").alias("doc"), F.col("first.line").cast("int").alias("line"), "n", F.posexplode("prefix").alias("at", "token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token", fresh_key("token").alias("k"))
-    members = stash(rows.withColumn("k", fresh_key("token")).join(shared, ["k", "token"], "left_semi").drop("k"), "members")
+    rows = classes.select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", F.posexplode("prefix").alias("at", "token"))
+    # a hot token spans several of these ranges
+    dealt = rows.select("token", "doc", "line", "n", "at").repartitionByRange("token", "doc", "line").sortWithinPartitions("token")
+    members = stash(dealt.mapInArrow(_shared, "token long, doc long, line int, n int, at int"), "members")
 
     wanted = members.select("doc", "line").distinct().groupBy("doc").agg(F.collect_list("line").alias("want"))
-    texts = docs.join(wanted, docs["id"] == wanted["doc"]).select("id", "text", "want").mapInPandas(_picked, "doc long, line long, t string")
+    texts = docs.join(wanted, docs["id"] == wanted["doc"]).select("id", "text", "want").mapInPandas(_picked, "doc long, line int, t string")
     texts = stash(texts.dropDuplicates(["doc", "line"]), "texts")
 
     a = members.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), "token", fresh_key("token").alias("k"))
     hubs = members.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "at")).alias("b"))
     hubs = hubs.select("token", F.col("b.doc").alias("doc_b"), F.col("b.line").alias("line_b"), F.col("b.n").alias("n_b"), F.col("b.at").alias("at_b"), fresh_key("token").alias("k"))
-    later = (F.col("doc_b") < F.col("doc_a")) | (F.col("doc_b") == F.col("doc_a")) & (F.col("line_b") < F.col("line_a"))
-    pairs = a.join(hubs, ["k", "token"]).where(later & _allowed("a", "b", threshold)).select("doc_a", "line_a", "doc_b", "line_b").distinct()
-    matched = stash(_verified(stash(pairs, "pairs"), texts, words, threshold), "matched")
+    crowd = a.join(hubs, ["k", "token"]).where("doc_a <> doc_b or line_a <> line_b").groupBy("doc_a", "line_a", "doc_b", "line_b").agg(F.max(_allowed("a", "b", threshold)).alias("ok"))
+    crowd = stash(crowd, "crowd")
+    matched = stash(_verified(crowd.where("ok").drop("ok"), texts, words, threshold), "matched")
 
-    done = matched.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), fresh_key("doc", "line").alias("j"))
-    open_ = a.withColumn("j", fresh_key("doc_a", "line_a")).join(done, ["j", "doc_a", "line_a"], "left_anti").drop("j")
-    b = members.select(F.col("doc").alias("doc_b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "token", fresh_key("token").alias("k"))
-    rest = open_.join(b, ["k", "token"]).where(later & _allowed("a", "b", threshold)).select("doc_a", "line_a", "doc_b", "line_b").distinct()
-    matched = matched.union(stash(_verified(stash(rest, "pairs"), texts, words, threshold), "matched"))
+    done = matched.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.lit(True).alias("done"), fresh_key("doc", "line").alias("j"))
+    crowd = crowd.drop("ok").withColumn("j", fresh_key("doc_a", "line_a")).join(done, ["j", "doc_a", "line_a"], "left").drop("j")
+    matched = matched.union(stash(_matched_in_crowds(crowd, texts, words, threshold), "matched"))
 
     gone = matched.select(F.col("doc").alias("gone_doc"), F.col("line").alias("gone_line"))
     judged = classes.join(gone, (F.col("first.doc") == F.col("gone_doc")) & (F.col("first.line") == F.col("gone_line")), "left")
@@ -201,7 +355,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     names (n_lines, n_removed and kept are replaced). An empty table gives an empty result. Ids are integers.
     """
     gone = repeated_lines(df, id_col, text_col, words, threshold, least)
-    gone = gone.groupBy("doc").agg(F.collect_list(F.col("line").cast("int")).alias("_gone")).withColumnRenamed("doc", "_doc")
+    gone = gone.groupBy("doc").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc", "_doc")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     out = df.join(gone, df[id_col] == F.col("_doc"), "left").withColumn("_left", F.when(F.col("_gone").isNotNull(), left))

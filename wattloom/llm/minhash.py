@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import connected_components, fresh_key, mixed, set_digest, shingles, small_batches, stash, whole_groups, word_hashes
+from wattloom.llm.common import connected_components, fresh_key, intersections, mixed, set_digest, shingles, small_batches, stash, whole_groups, word_hashes
 
 #: Buckets of a sketch; a register has 6 bits for the count of leading zeros and 10 of mantissa; four make a band.
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
@@ -137,28 +137,12 @@ def _linked_across(frames: Iterator[pd.DataFrame], words: int, percent: int, mar
             at_a, at_b = np.searchsorted(ua, i), len(ua) + np.searchsorted(ub, j)
             both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(at_a, at_b, strict=True)])
         else:
-            both = _intersections(sets, len(ua))[np.searchsorted(ua, i), np.searchsorted(ub, j)]
+            both = intersections(sets, len(ua))[np.searchsorted(ua, i), np.searchsorted(ub, j)]
         yes = 100 * both >= percent * (na[i] + nb[j] - both)
         out = pd.DataFrame({"a": a["cid"].to_numpy()[i[yes]], "b": b["cid"].to_numpy()[j[yes]], "component": b["component"].to_numpy()[j[yes]]})
         yield out.drop_duplicates(["a", "component"])[["a", "b"]]
 
 
-def _intersections(sets: list[np.ndarray], split: int) -> np.ndarray:
-    """Sizes of the intersections of the first split sets with the others, by products of incidence matrices."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    all_, at = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), size)
-    out = np.zeros((split, len(sets) - split), np.int64)
-    order = np.argsort(at, kind="stable")
-    at, row = at[order], row[order]
-    for lo in range(0, len(all_), 1 << 16):
-        i, j = np.searchsorted(at, [lo, lo + (1 << 16)])
-        m = np.zeros((len(sets), min(1 << 16, len(all_) - lo)), np.float32)
-        m[row[i:j], at[i:j] - lo] = 1
-        out += (m[:split] @ m[split:].T).astype(np.int64)
-    return out
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, margin: float = 0.2) -> DataFrame:
     """One row for each row of df: id, n_shingles, component_id (smallest id reachable by links), kept, class_id.
 
