@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wattloom.llm.common import connected_components, whole_groups
 from wattloom.llm.embedding_dedup import embedding_duplicates, passes_needed
 from wattloom.llm.exact_dedup import exact_dedup
+from wattloom.llm import line_dedup
 from wattloom.llm.line_dedup import dedup_lines
 from wattloom.llm.minhash import estimated, near_duplicates, registers
 from wattloom.llm.common import shingles, word_hashes
@@ -223,7 +224,9 @@ def lines_by_force(texts, words=5, threshold=0.8, least=5):
     return out
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("few", [16, 1])
+def test_line_dedup(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(300)]
     pool = [" ".join(rng.choices(vocab, k=rng.choice([1, 3, 5, 6, 12, 30, 80]))) for _ in range(30)]

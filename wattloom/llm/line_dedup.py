@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import fresh_key, grouped_frames, intersections, mixed, small_batches, stash
+from wattloom.llm.common import discard, fresh_key, grouped_frames, intersections, mixed, small_batches, stash
 
 _ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _BYTE = mixed(np.arange(1000, 1256, dtype=np.uint64))
@@ -26,6 +26,8 @@ _PIECE = 4_000_000
 _BYTES = 2_000_000
 #: Lines of one side of a block.
 BLOCK = 64
+#: Lines that may share a token and be compared one by one.
+FEW = 16
 
 
 @lru_cache(2)
@@ -208,16 +210,22 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, thresho
             )
 
 
-def _similar(pairs: pd.DataFrame, words: int, threshold: float) -> list[bool]:
-    """Whether the Jaccard similarity of the lines t_a, t_b of each pair is at least threshold."""
-    t, line = tokens(scanned([*pairs["t_a"], *pairs["t_b"]]), words)
-    cut = np.searchsorted(line, np.arange(2 * len(pairs) + 1))
-    out = []
-    for i in range(len(pairs)):
-        a, b = (np.unique(t[cut[j] : cut[j + 1]]) for j in (i, len(pairs) + i))
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        out.append(both >= threshold * (len(a) + len(b) - both) - 1e-9)
-    return out
+def _similar(pairs: pd.DataFrame, words: int, threshold: float) -> np.ndarray:
+    """Whether the Jaccard similarity of the lines t_a, t_b of each pair is at least threshold: the token sets of both
+    are sorted together, and tokens that both have are neighbours."""
+    n = len(pairs)
+    t, row = tokens(scanned([*pairs["t_a"], *pairs["t_b"]]), words)
+    order = np.lexsort((t, row))
+    t, row = t[order], row[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (row[1:] != row[:-1])
+    t, row = t[new], row[new]
+    size = np.bincount(row, minlength=2 * n)
+    pair = row % n
+    order = np.lexsort((t, pair))
+    t, pair = t[order], pair[order]
+    both = np.bincount(pair[1:][(t[1:] == t[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
+    return both >= threshold * (size[:n] + size[n:] - both) - 1e-9
 
 
 def _picked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,7 +250,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
 
     def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.loc[_similar(f, words, threshold), ["doc_a", "line_a"]].rename(columns={"doc_a": "doc", "line_a": "line"})
+            if len(f):
+                yield f.loc[_similar(f, words, threshold), ["doc_a", "line_a"]].rename(columns={"doc_a": "doc", "line_a": "line"})
 
     return both.select("doc_a", "line_a", "t_a", "t_b").mapInPandas(matched, "doc long, line int").distinct()
 
@@ -297,7 +306,8 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Lines match when the Jaccard similarity of their token sets is at least threshold. Equal sets are one class, with
     its first line. Classes that share a token of their prefixes (their rarest tokens) are candidates. First each is
     compared with the earliest class (the hub) of each of its tokens. Those without a match are then compared with all
-    earlier classes that have a hub in common with them, in blocks, so that no candidate is missed.
+    earlier classes that have the token, up to FEW of them one by one, and more of them (all that have that hub) in
+    blocks, so that no candidate is missed.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -325,15 +335,24 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = stash(texts.dropDuplicates(["doc", "line"]), "texts")
 
     a = members.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), "token", fresh_key("token").alias("k"))
-    hubs = members.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "at")).alias("b"))
-    hubs = hubs.select("token", F.col("b.doc").alias("doc_b"), F.col("b.line").alias("line_b"), F.col("b.n").alias("n_b"), F.col("b.at").alias("at_b"), fresh_key("token").alias("k"))
-    crowd = a.join(hubs, ["k", "token"]).where("doc_a <> doc_b or line_a <> line_b").groupBy("doc_a", "line_a", "doc_b", "line_b").agg(F.max(_allowed("a", "b", threshold)).alias("ok"))
+    hubs = members.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "at")).alias("b"), F.count("*").alias("many"))
+    hubs = hubs.select("token", "many", F.col("b.doc").alias("doc_b"), F.col("b.line").alias("line_b"), F.col("b.n").alias("n_b"), F.col("b.at").alias("at_b"), fresh_key("token").alias("k"))
+    met = a.join(hubs, ["k", "token"]).where("doc_a <> doc_b or line_a <> line_b")
+    crowd = met.groupBy("doc_a", "line_a", "doc_b", "line_b").agg(F.max(_allowed("a", "b", threshold)).alias("ok"), F.max(F.col("many") > FEW).alias("large"))
     crowd = stash(crowd, "crowd")
-    matched = stash(_verified(crowd.where("ok").drop("ok"), texts, words, threshold), "matched")
+    matched = stash(_verified(crowd.where("ok").drop("ok", "large"), texts, words, threshold), "matched")
 
     done = matched.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.lit(True).alias("done"), fresh_key("doc", "line").alias("j"))
-    crowd = crowd.drop("ok").withColumn("j", fresh_key("doc_a", "line_a")).join(done, ["j", "doc_a", "line_a"], "left").drop("j")
-    matched = matched.union(stash(_matched_in_crowds(crowd, texts, words, threshold), "matched"))
+    some = met.where(F.col("many") <= FEW).select("k", "token", "doc_a", "line_a", "n_a", "at_a", fresh_key("doc_a", "line_a").alias("j")).join(done, ["j", "doc_a", "line_a"], "left_anti").drop("j")
+    b = members.select(F.col("doc").alias("doc_b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "token", fresh_key("token").alias("k"))
+    later = (F.col("doc_b") < F.col("doc_a")) | (F.col("doc_b") == F.col("doc_a")) & (F.col("line_b") < F.col("line_a"))
+    few = some.join(b, ["k", "token"]).where(later & _allowed("a", "b", threshold)).select("doc_a", "line_a", "doc_b", "line_b").distinct()
+    more = stash(_verified(few, texts, words, threshold), "matched")
+    discard(members, seen)
+
+    large = crowd.where("large").drop("ok", "large").withColumn("j", fresh_key("doc_a", "line_a")).join(done, ["j", "doc_a", "line_a"], "left").drop("j")
+    matched = matched.union(more).union(stash(_matched_in_crowds(large, texts, words, threshold), "matched"))
+    discard(texts, crowd)
 
     gone = matched.select(F.col("doc").alias("gone_doc"), F.col("line").alias("gone_line"))
     judged = classes.join(gone, (F.col("first.doc") == F.col("gone_doc")) & (F.col("first.line") == F.col("gone_line")), "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +108,7 @@ class Lattice:
                 single[places[hit]] = True
         lone = np.flatnonzero(~single)  # characters without a piece are spelled in bytes
         spelled = 1 + (raw[lone] > 0x7F).astype(np.int64) + (raw[lone] > 0x7FF) + (raw[lone] > 0xFFFF)
-        found.append((at[lone], 1, -1 - raw[lone], vocab.byte_weight * spelled))
+        found.append((at[lone], 1, np.where(raw[lone] < 0x80, vocab.byte_ids[raw[lone] & 0x7F], -1 - raw[lone]), vocab.byte_weight * spelled))
         degree = np.zeros(nodes + 1, np.int64)
         for source, *_ in found:
             degree[source] += 1
@@ -218,11 +219,12 @@ def sample_segmentations(texts: list[str], keys: list[int], k: int, vocab: Vocab
     the set with the largest value, as A* with an exact bound does. The inclusion score of a segmentation is its
     probability of being above the largest value left.
     """
-    index: dict[str, int] = {}
-    per_text = [[index.setdefault(u, len(index)) for u in _UNIT.findall(" " + t)] if t else [] for t in texts]
-    lattice = Lattice(list(index), vocab)
+    per_text = [_UNIT.findall(" " + t) if t else [] for t in texts]
     n_units = np.fromiter(map(len, per_text), np.int64, len(per_text))
-    unit = np.fromiter((i for x in per_text for i in x), np.int64, n_units.sum())
+    units = list(chain.from_iterable(per_text))
+    index = {u: i for i, u in enumerate(dict.fromkeys(units))}
+    lattice = Lattice(list(index), vocab)
+    unit = np.fromiter(map(index.__getitem__, units), np.int64, len(units))
     text = np.repeat(np.arange(len(texts)), n_units)
     key = np.array(keys, np.uint64)
     unit_start = np.cumsum(n_units) - n_units
@@ -296,7 +298,7 @@ def sample_segmentations(texts: list[str], keys: list[int], k: int, vocab: Vocab
 
 
 def _ids(pieces: np.ndarray, vocab: Vocabulary) -> np.ndarray:
-    """Piece ids; a character without a piece becomes the ids of its bytes."""
+    """Piece ids; a character of several bytes without a piece becomes the ids of its bytes."""
     spelled = np.flatnonzero(pieces < 0)
     if not len(spelled):
         return pieces
