@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that match an earlier line; documents of which no line is left go."""
-    out = dedup_lines(docs).where("kept")
+    out = dedup_lines(docs, least=1).where("kept")
     n = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n).select(*COLUMNS)
 

@@ -367,7 +367,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Lines end at a line feed. A line's tokens are its runs of words words in lower case; a line of fewer words is one
     token. Lines match from a Jaccard similarity of threshold on; the match in the row with the smaller id, or
     earlier in the same text, stays, and lines that go still make later ones go. Lines with fewer than least words
-    are too short to tell and stay. kept is false where all lines went.
+    stay (1: only blank lines). kept is false where all lines went.
 
     Null and empty texts stay as they are (null: n_lines 0). Rows with null id stay as they are and make no line go.
     Of rows that repeat an id, lines at the same place share their fate. Other columns pass through, whatever their
@@ -387,4 +387,4 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "n_lines", "n_removed", "kept")
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=1).select("doc_id", "text", "n_lines", "n_removed", "kept")
