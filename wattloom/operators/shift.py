@@ -101,11 +101,42 @@ def _order(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEYS).agg(F.sum("value").alias("kwh"))
 
 
-def _room(moves: DataFrame, by: list[str], room: str) -> DataFrame:
-    """Trims q to what the customers before left of room, within by."""
+def _room(moves: DataFrame, by: list[str], room: str, today: Column) -> DataFrame:
+    """Trims q of today's moves to what the customers before left of room, within by."""
     w = Window.partitionBy(*by).orderBy(F.desc("kwh"), "ca_id", "t").rowsBetween(Window.unboundedPreceding, -1)
     left = F.greatest(F.lit(0.0), F.col(room) - F.coalesce(F.sum("q").over(w), F.lit(0.0)))
-    return moves.withColumn("q", F.when(F.col(room).isNull(), F.col("q")).otherwise(F.least("q", left))).drop(room)
+    return moves.withColumn("q", F.when(today & F.col(room).isNotNull(), F.least("q", left)).otherwise(F.col("q")))
+
+
+def _within_limits(best: DataFrame, policy: Policy, limits: list[tuple[list[str], str]]) -> DataFrame:
+    """q of each move of best (its places in a day are _round, its rooms the columns of limits): the days of the week one
+    after the other, so that only moves of which something is left after the limits use the weekly quota.
+
+    A move of which nothing is left also frees its place for the customer's next round of that day. With one limit for
+    the whole city-day nothing would be left for that either; with limits of slots, a day is gone through on kept
+    tables until no further move ends so.
+    """
+    again = policy.moves_per_day > 1 and any(by != ["city", "day"] for by, _ in limits)
+    rows = best.withColumns({"q": F.lit(0.0), "_d": F.weekday("day"), "_none": F.lit(False)})
+    kept = lambda x: x.checkpoint() if x.sparkSession.sparkContext.getCheckpointDir() else x.persist()
+    rows = kept(rows) if again else rows
+    week = Window.partitionBy("ca_id", "city", F.trunc("day", "week")).orderBy("_d", "_round").rowsBetween(Window.unboundedPreceding, 0)
+    for d in range(7):
+        today, none = F.col("_d") == d, 0
+        while True:
+            counts = (F.col("_d") < d) & (F.col("q") > 0) | today & ~F.col("_none")
+            rows = rows.withColumn("_w", F.sum(F.when(counts, 1).otherwise(0)).over(week)).withColumn("_in", today & ~F.col("_none") & (F.col("_w") <= policy.moves_per_week))
+            rows = rows.withColumn("q", F.when(today, F.when(F.col("_in"), F.col("avail")).otherwise(0.0)).otherwise(F.col("q")))
+            for by, room in limits:
+                rows = _room(rows, by, room, today)
+            rows = rows.withColumn("_none", F.col("_none") | F.col("_in") & (F.col("q") <= 0)).drop("_w", "_in")
+            if not again:
+                break
+            rows = kept(rows)
+            was, none = none, rows.where(today & F.col("_none")).count()
+            if none == was:
+                break
+    return rows
 
 
 def _rooms(df: DataFrame, policy: Policy) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
@@ -130,7 +161,7 @@ def shift_load(df: DataFrame, policy: Policy, exact: bool = False) -> DataFrame:
     In each of moves_per_day rounds every customer-day takes its move of the largest gain (then the earliest t, then s)
     from a slot that it hasn't used. The weekly quota counts the days in order. Limits that customers share (peak slot,
     destination slot, region) are used up in descending daily usage, then id; q is trimmed to what is left, and a move
-    trimmed to nothing is no move. A trimmed customer doesn't choose again in that round; exact=True goes through the
+    trimmed to nothing is no move and uses no quota. A trimmed customer doesn't choose again in that round; exact=True goes through the
     customers one by one, in a task for each city and week.
     """
     if exact:
@@ -143,12 +174,12 @@ def shift_load(df: DataFrame, policy: Policy, exact: bool = False) -> DataFrame:
     # one row for each source: its best destination; then the best moves_per_day sources
     best = moves.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS, "t").orderBy(F.desc("gain"), "s"))).where("_r = 1")
     best = best.withColumn("_round", F.row_number().over(day.orderBy(F.desc("gain"), "t", "s"))).where(F.col("_round") <= policy.moves_per_day)
-    week = Window.partitionBy("ca_id", "city", F.trunc("day", "week")).orderBy("day", "_round")
-    best = best.withColumn("_w", F.row_number().over(week)).where(F.col("_w") <= policy.moves_per_week)
-    best = best.join(_order(df), KEYS).withColumn("q", F.col("avail"))
+    best, limits = best.join(_order(df), KEYS), []
     for rooms, by, room in ((peak, ["city", "day", "t"], "room_t"), (dest, ["city", "day", "s"], "room_s"), (region, ["city", "day"], "room_r")):
         if rooms is not None:
-            best = _room(best.join(rooms, by, "left"), by, room)
+            best = best.join(rooms, by, "left")
+            limits.append((by, room))
+    best = _within_limits(best, policy, limits)
     return best.where("q > 0").select(*KEYS, "t", "s", "q", "mef_t", "mef_s", "aef_t", "aef_s")
 
 
