@@ -48,7 +48,7 @@ def _keyed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
 
 
 def _linked_in_windows(frames: Iterator[pd.DataFrame], window: int, threshold: float) -> Iterator[pd.DataFrame]:
-    """From sorted rows, for each row one verified link to a row among the window rows before it."""
+    """From sorted rows, verified links of rows to rows among the window rows before them, which join all that are linked."""
     for group in whole_groups(_windows(frames, window), ["nth"]):
         u, part = _unit(group["v"]), group["part"].to_numpy()
         cid, old = group["cid"].to_numpy(), group["old"].to_numpy()
@@ -56,10 +56,22 @@ def _linked_in_windows(frames: Iterator[pd.DataFrame], window: int, threshold: f
         at = np.arange(len(u))
         near &= (at[None, :] < at[:, None]) & (at[:, None] - at[None, :] <= window)
         near[old] = False
-        rows = np.flatnonzero(near.any(axis=1))
-        first, last = near[rows].argmax(axis=1), len(u) - 1 - near[rows, ::-1].argmax(axis=1)
-        a, b = np.concatenate([cid[rows], cid[rows]]), np.concatenate([cid[first], cid[last]])
-        yield pd.DataFrame({"a": a, "b": b})
+        i, j = _forest(near)
+        yield pd.DataFrame({"a": cid[i], "b": cid[j]})
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least links that join all that near joins: rows and columns of those, in order, whose ends no earlier one joins."""
+    root, kept = np.arange(len(near)), []
+    for i in np.flatnonzero(near.any(axis=1)):
+        to = np.flatnonzero(near[i])
+        # one link to each tree that the row isn't in yet
+        trees, first = np.unique(root[to], return_index=True)
+        other = trees != root[i]
+        kept += [(i, j) for j in to[first[other]]]
+        root[np.isin(root, trees[other])] = root[i]
+    out = np.array(kept, np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
 
 
 def _windows(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
@@ -95,7 +107,7 @@ def embedding_duplicates(
 
     Vectors are compared within a label by cosine in double precision. Equal vectors of a label are one class. In
     each pass the classes are ordered by the signs of 64 random projections, and each is compared with the window
-    rows before it; one or two verified links a row are kept. The links of all passes make components; the number
+    rows before it; of the verified links of a piece all are kept that the others don't replace. The links of all passes make components; the number
     of passes follows from the rows of the largest label, so that a pair at the threshold is missed once in a
     million. Within the components, which hold all links, classes are compared in blocks of 256 rows a side, and
     only counts of links leave a task: n_links has no cap, however large a group of near copies is.
