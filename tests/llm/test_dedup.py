@@ -26,7 +26,7 @@ def frame(spark, texts, ids=None):
 
 def clashing(df):
     """df with columns that operators use as names of their own."""
-    return df.withColumns({n: F.lit("x") for n in ("id", "n", "k", "key", "size", "h0", "cid", "hub", "component", "recipe", "y", "x", "block", "doc", "line", "kept", "score")})
+    return df.withColumns({n: F.lit("x") for n in ("id", "n", "k", "key", "size", "h0", "cid", "hub", "component", "recipe", "y", "x", "block", "doc", "line", "kept", "score", "_lines", "_n", "_t", "lines", "gone", "left", "_gone", "_doc")})
 
 
 def corpus(seed=0, n=120):
@@ -209,7 +209,7 @@ def line_tokens(line, words=5):
     return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
 
 
-def lines_by_force(texts, words=5, threshold=0.8, least=5):
+def lines_by_force(texts, words=5, threshold=0.8, least=1):
     seen, out = [], {}
     for i, t in enumerate(texts):
         gone = []

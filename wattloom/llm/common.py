@@ -62,6 +62,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has as columns, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound Arrow batches, so that a batch of long texts fits beside the heap of an executor."""
     spark.conf.set(BATCH, str(rows))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import lru_cache
 
 import numpy as np
@@ -13,17 +13,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import discard, fresh_key, grouped_frames, intersections, mixed, small_batches, stash
+from wattloom.llm.common import discard, fresh_key, grouped_frames, intersections, mixed, small_batches, stash, unused
 
 _ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _BYTE = mixed(np.arange(1000, 1256, dtype=np.uint64))
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 _BASE = 0xD6E8FEB86659FD93
-#: Counts of frequent tokens reach every task; there are at most so many (16 bytes each).
-MOST_FREQUENT = 100_000
-_PIECE = 4_000_000
+#: Bits of the number of counters that rank the tokens, at every table size: 2^23 ranks of two bytes reach every task.
+COUNTERS = 23
+#: Bits of the number of counters in a chunk.
+CHUNK = 16
+#: Tokens that a task may get: more partitions are made where there are more.
+PART_TOKENS = 20_000_000
+_HELD = 1_000_000
 _BYTES = 2_000_000
+_GONE, _CLASS, _TOKEN = 0, 1, 2
 #: Lines of one side of a block.
 BLOCK = 64
 #: Lines that may share a token and be compared one by one.
@@ -115,78 +120,160 @@ def _pieces(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
         yield np.array([x[0] for x in held]), [x[1] for x in held]
 
 
-def _counts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Tokens that different lines of a task share, with the number of such lines, a few million tokens at a time."""
-    held: list[np.ndarray] = []
-    seen = np.empty(0, np.uint64)
-    total = 0
+def _sparse(sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The counters that aren't 0, by chunk: their places in it and, in the least type that holds them, the counts."""
+    for c in range(len(sums) >> CHUNK):
+        own = sums[c << CHUNK : (c + 1) << CHUNK]
+        at = np.flatnonzero(own)
+        if len(at):
+            kind = np.min_scalar_type(own.max())
+            yield pa.record_batch({"chunk": pa.array([c], pa.int32()), "width": pa.array([kind.itemsize], pa.int32()), "body": pa.array([at.astype(np.uint16).tobytes() + own[at].astype(kind).tobytes()], pa.binary())})
 
-    def counted() -> pa.RecordBatch:
-        t, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        return pa.record_batch({"token": t[n > 1].view(np.int64), "n": n[n > 1], "of": np.zeros((n > 1).sum(), np.int64)})
 
+def _counts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Counters of the tokens of a task's lines; lines that repeat within a piece count once."""
+    sums = np.zeros(1 << COUNTERS, np.uint64)
     for b in batches:
         for _, texts in _pieces(b):
             s = scanned(texts)
             new = np.zeros(len(s.text), bool)
             new[np.unique(s.line_hash, return_index=True)[1]] = True
-            new &= ~np.isin(s.line_hash, seen)
-            seen = np.concatenate([seen, s.line_hash[new]])
-            held.append(tokens(s, words, new)[0])
-            total += len(held[-1])
-            if sum(map(len, held)) > _PIECE:
-                yield counted()
-                held.clear()
-                seen = seen[:0]
-    yield counted()
-    yield pa.record_batch({"token": np.zeros(1, np.int64), "n": np.zeros(1, np.int64), "of": np.full(1, total)})
+            np.add.at(sums, _counter(tokens(s, words, new)[0]), np.uint64(1))
+    yield from _sparse(sums)
 
 
-def _ordered(t: np.ndarray, rare: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Order by line, then frequency (from 1023 on all alike), then token: by one packed key unless that has ties."""
-    rare = np.minimum(rare, 1023)
+def _counter(t: np.ndarray) -> np.ndarray:
+    return (t >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+    """Sums of the counters of each chunk that a task gets; a chunk has a fixed size, however many rows it has."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for c, width, body in zip(*(b.column(x).to_pylist() for x in ("chunk", "width", "body")), strict=True):
+            n = len(body) // (2 + width)
+            own = sums.setdefault(c, np.zeros(1 << CHUNK, np.uint64))
+            own[np.frombuffer(body, np.uint16, n)] += np.frombuffer(body, f"u{width}", n, 2 * n)
+    return sums
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for c, own in _added(batches).items():
+        for b in _sparse(own):
+            yield b.set_column(0, "chunk", pa.array([c], pa.int32()))
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rank of each counter of a chunk (1024 for each doubling of the count) and the sum of the counts."""
+    for c, own in _added(batches).items():
+        rank = np.floor(1024 * np.log2(np.maximum(own, 1).astype(np.float64))).astype(np.uint16)
+        yield pa.record_batch({"chunk": pa.array([c], pa.int32()), "of": pa.array([int(own.sum())], pa.int64()), "body": pa.array([rank.tobytes()], pa.binary())})
+
+
+def token_ranks(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
+    """(rank of each counter, tokens counted): how frequent tokens are, over all of docs. A token's counter is chosen by
+    its hash; the array has a fixed size, so tokens of one counter have the rank of their sum."""
+    kind = "chunk int, width int, body binary"
+    counted = docs.select("text").mapInArrow(lambda b: _counts(b, words), kind)
+    # first sums within 64 groups of tasks, so that no task gets a chunk's counters of all others
+    parts = counted.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(64))).repartition("chunk", "group").drop("group").mapInArrow(_summed, kind)
+    ranks, total = np.zeros(1 << COUNTERS, np.uint16), 0
+    for r in parts.repartition("chunk").mapInArrow(_ranked, "chunk int, of long, body binary").collect():
+        ranks[r.chunk << CHUNK : (r.chunk + 1) << CHUNK] = np.frombuffer(r.body, np.uint16)
+        total += r.of
+    return ranks, total
+
+
+def _ordered(t: np.ndarray, rank: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Order by line, then rank, then token: by one packed key unless that has ties."""
     if len(line) and line[-1] < 1 << 21:
-        key = line.astype(np.uint64) << np.uint64(43) | rare.astype(np.uint64) << np.uint64(33) | t >> np.uint64(31)
+        key = line.astype(np.uint64) << np.uint64(43) | rank.astype(np.uint64) << np.uint64(27) | t >> np.uint64(37)
         order = np.argsort(key)
         k, x = key[order], t[order]
         if not ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
             return order
-    return np.lexsort((t, rare, line))
+    return np.lexsort((t, rank, line))
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token a neighbour has; and the first and the last of a task, whose
-    neighbours are in other tasks."""
-    held, was = None, True
+@dataclass
+class Classes:
+    """Lines with equal token sets: digest of the set, first line, size of the set, and its rarest tokens (a prefix)."""
+
+    h0: np.ndarray
+    h1: np.ndarray
+    doc: np.ndarray
+    line: np.ndarray
+    n: np.ndarray
+    p: np.ndarray
+    token: np.ndarray
+
+    @classmethod
+    def joined(cls, parts: list[Classes]) -> Classes:
+        return cls(*(np.concatenate([getattr(x, f.name) for x in parts]) for f in fields(cls)))
+
+    def taken(self, at: np.ndarray) -> Classes:
+        start, p = (np.cumsum(self.p) - self.p)[at], self.p[at]
+        token = self.token[np.repeat(start - (np.cumsum(p) - p), p) + np.arange(p.sum())]
+        return Classes(self.h0[at], self.h1[at], self.doc[at], self.line[at], self.n[at], p, token)
+
+    def split(self) -> tuple[Classes, np.ndarray, np.ndarray]:
+        """(the first line of each class, doc and line of the others)."""
+        order = np.lexsort((self.line, self.doc, self.h1, self.h0))
+        h0, h1, doc, line = self.h0[order], self.h1[order], self.doc[order], self.line[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (h0[1:] != h0[:-1]) | (h1[1:] != h1[:-1])
+        at = np.flatnonzero(first)[np.cumsum(first) - 1]
+        gone = (doc != doc[at]) | (line != line[at])
+        return self.taken(order[first]), doc[gone], line[gone]
+
+
+def _row(kind: int, part: int, longs: list[np.ndarray], ints: list[np.ndarray], more: np.ndarray | None = None) -> tuple:
+    join = lambda x, t: b"".join(np.ascontiguousarray(c, t).tobytes() for c in x)
+    return part, kind, join(longs, np.int64), join(ints, np.int32), b"" if more is None else more.tobytes()
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["part", "kind", "longs", "ints", "more"])
+
+
+def _bucket(h: np.ndarray, parts: int) -> np.ndarray:
+    """A number below parts from the top bits of a hash."""
+    return ((h.astype(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for i in np.flatnonzero(np.diff(cuts)):
+        yield int(i), order[cuts[i] : cuts[i + 1]]
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     for b in batches:
-        if not b.num_rows:
-            continue
-        if held is not None:
-            b = pa.concat_batches([held, b])
-        t = b.column("token").to_numpy()
-        same = t[1:] == t[:-1]
-        keep = np.append(was, same)
-        keep[:-1] |= same
-        held, was = b.slice(b.num_rows - 1), bool(keep[-1])
-        yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
-    if held is not None:
-        yield held
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, threshold: float, known: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each line with at least least words: its token set's size and digest, and its rarest tokens as a prefix.
-
-    Of equal sets in a piece of a batch, the first has the prefix and the others null."""
+        for part, kind, longs, ints, more in zip(*(b.column(x).to_pylist() for x in ("part", "kind", "longs", "ints", "more")), strict=True):
+            yield part, kind, np.frombuffer(longs, np.int64), np.frombuffer(ints, np.int32), np.frombuffer(more, np.uint64)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, threshold: float, ranks: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """The lines with at least least words as classes, dealt by their digests; of lines of one class in a few pieces,
+    all but the first are gone already."""
+    held: list[Classes] = []
+
+    def dealt() -> pa.RecordBatch:
+        own, doc, line = Classes.joined(held).split()
+        rows = [_row(_GONE, int(i), [doc[x]], [line[x]]) for i, x in _by_part(_bucket(mixed(doc.astype(np.uint64)), parts), parts)]
+        for i, at in _by_part(_bucket(own.h0, parts), parts):
+            c = own.taken(at)
+            rows.append(_row(_CLASS, i, [c.h0, c.h1, c.doc], [c.line, c.n, c.p], c.token))
+        return _batch(rows)
+
     for b in batches:
         ids = b.column("id").to_numpy(zero_copy_only=False)
         for rows, texts in _pieces(b):
             s = scanned(texts)
             t, line = tokens(s, words, s.n_words >= max(1, least))
-            rare = np.zeros(len(t), np.int64)
-            if len(known) and len(t):
-                at = np.minimum(np.searchsorted(known, t), len(known) - 1)
-                rare = np.where(known[at] == t, counts[at], 0)
-            order = _ordered(t, rare, line)
+            order = _ordered(t, ranks[_counter(t)], line)
             t, line = t[order], line[order]
             first = np.ones(len(t), bool)
             first[1:] = (t[1:] != t[:-1]) | (line[1:] != line[:-1])
@@ -197,17 +284,85 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, thresho
             size = n[some]
             p = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[i : i + k]) for i, k in zip(start, size, strict=True)), np.int64).reshape(-1, 2)
-            again = np.ones(len(some), bool)
-            again[np.unique(digests, axis=0, return_index=True)[1] if len(digests) else []] = False
-            p[again] = 0
-            offsets = np.concatenate([[0], np.cumsum(p)])
-            take = np.repeat(start - offsets[:-1], p) + np.arange(offsets[-1])
-            yield pa.record_batch(
-                {
-                    "doc": pa.array(ids[rows[s.text[some]]].astype(np.int64)), "line": pa.array(s.no[some].astype(np.int32)), "n": pa.array(size), "h0": pa.array(digests[:, 0]), "h1": pa.array(digests[:, 1]),
-                    "prefix": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(t[take].view(np.int64)), mask=pa.array(again)),
-                }
-            )
+            take = np.repeat(start - (np.cumsum(p) - p), p) + np.arange(p.sum())
+            held.append(Classes(digests[:, 0], digests[:, 1], ids[rows[s.text[some]]].astype(np.int64), s.no[some], size, p, t[take]))
+            if sum(len(c.token) for c in held) > _HELD:
+                yield dealt()
+                held.clear()
+    if held:
+        yield dealt()
+
+
+def _classes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Classes dealt by digest: their first lines' prefixes, dealt by token; the other lines are gone. Held are only the
+    first lines and a bounded number of new ones."""
+    held: list[Classes] = []
+
+    def firsts() -> pa.RecordBatch:
+        own, doc, line = Classes.joined(held).split()
+        held[:] = [own]
+        return _batch([_row(_GONE, int(i), [doc[x]], [line[x]]) for i, x in _by_part(_bucket(mixed(doc.astype(np.uint64)), parts), parts)])
+
+    new = 0
+    for part, kind, a, b, token in _unpacked(batches):
+        if kind == _GONE:
+            yield _batch([_row(_GONE, part, [a], [b])])
+            continue
+        h, m = a.reshape(3, -1), b.reshape(3, -1)
+        held.append(Classes(*h, *m, token))
+        new += h.shape[1]
+        if new > _HELD:
+            yield firsts()
+            new = 0
+    if not held:
+        return
+    yield firsts()
+    (own,) = held
+    ends = np.cumsum(own.p.astype(np.int64))
+    for lo in range(0, int(ends[-1]), _HELD):
+        at = np.arange(*np.searchsorted(ends, [lo, lo + _HELD], side="right"))
+        if len(at):
+            c = own.taken(at)
+            of = np.repeat(np.arange(len(at)), c.p)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(c.p) - c.p, c.p)
+            yield _batch([_row(_TOKEN, i, [c.token[x].view(np.int64), c.doc[of[x]]], [c.line[of[x]], c.n[of[x]], place[x]]) for i, x in _by_part(_bucket(c.token, parts), parts)])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of prefix tokens dealt by token, those that several classes have; and the lines that are gone. Held are one row
+    of each token and a bounded number of new ones, however many rows a token has."""
+    held: list[np.ndarray] = []  # rows token, doc, line, n, at, whether it is out already
+    new = 0
+
+    def rows(x: np.ndarray, kind: int) -> pa.RecordBatch:
+        return pa.record_batch({"kind": np.full(x.shape[1], kind, np.int32), "token": x[0], "doc": x[1], **{k: x[i].astype(np.int32) for i, k in ((2, "line"), (3, "n"), (4, "at"))}})
+
+    def met() -> pa.RecordBatch:
+        x = np.concatenate(held, axis=1)
+        x = x[:, np.argsort(x[0], kind="stable")]
+        first = np.ones(x.shape[1], bool)
+        first[1:] = x[0, 1:] != x[0, :-1]
+        many = ~first
+        many[:-1] |= ~first[1:]
+        out = x[:, many & (x[5] == 0)]
+        kept = x[:, first]
+        kept[5] |= many[first]
+        held[:] = [kept]
+        return rows(out, _TOKEN)
+
+    for _, kind, a, b, _ in _unpacked(batches):
+        if kind == _GONE:
+            z = np.zeros(len(a), np.int64)
+            yield rows(np.stack([z, a, b.astype(np.int64), z, z]), _GONE)
+            continue
+        h, m = a.reshape(2, -1), b.reshape(3, -1).astype(np.int64)
+        held.append(np.concatenate([h, m, np.zeros((1, h.shape[1]), np.int64)]))
+        new += h.shape[1]
+        if new > _HELD:
+            yield met()
+            new = 0
+    if held:
+        yield met()
 
 
 def _similar(pairs: pd.DataFrame, words: int, threshold: float) -> np.ndarray:
@@ -300,7 +455,7 @@ def _matched_in_crowds(crowd: DataFrame, texts: DataFrame, words: int, threshold
     return tasks.mapInPandas(matched, "doc long, line int").distinct()
 
 
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, least: int = 5) -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, least: int = 1) -> DataFrame:
     """doc, line (from 0) of every line that matches an earlier line, in the order of (id, line).
 
     Lines match when the Jaccard similarity of their token sets is at least threshold. Equal sets are one class, with
@@ -313,22 +468,14 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(spark)
     docs = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    seen = docs.select("text").mapInArrow(lambda b: _counts(b, words), "token long, n long, of long")
-    seen = stash(seen.groupBy("token").agg(F.sum("n").alias("n"), F.sum("of").alias("of")), "counts")
-    limit = max(2, (seen.agg(F.sum("of")).first()[0] or 0) // MOST_FREQUENT)
-    common = seen.where(F.col("n") >= limit).select("token", "n").orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
-    common = common.assign(token=common["token"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
-    frequent = spark.sparkContext.broadcast((common["token"].to_numpy(np.uint64), common["n"].to_numpy(np.int64)))
-
-    kind = "doc long, line int, n long, h0 long, h1 long, prefix array<long>"
-    lines = stash(docs.mapInArrow(lambda b: _prefixes(b, words, least, threshold, *frequent.value), kind), "lines")
-    first = F.min(F.struct("doc", "line")).alias("first")
-    classes = stash(lines.groupBy("h0", "h1").agg(first, F.first("n").cast("int").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix")), "classes")
-
-    rows = classes.select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", F.posexplode("prefix").alias("at", "token"))
-    # a hot token spans several of these ranges
-    dealt = rows.select("token", "doc", "line", "n", "at").repartitionByRange("token", "doc", "line").sortWithinPartitions("token")
-    members = stash(dealt.mapInArrow(_shared, "token long, doc long, line int, n int, at int"), "members")
+    ranks, total = token_ranks(docs, words)
+    known = spark.sparkContext.broadcast(ranks)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
+    kind = "part int, kind int, longs binary, ints binary, more binary"
+    dealt = docs.mapInArrow(lambda b: _prefixes(b, words, least, threshold, known.value, parts), kind).repartitionById(parts, "part")
+    dealt = dealt.mapInArrow(lambda b: _classes(b, parts), kind).repartitionById(parts, "part")
+    found = stash(dealt.mapInArrow(_shared, "kind int, token long, doc long, line int, n int, at int"), "members")
+    members, again = found.where(F.col("kind") == _TOKEN).drop("kind"), found.where(F.col("kind") == _GONE).select("doc", "line")
 
     wanted = members.select("doc", "line").distinct().groupBy("doc").agg(F.collect_list("line").alias("want"))
     texts = docs.join(wanted, docs["id"] == wanted["doc"]).select("id", "text", "want").mapInPandas(_picked, "doc long, line int, t string")
@@ -348,20 +495,15 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     later = (F.col("doc_b") < F.col("doc_a")) | (F.col("doc_b") == F.col("doc_a")) & (F.col("line_b") < F.col("line_a"))
     few = some.join(b, ["k", "token"]).where(later & _allowed("a", "b", threshold)).select("doc_a", "line_a", "doc_b", "line_b").distinct()
     more = stash(_verified(few, texts, words, threshold), "matched")
-    discard(members, seen)
 
     large = crowd.where("large").drop("ok", "large").withColumn("j", fresh_key("doc_a", "line_a")).join(done, ["j", "doc_a", "line_a"], "left").drop("j")
     matched = matched.union(more).union(stash(_matched_in_crowds(large, texts, words, threshold), "matched"))
     discard(texts, crowd)
 
-    gone = matched.select(F.col("doc").alias("gone_doc"), F.col("line").alias("gone_line"))
-    judged = classes.join(gone, (F.col("first.doc") == F.col("gone_doc")) & (F.col("first.line") == F.col("gone_line")), "left")
-    judged = judged.select("h0", "h1", "first", F.col("gone_doc").isNotNull().alias("all"), fresh_key("h0", "h1").alias("k"))
-    each = lines.select("doc", "line", "h0", "h1", fresh_key("h0", "h1").alias("k")).join(judged, ["k", "h0", "h1"])
-    return each.where(F.col("all") | (F.struct("doc", "line") != F.col("first"))).select("doc", "line").distinct()
+    return again.union(matched).distinct()
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, least: int = 5) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, least: int = 1) -> DataFrame:
     """df with text without the lines that match an earlier line, and columns n_lines, n_removed, kept.
 
     Lines end at a line feed. A line's tokens are its runs of words words in lower case; a line of fewer words is one
@@ -373,18 +515,19 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Of rows that repeat an id, lines at the same place share their fate. Other columns pass through, whatever their
     names (n_lines, n_removed and kept are replaced). An empty table gives an empty result. Ids are integers.
     """
+    doc, gone_, left_, lines_ = unused(df, "doc", "gone", "left", "lines")
     gone = repeated_lines(df, id_col, text_col, words, threshold, least)
-    gone = gone.groupBy("doc").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc", "_doc")
+    gone = gone.groupBy(F.col("doc").alias(doc)).agg(F.collect_list("line").alias(gone_))
     lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    out = df.join(gone, df[id_col] == F.col("_doc"), "left").withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
-    n_removed = F.when(F.col("_left").isNull(), 0).otherwise(n_lines - F.size("_left"))
-    text = F.when(F.col("_left").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_left", lambda i: F.element_at(F.col("_lines"), i + 1)), "\n"))
-    out = out.withColumn("_lines", lines).withColumns({"_n": n_lines, "_r": n_removed, "_t": text})
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_))
+    out = df.join(gone, df[id_col] == F.col(doc), "left").withColumn(left_, F.when(F.col(gone_).isNotNull(), left)).withColumn(lines_, lines)
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines_))
+    n_removed = F.when(F.col(left_).isNull(), 0).otherwise(n_lines - F.size(left_))
+    text = F.when(F.col(left_).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left_, lambda i: F.element_at(F.col(lines_), i + 1)), "\n"))
     names = [c for c in df.columns if c not in ("n_lines", "n_removed", "kept")]
-    return out.select(*(F.col("_t").alias(c) if c == text_col else df[c] for c in names), F.col("_n").alias("n_lines"), F.col("_r").alias("n_removed"), ((F.col("_n") > F.col("_r")) | (F.col("_r") == 0)).alias("kept"))
+    kept = ((n_lines > n_removed) | (n_removed == 0)).alias("kept")
+    return out.select(*(text.alias(c) if c == text_col else df[c] for c in names), n_lines.alias("n_lines"), n_removed.alias("n_removed"), kept)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=1).select("doc_id", "text", "n_lines", "n_removed", "kept")
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "n_lines", "n_removed", "kept")
