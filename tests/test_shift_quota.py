@@ -1,64 +1,109 @@
-"""The weekly quota of shift_load against a greedy that goes through days and customers one by one."""
+"""shift_load against a greedy that goes through days, customers, moves, slots and destinations one by one."""
 
+import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from test_operators import moves_of, week
 from wattloom.operators import shift as S
 
 
 def greedy(rows, policy):
-    load, base, own = defaultdict(float), defaultdict(float), defaultdict(list)
+    load, base, own = defaultdict(float), defaultdict(float), defaultdict(dict)
     for r in rows:
         load[r.city, r.day] += r.value
         base[r.city, r.day, r.slot] += r.value
-        own[r.day, r.city, r.ca_id].append(r)
-    region = {k: v * policy.regional_fraction for k, v in load.items()}
-    dest = {k: float("inf") if policy.headroom is None else v * policy.headroom for k, v in base.items()}
-    used, out = defaultdict(int), []
-    for (day, city, who), slots in sorted(own.items(), key=lambda x: (x[0][0], x[0][1], -sum(r.value for r in x[1]), x[0][2])):
-        best = {}
-        for a in slots:
-            for b in slots:
-                if a.value > 0 and abs(a.slot - b.slot) <= policy.window and b.mef < a.mef:
-                    best[a.slot] = min(best.get(a.slot, (1,)), (-(a.mef - b.mef) * a.value, a.slot, b.slot, a.value))
-        todo, done = sorted(best.values())[: policy.moves_per_day], []
-        # moves that the quota admits, but for those of which nothing is left, use the limits in the order of their slots
-        none = set()
-        while True:
-            chosen = [m for m in todo if m not in none][: policy.moves_per_week - used[who]]
-            room, left, done, zero = region[city, day], {}, [], set()
-            for _, t, s, q in sorted(chosen, key=lambda m: m[1]):
-                d = left.get(s, dest[city, day, s])
-                q_s = min(q, max(0.0, d))
-                left[s] = d - q_s
-                x = min(q_s, max(0.0, room))
-                room -= x
-                if x > 1e-12:
-                    done.append((t, s, x))
-                else:
-                    zero |= {m for m in chosen if m[1] == t}
-            if not zero:
+        own[r.day, r.city, r.ca_id][r.slot] = r
+    region = {k: float("inf") if policy.regional_fraction is None else (policy.regional_load or {}).get(k[0], v) * policy.regional_fraction for k, v in load.items()}
+    cap = {k: float("inf") if policy.headroom is None else v * (1 + policy.headroom) for k, v in base.items()}
+    after, used, out = defaultdict(float), defaultdict(int), []
+    order = sorted(own, key=lambda k: (k[0], k[1], -sum(r.value for r in own[k].values()), k[2]))
+    for day, city, who in order:
+        slots = own[day, city, who]
+        usage = {t: r.value for t, r in slots.items()}
+        valid = {t for t, r in slots.items() if r.mef is not None and r.aef is not None and r.mef > 0 and r.aef > 0}
+        peak = {}
+        if policy.peak_fraction is not None:
+            for h in policy.peak_hours.get(day.isoweekday(), ()):
+                both = {2 * h: 2 * h, 2 * h + 1: 2 * h + 1} if policy.peak_per == "slot" else {2 * h: 2 * h, 2 * h + 1: 2 * h}
+                for t, g in both.items():
+                    peak[t] = g
+        left = defaultdict(float)
+        for t, g in peak.items():
+            left[g] += policy.peak_fraction * slots[t].value
+        room = {s: max(0.0, cap[city, day, s] - after[city, day, s] - slots[s].value) for s in slots}
+        done = set()
+        for _ in range(min(policy.moves_per_day, policy.moves_per_week - used[who])):
+            best = None
+            for t in sorted(valid - done):
+                can = max(0.0, usage[t] - (getattr(slots[t], "floor_kwh", 0.0) if "floor_kwh" in slots[t] else 0.0))
+                if t in peak:
+                    can = min(can, left[peak[t]])
+                for s in range(max(0, t - policy.window), min(47, t + policy.window) + 1):
+                    if s in valid and slots[s].mef < slots[t].mef - 1e-12:
+                        q = min(can, room[s], region[city, day])
+                        gain = (slots[t].mef - slots[s].mef) * q
+                        if q > 1e-12 and (best is None or gain > best[0]):
+                            best = gain, t, s, q
+            if best is None:
                 break
-            none |= zero
-        region[city, day] = room
-        for s, d in left.items():
-            dest[city, day, s] = d
+            _, t, s, q = best
+            usage[t] -= q
+            usage[s] += q
+            room[s] -= q
+            region[city, day] = max(0.0, region[city, day] - q)
+            if t in peak:
+                left[peak[t]] -= q
+            done.add(t)
+            out.append((who, day, t, s, round(q, 9)))
         used[who] += len(done)
-        out += [(who, day, t, s, round(x, 9)) for t, s, x in done]
+        for t, v in usage.items():
+            after[city, day, t] += v
     return sorted(out)
 
 
-@pytest.mark.parametrize(
-    "policy",
-    [
-        S.Policy(moves_per_day=1, moves_per_week=3, window=4, regional_fraction=0.02),
-        S.Policy(moves_per_day=2, moves_per_week=3, window=4, regional_fraction=0.03),
-        S.Policy(moves_per_day=2, moves_per_week=3, window=4, regional_fraction=0.9, headroom=0.3),
-    ],
-    ids=["one a day", "two a day", "limits of slots"],
-)
-def test_moves_trimmed_to_nothing_use_no_quota(spark, policy):
-    df = week(spark, people=12)
-    assert moves_of(df, policy) == greedy(df.collect(), policy)
+PEAKS = {d: (8, 18, 19) for d in range(1, 6)}
+POLICIES = {
+    "one a day": S.Policy(moves_per_day=1, moves_per_week=3, window=4, regional_fraction=0.02),
+    "two a day": S.Policy(moves_per_day=2, moves_per_week=3, window=4, regional_fraction=0.03),
+    "no limit of the region": S.Policy(moves_per_day=3, moves_per_week=9, window=6, regional_fraction=None),
+    "load given": S.Policy(moves_per_day=2, moves_per_week=5, window=3, regional_fraction=0.1, regional_load={"c0": 20.0}),
+    "destinations": S.Policy(moves_per_day=2, moves_per_week=9, window=4, regional_fraction=0.9, headroom=0.02),
+    "destinations and region": S.Policy(moves_per_day=2, moves_per_week=4, window=4, regional_fraction=0.04, headroom=0.1),
+    "peak slots": S.Policy(moves_per_day=2, moves_per_week=9, window=6, regional_fraction=0.05, peak_hours=PEAKS, peak_fraction=0.3),
+    "peak hours": S.Policy(moves_per_day=3, moves_per_week=9, window=6, regional_fraction=None, peak_hours=PEAKS, peak_fraction=0.4, peak_per="hour"),
+}
+
+
+def varied(spark):
+    """Two cities with unequal households, slots without factors, floors and equal households."""
+    rows, rng = [], random.Random(7)
+    for r in week(spark, people=11).collect():
+        scale = [1, 1, 1, 4, 0.3, 1, 9, 1, 1, 0, 2][r.ca_id]
+        mef = None if rng.random() < 0.03 else r.mef
+        rows.append((r.ca_id, r.city, r.day, r.slot, round(r.value * scale, 3), mef, -1.0 if rng.random() < 0.02 else r.aef, 0.1 if r.slot % 4 else None))
+    out = spark.createDataFrame(rows, "ca_id int, city string, day date, slot int, value double, mef double, aef double, floor_kwh double")
+    return out.withColumn("floor_kwh", F.coalesce("floor_kwh", F.lit(0.0)))
+
+
+@pytest.mark.parametrize("name", POLICIES)
+def test_moves_are_those_of_the_greedy(spark, name):
+    df = varied(spark).cache()
+    want = greedy(df.collect(), POLICIES[name])
+    assert want and moves_of(df, POLICIES[name]) == want
+
+
+@pytest.mark.parametrize("name", ["two a day", "destinations and region", "peak slots"])
+def test_rounds_of_blocks_agree(spark, name):
+    df = varied(spark).where("day < '2024-01-04'").cache()
+    want = greedy(df.collect(), POLICIES[name])
+    assert moves_of(df, POLICIES[name], task_rows=2) == want
+
+
+def test_empty_and_useless_input(spark):
+    df = week(spark, people=2, days=1)
+    assert S.shift_load(df.where("false"), S.PRESETS[1]).count() == 0
+    assert S.shift_load(df.withColumn("value", F.lit(0.0)), S.PRESETS[1]).count() == 0
+    assert S.shift_load(df.withColumn("mef", F.lit(None).cast("double")), S.PRESETS[1]).count() == 0

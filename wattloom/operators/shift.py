@@ -5,18 +5,22 @@ Input: ca_id, city, day (date), slot (0-47), value (kWh), mef and aef (grams for
 
 from __future__ import annotations
 
+import tempfile
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from wattloom.functions.columns import shift_direction
+from wattloom.operators.greedy import CHUNK, LEAST, SLOTS, Days, Moves, chosen, settled
 
-SLOTS = 48
 KEYS = ["ca_id", "city", "day"]
 
 
@@ -25,9 +29,11 @@ class Policy:
     """Limits of a shifting policy.
 
     moves_per_day, moves_per_week: of a household. window: slots that a move may span. peak_hours: {weekday 1-7: hours};
-    peak_fraction: share of a peak slot's energy, over the city, that may leave it (None: no limit, any slot is a source).
-    regional_fraction: share of regional_load[city] (kWh a day; default: the city's own load) that may move (None: all).
-    headroom: how far above its baseline, over the city, a destination slot may rise (None: no limit).
+    peak_fraction: share of the household's own usage of a peak slot (peak_per 'slot') or hour ('hour') that may leave it
+    (None: no limit); other slots have no such limit. regional_fraction: share of regional_load[city] (kWh a day;
+    default: the city's own load) that may move (None: all). headroom: how far above its baseline the usage of the city
+    may rise in a destination slot by a move, counting what those before use after their moves and the own usage, but
+    not those that come after (None: no limit).
     """
 
     name: str = "policy"
@@ -36,10 +42,18 @@ class Policy:
     window: int = 6
     peak_hours: dict[int, tuple[int, ...]] | None = None
     peak_fraction: float | None = None
+    peak_per: str = "slot"
     regional_fraction: float | None = 0.8
     regional_load: dict[str, float] | None = None
     headroom: float | None = None
 
+    def peaks(self, weekday: int) -> list[list[int]]:
+        """Groups of peak slots of a weekday (1-7) that share one limit."""
+        if self.peak_fraction is None or not self.peak_hours:
+            return []
+        hours = sorted(set(self.peak_hours.get(weekday, ())))
+        return [[2 * h, 2 * h + 1] for h in hours] if self.peak_per == "hour" else [[t] for h in hours for t in (2 * h, 2 * h + 1)]
+
 
 #: The limits of the two published policies.
 PRESETS = {
@@ -101,140 +115,165 @@ def _order(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEYS).agg(F.sum("value").alias("kwh"))
 
 
-def _room(moves: DataFrame, by: list[str], room: str, today: Column) -> DataFrame:
-    """Trims q of today's moves to what the customers before left of room, within by."""
-    w = Window.partitionBy(*by).orderBy(F.desc("kwh"), "ca_id", "t").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.greatest(F.lit(0.0), F.col(room) - F.coalesce(F.sum("q").over(w), F.lit(0.0)))
-    return moves.withColumn("q", F.when(today & F.col(room).isNotNull(), F.least("q", left)).otherwise(F.col("q")))
+def _kept(df: DataFrame) -> DataFrame:
+    """df as written to the checkpoint folder, so that a lost executor costs no more than a read."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
 
 
-def _within_limits(best: DataFrame, policy: Policy, limits: list[tuple[list[str], str]]) -> DataFrame:
-    """q of each move of best (its places in a day are _round, its rooms the columns of limits): the days of the week one
-    after the other, so that only moves of which something is left after the limits use the weekly quota.
+#: Customer-days of a city and week that one task takes; larger ones go in rounds of blocks of so many.
+TASK_ROWS = 50_000
+_ARRAYS = ("value", "mef", "aef", "floor")
+_OUT = "t int, s int, q double, mef_t double, mef_s double, aef_t double, aef_s double"
 
-    A move of which nothing is left also frees its place for the customer's next round of that day. With one limit for
-    the whole city-day nothing would be left for that either; with limits of slots, a day is gone through on kept
-    tables until no further move ends so.
-    """
-    again = policy.moves_per_day > 1 and any(by != ["city", "day"] for by, _ in limits)
-    rows = best.withColumns({"q": F.lit(0.0), "_d": F.weekday("day"), "_none": F.lit(False)})
-    kept = lambda x: x.checkpoint() if x.sparkSession.sparkContext.getCheckpointDir() else x.persist()
-    rows = kept(rows) if again else rows
-    week = Window.partitionBy("ca_id", "city", F.trunc("day", "week")).orderBy("_d", "_round").rowsBetween(Window.unboundedPreceding, 0)
-    for d in range(7):
-        today, none = F.col("_d") == d, 0
-        while True:
-            counts = (F.col("_d") < d) & (F.col("q") > 0) | today & ~F.col("_none")
-            rows = rows.withColumn("_w", F.sum(F.when(counts, 1).otherwise(0)).over(week)).withColumn("_in", today & ~F.col("_none") & (F.col("_w") <= policy.moves_per_week))
-            rows = rows.withColumn("q", F.when(today, F.when(F.col("_in"), F.col("avail")).otherwise(0.0)).otherwise(F.col("q")))
-            for by, room in limits:
-                rows = _room(rows, by, room, today)
-            rows = rows.withColumn("_none", F.col("_none") | F.col("_in") & (F.col("q") <= 0)).drop("_w", "_in")
-            if not again:
-                break
-            rows = kept(rows)
-            was, none = none, rows.where(today & F.col("_none")).count()
-            if none == was:
-                break
-    return rows
-
-
-def _rooms(df: DataFrame, policy: Policy) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
-    """(peak rooms by city, day, t; destination rooms by city, day, s; regional rooms by city, day)."""
-    peak = dest = region = None
-    if policy.peak_fraction is not None and policy.peak_hours:
-        peak = peak_targets(df, policy.peak_hours, policy.peak_fraction).select("city", "day", F.col("slot").alias("t"), F.col("room").alias("room_t"))
-    if policy.headroom is not None:
-        dest = city_slot_baseline(df).select("city", "day", F.col("slot").alias("s"), (F.col("baseline") * policy.headroom).alias("room_s"))
-    if policy.regional_fraction is not None:
-        load = df.groupBy("city", "day").agg(F.sum("value").alias("load"))
-        if policy.regional_load:
-            given = F.create_map(*(F.lit(x) for kv in policy.regional_load.items() for x in kv))
-            load = load.withColumn("load", F.coalesce(given[F.col("city")], F.col("load")))
-        region = load.select("city", "day", (F.col("load") * policy.regional_fraction).alias("room_r"))
-    return peak, dest, region
+
+def _customer_days(df: DataFrame) -> DataFrame:
+    """One row for each customer-day with its arrays of 48 slots, its week, weekday (1-7) and usage."""
+    floor = F.coalesce(F.col("floor_kwh"), F.lit(0.0)) if "floor_kwh" in df.columns else F.lit(0.0)
+    ok = valid_slots(df).select(*KEYS, "slot", F.coalesce("value", F.lit(0.0)).alias("value"), *(F.when(F.col("valid"), F.col(x)).alias(x) for x in ("mef", "aef")), floor.alias("floor_kwh"))
+    return slot_arrays(ok).withColumnRenamed("floor_kwh", "floor").withColumns({"week": F.trunc("day", "week"), "weekday": F.weekday("day") + 1, "kwh": F.aggregate("value", F.lit(0.0), lambda a, x: a + x)})
+
+
+def _dense(g: pd.DataFrame) -> tuple[Days, np.ndarray]:
+    """(days of the rows of g, average factors)."""
+    x = {c: np.array([list(v) for v in g[c]], np.float64).reshape(-1, SLOTS) for c in _ARRAYS}
+    return Days(x["value"], x["mef"], x["floor"]), x["aef"]
+
+
+def _rows(g: pd.DataFrame, days: Days, aef: np.ndarray, moves: Moves) -> pd.DataFrame:
+    i, k = np.nonzero(moves.q > 0)
+    t, s = moves.t[i, k], moves.s[i, k]
+    keys = {c: g[c].to_numpy()[i] for c in KEYS}
+    return pd.DataFrame(keys | {"t": t, "s": s, "q": moves.q[i, k], "mef_t": days.mef[i, t], "mef_s": days.mef[i, s], "aef_t": aef[i, t], "aef_s": aef[i, s]})
+
+
+def _region(policy: Policy, city: str, load: float) -> float:
+    return np.inf if policy.regional_fraction is None else policy.regional_fraction * (policy.regional_load or {}).get(city, load)
 
 
-def shift_load(df: DataFrame, policy: Policy, exact: bool = False) -> DataFrame:
+def _week_moves(g: pd.DataFrame, policy: Policy) -> pd.DataFrame:
+    """The moves of a whole city and week, day by day."""
+    used: Counter = Counter()
+    parts = []
+    for _, day in sorted(g.groupby("day"), key=lambda x: x[0]):
+        day = day.sort_values(["kwh", "ca_id"], ascending=[False, True]).reset_index(drop=True)
+        days, aef = _dense(day)
+        quota = np.minimum(policy.moves_per_day, policy.moves_per_week - day["ca_id"].map(used).fillna(0).to_numpy())
+        load = days.value.sum(axis=0)
+        dest = None if policy.headroom is None else (1 + policy.headroom) * load
+        moves, _, _ = settled(days, quota, policy.window, policy.moves_per_day, _region(policy, day["city"].iloc[0], day["kwh"].sum()), dest, policy.peaks(int(day["weekday"].iloc[0])), policy.peak_fraction)
+        parts.append(_rows(day, days, aef, moves))
+        used.update(parts[-1]["ca_id"])
+    return pd.concat(parts)
+
+
+def shift_load(df: DataFrame, policy: Policy, task_rows: int = TASK_ROWS) -> DataFrame:
     """The moves of a policy: ca_id, city, day, t, s, q (kWh), mef and aef of both slots.
 
-    In each of moves_per_day rounds every customer-day takes its move of the largest gain (then the earliest t, then s)
-    from a slot that it hasn't used. The weekly quota counts the days in order. Limits that customers share (peak slot,
-    destination slot, region) are used up in descending daily usage, then id; q is trimmed to what is left, and a move
-    trimmed to nothing is no move and uses no quota. A trimmed customer doesn't choose again in that round; exact=True goes through the
-    customers one by one, in a task for each city and week.
+    Greedy: the days of a week come one after the other, and in a day the households of a city by descending usage, then
+    id. Each takes up to moves_per_day moves, as long as its weekly quota lasts: always the one of the largest gain,
+    which is the difference of the marginal factors times what can move (see greedy.chosen); of equal gains the earliest
+    t, then s. Room in the region and at the destinations that one household takes is gone for those after it, and who
+    finds too little takes the move that is then best. Only moves count towards the quota. Slots without two positive
+    factors take no part.
+
+    A city and week of up to task_rows customer-days is settled in one task. Larger ones go day by day in blocks of so
+    many: all blocks choose at once with the room that is left, those before the first that lacks room in the region are
+    settled, that one is gone through in one task, and so on until none is open. With headroom each round settles the
+    next block of every city. The moves are written to the checkpoint folder, as reports read them several times.
     """
-    if exact:
-        return _shift_sequential(df, policy)
-    peak, dest, region = _rooms(df, policy)
-    moves = candidate_moves(df, policy.window)
-    if peak is not None:
-        moves = moves.join(peak.select("city", "day", "t"), ["city", "day", "t"], "left_semi")
-    day = Window.partitionBy(*KEYS)
-    # one row for each source: its best destination; then the best moves_per_day sources
-    best = moves.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS, "t").orderBy(F.desc("gain"), "s"))).where("_r = 1")
-    best = best.withColumn("_round", F.row_number().over(day.orderBy(F.desc("gain"), "t", "s"))).where(F.col("_round") <= policy.moves_per_day)
-    best, limits = best.join(_order(df), KEYS), []
-    for rooms, by, room in ((peak, ["city", "day", "t"], "room_t"), (dest, ["city", "day", "s"], "room_s"), (region, ["city", "day"], "room_r")):
-        if rooms is not None:
-            best = best.join(rooms, by, "left")
-            limits.append((by, room))
-    best = _within_limits(best, policy, limits)
-    return best.where("q > 0").select(*KEYS, "t", "s", "q", "mef_t", "mef_s", "aef_t", "aef_s")
-
-
-def _shift_sequential(df: DataFrame, policy: Policy) -> DataFrame:
-    """One task for each city and week: customers in order, each choosing its best move among what is left."""
-    floor = F.coalesce("floor_kwh", F.lit(0.0)) if "floor_kwh" in df.columns else F.lit(0.0)
-    data = valid_slots(df).select("ca_id", "city", "day", "slot", "value", F.when(F.col("valid"), F.col("mef")).alias("mef"), F.when(F.col("valid"), F.col("aef")).alias("aef"), floor.alias("floor"))
-    kind = df.select(*KEYS).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind) + ", t int, s int, q double, mef_t double, mef_s double, aef_t double, aef_s double"
-
-    def week(g: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        used: dict = {}
-        for d, day in sorted(g.groupby("day"), key=lambda x: x[0]):
-            rows += _day_moves(day, d, policy, used)
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return data.withColumn("_week", F.trunc("day", "week")).groupBy("city", "_week").applyInPandas(lambda g: week(g), schema)
-
-
-def _day_moves(day: pd.DataFrame, d, policy: Policy, used: dict) -> Iterator[tuple]:
-    city = day["city"].iloc[0]
-    load = day.groupby("slot")["value"].sum().reindex(range(SLOTS), fill_value=0.0).to_numpy()
-    region = np.inf if policy.regional_fraction is None else policy.regional_fraction * (policy.regional_load or {}).get(city, load.sum())
-    dest = np.full(SLOTS, np.inf) if policy.headroom is None else load * policy.headroom
-    peak = np.full(SLOTS, np.inf)
-    if policy.peak_fraction is not None and policy.peak_hours:
-        hours = policy.peak_hours.get(d.isoweekday(), ())
-        peak = np.where(np.isin(np.arange(SLOTS) // 2, list(hours)), load * policy.peak_fraction, 0.0)
-    order = day.groupby("ca_id")["value"].sum().reset_index().sort_values(["value", "ca_id"], ascending=[False, True])["ca_id"]
-    by = {k: v.set_index("slot") for k, v in day.groupby("ca_id")}
-    for who in order:
-        x = by[who].reindex(range(SLOTS))
-        mef, aef = x["mef"].to_numpy(float), x["aef"].to_numpy(float)
-        avail = np.nan_to_num(np.maximum(0.0, x["value"].to_numpy(float) - x["floor"].to_numpy(float)))
-        sources: set[int] = set()
-        while len(sources) < policy.moves_per_day and used.get(who, 0) < policy.moves_per_week:
-            best = None
-            for t in range(SLOTS):
-                if t in sources or avail[t] <= 0 or np.isnan(mef[t]):
-                    continue
-                for s in range(max(0, t - policy.window), min(SLOTS, t + policy.window + 1)):
-                    if not mef[s] < mef[t]:
-                        continue
-                    q = min(avail[t], peak[t], dest[s], region)
-                    gain = (mef[t] - mef[s]) * q
-                    if q > 1e-12 and (best is None or gain > best[0]):
-                        best = gain, t, s, q
-            if best is None:
-                break
-            _, t, s, q = best
-            sources.add(t)
-            used[who] = used.get(who, 0) + 1
-            peak[t], dest[s], region = peak[t] - q, dest[s] - q, region - q
-            yield who, city, d, t, s, q, mef[t], mef[s], aef[t], aef[s]
+    days = _kept(_customer_days(df))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in days.select(*KEYS).schema) + ", " + _OUT
+    sizes = days.groupBy("city", "week").count().withColumn("large", F.col("count") > task_rows).drop("count")
+    known = days.join(sizes, ["city", "week"])
+    moves = known.where("not large").drop("large").groupBy("city", "week").applyInPandas(lambda g: _week_moves(g, policy), kind)
+    if not sizes.where("large").isEmpty():
+        moves = moves.unionByName(_in_rounds(_kept(known.where("large").drop("large")), policy, task_rows, kind))
+    return _kept(moves)
+
+
+def _in_rounds(days: DataFrame, policy: Policy, task_rows: int, kind: str) -> DataFrame:
+    """The moves of cities and weeks of any size, by rounds over blocks of customer-days."""
+    out = None
+    spent = lambda m: m.groupBy("ca_id", "city", F.trunc("day", "week").alias("week")).agg(F.count("*").alias("spent"))
+    for weekday in sorted(r.weekday for r in days.select("weekday").distinct().collect()):
+        today = days.where(F.col("weekday") == weekday)
+        today = today.withColumn("spent", F.lit(0)) if out is None else today.join(spent(out), ["ca_id", "city", "week"], "left")
+        left = F.least(F.lit(policy.moves_per_day), policy.moves_per_week - F.coalesce("spent", F.lit(0)))
+        now = _day_in_rounds(today.withColumn("quota", left).drop("spent"), policy, weekday, task_rows, kind)
+        out = now if out is None else out.unionByName(now)
+    return out
+
+
+def _day_in_rounds(today: DataFrame, policy: Policy, weekday: int, task_rows: int, kind: str) -> DataFrame:
+    peaks, rounds, key = policy.peaks(weekday), policy.moves_per_day, ["city", "day"]
+
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Block numbers: the task's, then that of each task_rows rows in it, which are in order over all tasks."""
+        part, n = TaskContext.get().partitionId(), 0
+        for f in frames:
+            yield f.assign(part=part, chunk=(n + np.arange(len(f))) // task_rows)
+            n += len(f)
+
+    schema = StructType([*today.schema.fields, StructField("part", IntegerType()), StructField("chunk", LongType())])
+    dealt = today.repartitionByRange(*key, F.desc("kwh"), "ca_id").sortWithinPartitions(*key, F.desc("kwh"), "ca_id")
+    open_ = _kept(dealt.mapInPandas(numbered, schema))
+    state = today.groupBy(*key).agg(F.sum("kwh").alias("load"), *((F.sum(F.col("value")[i]) * (1 + (policy.headroom or 0))).alias(f"d{i}") for i in range(SLOTS)))
+    regional = F.lit(float("inf"))
+    if policy.regional_fraction is not None:
+        given = F.create_map(*(F.lit(x) for kv in policy.regional_load.items() for x in kv))[F.col("city")] if policy.regional_load else F.lit(None)
+        regional = policy.regional_fraction * F.coalesce(given.cast("double"), F.col("load"))
+    state = _kept(state.select(*key, regional.alias("region"), F.array(*(f"d{i}" for i in range(SLOTS))).alias("dest")))
+
+    def free(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for lo in range(0, len(f), 4 * CHUNK):
+                g = f.iloc[lo : lo + 4 * CHUNK]
+                x, aef = _dense(g)
+                yield _rows(g, x, aef, chosen(x, g["quota"].to_numpy(), policy.window, rounds, g["region"].to_numpy(np.float64), None, peaks, policy.peak_fraction))
+
+    def block(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["kwh", "ca_id"], ascending=[False, True]).reset_index(drop=True)
+        x, aef = _dense(g)
+        dest = None if policy.headroom is None else np.array(list(g["dest"].iloc[0]), np.float64)
+        moves, region, dest = settled(x, g["quota"].to_numpy(), policy.window, rounds, float(g["region"].iloc[0]), dest, peaks, policy.peak_fraction)
+        rest = pd.DataFrame({**{c: g[c].iloc[:1] for c in KEYS}, "region": [region], "dest": [dest if dest is not None else np.zeros(SLOTS)]})
+        return pd.concat([_rows(g, x, aef, moves).assign(dest=None), rest])
+
+    done, at = [], F.struct("part", "chunk")
+    while True:
+        if policy.headroom is None:
+            # room goes to whole blocks as long as it lasts
+            free_moves = _kept(open_.join(state.drop("dest"), key).mapInPandas(free, kind))
+            takes = open_.select(*KEYS, "part", "chunk").join(free_moves.groupBy(*KEYS).agg(F.sum("q").alias("q")), KEYS, "left").groupBy(*key, "part", "chunk").agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("q"))
+            run = Window.partitionBy(*key).orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, 0)
+            takes = takes.withColumn("all", F.sum("q").over(run)).join(state, key)
+            short = F.col("all") > F.col("region") + LEAST
+            cut = _kept(takes.groupBy(*key).agg(F.min(F.when(short, at)).alias("bad"), F.coalesce(F.max(F.when(~short, F.col("all"))), F.lit(0.0)).alias("took"), F.first("region").alias("region"), F.first("dest").alias("dest")))
+            held = open_.join(cut.select(*key, "bad"), key)
+            fine = held.where(F.col("bad").isNull() | (at < F.col("bad"))).select(*KEYS)
+            done.append(_kept(free_moves.join(fine, KEYS, "left_semi")))
+            state = cut.where("bad is not null").select(*key, "bad", F.greatest(F.lit(0.0), F.col("region") - F.col("took")).alias("region"), "dest")
+        else:
+            state = open_.groupBy(*key).agg(F.min(at).alias("bad")).join(state, key)
+        state = _kept(state)
+        if state.isEmpty():
+            break
+        held = open_.join(state, key)
+        one = _kept(held.where(at == F.col("bad")).groupBy(*key).applyInPandas(block, kind + ", region double, dest array<double>"))
+        done.append(one.where("q is not null").drop("region", "dest"))
+        open_ = _kept(held.where(at > F.col("bad")).drop("bad", "region", "dest"))
+        state = _kept(one.where("q is null").select(*key, "region", "dest"))
+        if open_.isEmpty():
+            break
+    out = done[0]
+    for m in done[1:]:
+        out = out.unionByName(m)
+    return _kept(out)
 
 
 def shift_upper_bound(df: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ grid_5min AS (SELECT timestamp, v * 3 AS thermal, v AS gas, v / 2 AS renewable,
 }
 
 
-def sql(text: str, *needs: str) -> str:
+def sql(text: str, *needs: str, recursive: bool = False) -> str:
     """text after the common table expressions it needs; a text that starts with a comma adds its own."""
     done: list[str] = []
 
@@ -136,7 +136,10 @@ def sql(text: str, *needs: str) -> str:
 
     for n in needs:
         add(n)
-    return (f"WITH {',\n'.join(done)}{text}" if text.startswith(",") else f"WITH {',\n'.join(done)}\n{text}") if done else text
+    if not done:
+        return text
+    head = f"WITH {'RECURSIVE ' * recursive}{',\n'.join(done)}"
+    return head + text if text.startswith(",") else f"{head}\n{text}"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

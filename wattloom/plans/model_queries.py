@@ -13,6 +13,7 @@ from wattloom.operators import shift as S
 from wattloom.plans.fixtures import Inputs, rounded, sql
 
 P = S.Policy("one", moves_per_day=1, moves_per_week=3, window=4, regional_fraction=0.25)
+SCENARIOS = [P, S.PRESETS[1], S.PRESETS[2]]
 XY = ["q", "y", "x"]
 
 
@@ -105,8 +106,8 @@ QUERIES = {
     "k9_day_summary": _q(lambda i: S.day_summary(_metrics(i)), 6),
     "k10_optimised_readings": _q(lambda i: S.optimised_readings(i.shift_input, _moves(i)), 6),
     "k12_highest_sources": _q(lambda i: S.k_highest_sources(i.shift_input, 2).select(*S.KEYS, "slot", "place"), 6),
-    "k13_share_capped": _q(lambda i: S.share_capped_greedy(i.shift_input, 4), 6),
-    "k14_scenarios": _q(lambda i: S.scenario_metrics(i.shift_input, S.shift_scenarios(i.shift_input, [P, S.PRESETS[1], S.PRESETS[2]])), 6),
+    "k13_share_capped": _q(lambda i: S.share_cappedgreedy_sql(i.shift_input, 4), 6),
+    "k14_scenarios": _q(lambda i: S.scenario_metrics(i.shift_input, S.shift_scenarios(i.shift_input, SCENARIOS)), 6),
     "l1_per_move_savings": _q(lambda i: R.per_move_savings(_table(i)), 6),
     "l2_household_week_savings": _q(lambda i: R.household_week_savings(_table(i)), 6),
     "l3_moves_by_category": _q(lambda i: R.moves_by_category(_table(i)), 6),
@@ -136,12 +137,27 @@ _RP = """, ra AS (SELECT g AS city, t AS timestamp, avg(q) AS q, avg(y) / 1000 A
 rd AS (SELECT city, timestamp, epoch(timestamp - lag(timestamp) OVER w) / 60 AS minutes, q - lag(q) OVER w AS dq, y - lag(y) OVER w AS dy, (ME + lag(ME) OVER w) / 2 AS m FROM ra WINDOW w AS (PARTITION BY city ORDER BY timestamp)),
 rp AS (SELECT *, dy / dq AS s FROM rd WHERE minutes > 0 AND minutes <= 2880 AND abs(dq) >= 1)"""
 _CAND = """, cm AS (SELECT t.ca_id, t.city, t.day, t.slot AS t, s.slot AS s, t.value AS avail, t.mef AS mef_t, s.mef AS mef_s, t.aef AS aef_t, s.aef AS aef_s, (t.mef - s.mef) * t.value AS gain
-FROM shift_input t JOIN shift_input s ON s.ca_id = t.ca_id AND s.city = t.city AND s.day = t.day AND abs(s.slot - t.slot) <= 4 AND s.mef < t.mef WHERE t.value > 0)"""
-_MV = _CAND + """, r1 AS (SELECT *, row_number() OVER (PARTITION BY ca_id, city, day ORDER BY gain DESC, t, s) AS r FROM cm),
-r2 AS (SELECT *, row_number() OVER (PARTITION BY ca_id, city, date_trunc('week', day) ORDER BY day) AS w FROM r1 WHERE r = 1),
-od AS (SELECT ca_id, city, day, sum(value) AS kwh FROM shift_input GROUP BY ALL), ld AS (SELECT city, day, sum(value) * 0.25::DOUBLE AS room FROM shift_input GROUP BY ALL),
-r3 AS (SELECT r2.*, kwh, room, coalesce(sum(avail) OVER (PARTITION BY r2.city, r2.day ORDER BY kwh DESC, r2.ca_id, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r2 JOIN od USING (ca_id, city, day) JOIN ld USING (city, day) WHERE w <= 3),
-mv AS (SELECT ca_id, city, day, t, s, least(avail, greatest(0, room - before)) AS q, mef_t, mef_s, aef_t, aef_s FROM r3 WHERE least(avail, greatest(0, room - before)) > 0)"""
+FROM (SELECT *, unnest(range(greatest(slot - 4, 0), least(slot + 4, 47) + 1))::INT AS at FROM shift_input WHERE value > 0) t JOIN shift_input s ON s.ca_id = t.ca_id AND s.city = t.city AND s.day = t.day AND s.slot = t.at AND s.mef < t.mef)"""
+
+
+def greedy_sql(p: S.Policy, x: str = "") -> str:
+    """The greedy as a recursion over the households of a city and week: a step for each move they may take, with the
+    room left in the region and the moves used so far. mv: the moves."""
+    return f""", cm{x} AS (SELECT t.ca_id, t.city, t.day, t.slot AS t, s.slot AS s, t.value AS avail, t.mef AS mef_t, s.mef AS mef_s, t.aef AS aef_t, s.aef AS aef_s
+FROM (SELECT *, unnest(range(greatest(slot - {p.window}, 0), least(slot + {p.window}, 47) + 1))::INT AS at FROM shift_input) t JOIN shift_input s ON s.ca_id = t.ca_id AND s.city = t.city AND s.day = t.day AND s.slot = t.at AND s.mef < t.mef),
+cl{x} AS (SELECT ca_id, city, day, list({{'avail': avail, 'd': mef_t - mef_s, 't': t, 's': s}}) AS c FROM cm{x} GROUP BY ALL),
+od{x} AS (SELECT ca_id, city, day, sum(value) AS kwh FROM shift_input GROUP BY ALL), ld{x} AS (SELECT city, day, sum(value) * {p.regional_fraction}::DOUBLE AS room FROM shift_input GROUP BY ALL),
+st{x} AS MATERIALIZED (SELECT ca_id, city, day, k, date_trunc('week', day) AS week, room, c, row_number() OVER (PARTITION BY city, date_trunc('week', day) ORDER BY day, kwh DESC, ca_id, k) AS n
+FROM od{x} JOIN ld{x} USING (city, day) JOIN cl{x} USING (ca_id, city, day), (SELECT unnest(range({p.moves_per_day})) AS k)),
+gr{x} AS (SELECT city, week, 0::BIGINT AS n, NULL::DATE AS day, 0.0::DOUBLE AS room, MAP {{}}::MAP(BIGINT, INT) AS used, NULL::BIGINT AS ca_id, NULL::STRUCT(gain DOUBLE, t INT, s INT, q DOUBLE) AS m FROM st{x} GROUP BY ALL
+UNION ALL SELECT city, week, n, day, room - coalesce(m.q, 0), CASE WHEN m.q IS NULL THEN used ELSE map_concat(used, MAP {{ca_id: coalesce(used[ca_id], 0) + 1}}) END, ca_id, m FROM (
+SELECT *, CASE WHEN room > 1e-12 AND coalesce(used[ca_id], 0) < {p.moves_per_week} AND (k = 0 OR before.q IS NOT NULL) THEN list_max(list_filter(list_transform(c, lambda a: {{
+ 'gain': a.d * least(a.avail + CASE WHEN k > 0 AND a.t = -before.s THEN before.q ELSE 0 END, room), 't': -a.t, 's': -a.s, 'q': least(a.avail + CASE WHEN k > 0 AND a.t = -before.s THEN before.q ELSE 0 END, room)}}), lambda a: a.q > 1e-12 AND NOT (k > 0 AND a.t = before.t))) END AS m
+FROM (SELECT gr{x}.city, gr{x}.week, st{x}.n, st{x}.day, st{x}.ca_id, st{x}.k, st{x}.c, gr{x}.used, gr{x}.m AS before, CASE WHEN gr{x}.day = st{x}.day THEN gr{x}.room ELSE st{x}.room END AS room FROM gr{x} JOIN st{x} ON st{x}.city = gr{x}.city AND st{x}.week = gr{x}.week AND st{x}.n = gr{x}.n + 1))),
+mv{x} AS (SELECT ca_id, city, day, t, s, m.q AS q, mef_t, mef_s, aef_t, aef_s FROM gr{x} JOIN cm{x} USING (ca_id, city, day) WHERE t = -m.t AND s = -m.s)"""
+
+
+_MV = greedy_sql(P)
 _TB = _MV + """, tb AS (SELECT ca_id, city, day, day + to_minutes(t * 30) AS original_time, day + to_minutes(s * 30) AS proposed_shift_time, (s - t) * 30 AS delta_minutes, CASE WHEN s > t THEN 'forward' WHEN s < t THEN 'backward' ELSE 'stay' END AS shift_direction, q AS delta_kwh,
 q * mef_t AS mb, q * mef_s AS ma, q * mef_s - q * mef_t AS md, q * aef_t AS ab, q * aef_s AS aa, q * aef_s - q * aef_t AS ad FROM mv)"""
 _MT = _MV + """, em AS (SELECT ca_id, city, day, sum(value) AS baseline_kwh, sum(value * aef) AS ba, sum(value * mef) AS bm FROM shift_input GROUP BY ALL),
@@ -149,11 +165,11 @@ mt AS (SELECT em.*, coalesce(q * (aef_s - aef_t), 0) AS da, coalesce(q * (mef_s
 
 
 def _mt(text: str) -> str:
-    return sql(_MT + " " + text, "shift_input")
+    return sql(_MT + " " + text, "shift_input", recursive=True)
 
 
 def _tb(text: str) -> str:
-    return sql(_TB + " " + text, "shift_input")
+    return sql(_TB + " " + text, "shift_input", recursive=True)
 
 
 _RED = "round(sum(ba), 3) AS baseline_avg_g, round(sum(ba + da), 3) AS post_avg_g, round(sum(bm), 3) AS baseline_marg_g, round(sum(bm + dm), 3) AS post_marg_g, round(sum(moved_kwh), 3) AS moved_kwh, round(sum(baseline_kwh), 3) AS baseline_kwh, round((sum(ba) - sum(ba + da)) / sum(ba), 3) AS reduction_avg, round((sum(bm) - sum(bm + dm)) / sum(bm), 3) AS reduction_marg"
@@ -164,7 +180,7 @@ SQL = {
     "d34_group_metrics": sql(_SC + ", pm AS (SELECT g, s, " + _PM + " FROM sc GROUP BY ALL) SELECT g, s, round(r2, 4) AS r2, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mape, 4) AS mape, n FROM pm", "model_rows"),
     "d35_energy_r2": sql(_SC + " SELECT round(1 - sum(q * (y - p) * (y - p)) / (sum(q * y * y) - pow(sum(q * y), 2) / sum(q)), 4) AS energy_r2 FROM sc", "model_rows"),
     "d36_summarise_metrics": sql(_SC + ", pm AS (SELECT g, s, " + _PM + " FROM sc GROUP BY ALL) SELECT g AS split, round(avg(r2), 4) AS r2_macro, round(avg(rmse), 4) AS rmse_macro, round(sum(r2 * n) / sum(n), 4) AS r2_micro, round(sum(rmse * n) / sum(n), 4) AS rmse_micro FROM pm GROUP BY g", "model_rows"),
-    "d37_weighted_median_shift": sql(_MV + ", d AS (SELECT city, abs(s - t) * 30 AS m, sum(q) AS q FROM mv GROUP BY ALL), c AS (SELECT city, m, sum(q) OVER (PARTITION BY city ORDER BY m) AS c, sum(q) OVER (PARTITION BY city) AS a FROM d) SELECT city, min(m) AS median_abs_shift_minutes FROM c WHERE c >= 0.5 * a - 1e-12 GROUP BY city", "shift_input"),
+    "d37_weighted_median_shift": sql(_MV + ", d AS (SELECT city, abs(s - t) * 30 AS m, sum(q) AS q FROM mv GROUP BY ALL), c AS (SELECT city, m, sum(q) OVER (PARTITION BY city ORDER BY m) AS c, sum(q) OVER (PARTITION BY city) AS a FROM d) SELECT city, min(m) AS median_abs_shift_minutes FROM c WHERE c >= 0.5 * a - 1e-12 GROUP BY city", "shift_input", recursive=True),
     "d38_emissions_totals": sql("SELECT ca_id, city, day, round(sum(value), 4) AS baseline_kwh, round(sum(value * aef), 4) AS baseline_E_avg_g, round(sum(value * mef), 4) AS baseline_E_marg_g FROM shift_input GROUP BY ALL", "shift_input"),
     "d39_correlation": sql(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) + 0.0 AS r FROM model_rows" for a in XY for b in XY), "model_rows"),
     "d42_skew_kurtosis": sql(" UNION ALL ".join(f"SELECT '{a}' AS column, round(avg(pow(({a} - mu) / sd, 3)), 4) + 0.0 AS skewness, round(avg(pow(({a} - mu) / sd, 4)) - 3, 4) AS kurtosis FROM model_rows, (SELECT avg({a}) AS mu, stddev_pop({a}) AS sd FROM model_rows)" for a in XY), "model_rows"),
@@ -196,17 +212,22 @@ SQL = {
     "k3_valid_slots": sql("SELECT city, slot % 9 <> 0 AS valid, count(*) AS n FROM shift_input GROUP BY ALL", "shift_input"),
     "k4_slot_arrays": sql("SELECT ca_id, city, day, count(*)::INT AS n, round(sum(value), 6) AS kwh FROM shift_input GROUP BY ALL", "shift_input"),
     "c9_candidate_moves": sql(_CAND + " SELECT ca_id, city, day, t, s, round(avail, 6) AS avail, mef_t, aef_t, mef_s, aef_s, round(gain, 6) AS gain FROM cm", "shift_input"),
-    "k5_shift_load": sql(_MV + " SELECT ca_id, city, day, t, s, round(q, 6) AS q, mef_t, mef_s, aef_t, aef_s FROM mv", "shift_input"),
+    "k5_shift_load": sql(_MV + " SELECT ca_id, city, day, t, s, round(q, 6) AS q, mef_t, mef_s, aef_t, aef_s FROM mv", "shift_input", recursive=True),
     "k6_upper_bound": sql("SELECT ca_id, city, day, round(sum(value), 6) AS kwh, round(sum(value * mef), 6) AS baseline_grams, min(mef) AS least_mef, arg_min(slot, mef * 100 + slot) AS slot, round(sum(value) * min(mef), 6) AS bound_grams, round(sum(value * mef) - sum(value) * min(mef), 6) AS saving_grams FROM shift_input GROUP BY ALL", "shift_input"),
     "k7_moves_table": _tb("SELECT ca_id, city, day, original_time, proposed_shift_time, delta_minutes, shift_direction, round(delta_kwh, 6) AS delta_kwh, round(mb, 6) AS marginal_emissions_before_shift_grams_co2, round(ma, 6) AS marginal_emissions_after_shift_grams_co2, round(md, 6) AS marginal_emissions_delta_grams_co2, round(ab, 6) AS average_emissions_before_shift_grams_co2, round(aa, 6) AS average_emissions_after_shift_grams_co2, round(ad, 6) + 0.0 AS average_emissions_delta_grams_co2 FROM tb"),
     "k8_shift_metrics": _mt("SELECT ca_id, city, day, round(baseline_kwh, 6) AS baseline_kwh, round(moved_kwh, 6) AS moved_kwh, round(bm, 6) AS baseline_E_marg_g, round(dm, 6) AS delta_E_marg_g, round(bm + dm, 6) AS post_E_marg_g, used AS weekly_moves_used, 3 - used AS weekly_moves_remaining FROM mt"),
     "k9_day_summary": _mt("SELECT city, day, count(*) AS n_customers_solved, round(sum(moved_kwh), 6) AS moved_kwh_day_sum, 'day_summary' AS row_type FROM mt GROUP BY ALL"),
-    "k10_optimised_readings": sql(_MV + ", f AS (SELECT ca_id, city, day, t AS slot, -q AS q FROM mv UNION ALL SELECT ca_id, city, day, s, q FROM mv), g AS (SELECT ca_id, city, day, slot, sum(q) AS q FROM f GROUP BY ALL) SELECT ca_id, city, day, slot, round(value + coalesce(q, 0), 6) + 0.0 AS optimised_value FROM shift_input LEFT JOIN g USING (ca_id, city, day, slot)", "shift_input"),
+    "k10_optimised_readings": sql(_MV + ", f AS (SELECT ca_id, city, day, t AS slot, -q AS q FROM mv UNION ALL SELECT ca_id, city, day, s, q FROM mv), g AS (SELECT ca_id, city, day, slot, sum(q) AS q FROM f GROUP BY ALL) SELECT ca_id, city, day, slot, round(value + coalesce(q, 0), 6) + 0.0 AS optimised_value FROM shift_input LEFT JOIN g USING (ca_id, city, day, slot)", "shift_input", recursive=True),
     "k12_highest_sources": sql(", r AS (SELECT ca_id, city, day, slot, row_number() OVER (PARTITION BY ca_id, city, day ORDER BY mef DESC, slot)::INT AS place FROM shift_input WHERE value > 0) SELECT * FROM r WHERE place <= 2", "shift_input"),
     "k13_share_capped": sql(
         _CAND + ", r AS (SELECT *, row_number() OVER (PARTITION BY ca_id, city, day, t ORDER BY mef_s, abs(s - t), s) AS r FROM cm), od AS (SELECT ca_id, city, day, sum(value) AS kwh FROM shift_input GROUP BY ALL), b AS (SELECT r.*, kwh, coalesce(sum(avail) OVER (PARTITION BY ca_id, city, day ORDER BY mef_t DESC, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r JOIN od USING (ca_id, city, day) WHERE r = 1 AND avail >= 0.01::DOUBLE * kwh) SELECT ca_id, city, day, t, s, round(least(avail, greatest(0, 0.2::DOUBLE * kwh - before)), 6) AS q, mef_t, mef_s, aef_t, aef_s FROM b WHERE least(avail, greatest(0, 0.2::DOUBLE * kwh - before)) > 0",
         "shift_input",
     ),
+    "k14_scenarios": sql(
+        "".join(greedy_sql(p, str(i)) for i, p in enumerate(SCENARIOS)) + ", al AS (" + " UNION ALL ".join(f"SELECT '{p.name}' AS policy, t, s, q FROM mv{i}" for i, p in enumerate(SCENARIOS))
+        + ") SELECT policy, round(sum(q), 6) AS moved_kwh, round(coalesce(sum(q) FILTER (s > t), 0), 6) AS forward_kwh, round(coalesce(sum(q) FILTER (s < t), 0), 6) AS backward_kwh, round(sum(q) / (SELECT sum(value) FROM shift_input), 6) AS share_moved FROM al GROUP BY policy",
+        "shift_input", recursive=True,
+    ),
     "l1_per_move_savings": _tb("SELECT city, round(avg(-md), 6) AS mean, round(quantile_cont(-md, 0.5), 6) AS median, round(quantile_cont(-md, 0.75), 6) AS p75, count(*) AS n FROM tb GROUP BY city"),
     "l2_household_week_savings": _tb(", w AS (SELECT city, ca_id, isoyear(day), week(day), sum(-md) AS s FROM tb GROUP BY ALL) SELECT city, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.75), 6) AS p75, count(*) AS n FROM w GROUP BY city"),
     "l3_moves_by_category": _tb("SELECT CASE WHEN md < 0 THEN 'savings' WHEN md > 0 THEN 'increases' ELSE 'neutral' END AS category, count(*) AS moves, round(sum(delta_kwh), 6) AS kwh, round(sum(md), 6) AS grams FROM tb GROUP BY ALL"),
@@ -224,7 +245,7 @@ SQL = {
     "l12_customer_week_stats": _mt(", w AS (SELECT ca_id, city, isoyear(day)::INT AS iso_year, week(day)::INT AS iso_week, sum(moved_kwh) AS k, sum(-dm) AS s FROM mt GROUP BY ALL) SELECT city, iso_year, iso_week, count(*) AS customers, round(avg(k), 6) AS mean_kwh, round(quantile_cont(k, 0.5), 6) AS median_kwh, round(avg(s), 6) AS mean_saved_g FROM w GROUP BY ALL"),
     "l13_hour_pairs": _tb("SELECT hour(original_time)::INT AS origin, hour(proposed_shift_time)::INT AS destination, count(*) AS moves, round(sum(delta_kwh), 6) AS kwh, round(sum(md), 6) AS grams FROM tb GROUP BY ALL"),
     "l14_weekday_hour_flow": _tb(", r AS (SELECT 'out' AS role, original_time AS t, delta_kwh AS k, mb AS g FROM tb UNION ALL SELECT 'in', proposed_shift_time, delta_kwh, ma FROM tb), d AS (SELECT role, t::DATE AS day, hour(t)::INT AS hour, sum(k) AS k, sum(g) AS g FROM r GROUP BY ALL) SELECT role, isodow(day)::INT AS weekday, hour, round(avg(k), 6) AS mean_kwh, round(avg(g), 6) AS mean_grams, count(*) AS days FROM d GROUP BY ALL"),
-    "l15_pre_post_profile": sql(_MV + ", f AS (SELECT ca_id, city, day, t AS slot, -q AS q FROM mv UNION ALL SELECT ca_id, city, day, s, q FROM mv), g AS (SELECT ca_id, city, day, slot, sum(q) AS q FROM f GROUP BY ALL) SELECT (slot // 2)::INT AS hour, round(avg(value), 6) AS mean_before, round(avg(value + coalesce(q, 0)), 6) AS mean_after, round(sum(value + coalesce(q, 0)) - sum(value), 6) + 0.0 AS net_kwh FROM shift_input LEFT JOIN g USING (ca_id, city, day, slot) GROUP BY ALL", "shift_input"),
+    "l15_pre_post_profile": sql(_MV + ", f AS (SELECT ca_id, city, day, t AS slot, -q AS q FROM mv UNION ALL SELECT ca_id, city, day, s, q FROM mv), g AS (SELECT ca_id, city, day, slot, sum(q) AS q FROM f GROUP BY ALL) SELECT (slot // 2)::INT AS hour, round(avg(value), 6) AS mean_before, round(avg(value + coalesce(q, 0)), 6) AS mean_after, round(sum(value + coalesce(q, 0)) - sum(value), 6) + 0.0 AS net_kwh FROM shift_input LEFT JOIN g USING (ca_id, city, day, slot) GROUP BY ALL", "shift_input", recursive=True),
     "l16_direction_by_hour": _tb("SELECT hour(original_time)::INT AS hour, count(*) FILTER (shift_direction = 'backward') AS backward, count(*) FILTER (shift_direction = 'forward') AS forward, count(*) FILTER (shift_direction = 'stay') AS stay FROM tb GROUP BY ALL"),
     "l17_quota_and_boundary": _tb(", d AS (SELECT ca_id, city, day, count(*) AS n, count(*) FILTER (abs(delta_minutes) = 120) AS e FROM tb GROUP BY ALL) SELECT city, round(avg((n >= 1)::INT), 6) AS days_at_cap, round(sum(e) / sum(n), 6) AS moves_at_edge FROM d GROUP BY city"),
     "l18_savings_disagreement": _mt("SELECT city, count(*) FILTER (dm < 0 AND da >= 0) AS customer_days, round(avg((dm < 0 AND da >= 0)::INT), 6) AS share, round(coalesce(sum(-dm) FILTER (dm < 0 AND da >= 0), 0), 6) AS marginal_g FROM mt GROUP BY city"),

@@ -10,6 +10,7 @@ from wattloom.operators import mef as M
 from wattloom.operators import quality as Q
 from wattloom.operators import shift as S
 from wattloom.plans.fixtures import Inputs, rounded, sql
+from wattloom.plans.model_queries import greedy_sql
 from wattloom.sources import io
 
 
@@ -53,11 +54,6 @@ QUERIES = {
     "k11_preset_one": _q(lambda i: S.shift_load(i.shift_input, S.PRESETS[1]).groupBy("city").agg(F.count("*").alias("moves"), F.sum("q").alias("kwh"))),
 }
 
-_MV2 = """, cm AS (SELECT t.ca_id, t.city, t.day, t.slot AS t, s.slot AS s, t.value AS avail, (t.mef - s.mef) * t.value AS gain FROM shift_input t JOIN shift_input s ON s.ca_id = t.ca_id AND s.day = t.day AND abs(s.slot - t.slot) <= 6 AND s.mef < t.mef WHERE t.value > 0),
-b AS (SELECT *, row_number() OVER (PARTITION BY ca_id, day, t ORDER BY gain DESC, s) AS r FROM cm), d AS (SELECT *, row_number() OVER (PARTITION BY ca_id, day ORDER BY gain DESC, t, s) AS k FROM b WHERE r = 1),
-w AS (SELECT *, row_number() OVER (PARTITION BY ca_id, date_trunc('week', day) ORDER BY day, k) AS n FROM d WHERE k <= 2), od AS (SELECT ca_id, day, sum(value) AS kwh FROM shift_input GROUP BY ALL), ld AS (SELECT city, day, sum(value) * 0.8::DOUBLE AS room FROM shift_input GROUP BY ALL),
-x AS (SELECT w.*, room, coalesce(sum(avail) OVER (PARTITION BY w.city, w.day ORDER BY kwh DESC, w.ca_id, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w JOIN od USING (ca_id, day) JOIN ld USING (city, day) WHERE n <= 7)"""
-
 SQL = {
     "b14_analysis_features": sql("SELECT timestamp, round(total, 6) AS total, round(tons_co2, 6) AS tons_co2, strftime(timestamp, '%H-%M') AS time_id, round(total * total, 6) AS q_squared, round(ln(total + 1e-6), 6) AS log_q, round(ln(total + 1e-6) * ln(total + 1e-6), 6) AS log_q_squared, round(ln(tons_co2 + 1e-6), 6) AS log_co2 FROM grid_5min", "grid_5min"),
     "b17_wind_to_cyclic": sql("SELECT ca_id, date, round(value, 6) AS wind, round(sin(radians(270 - value)), 6) + 0.0 AS wind_sin, round(cos(radians(270 - value)), 6) + 0.0 AS wind_cos FROM readings", "readings"),
@@ -83,5 +79,5 @@ SELECT timestamp, location, round(temperature, 6) AS temperature, round(prev_val
     "g6_membership": sql("SELECT ca_id, count(*) AS n FROM readings WHERE city IN ('click', 'view') GROUP BY ca_id", "readings"),
     "j14_me_for_split": sql("SELECT timestamp, round(mef, 6) AS ME, 'train' AS split FROM factors", "factors"),
     "j17_config_hash": """SELECT n_nationkey, n_name, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS config FROM nation""",
-    "k11_preset_one": sql(_MV2 + " SELECT city, count(*) AS moves, round(sum(least(avail, greatest(0, room - before))), 6) AS kwh FROM x WHERE least(avail, greatest(0, room - before)) > 0 GROUP BY city", "shift_input"),
+    "k11_preset_one": sql(greedy_sql(S.PRESETS[1]) + " SELECT city, count(*) AS moves, round(sum(q), 6) AS kwh FROM mv GROUP BY city", "shift_input", recursive=True),
 }
