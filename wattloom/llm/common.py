@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -13,24 +14,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: White space of the word pattern [^\x20\x09-\x0D]+, which is also what bytes.split() splits at.
 SPACE = r"[\x20\x09-\x0D]"
 
 _own_folder: list[str] = []
+_open: list[list[DataFrame]] = []
 
 
 def scratch_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: what spark.checkpoint.dir names, which all executors share.
 
-    Where it is unset, a local session gets a temporary folder and a cluster a folder in the warehouse.
+    Where it is unset, a local session gets a temporary folder; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _own_folder[0]
@@ -51,6 +52,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
@@ -62,6 +65,26 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, the tables stashed inside it, but for those given to the function that it yields, which a
+    result still reads; these go at the end of the next outer block."""
+    kept: list[DataFrame] = []
+    _open.append([])
+
+    def keep(t: DataFrame) -> DataFrame:
+        kept.append(t)
+        return t
+
+    try:
+        yield keep
+    finally:
+        paths = {t.stash_path for t in kept}
+        discard(*(t for t in _open.pop() if t.stash_path not in paths))
+        if _open:
+            _open[-1].extend(kept)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before those that df has as columns, in whatever case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -73,11 +96,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound Arrow batches, so that a batch of long texts fits beside the heap of an executor."""
-    spark.conf.set(BATCH, str(rows))
-
-
 def fresh_key(*cols: str) -> Column:
     """A derived join key beside the real ones.
 
@@ -109,7 +127,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = stash(e, "edges")
     was = summed(e)
     while was[0]:
-        e = stash(starred(starred(e, True), False), "edges")
+        old, e = e, stash(starred(starred(e, True), False), "edges")
+        discard(old)
         now = summed(e)
         if now == was:
             break
@@ -121,18 +140,34 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def grouped_frames(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """From the sorted batches of a task, frames that hold whole keys, with the places where their groups begin and the
     end."""
-    rest: pd.DataFrame | None = None
+    held: list[pd.DataFrame] = []  # of the last key
     for frame in frames:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
         if frame.empty:
             continue
         k = frame[keys].to_numpy()
         cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-        if len(cuts):
-            yield frame.iloc[: cuts[-1]], np.append(0, cuts)
-        rest = (frame.iloc[cuts[-1] :] if len(cuts) else frame).reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield rest, np.array([0, len(rest)])
+        new = bool(held) and bool((held[-1][keys].iloc[-1].to_numpy() != k[0]).any())
+        if len(cuts) or new:
+            last = cuts[-1] if len(cuts) else 0
+            whole = pd.concat([*held, frame.iloc[:last]], ignore_index=True)
+            before = sum(map(len, held))
+            yield whole, np.unique(np.concatenate([[0], [before] if new else [], before + cuts, [len(whole)]]).astype(np.int64))
+            held, frame = [], frame.iloc[last:]
+        held.append(frame)
+    if held:
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, np.array([0, len(whole)])
+
+
+def sliced(frames: Iterable[pd.DataFrame], *columns: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """Batches cut so that the texts of columns have about so many characters at most, or one row."""
+    for f in frames:
+        size = sum(f[c].str.len().fillna(0) for c in columns).to_numpy(np.float64).cumsum() if len(f) else np.empty(0)
+        lo = 0
+        while lo < len(f):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + chars, side="right")))
+            yield f.iloc[lo:hi]
+            lo = hi
 
 
 def whole_groups(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

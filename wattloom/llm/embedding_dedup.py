@@ -7,24 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wattloom.llm.common import connected_components, fresh_key, small_batches, stash, whole_groups
+from wattloom.llm.common import connected_components, fresh_key, stash, temporary, whole_groups
 
 #: Rows of one side of a comparison task.
-BLOCK = 256
-
-
-def passes_needed(rows: int, window: int, threshold: float, miss: float = 1e-6) -> int:
-    """Passes after which a pair at the threshold has been in one window but for a probability of miss.
-
-    Sorted by random signs, two vectors stay neighbours as far as their signs agree; of rows vectors about
-    log2(rows / window) signs must.
-    """
-    agree = 1 - math.acos(min(1.0, threshold)) / math.pi
-    near = agree ** max(1.0, math.log2(max(rows, 2 * window) / window))
-    return max(2, math.ceil(math.log(miss) / math.log(1 - min(near, 0.99))))
+BLOCK = 2048
+#: Passes and windows that a label may get; the cheapest that keep the expected share of missed pairs below the bound.
+PASSES = (1, 2, 3, 4, 6, 8, 12, 16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
+WINDOWS = (128, 512, 2048, 8192)
+#: Passes over which the order of a label is measured.
+TRIALS = 2
+#: Comparisons that cost about as much as moving a vector once more.
+MOVE = 1000
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -32,58 +30,182 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _keyed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
-    """Each class once for each pass, with the pass's 64 random signs as a sort key."""
+def _sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of the unit vectors of each label (part) in a task."""
+    sums: dict[int, np.ndarray] = {}
+    for f in frames:
+        for part, own in f.groupby("part"):
+            sums[part] = sums.get(part, 0.0) + np.append(_unit(own["v"]).sum(axis=0), len(own))
+    yield pd.DataFrame({"part": pd.Series(list(sums), dtype="int64"), "x": pd.Series(list(sums.values()), dtype=object)})
+
+
+def _keys(f: pd.DataFrame, p: int, seed: int) -> np.ndarray:
+    """The 64 signs, by random planes of pass p, of unit vectors less the mean of their label."""
+    d = _unit(f["v"]) - np.stack(f["mean"].to_numpy())
+    planes = np.random.default_rng((seed, p, d.shape[1])).standard_normal((d.shape[1], 64))
+    bits = (d @ planes > 0).astype(np.uint64) << np.arange(63, -1, -1, dtype=np.uint64)
+    # shifted so that signed order is that of the bits
+    return (bits.sum(axis=1, dtype=np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _by_size(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for _, own in f.groupby("size_"):
+        yield own
+
 
-    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for size, own in f.groupby("size_"):
-                v = np.stack(own["v"].to_numpy()).astype(np.float64)
-                for p in range(passes):
-                    planes = np.random.default_rng((seed, p, int(size))).standard_normal((int(size), 64))
-                    bits = (v @ planes > 0).astype(np.uint64) << np.arange(63, -1, -1, dtype=np.uint64)
-                    yield pd.DataFrame({"pass": p, "part": own["part"], "key": bits.sum(axis=1, dtype=np.uint64).view(np.int64), "cid": own["cid"], "v": own["v"]})
+def agreement(spread: np.ndarray, threshold: float) -> np.ndarray:
+    """Chance that a sign is the same for a vector and one at the threshold. spread: the vector's squared distance from
+    its label's mean, from which the angle between the two, seen from the mean, follows."""
+    return 1 - np.arccos(np.clip(1 - (1 - threshold) / np.maximum(spread, 1e-12), -1, 1)) / np.pi
 
-    return classes.select("part", "cid", "size_", "v").mapInPandas(made, "pass int, part long, key long, cid long, v array<double>")
 
+def _trials(frames: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
+    """Sort keys of the passes on trial, with the vectors' squared distances from the mean."""
+    for f in frames:
+        for own in _by_size(f):
+            spread = ((_unit(own["v"]) - np.stack(own["mean"].to_numpy())) ** 2).sum(axis=1)
+            for p in range(TRIALS):
+                yield pd.DataFrame({"pass": p, "part": own["part"], "key": _keys(own, p, seed), "spread": spread, "n": own["n"]})
+
+
+def _ahead(frames: Iterator[pd.DataFrame], windows: tuple[int, ...]) -> Iterator[pd.DataFrame]:
+    """Of sorted rows, counts by label, window, distance from the mean (in hundredths) and how many leading signs the row
+    has in common with the one a window further on (64: the whole label is in a window). Where that one is in another
+    task, it has as many as if rows were spread evenly."""
+    counts: dict[tuple, int] = {}
+    longest = max(windows)
+    held, of = None, None
+
+    def count(f: pd.DataFrame, upto: int) -> None:
+        key = f["key"].to_numpy().view(np.uint64)
+        bucket = np.clip(np.ceil(100 * f["spread"].to_numpy()[:upto]), 1, 400).astype(int)
+        size = int(f["n"].iloc[0])
+        for w in windows:
+            n = max(0, min(upto, len(f) - w))
+            same = np.full(upto, 64 if size <= w else math.ceil(math.log2(size / w)))
+            if size > w:
+                # leading zeros, by the exponent of the 53 leading bits as a float
+                other = ((key[:n] ^ key[w : w + n]) >> np.uint64(11)).astype(np.float64)
+                same[:n] = np.where(other == 0, 53, 52 - np.floor(np.log2(np.maximum(other, 1))))
+            for (b, s), c in zip(*(x.tolist() for x in np.unique(np.stack([bucket, same], axis=1), axis=0, return_counts=True)), strict=True):
+                k = of[1], w, b, s
+                counts[k] = counts.get(k, 0) + c
+
+    for f in frames:
+        for at, own in f.groupby(["pass", "part"], sort=False):
+            if of == at:
+                held = pd.concat([held, own], ignore_index=True)
+            else:
+                if held is not None:
+                    count(held, len(held))
+                held, of = own.reset_index(drop=True), at
+            if len(held) > 4 * longest:
+                count(held, len(held) - longest)
+                held = held.iloc[len(held) - longest :].reset_index(drop=True)
+    if held is not None:
+        count(held, len(held))
+    yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["part", "window", "bucket", "same", "n"])
+
+
+def plans(trials: DataFrame, threshold: float, miss: float, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """part, window, passes, missed: for each label the cheapest window and number of passes with which, by the order
+    measured, at most a share of miss of the pairs at the threshold is in no window; else those that miss least.
+
+    A pair is in a window at least when it agrees in one sign more than rows a window apart do.
+    """
+    n = trials.groupBy("part", "window", "bucket", "same").agg(F.sum("n").alias("n"))
 
-def _linked_in_windows(frames: Iterator[pd.DataFrame], window: int, threshold: float) -> Iterator[pd.DataFrame]:
-    """From sorted rows, verified links of rows to rows among the window rows before them, which join all that are linked."""
-    for group in whole_groups(_windows(frames, window), ["nth"]):
-        u, part = _unit(group["v"]), group["part"].to_numpy()
-        cid, old = group["cid"].to_numpy(), group["old"].to_numpy()
-        near = (u @ u.T >= threshold) & (part[:, None] == part[None, :])
-        at = np.arange(len(u))
-        near &= (at[None, :] < at[:, None]) & (at[:, None] - at[None, :] <= window)
-        near[old] = False
-        i, j = _forest(near)
-        yield pd.DataFrame({"a": cid[i], "b": cid[j]})
+    def chosen(f: pd.DataFrame) -> pd.DataFrame:
+        near = np.where(f["same"] >= 64, 1.0, agreement(f["bucket"].to_numpy() / 100, threshold) ** (f["same"].to_numpy() + 1))
+        best = None
+        for w in sorted(f["window"].unique()):
+            at = (f["window"] == w).to_numpy()
+            c = f["n"].to_numpy()[at]
+            for p in PASSES:
+                missed = float((c * (1 - near[at]) ** p).sum() / c.sum())
+                cost = (missed > miss, missed if missed > miss else p * (MOVE + w))
+                if best is None or cost < best[0]:
+                    best = cost, w, p, missed
+        return pd.DataFrame({"part": f["part"].iloc[:1], "window": [best[1]], "passes": [best[2]], "missed": [best[3]]})
 
+    return n.groupBy("part").applyInPandas(chosen, "part long, window int, passes int, missed double")
 
-def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least links that join all that near joins: rows and columns of those, in order, whose ends no earlier one joins."""
-    root, kept = np.arange(len(near)), []
+
+def _keyed(frames: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
+    """Each class once for each pass of its label, with the pass's 64 signs as a sort key."""
+    for f in frames:
+        for own in _by_size(f):
+            for p in range(int(own["passes"].max())):
+                x = own[own["passes"] > p]
+                yield pd.DataFrame({"pass": p, "part": x["part"], "key": _keys(x, p, seed), "cid": x["cid"], "window": x["window"], "v": x["v"]})
+
+
+def _linked(u: np.ndarray, cid: np.ndarray, old: int, window: int, threshold: float) -> pd.DataFrame:
+    """Verified links of the rows from old on with the window rows before each, which join all that are linked."""
+    at = np.arange(len(u))
+    near = u[old:] @ u.T >= threshold
+    near &= (at[None, :] < at[old:, None]) & (at[old:, None] - at[None, :] <= window)
+    i, j = _forest(near, old)
+    return pd.DataFrame({"a": cid[i], "b": cid[j]})
+
+
+def _forest(near: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least links that join all that near joins: rows (counted from old) and columns of those, in order, whose ends
+    no earlier one joins."""
+    root, kept = np.arange(near.shape[1]), []
     for i in np.flatnonzero(near.any(axis=1)):
         to = np.flatnonzero(near[i])
         # one link to each tree that the row isn't in yet
         trees, first = np.unique(root[to], return_index=True)
-        other = trees != root[i]
-        kept += [(i, j) for j in to[first[other]]]
-        root[np.isin(root, trees[other])] = root[i]
+        other = trees != root[old + i]
+        kept += [(old + i, j) for j in to[first[other]]]
+        root[np.isin(root, trees[other])] = root[old + i]
     out = np.array(kept, np.int64).reshape(-1, 2)
     return out[:, 0], out[:, 1]
 
 
-def _windows(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
-    """Pieces of window sorted rows, each after the window rows of the same pass and kind before it (marked old)."""
-    nth, held = 0, None
-    for f in whole_groups((f.assign(one=f["pass"] * 1) for f in frames), ["one", "part"]):
-        f, held = f.reset_index(drop=True), None
-        for i in range(0, len(f), window):
-            piece = f.iloc[i : i + window].assign(old=False)
-            both = piece if held is None else pd.concat([held.assign(old=True), piece], ignore_index=True)
-            yield both.assign(nth=nth)
-            nth, held = nth + 1, piece
+_LINKS = "a long, b long, task int, pass int, part long, window int, head boolean, nth int, cid long, v array<{}>"
+_BORDER = ["task", "pass", "part", "window", "head", "nth", "cid", "v"]
+
+
+def _linked_in_windows(frames: Iterator[pd.DataFrame], threshold: float, task: int = 0) -> Iterator[pd.DataFrame]:
+    """From the sorted rows of a task, links of rows with those in their windows; and, marked with the task's number, its
+    first and its last window, whose neighbours are in other tasks. Held are one window and a batch."""
+    held: tuple | None = None  # (pass, part), unit vectors and ids of the last window, its rows
+    heads, head, needed = [], None, 0
+
+    def border(f: pd.DataFrame, first: bool) -> pd.DataFrame:
+        return f.assign(a=None, b=None, task=task, head=first, nth=np.arange(len(f)))[["a", "b", *_BORDER]]
+
+    for f in frames:
+        for at, own in f.groupby(["pass", "part"], sort=False):
+            window = int(own["window"].iloc[0])
+            same = held is not None and held[0] == at
+            if head is None:
+                head, needed = at, window
+            if needed and at == head:
+                heads.append(own.iloc[:needed])
+                needed -= len(heads[-1])
+            for lo in range(0, len(own), 512):
+                rows = own.iloc[lo : lo + 512]
+                u, cid, old = _unit(rows["v"]), rows["cid"].to_numpy(), 0
+                if same:
+                    u, cid, rows, old = np.concatenate([held[1], u]), np.concatenate([held[2], cid]), pd.concat([held[3], rows]), len(held[1])
+                yield _linked(u, cid, old, window, threshold).assign(**dict.fromkeys(_BORDER))
+                held, same = (at, u[-window:], cid[-window:], rows.iloc[-window:]), True
+    if heads:
+        yield border(pd.concat(heads), True)
+        yield border(held[3], False)
+
+
+def _over_borders(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links between the last window of a task and the first of the next, if they are of one pass and label."""
+    g = g.sort_values(["head", "nth"])
+    tail, head = g[~g["head"]], g[g["head"]]
+    if not len(tail) or not len(head) or tail["pass"].iloc[0] != head["pass"].iloc[0] or tail["part"].iloc[0] != head["part"].iloc[0]:
+        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+    both = pd.concat([tail, head])
+    return _linked(_unit(both["v"]), both["cid"].to_numpy(), len(tail), int(g["window"].iloc[0]), threshold)
 
 
 def _counted(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -101,59 +223,76 @@ def _counted(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
 
 
 def embedding_duplicates(
-    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.93, window: int = 128, seed: int = 9
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.93, miss: float = 1e-6, seed: int = 9, windows: tuple[int, ...] = WINDOWS
 ) -> DataFrame:
     """One row for each row of df: id, n_links, component_id, kept, class_id.
 
     Vectors are compared within a label by cosine in double precision. Equal vectors of a label are one class. In
-    each pass the classes are ordered by the signs of 64 random projections, and each is compared with the window
-    rows before it; of the verified links of a piece all are kept that the others don't replace. The links of all passes make components; the number
-    of passes follows from the rows of the largest label, so that a pair at the threshold is missed once in a
-    million. Within the components, which hold all links, classes are compared in blocks of 256 rows a side, and
-    only counts of links leave a task: n_links has no cap, however large a group of near copies is.
+    each pass the classes are ordered by the signs of 64 random projections of the unit vectors less their label's
+    mean, and each is compared with the rows in the window before it, over the borders of tasks as well; of the verified
+    links of a piece all are kept that the others don't replace. The links of all passes make components. Each label has
+    its own window and number of passes, from an order measured over all its rows (plans()), so that a pair at the
+    threshold is expected to be missed at a rate of miss; a label for which the largest window and 1,024 passes don't do
+    gets these. Within the components, classes are compared in blocks of 2,048 rows a side, and only counts of links
+    leave a task: n_links has no cap, however large a group of near copies is.
 
     Null labels (where a label column is given), null and empty vectors, zero vectors and those with null, NaN or
     infinite components link with nothing. Vectors of different length don't link. Rows that repeat an id count as
     vectors of their own. Rows with null id link with nothing. An empty table gives an empty result. Other columns
     are not read. Ids are integers.
     """
-    small_batches(df.sparkSession, 2048)
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    label = F.col(label_col).cast("string") if label_col else F.lit("")
-    rows = df.select(F.col(id_col).alias("id"), label.alias("label"), v.alias("v")).withColumn(
-        "good",
-        F.coalesce(
-            F.col("id").isNotNull() & F.col("label").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
-        ),
-    )
-    rows = rows.withColumn("size_", F.size("v")).withColumn("part", F.xxhash64("label", "size_"))
-    rows = stash(rows.withColumn("v", F.transform("v", lambda x: x + 0.0)), "vectors")
-    good = rows.where("good")
-    classes = stash(good.groupBy("label", "v").agg(F.min("id").cast("long").alias("cid"), F.count("*").alias("size"), F.first("part").alias("part"), F.first("size_").alias("size_")), "classes")
-    most = classes.groupBy("part").count().agg(F.max("count")).first()[0] or 0
-
-    keyed = _keyed(classes, passes_needed(most, window, threshold), seed)
-    dealt = keyed.repartitionByRange(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "pass", "part", "key").sortWithinPartitions("pass", "part", "key", "cid")
-    links = stash(dealt.mapInPandas(lambda frames: _linked_in_windows(frames, window, threshold), "a long, b long").distinct(), "links")
-    found = stash(connected_components(links), "found")
-
-    member = classes.withColumn("k", fresh_key("cid")).join(found.select(F.col("node").alias("cid"), "component", fresh_key("node").alias("k")), ["k", "cid"])
-    sizes = member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    member = member.select("cid", "component", "size", "v", fresh_key("component").alias("k")).join(sizes.withColumn("k", fresh_key("component")), ["k", "component"])
-    member = member.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "cid"), F.col("blocks")))
-    tasks = member.select("cid", "component", "size", "v", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "size", "v")
-    tasks = tasks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "cid")
-    counted = tasks.mapInPandas(lambda frames: _counted(frames, threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
-
-    groups = classes.select("label", "v", "cid", "size").withColumn("k", fresh_key("cid"))
-    groups = groups.join(found.select(F.col("node").alias("cid"), "component", fresh_key("node").alias("k")), ["k", "cid"], "left").join(counted.withColumn("k", fresh_key("cid")), ["k", "cid"], "left")
-    groups = groups.select("label", "v", "cid", F.coalesce("component", "cid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), fresh_key("label", "v").alias("k"))
-    out = rows.withColumn("k", F.when(F.col("good"), fresh_key("label", "v"))).join(groups, ["k", "label", "v"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.coalesce("cid", "id").alias("class_id")
-    )
+    with temporary() as keep:
+        spark = df.sparkSession
+        real = "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+        v = F.transform(F.col(vector_col), lambda x: x.cast(real) + F.lit(0.0).cast(real))
+        label = F.col(label_col).cast("string") if label_col else F.lit("")
+        rows = df.select(F.col(id_col).alias("id"), label.alias("label"), v.alias("v"))
+        finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+        rows = rows.withColumn("good", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False)))
+        rows = keep(stash(rows.withColumn("size_", F.size("v")).withColumn("part", F.xxhash64("label", "size_")), "vectors"))
+        classes = rows.where("good").groupBy("label", "v").agg(F.min("id").cast("long").alias("cid"), F.count("*").alias("size"), F.first("part").alias("part"), F.first("size_").alias("size_"))
+        classes = keep(stash(classes, "classes"))
+
+        sums = classes.select("part", "v").mapInPandas(_sums, "part long, x array<double>").select("part", F.posexplode("x").alias("at", "x"))
+        sums = sums.groupBy("part", "at").agg(F.sum("x").alias("x")).groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("x"))
+        means = stash(sums.select("part", F.element_at("x", -1).cast("long").alias("n"), F.transform(F.slice("x", 1, F.size("x") - 1), lambda x: x / F.element_at("x", -1)).alias("mean")), "means")
+        centred = classes.select("part", "cid", "size_", "v", fresh_key("part").alias("k")).join(means.withColumn("k", fresh_key("part")), ["k", "part"]).drop("k")
+
+        partitions = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        trials = centred.select("part", "size_", "v", "mean", "n").mapInPandas(lambda f: _trials(f, seed), "pass int, part long, key long, spread double, n long")
+        trials = trials.repartitionByRange(partitions, "pass", "part", "key").sortWithinPartitions("pass", "part", "key")
+        plan = stash(plans(trials.mapInPandas(lambda f: _ahead(f, windows), "part long, window int, bucket int, same int, n long"), threshold, miss, windows), "plans")
+
+        moved = means.select("part", "n").join(plan, "part").agg(F.sum(F.col("n") * F.col("passes")), F.max("window")).first()
+        partitions = max(1, min(partitions, (moved[0] or 0) // (8 * (moved[1] or 1))))
+        keyed = centred.withColumn("k", fresh_key("part")).join(plan.withColumn("k", fresh_key("part")), ["k", "part"]).select("part", "cid", "size_", "v", "mean", "window", "passes")
+        keyed = keyed.mapInPandas(lambda f: _keyed(f, seed), f"pass int, part long, key long, cid long, window int, v array<{real}>")
+        dealt = keyed.repartitionByRange(partitions, "pass", "part", "key").sortWithinPartitions("pass", "part", "key", "cid")
+        found = stash(dealt.mapInPandas(lambda f: _linked_in_windows(f, threshold, TaskContext.get().partitionId()), _LINKS.format(real)), "links")
+        ends = found.where("task is not null")
+        before = ends.select("task").distinct().withColumn("edge", F.lag("task").over(Window.orderBy("task")))
+        ends = ends.join(F.broadcast(before), "task").withColumn("edge", F.when(F.col("head"), F.col("edge")).otherwise(F.col("task"))).where("edge is not null")
+        over = ends.groupBy("edge").applyInPandas(lambda g: _over_borders(g, threshold), "a long, b long")
+        links = stash(found.where("task is null").select("a", "b").union(over).distinct(), "links")
+        found = keep(stash(connected_components(links), "found"))
+
+        member = classes.withColumn("k", fresh_key("cid")).join(found.select(F.col("node").alias("cid"), "component", fresh_key("node").alias("k")), ["k", "cid"])
+        sizes = member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+        member = member.select("cid", "component", "size", "v", fresh_key("component").alias("k")).join(sizes.withColumn("k", fresh_key("component")), ["k", "component"])
+        member = member.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "cid"), F.col("blocks")))
+        tasks = member.select("cid", "component", "size", "v", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        tasks = tasks.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "size", "v")
+        tasks = tasks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "cid")
+        counted = tasks.mapInPandas(lambda frames: _counted(frames, threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+
+        groups = classes.select("label", "v", "cid", "size").withColumn("k", fresh_key("cid"))
+        groups = groups.join(found.select(F.col("node").alias("cid"), "component", fresh_key("node").alias("k")), ["k", "cid"], "left").join(counted.withColumn("k", fresh_key("cid")), ["k", "cid"], "left")
+        groups = groups.select("label", "v", "cid", F.coalesce("component", "cid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), fresh_key("label", "v").alias("k"))
+        out = rows.withColumn("k", F.when(F.col("good"), fresh_key("label", "v"))).join(groups, ["k", "label", "v"], "left")
+        component = F.coalesce("component", "id")
+        return out.select(
+            F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.coalesce("cid", "id").alias("class_id")
+        )
 
 
 def op3_embedding_dedup(spark, sf_dir: str) -> DataFrame:
