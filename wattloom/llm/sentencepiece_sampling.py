@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import mixed, small_batches
+from wattloom.llm.common import mixed
 
 SPACE = "▁"
 #: No piece spans a border of these units: spaces stand only before other letters, line feeds only alone.
@@ -23,6 +25,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A literal U+2581 in a text; no piece has it, so that it is spelled in bytes and comes back.
 _LITERAL = 0x110000
 _CHARS = 2_000_000
+#: Units that are gone through one by one, when no more are left that are so long.
+FEW = 8
 _PLACE_BITS = 18
 
 
@@ -130,18 +134,62 @@ class Lattice:
         beta, t, w = np.zeros(nodes), self.target[order], weight[order]
         levels = np.searchsorted(left[turn], np.arange(1, (left.max() if nodes else 0) + 2))
         for lo, hi in zip(levels[:-1], levels[1:], strict=True):
-            if lo == hi:
-                continue
+            if hi - lo < FEW:
+                break
             i, j = end[lo] - deg[lo], end[hi - 1]
             x = w[i:j] + beta[t[i:j]]
             first = end[lo:hi] - deg[lo:hi] - i
             top = np.maximum.reduceat(x, first)
             beta[turn[lo:hi]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, deg[lo:hi])), first))
+        else:
+            lo = hi if len(levels) > 1 else 0
+        self._few(beta, turn[lo:], deg[lo:], t[len(t) - int(deg[lo:].sum()) :], w[len(t) - int(deg[lo:].sum()) :])
         self.logp = weight + beta[self.target] - np.repeat(beta, degree[:-1])
         self.p = np.exp(self.logp)
         self.done = np.zeros(nodes, bool)
         self.done[self.start + n] = True
 
+    @staticmethod
+    def _few(beta: np.ndarray, turn: np.ndarray, degree: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
+        """beta of the nodes in turn, one by one: few units are so long, so there is little to do at once."""
+        known: dict[int, float] = {}
+        e, t, w = 0, target.tolist(), weight.tolist()
+        for node, d in zip(turn.tolist(), degree.tolist(), strict=True):
+            x = []
+            for k in range(e, e + d):
+                b = known.get(t[k])
+                x.append(w[k] + (beta.item(t[k]) if b is None else b))
+            e += d
+            top = max(x)
+            known[node] = top + math.log(sum(math.exp(v - top) for v in x))
+        if known:
+            beta[list(known)] = list(known.values())
+
+    def walk(self, node: int, key: np.uint64, sample: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(edges, a number in (0, 1) for each) of the rest of a random way from node to the end of its unit."""
+        stop = node + int(np.argmax(self.done[node:]))
+        base = int(self.first[node])
+        first = (self.first[node : stop + 1] - base).tolist()
+        p, target = self.p[base : int(self.first[stop])].tolist(), self.target[base : int(self.first[stop])].tolist()
+        edges, spare = [], []
+        now = node
+        while now < stop:
+            h = _hashed(np.full(4096, key), sample << 32 | np.arange(step, step + 4096))
+            u, other = _uniform(h).tolist(), _uniform(h, 1)
+            n = 0
+            while n < 4096 and now < stop:
+                e, last, x = first[now - node], first[now - node + 1] - 1, u[n]
+                x -= p[e]
+                while x >= 0 and e < last:
+                    e += 1
+                    x -= p[e]
+                edges.append(base + e)
+                now = target[e]
+                n += 1
+            spare.append(other[:n])
+            step += n
+        return np.array(edges, np.int64), np.concatenate(spare) if spare else np.empty(0)
+
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by its probability."""
         e, last = self.first[node], self.first[node + 1] - 1
@@ -191,7 +239,7 @@ def _completed(lattice: Lattice, node: np.ndarray, key: np.ndarray, sample: int)
     the end of its unit. key: a hash for each unit."""
     steps, who, spare = [], [], []
     active, now = np.flatnonzero(~lattice.done[node]), node[~lattice.done[node]]
-    while len(active):
+    while len(active) >= FEW:
         h = _hashed(key[active], sample << 32 | len(steps))
         e = lattice.draw(now, _uniform(h))
         steps.append(e)
@@ -203,10 +251,15 @@ def _completed(lattice: Lattice, node: np.ndarray, key: np.ndarray, sample: int)
     count = np.zeros(len(node), np.int64)
     for w in who:
         count[w] += 1
+    rest = [lattice.walk(int(x), key[i], sample, len(steps)) for i, x in zip(active, now, strict=True)]
+    count[active] += np.fromiter((len(e) for e, _ in rest), np.int64, len(rest))
     at = np.cumsum(count) - count
     out, left = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()))
     for i, (e, w, u) in enumerate(zip(steps, who, spare, strict=True)):
         out[at[w] + i], left[at[w] + i] = e, u
+    for i, (e, u) in zip(active, rest, strict=True):
+        own = slice(at[i] + len(steps), at[i] + len(steps) + len(e))
+        out[own], left[own] = e, u
     return out, count, left
 
 
@@ -222,9 +275,8 @@ def sample_segmentations(texts: list[str], keys: list[int], k: int, vocab: Vocab
     per_text = [_UNIT.findall(" " + t) if t else [] for t in texts]
     n_units = np.fromiter(map(len, per_text), np.int64, len(per_text))
     units = list(chain.from_iterable(per_text))
-    index = {u: i for i, u in enumerate(dict.fromkeys(units))}
-    lattice = Lattice(list(index), vocab)
-    unit = np.fromiter(map(index.__getitem__, units), np.int64, len(units))
+    unit, distinct = pd.factorize(np.array(units, object))
+    lattice = Lattice(list(distinct), vocab)
     text = np.repeat(np.arange(len(texts)), n_units)
     key = np.array(keys, np.uint64)
     unit_start = np.cumsum(n_units) - n_units
@@ -314,25 +366,27 @@ def decoded(ids: np.ndarray, vocab: Vocabulary) -> str:
     return b"".join(map(vocab.bytes_of.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
 
 
-def encode_samples(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 1) -> DataFrame:
+def encode_samples(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 1, copy_col: str | None = None) -> DataFrame:
     """k rows for each row of df: id, sample (from 0), piece_ids, n_pieces, log_prob, perturbed, inclusion, round_trip.
 
     Each row is a distinct segmentation of the whole text, sampled without replacement with probabilities from the
     lattice of the model's pieces. The seed of a text is its id, so that reruns agree and rows don't depend on their
     neighbours. round_trip says that decoding gives the text. log_prob is normalised over all segmentations.
 
+    copy_col, if given, has numbers from 1 on for rows that repeat an id; those above 1 are part of the seed.
+
     A text with fewer than k segmentations has one row for each (inclusion 1). Null and empty texts have one row, of
     no pieces (null: piece_ids null). Rows that repeat an id are sampled with the same seed. Null ids have a seed of
     their own. Characters without a piece are spelled in byte pieces. Other columns are not read.
     """
-    small_batches(df.sparkSession, 1024)
     kind = df.schema[id_col].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
         for b in batches:
             ids, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
-            keys = [xxhash.xxh3_64_intdigest(str(i).encode(), seed) for i in ids]
+            copies = b.column("copy").to_pylist()
+            keys = [xxhash.xxh3_64_intdigest((f"{i}" if c <= 1 else f"{i}/{c}").encode(), seed) for i, c in zip(ids, copies, strict=True)]
             lo = 0
             while lo < len(texts):
                 hi, size = lo, 0
@@ -360,7 +414,8 @@ def encode_samples(df: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 )
                 lo = hi
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    copy = F.coalesce(F.col(copy_col).cast("int"), F.lit(1)) if copy_col else F.lit(1)
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), copy.alias("copy"))
     out = out.mapInArrow(encoded, f"id {kind}, sample int, piece_ids array<int>, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
