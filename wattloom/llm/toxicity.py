@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import small_batches, stash
+from wattloom.llm.common import stash, temporary
 
 #: Letters of other scripts that look like Latin ones, and the digits and signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсухіѕјһԁԛԝкмтнвαοενρτυικ", "aeopcyxisjhdqwkmthbaoevptuik", strict=True))
@@ -72,8 +72,19 @@ def measures(text: str | None, automaton: ahocorasick.Automaton) -> tuple[float,
         return 0.0, 0.0, 0.0
     hits, spared = [], []
     for end, (length, weight) in automaton.iter(f" {' '.join(w)} "):
-        (spared if weight is None else hits).append((end - length, end, weight))
-    total = sum(x for a, b, x in hits if not any(c <= a and b <= d for c, d, _ in spared))
+        (spared if weight is None else hits).append((end - length, end, weight or 0.0))
+    if spared:
+        hits.sort()
+        spared.sort()
+        left, reach, i = [], -1, 0
+        for a, b, x in hits:
+            while i < len(spared) and spared[i][0] <= a:
+                reach = max(reach, spared[i][1])
+                i += 1
+            if b > reach:
+                left.append((a, b, x))
+        hits = left
+    total = sum(x for _, _, x in hits)
     return total, total**0.5, 100 * total / len(w)
 
 
@@ -154,6 +165,8 @@ def toxicity_scores(
     threshold: float = 0.7,
     sample: int = 40_000,
     exceptions: tuple[str, ...] = (),
+    most_words: int = 20_000,
+    most_phrases: int = 20_000,
 ) -> DataFrame:
     """One row for each row of df: id, held_out, score (0 to 1), predicted (1 where score >= threshold), weight.
 
@@ -161,30 +174,31 @@ def toxicity_scores(
     toxic texts make the lexicon, weighted by log odds; exceptions (given ones and those learned) are phrases in which
     they don't count. A logistic curve over the weight, summed and by length, gives the score. Rows whose crc32(id as
     text) mod folds is held_fold never train. Training reads a hashed sample of about so many labelled rows as sample
-    says.
+    says. Of more than most_words significant words or most_phrases learned exceptions, which every task holds, those
+    with the highest ratio or count make the lexicon.
 
     Null and empty texts have no hits and the lowest score. Labels other than 0 and 1 and null ids train nothing; with
     no toxic label the lexicon is empty and all scores are equal. Rows that repeat an id are scored one by one. Other
     columns are not read.
     """
-    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == held_fold, F.lit(False))
     marks = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held & F.col(id_col).isNotNull()).withColumnRenamed(id_col, "id")
     part = min(1.0, sample / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) < part * (1 << 20))
-    # the sampled labels are bounded, so they go to the texts
-    train = stash(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id").select("text", "y"), "toxic")
-    n = {r.y: r["count"] for r in train.groupBy("y").count().collect()}
-
-    words = learn_words(train, n.get(1, 0), n.get(0, 0))
-    spared = tuple(" ".join(folded(p)) for p in exceptions) + (learn_exceptions(train, words) if words else ())
-    lexicon = Lexicon(words, spared)
-    if words:
-        m = score_texts(train.withColumnRenamed("y", "id"), lexicon, "id").select("id", "weight", "root", "dense").toPandas()
-        lexicon = Lexicon(words, spared, fit_curve(m[["weight", "root", "dense"]].to_numpy(), m["id"].to_numpy()))
-    else:
-        lexicon = Lexicon(words, spared, (0.0, 0.0, 0.0, -3.0))
+    with temporary():
+        # the sampled labels are bounded, so they go to the texts
+        train = stash(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id").select("text", "y"), "toxic")
+        n = {r.y: r["count"] for r in train.groupBy("y").count().collect()}
+
+        words = learn_words(train, n.get(1, 0), n.get(0, 0), most_words=most_words)
+        spared = tuple(" ".join(folded(p)) for p in exceptions) + (learn_exceptions(train, words, most_phrases) if words else ())
+        lexicon = Lexicon(words, spared)
+        if words:
+            m = score_texts(train.withColumnRenamed("y", "id"), lexicon, "id").select("id", "weight", "root", "dense").toPandas()
+            lexicon = Lexicon(words, spared, fit_curve(m[["weight", "root", "dense"]].to_numpy(), m["id"].to_numpy()))
+        else:
+            lexicon = Lexicon(words, spared, (0.0, 0.0, 0.0, -3.0))
     out = score_texts(df, lexicon, id_col, text_col).withColumnRenamed("id", id_col)
     return out.select(F.col(id_col).cast(kind).alias(id_col), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "weight")
 
