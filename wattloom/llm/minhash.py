@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import connected_components, fresh_key, intersections, mixed, set_digest, shingles, small_batches, stash, whole_groups, word_hashes
+from wattloom.llm.common import connected_components, fresh_key, intersections, mixed, set_digest, shingles, stash, temporary, whole_groups, word_hashes
 
 #: Buckets of a sketch; a register has 6 bits for the count of leading zeros and 10 of mantissa; four make a band.
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
@@ -114,23 +114,36 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.select("a", "b", "t_a", "t_b").mapInPandas(linked, "a long, b long")
 
 
+def _open_pairs(a: pd.DataFrame, b: pd.DataFrame, threshold: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of pairs of different components that sizes and sketches allow to be linked."""
+    na, nb = a["n"].to_numpy(), b["n"].to_numpy()
+    small, large = np.minimum.outer(na, nb), np.maximum.outer(na, nb)
+    i, j = np.nonzero((a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :]) & (small >= large * (threshold - 1e-9)))
+    if not len(i):
+        return i, j
+    sa, sb = (np.stack(x["bands"].to_numpy()).astype(np.int64).view(np.uint16) for x in (a, b))
+    likely = estimated(sa[i], sb[j], na[i], nb[j]) >= threshold - margin
+    return i[likely], j[likely]
+
+
+def _likely_across(frames: Iterator[pd.DataFrame], threshold: float, margin: float) -> Iterator[pd.DataFrame]:
+    """Of blocks of classes, the rows that may be linked with a row of the other side."""
+    for g in whole_groups(frames, ["hub", "i", "j"]):
+        a, b = g[g["first"]], g[~g["first"]]
+        i, j = _open_pairs(a, b, threshold, margin)
+        if len(i):
+            yield pd.concat([a.iloc[np.unique(i)], b.iloc[np.unique(j)]])
+
+
 def _linked_across(frames: Iterator[pd.DataFrame], words: int, percent: int, margin: float) -> Iterator[pd.DataFrame]:
     """From blocks of classes, links between rows of the first side and rows of other components, one for each
     component that a row links with."""
-    threshold = percent / 100
     for g in whole_groups(frames, ["hub", "i", "j"]):
         a, b = g[g["first"]], g[~g["first"]]
-        na, nb = a["n"].to_numpy(), b["n"].to_numpy()
-        small, large = np.minimum.outer(na, nb), np.maximum.outer(na, nb)
-        open_ = (a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :]) & (small >= large * (threshold - 1e-9))
-        i, j = np.nonzero(open_)
-        if not len(i):
-            continue
-        sa, sb = (np.stack(x["bands"].to_numpy()).astype(np.int64).view(np.uint16) for x in (a, b))
-        likely = estimated(sa[i], sb[j], na[i], nb[j]) >= threshold - margin
-        i, j = i[likely], j[likely]
+        i, j = _open_pairs(a, b, percent / 100, margin)
         if not len(i):
             continue
+        na, nb = a["n"].to_numpy(), b["n"].to_numpy()
         ua, ub = np.unique(i), np.unique(j)
         sets = [shingles(word_hashes(t), words) for t in [*a["text"].iloc[ua], *b["text"].iloc[ub]]]
         if len(i) <= 32:
@@ -159,51 +172,57 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingle. Rows that repeat an id share its class if their texts agree; if not, one of the texts is compared.
     Rows with null id stay alone. An empty table gives an empty result. Other columns are not read. Ids are integers.
     """
-    small_batches(df.sparkSession)
-    threshold = percent / 100
-    sigs = stash(sketches(df, id_col, text_col, words), "sketches")
-    named = sigs.where("n > 0 and id is not null")
-    classes = stash(named.groupBy("h0", "h1").agg(F.min("id").cast("long").alias("cid"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-
-    rows = classes.select("cid", F.posexplode("bands").alias("at", "band")).select("cid", F.xxhash64("at", "band").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = rows.withColumn("k", fresh_key("key")).join(shared.withColumn("k", fresh_key("key")), ["k", "key"]).where("cid <> hub")
-    pairs = stash(members.select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "members")
-
-    some = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    # merged at every size: the ids grow with the table, and a plan that changes with size can't be projected
-    texts = stash(texts.join(some.withColumnRenamed("a", "cid").hint("merge"), "cid", "left_semi").dropDuplicates(["cid"]), "texts")
-
-    links = stash(_verified(stash(_plausible(pairs, classes, threshold, margin), "pairs"), texts, words, percent), "links")
-    found = stash(connected_components(links), "found")
-
-    parts = found.select(F.col("node").alias("cid"), "component", fresh_key("node").alias("k"))
-    owned = pairs.select(F.col("a").alias("cid"), F.col("b").alias("hub"), fresh_key("a").alias("k")).join(parts, ["k", "cid"], "left")
-    owned = owned.select("cid", "hub", F.coalesce("component", "cid").alias("component"))
-    counts = owned.groupBy("hub", "component").agg(F.count("*").alias("c"))
-    open_ = counts.groupBy("hub").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = lambda c: F.ceil(c / BLOCK).cast("long")
-    open_ = open_.select("hub", F.col("major.component").alias("major"), blocks(F.col("m") - F.col("major.c")).alias("bi"), blocks(F.col("m")).alias("bj"), fresh_key("hub").alias("k"))
-    sides = owned.withColumn("k", fresh_key("hub")).join(open_, ["k", "hub"]).drop("k").withColumn("k", fresh_key("cid"))
-    sides = sides.join(classes.select("cid", "n", "bands", fresh_key("cid").alias("k")), ["k", "cid"]).join(texts.withColumn("k", fresh_key("cid")), ["k", "cid"])
-    at = lambda n: F.pmod(F.xxhash64(F.lit(23), "cid"), F.col(n))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    kept = ["hub", "cid", "component", "n", "bands", "text"]
-    one = sides.where("component <> major").select(*kept, F.lit(True).alias("first"), at("bi").alias("i"), upto("bj").alias("j"))
-    other = sides.select(*kept, F.lit(False).alias("first"), upto("bi").alias("i"), at("bj").alias("j"))
-    tasks = one.unionByName(other).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    more = stash(tasks.mapInPandas(lambda frames: _linked_across(frames, words, percent, margin), "a long, b long"), "links")
-    if not more.isEmpty():
-        found = stash(connected_components(links.union(more)), "found")
-
-    groups = classes.withColumn("k", fresh_key("cid")).join(found.select(F.col("node").alias("cid"), "component", fresh_key("node").alias("k")), ["k", "cid"], "left")
-    groups = groups.select("h0", "h1", "cid", F.coalesce("component", "cid").alias("component"), fresh_key("h0", "h1").alias("k"))
-    out = sigs.withColumn("k", F.when(F.expr("n > 0 and id is not null"), fresh_key("h0", "h1"))).join(groups, ["k", "h0", "h1"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.coalesce("cid", "id").alias("class_id")
-    )
+    with temporary() as keep:
+        threshold = percent / 100
+        sigs = keep(stash(sketches(df, id_col, text_col, words), "sketches"))
+        named = sigs.where("n > 0 and id is not null")
+        classes = keep(stash(named.groupBy("h0", "h1").agg(F.min("id").cast("long").alias("cid"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes"))
+
+        rows = classes.select("cid", F.posexplode("bands").alias("at", "band")).select("cid", F.xxhash64("at", "band").alias("key"))
+        shared = rows.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("size")).where("size > 1")
+        members = rows.withColumn("k", fresh_key("key")).join(shared.withColumn("k", fresh_key("key")), ["k", "key"]).where("cid <> hub")
+        pairs = stash(members.select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "members")
+
+        some = pairs.select("a").union(pairs.select("b")).distinct()
+        texts = df.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+        # merged at every size: the ids grow with the table, and a plan that changes with size can't be projected
+        texts = stash(texts.join(some.withColumnRenamed("a", "cid").hint("merge"), "cid", "left_semi").dropDuplicates(["cid"]), "texts")
+
+        links = stash(_verified(stash(_plausible(pairs, classes, threshold, margin), "pairs"), texts, words, percent), "links")
+        found = stash(connected_components(links), "found")
+
+        parts = found.select(F.col("node").alias("cid"), "component", fresh_key("node").alias("k"))
+        owned = pairs.select(F.col("a").alias("cid"), F.col("b").alias("hub"), fresh_key("a").alias("k")).join(parts, ["k", "cid"], "left")
+        owned = owned.select("cid", "hub", F.coalesce("component", "cid").alias("component"))
+        counts = owned.groupBy("hub", "component").agg(F.count("*").alias("c"))
+        open_ = counts.groupBy("hub").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
+        blocks = lambda c: F.ceil(c / BLOCK).cast("long")
+        open_ = open_.select("hub", F.col("major.component").alias("major"), blocks(F.col("m") - F.col("major.c")).alias("bi"), blocks(F.col("m")).alias("bj"), fresh_key("hub").alias("k"))
+        sides = owned.withColumn("k", fresh_key("hub")).join(open_, ["k", "hub"]).drop("k").withColumn("k", fresh_key("cid"))
+        sides = sides.join(classes.select("cid", "n", "bands", fresh_key("cid").alias("k")), ["k", "cid"])
+        at = lambda n: F.pmod(F.xxhash64(F.lit(23), "cid"), F.col(n))
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        kept = ["hub", "cid", "component", "n", "bands"]
+        one = sides.where("component <> major").select(*kept, F.lit(True).alias("first"), at("bi").alias("i"), upto("bj").alias("j"))
+        other = sides.select(*kept, F.lit(False).alias("first"), upto("bi").alias("i"), at("bj").alias("j"))
+        tasks = one.unionByName(other).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+        kind = "hub long, cid long, component long, n long, bands array<long>, first boolean, i long, j long"
+        # texts move only for classes that sketches leave open
+        likely = tasks.mapInPandas(lambda frames: _likely_across(frames, threshold, margin), kind)
+        likely = likely.withColumn("k", fresh_key("cid")).join(texts.withColumn("k", fresh_key("cid")), ["k", "cid"]).drop("k")
+        likely = likely.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+        more = stash(likely.mapInPandas(lambda frames: _linked_across(frames, words, percent, margin), "a long, b long"), "links")
+        if not more.isEmpty():
+            found = stash(connected_components(links.union(more)), "found")
+
+        keep(found)
+        groups = classes.withColumn("k", fresh_key("cid")).join(found.select(F.col("node").alias("cid"), "component", fresh_key("node").alias("k")), ["k", "cid"], "left")
+        groups = groups.select("h0", "h1", "cid", F.coalesce("component", "cid").alias("component"), fresh_key("h0", "h1").alias("k"))
+        out = sigs.withColumn("k", F.when(F.expr("n > 0 and id is not null"), fresh_key("h0", "h1"))).join(groups, ["k", "h0", "h1"], "left")
+        component = F.coalesce("component", "id")
+        return out.select(
+            F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.coalesce("cid", "id").alias("class_id")
+        )
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
