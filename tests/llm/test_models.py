@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattloom.llm.langid import Profiles, identify_language
-from wattloom.llm.mixing import mix, mixed_documents, splitting_tree, targets
+from wattloom.llm.mixing import mix, mixed_documents, shard_quotas, splitting_tree, targets
 from wattloom.llm.quality import bradley_terry, quality_scores
 from wattloom.llm.sentencepiece_sampling import Lattice, decode_pieces, decoded, default_model, encode_samples, sample_segmentations, vocabulary
 from wattloom.llm.toxicity import Lexicon, folded, measures, toxicity_scores
@@ -37,11 +38,34 @@ def test_targets_by_hand():
     assert targets(np.array([]), np.array([])).tolist() == []
 
 
-def test_splitting_tree_is_exact():
+def test_splitting_tree_is_exact(spark):
     quotas = np.array([70, 0, 13, 1])
-    tree = splitting_tree(quotas, 7, 3)
+    tree = np.zeros((7, 4), int)
+    for lo, hi, nth, left in splitting_tree(0, 7, np.arange(4), quotas, 3):
+        assert hi == lo + 1
+        tree[lo, nth] = left
     assert tree.sum(axis=0).tolist() == quotas.tolist() and set(tree.sum(axis=1)) <= {12, 13}
-    assert (tree == splitting_tree(quotas, 7, 3)).all()
+    rows = spark.createDataFrame([(i, int(q)) for i, q in enumerate(quotas)], "nth long, units long")
+    again = np.zeros((7, 4), int)
+    for r in shard_quotas(rows, 7, 3).collect():
+        again[r.shard, r.nth] += r.units
+    assert (tree == again).all()
+
+
+def test_many_sources_and_shards(spark):
+    """20,000 sources among 3,000 shards, of which no table of all pairs is made."""
+    rows = spark.range(20_000).select(F.col("id").alias("nth"), (F.col("id") % 5).alias("units"))
+    out = shard_quotas(rows, 3000, 1)
+    by_shard = [r.n for r in out.groupBy("shard").agg(F.sum("units").alias("n")).collect()]
+    assert len(by_shard) == 3000 and max(by_shard) - min(by_shard) <= 1
+    wrong = out.groupBy("nth").agg(F.sum("units").alias("n")).join(rows, "nth", "full").where("coalesce(n, 0) <> units")
+    assert out.agg(F.min("units")).first()[0] > 0 and wrong.count() == 0
+
+
+def test_mixed_documents_with_clashing_names(spark):
+    df = frame(spark, ["a b", "c"]).withColumns({n: F.lit("x") for n in ("_source", "_block", "_shard", "_shards", "shards", "copy", "SHARD", "target", "block")})
+    out = mixed_documents(df)
+    assert out.columns == df.columns and {r.shards for r in out.collect()} == {"x"}
 
 
 def test_mix(spark):
@@ -269,3 +293,52 @@ def test_encode_and_decode_tables(spark):
     back = {(r.doc_id, r.text) for r in decode_pieces(out, default_model()).collect()}
     assert back == {(i, t) for i, t in enumerate([*ODD, None])}
     assert encode_samples(df.limit(0), default_model()).count() == 0
+
+
+# --- long texts ---------------------------------------------------------------------------------------------------------
+
+
+def measures_by_force(text, automaton):
+    w = folded(text)
+    joined = f" {' '.join(w)} "
+    found = [(end - n, end, x) for end, (n, x) in automaton.iter(joined)]
+    spared = [(a, b) for a, b, x in found if x is None]
+    return sum(x for a, b, x in found if x is not None and not any(c <= a and b <= d for c, d in spared))
+
+
+def test_exceptions_of_long_texts():
+    a = Lexicon({"trash": 2.0, "can": 1.0, "bad": 0.5}, ("trash can", "not bad at", "at all")).automaton()
+    rng = random.Random(5)
+    for _ in range(200):
+        t = " ".join(rng.choices(["trash", "can", "not", "bad", "at", "all", "x"], k=30))
+        assert measures(t, a)[0] == pytest.approx(measures_by_force(t, a))
+    begin = time.process_time()
+    assert measures("trash can bad " * 100_000, a)[0] == pytest.approx(50_000)
+    assert time.process_time() - begin < 20
+
+
+def test_unbroken_text_takes_seconds():
+    vocab = vocabulary(default_model())
+    text = "".join(chr(97 + (i * i * 31 + i) % 26) for i in range(300_000))
+    begin = time.process_time()
+    rows = list(sample_segmentations([text, "short text", text[:50]], [1, 2, 3], 2, vocab))
+    assert time.process_time() - begin < 30
+    assert len(rows) == 6 and all(decoded(r[2], vocab) == [text, "short text", text[:50]][r[0]] for r in rows)
+
+
+def test_units_alone_and_together_agree():
+    """Few long units are gone through one by one, many at once, with the same draws."""
+    vocab = vocabulary(default_model())
+    text = "Unzusammenhängend" * 30
+    alone = list(sample_segmentations([text], [7], 2, vocab))
+    others = [text[: 400 + 10 * i] for i in range(12)]
+    together = [r for r in sample_segmentations([text, *others], [7, *range(100, 112)], 2, vocab) if r[0] == 0]
+    assert [r[2].tolist() for r in alone] == [r[2].tolist() for r in together]
+    assert [r[3] for r in alone] == pytest.approx([r[3] for r in together])
+
+
+def test_copies_have_seeds_of_their_own(spark):
+    df = spark.createDataFrame([(1, "several words to be cut in pieces", 1), (1, "several words to be cut in pieces", 2)], "doc_id long, text string, copy int")
+    plain = {r.perturbed for r in encode_samples(df.limit(1), default_model()).collect()}
+    rows = {r.perturbed for r in encode_samples(df, default_model(), copy_col="copy").collect()}
+    assert len(plain) == 2 and len(rows) == 4 and plain < rows

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import small_batches, stash
+from wattloom.llm.common import sliced, stash, temporary
 
 #: Letters share so many codes (0: between words); letters beyond them share by their code point.
 CODES = 256
@@ -80,7 +80,6 @@ def identify_language(
     go to the first language in code point order. Rows that repeat an id are judged one by one. Other columns are
     not read. The driver holds one vector for each language, and refuses over MOST_LANGUAGES.
     """
-    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == held_fold, F.lit(False))
 
@@ -93,7 +92,7 @@ def identify_language(
             g = np.fromiter(own.keys(), np.uint32, len(own))
             sums[lang] = sums.get(lang, 0.0) + p.bundle(g, np.fromiter(own.values(), np.int64, len(own))).astype(np.float64)
 
-        for f in frames:
+        for f in sliced(frames, "text"):
             for lang, own in f.groupby("lang")["text"]:
                 both = [p.grams(t) for t in own]
                 g, c = np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both])
@@ -110,7 +109,8 @@ def identify_language(
     train = df.where(F.col(lang_col).isNotNull() & ~held & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     parts = train.mapInPandas(learned, "lang string, v array<double>").select("lang", F.posexplode("v").alias("at", "x"))
     summed = parts.groupBy("lang", "at").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("v"))
-    rows = sorted(stash(summed, "prototypes").limit(MOST_LANGUAGES + 1).collect(), key=lambda r: r.lang.encode())
+    with temporary():
+        rows = sorted(stash(summed, "prototypes").limit(MOST_LANGUAGES + 1).collect(), key=lambda r: r.lang.encode())
     if len(rows) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     langs = [r.lang for r in rows]

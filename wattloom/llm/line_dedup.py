@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import discard, fresh_key, grouped_frames, intersections, mixed, small_batches, stash, unused
+from wattloom.llm.common import fresh_key, grouped_frames, intersections, mixed, sliced, stash, temporary, unused
 
 _ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _BYTE = mixed(np.arange(1000, 1256, dtype=np.uint64))
@@ -404,9 +404,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
     both = both.withColumn("k", fresh_key("doc_b", "line_b")).join(side("b"), ["k", "doc_b", "line_b"])
 
     def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                yield f.loc[_similar(f, words, threshold), ["doc_a", "line_a"]].rename(columns={"doc_a": "doc", "line_a": "line"})
+        for f in sliced(frames, "t_a", "t_b"):
+            yield f.loc[_similar(f, words, threshold), ["doc_a", "line_a"]].rename(columns={"doc_a": "doc", "line_a": "line"})
 
     return both.select("doc_a", "line_a", "t_a", "t_b").mapInPandas(matched, "doc long, line int").distinct()
 
@@ -426,7 +425,7 @@ def _matched_in_crowds(crowd: DataFrame, texts: DataFrame, words: int, threshold
     tasks = one.unionByName(other).repartition(*hub, "i", "j").sortWithinPartitions(*hub, "i", "j")
 
     def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f, cuts in grouped_frames(frames, [*hub, "i", "j"]):
+        for f, cuts in grouped_frames(sliced(frames, "t"), [*hub, "i", "j"]):
             t, row = tokens(scanned(list(f["t"])), words)
             order = np.lexsort((t, row))
             t, row = t[order], row[order]
@@ -464,43 +463,42 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     earlier classes that have the token, up to FEW of them one by one, and more of them (all that have that hub) in
     blocks, so that no candidate is missed.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    docs = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    ranks, total = token_ranks(docs, words)
-    known = spark.sparkContext.broadcast(ranks)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
-    kind = "part int, kind int, longs binary, ints binary, more binary"
-    dealt = docs.mapInArrow(lambda b: _prefixes(b, words, least, threshold, known.value, parts), kind).repartitionById(parts, "part")
-    dealt = dealt.mapInArrow(lambda b: _classes(b, parts), kind).repartitionById(parts, "part")
-    found = stash(dealt.mapInArrow(_shared, "kind int, token long, doc long, line int, n int, at int"), "members")
-    members, again = found.where(F.col("kind") == _TOKEN).drop("kind"), found.where(F.col("kind") == _GONE).select("doc", "line")
-
-    wanted = members.select("doc", "line").distinct().groupBy("doc").agg(F.collect_list("line").alias("want"))
-    texts = docs.join(wanted, docs["id"] == wanted["doc"]).select("id", "text", "want").mapInPandas(_picked, "doc long, line int, t string")
-    texts = stash(texts.dropDuplicates(["doc", "line"]), "texts")
-
-    a = members.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), "token", fresh_key("token").alias("k"))
-    hubs = members.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "at")).alias("b"), F.count("*").alias("many"))
-    hubs = hubs.select("token", "many", F.col("b.doc").alias("doc_b"), F.col("b.line").alias("line_b"), F.col("b.n").alias("n_b"), F.col("b.at").alias("at_b"), fresh_key("token").alias("k"))
-    met = a.join(hubs, ["k", "token"]).where("doc_a <> doc_b or line_a <> line_b")
-    crowd = met.groupBy("doc_a", "line_a", "doc_b", "line_b").agg(F.max(_allowed("a", "b", threshold)).alias("ok"), F.max(F.col("many") > FEW).alias("large"))
-    crowd = stash(crowd, "crowd")
-    matched = stash(_verified(crowd.where("ok").drop("ok", "large"), texts, words, threshold), "matched")
-
-    done = matched.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.lit(True).alias("done"), fresh_key("doc", "line").alias("j"))
-    some = met.where(F.col("many") <= FEW).select("k", "token", "doc_a", "line_a", "n_a", "at_a", fresh_key("doc_a", "line_a").alias("j")).join(done, ["j", "doc_a", "line_a"], "left_anti").drop("j")
-    b = members.select(F.col("doc").alias("doc_b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "token", fresh_key("token").alias("k"))
-    later = (F.col("doc_b") < F.col("doc_a")) | (F.col("doc_b") == F.col("doc_a")) & (F.col("line_b") < F.col("line_a"))
-    few = some.join(b, ["k", "token"]).where(later & _allowed("a", "b", threshold)).select("doc_a", "line_a", "doc_b", "line_b").distinct()
-    more = stash(_verified(few, texts, words, threshold), "matched")
-
-    large = crowd.where("large").drop("ok", "large").withColumn("j", fresh_key("doc_a", "line_a")).join(done, ["j", "doc_a", "line_a"], "left").drop("j")
-    matched = matched.union(more).union(stash(_matched_in_crowds(large, texts, words, threshold), "matched"))
-    discard(texts, crowd)
-
-    return again.union(matched).distinct()
+    with temporary() as keep:
+        spark = df.sparkSession
+        docs = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+        ranks, total = token_ranks(docs, words)
+        known = spark.sparkContext.broadcast(ranks)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
+        kind = "part int, kind int, longs binary, ints binary, more binary"
+        dealt = docs.mapInArrow(lambda b: _prefixes(b, words, least, threshold, known.value, parts), kind).repartitionById(parts, "part")
+        dealt = dealt.mapInArrow(lambda b: _classes(b, parts), kind).repartitionById(parts, "part")
+        found = keep(stash(dealt.mapInArrow(_shared, "kind int, token long, doc long, line int, n int, at int"), "members"))
+        members, again = found.where(F.col("kind") == _TOKEN).drop("kind"), found.where(F.col("kind") == _GONE).select("doc", "line")
+
+        wanted = members.select("doc", "line").distinct().groupBy("doc").agg(F.collect_list("line").alias("want"))
+        texts = docs.join(wanted, docs["id"] == wanted["doc"]).select("id", "text", "want").mapInPandas(_picked, "doc long, line int, t string")
+        texts = stash(texts.dropDuplicates(["doc", "line"]), "texts")
+
+        a = members.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), "token", fresh_key("token").alias("k"))
+        hubs = members.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "at")).alias("b"), F.count("*").alias("many"))
+        hubs = hubs.select("token", "many", F.col("b.doc").alias("doc_b"), F.col("b.line").alias("line_b"), F.col("b.n").alias("n_b"), F.col("b.at").alias("at_b"), fresh_key("token").alias("k"))
+        met = a.join(hubs, ["k", "token"]).where("doc_a <> doc_b or line_a <> line_b")
+        crowd = met.groupBy("doc_a", "line_a", "doc_b", "line_b").agg(F.max(_allowed("a", "b", threshold)).alias("ok"), F.max(F.col("many") > FEW).alias("large"))
+        crowd = stash(crowd, "crowd")
+        matched = keep(stash(_verified(crowd.where("ok").drop("ok", "large"), texts, words, threshold), "matched"))
+
+        done = matched.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.lit(True).alias("done"), fresh_key("doc", "line").alias("j"))
+        some = met.where(F.col("many") <= FEW).select("k", "token", "doc_a", "line_a", "n_a", "at_a", fresh_key("doc_a", "line_a").alias("j")).join(done, ["j", "doc_a", "line_a"], "left_anti").drop("j")
+        b = members.select(F.col("doc").alias("doc_b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "token", fresh_key("token").alias("k"))
+        later = (F.col("doc_b") < F.col("doc_a")) | (F.col("doc_b") == F.col("doc_a")) & (F.col("line_b") < F.col("line_a"))
+        few = some.join(b, ["k", "token"]).where(later & _allowed("a", "b", threshold)).select("doc_a", "line_a", "doc_b", "line_b").distinct()
+        more = keep(stash(_verified(few, texts, words, threshold), "matched"))
+
+        large = crowd.where("large").drop("ok", "large").withColumn("j", fresh_key("doc_a", "line_a")).join(done, ["j", "doc_a", "line_a"], "left").drop("j")
+        matched = matched.union(more).union(keep(stash(_matched_in_crowds(large, texts, words, threshold), "matched")))
+
+        return again.union(matched).distinct()
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, least: int = 1) -> DataFrame:
