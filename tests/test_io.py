@@ -49,7 +49,7 @@ def test_consolidate_and_align(spark):
 
 def test_predicates_and_years(spark):
     p = io.month_predicates("date", 2024)
-    assert len(p) == 12 and p[-1] == "date >= '2024-12-01' AND date < '2025-01-01'"
+    assert len(p) == 12 and p[-1] == "date >= '2024-12-01 00:00:00' AND date < '2025-01-01 00:00:00'"
     assert [r.year for r in io.sampled_years(readings(spark), fraction=1.0).collect()] == [2024]
 
 
@@ -63,3 +63,15 @@ def test_stream_equals_batch(spark, tmp_path):
     finally:
         q.stop()
     assert got == {(r.ca_id, r.total) for r in hourly_aggregate(readings(spark)).collect()}
+
+
+def test_jdbc_reads_one_year_by_months(spark, tmp_path):
+    """The embedded database that comes with Spark stands for any other."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = [(1, "2023-12-31 23:59:59"), (2, "2024-01-01 00:00:00"), (3, "2024-06-15 12:00:00"), (4, "2024-12-31 23:30:00"), (5, "2025-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "ID int, at string").select("ID", F.to_timestamp("at").alias("READ_AT"))
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    df.write.jdbc(url, "readings", properties=driver)
+    assert {r[0] for r in io.read_jdbc(spark, url, "readings", properties=driver).collect()} == {1, 2, 3, 4, 5}
+    year = io.read_jdbc(spark, url, "readings", ts="READ_AT", year=2024, properties=driver)
+    assert year.rdd.getNumPartitions() == 12 and {r[0] for r in year.collect()} == {2, 3, 4}

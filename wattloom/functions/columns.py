@@ -190,8 +190,9 @@ def polynomial_interactions(df: DataFrame, q: str, degree: int, cols: Sequence[s
 
 
 def winsorize_fit(df: DataFrame, cols: Sequence[str], lower: float = 0.01, upper: float = 0.99) -> dict[str, tuple[float, float]]:
-    row = df.agg(*(F.percentile(x, F.array(F.lit(lower), F.lit(upper))).alias(x) for x in cols)).first()
-    return {x: tuple(row[x]) for x in cols}
+    from wattloom.operators.ranks import exact_quantiles
+
+    return {x: tuple(exact_quantiles(df, x, [lower, upper])) for x in cols}
 
 
 def winsorize(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
@@ -201,8 +202,9 @@ def winsorize(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFram
 def standardise_fit(df: DataFrame, cols: Sequence[str], robust: bool = False) -> dict[str, tuple[float, float]]:
     """(centre, scale) of each column: mean and population deviation, or median and interquartile range; 0 becomes 1."""
     if robust:
-        row = df.agg(*(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(x) for x in cols)).first()
-        pairs = {x: (row[x][1], row[x][2] - row[x][0]) for x in cols}
+        from wattloom.operators.ranks import exact_quantiles
+
+        pairs = {x: (q[1], q[2] - q[0]) for x in cols for q in [exact_quantiles(df, x, [0.25, 0.5, 0.75])]}
     else:
         row = df.agg(*(f(x).alias(f"{x}_{n}") for x in cols for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
         pairs = {x: (row[f"{x}_m"], row[f"{x}_s"]) for x in cols}

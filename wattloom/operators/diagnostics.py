@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.operators.ranks import exact_quantiles
+
 
 def gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Sums of products of cols over the rows without nulls: each task adds up its own p x p matrix, and Spark adds
@@ -76,9 +78,10 @@ def outliers_zscore(df: DataFrame, cols: Sequence[str], threshold: float = 3.0)
 
 
 def outliers_iqr(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
-    q = {x: F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))) for x in cols}
-    stats = df.agg(*(e.alias(n) for x in cols for n, e in ((f"{x}_lo", q[x][0] - (q[x][1] - q[x][0]) * k), (f"{x}_hi", q[x][1] + (q[x][1] - q[x][0]) * k))))
-    return _flagged(df, stats, cols)
+    q = {x: exact_quantiles(df, x, [0.25, 0.75]) for x in cols}
+    edges = {n: v for x, (a, b) in q.items() if a is not None for n, v in ((f"{x}_lo", a - (b - a) * k), (f"{x}_hi", b + (b - a) * k))}
+    bounds = df.sparkSession.range(1).select(*(F.lit(edges.get(n)).cast("double").alias(n) for x in cols for n in (f"{x}_lo", f"{x}_hi")))
+    return _flagged(df, bounds, cols)
 
 
 def cross_correlation(df: DataFrame, x: str, y: str, lags: int, ts: str = "timestamp") -> DataFrame:

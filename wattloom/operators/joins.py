@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.functions.columns import EARTH_KM, haversine_km, iso_weekday
+from wattloom.sources.io import kept
 
 
 def join_factors(marginal: DataFrame, average: DataFrame, on: str | Sequence[str] = "timestamp") -> DataFrame:
@@ -154,7 +155,7 @@ def _nearest_by_cells(points: DataFrame, refs: DataFrame, point_id: str, best, m
         parts.append(found.select(point_id, "_best"))
         left = left.join(found.select(point_id), point_id, "left_anti")
         if n < rounds:
-            left = left.checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else left.persist()
+            left = kept(left)
             if left.isEmpty():
                 break
     out = parts[0]

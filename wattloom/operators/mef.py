@@ -13,18 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wattloom.operators import ranks
 from wattloom.operators.diagnostics import gram
+from wattloom.operators.ranks import exact_quantiles
 
 # --- bins -------------------------------------------------------------------------------------------------------------
 
 
 def midpoint_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float]:
     """Exact quantiles that take the middle of the two values around a place."""
-    n = df.where(F.col(col).isNotNull()).count()
-    at = [p * (n - 1) for p in probs]
-    ps = [f / max(1, n - 1) for a in at for f in (np.floor(a + 1e-9), np.ceil(a - 1e-9))]
-    got = df.agg(F.percentile(col, F.array(*(F.lit(float(min(1.0, p))) for p in ps)))).first()[0]
-    return [(a + b) / 2 for a, b in zip(got[::2], got[1::2], strict=True)]
+    return exact_quantiles(df, col, probs, midpoint=True)
 
 
 def quantile_bins_fit(df: DataFrame, specs: dict[str, int]) -> dict[str, list[float]]:
@@ -57,8 +55,7 @@ def quantile_bins(df: DataFrame, edges: dict[str, list[float]], oob: str = "clip
 
 
 def median_groups_fit(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    row = df.agg(*(F.percentile(x, F.lit(0.5)).alias(x) for x in cols)).first()
-    return {x: row[x] for x in cols}
+    return {x: exact_quantiles(df, x, [0.5])[0] for x in cols}
 
 
 def median_groups(df: DataFrame, medians: dict[str, float], name: str = "median_group") -> DataFrame:
@@ -69,7 +66,7 @@ def median_groups(df: DataFrame, medians: dict[str, float], name: str = "median_
 
 def qcut_fit(df: DataFrame, col: str, n: int) -> list[float]:
     """Linear quantile edges without repeats."""
-    return sorted(set(df.agg(F.percentile(col, F.array(*(F.lit(i / n) for i in range(n + 1))))).first()[0]))
+    return sorted(set(exact_quantiles(df, col, [i / n for i in range(n + 1)])))
 
 
 def qcut_groups(df: DataFrame, col: str, edges: Sequence[float], name: str) -> DataFrame:
@@ -352,19 +349,19 @@ def ramp_pairs(df: DataFrame, q: str, y: str, me: str, keys: Sequence[str] = ("c
 
 
 def average_rank(df: DataFrame, col: str, by: Sequence[str], name: str) -> DataFrame:
+    if not by:
+        return ranks.average_rank(df, col, name)
     w = Window.partitionBy(*by)
     ties = F.count("*").over(Window.partitionBy(*by, col))
     return df.withColumn(name, F.rank().over(w.orderBy(col)) + (ties - 1) / 2)
 
 
 def ramp_scores(pairs: DataFrame, by: Sequence[str] = ("city",)) -> DataFrame:
-    """Pearson, Spearman, rmse, mae and n of s against m."""
+    """Pearson, Spearman, rmse, mae and n of s against m, in each group or over all."""
     ok = pairs.where(F.col("m").isNotNull() & F.col("s").isNotNull())
-    if not by:
-        ok, by = ok.withColumn("_all", F.lit(1)), ["_all"]
     ranked = average_rank(average_rank(ok, "s", by, "_rs"), "m", by, "_rm")
     e = F.col("s") - F.col("m")
-    return ranked.groupBy(*by).agg(F.corr("s", "m").alias("pearson"), F.corr("_rs", "_rm").alias("spearman"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count("*").alias("n_pairs")).drop("_all")
+    return ranked.groupBy(*by).agg(F.corr("s", "m").alias("pearson"), F.corr("_rs", "_rm").alias("spearman"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count("*").alias("n_pairs"))
 
 
 def finite_difference_metrics(df: DataFrame, q: str, y: str, me: str, keys: Sequence[str] = ("city",), ts: str = "timestamp", max_minutes: float = 60, min_abs_dq: float = 0.0) -> DataFrame:

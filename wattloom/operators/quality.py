@@ -68,6 +68,13 @@ def null_report(df: DataFrame, keys: Sequence[str], cols: Sequence[str], ts: str
     )
 
 
+def joined_null_reports(df: DataFrame, keys: Sequence[str], cols: Sequence[str], ts: str = "timestamp", least: int = 2) -> DataFrame:
+    """The reports of several columns side by side: a row for each key, <col>_nulls, <col>_isolated and <col>_gaps."""
+    long = null_report(df, keys, cols, ts, least)
+    of = lambda x, v: F.first(F.when(F.col("column") == x, F.col(v)), ignorenulls=True).alias(f"{x}_{v}")
+    return long.groupBy(*keys).agg(*(of(x, v) for x in cols for v in ("nulls", "isolated", "gaps")))
+
+
 def isolated_nulls(df: DataFrame, col: str, keys: Sequence[str], ts: str = "timestamp") -> DataFrame:
     """Nulls with a value on both sides; nulls at an edge of the series don't count."""
     w = Window.partitionBy(*keys).orderBy(ts)

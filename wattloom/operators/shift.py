@@ -5,7 +5,6 @@ Input: ca_id, city, day (date), slot (0-47), value (kWh), mef and aef (grams for
 
 from __future__ import annotations
 
-import tempfile
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -20,6 +19,7 @@ from pyspark.sql.window import Window
 
 from wattloom.functions.columns import shift_direction
 from wattloom.operators.greedy import CHUNK, LEAST, SLOTS, Days, Moves, chosen, settled
+from wattloom.sources.io import kept
 
 KEYS = ["ca_id", "city", "day"]
 
@@ -115,16 +115,6 @@ def _order(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEYS).agg(F.sum("value").alias("kwh"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df as written to the checkpoint folder, so that a lost executor costs no more than a read."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 #: Customer-days of a city and week that one task takes; larger ones go in rounds of blocks of so many.
 TASK_ROWS = 50_000
 _ARRAYS = ("value", "mef", "aef", "floor")
@@ -186,14 +176,14 @@ def shift_load(df: DataFrame, policy: Policy, task_rows: int = TASK_ROWS) -> Dat
     settled, that one is gone through in one task, and so on until none is open. With headroom each round settles the
     next block of every city. The moves are written to the checkpoint folder, as reports read them several times.
     """
-    days = _kept(_customer_days(df))
+    days = kept(_customer_days(df))
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in days.select(*KEYS).schema) + ", " + _OUT
     sizes = days.groupBy("city", "week").count().withColumn("large", F.col("count") > task_rows).drop("count")
     known = days.join(sizes, ["city", "week"])
     moves = known.where("not large").drop("large").groupBy("city", "week").applyInPandas(lambda g: _week_moves(g, policy), kind)
     if not sizes.where("large").isEmpty():
-        moves = moves.unionByName(_in_rounds(_kept(known.where("large").drop("large")), policy, task_rows, kind))
-    return _kept(moves)
+        moves = moves.unionByName(_in_rounds(kept(known.where("large").drop("large")), policy, task_rows, kind))
+    return kept(moves)
 
 
 def _in_rounds(days: DataFrame, policy: Policy, task_rows: int, kind: str) -> DataFrame:
@@ -221,13 +211,13 @@ def _day_in_rounds(today: DataFrame, policy: Policy, weekday: int, task_rows: in
 
     schema = StructType([*today.schema.fields, StructField("part", IntegerType()), StructField("chunk", LongType())])
     dealt = today.repartitionByRange(*key, F.desc("kwh"), "ca_id").sortWithinPartitions(*key, F.desc("kwh"), "ca_id")
-    open_ = _kept(dealt.mapInPandas(numbered, schema))
+    open_ = kept(dealt.mapInPandas(numbered, schema))
     state = today.groupBy(*key).agg(F.sum("kwh").alias("load"), *((F.sum(F.col("value")[i]) * (1 + (policy.headroom or 0))).alias(f"d{i}") for i in range(SLOTS)))
     regional = F.lit(float("inf"))
     if policy.regional_fraction is not None:
         given = F.create_map(*(F.lit(x) for kv in policy.regional_load.items() for x in kv))[F.col("city")] if policy.regional_load else F.lit(None)
         regional = policy.regional_fraction * F.coalesce(given.cast("double"), F.col("load"))
-    state = _kept(state.select(*key, regional.alias("region"), F.array(*(f"d{i}" for i in range(SLOTS))).alias("dest")))
+    state = kept(state.select(*key, regional.alias("region"), F.array(*(f"d{i}" for i in range(SLOTS))).alias("dest")))
 
     def free(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -248,32 +238,32 @@ def _day_in_rounds(today: DataFrame, policy: Policy, weekday: int, task_rows: in
     while True:
         if policy.headroom is None:
             # room goes to whole blocks as long as it lasts
-            free_moves = _kept(open_.join(state.drop("dest"), key).mapInPandas(free, kind))
+            free_moves = kept(open_.join(state.drop("dest"), key).mapInPandas(free, kind))
             takes = open_.select(*KEYS, "part", "chunk").join(free_moves.groupBy(*KEYS).agg(F.sum("q").alias("q")), KEYS, "left").groupBy(*key, "part", "chunk").agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("q"))
             run = Window.partitionBy(*key).orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, 0)
             takes = takes.withColumn("all", F.sum("q").over(run)).join(state, key)
             short = F.col("all") > F.col("region") + LEAST
-            cut = _kept(takes.groupBy(*key).agg(F.min(F.when(short, at)).alias("bad"), F.coalesce(F.max(F.when(~short, F.col("all"))), F.lit(0.0)).alias("took"), F.first("region").alias("region"), F.first("dest").alias("dest")))
+            cut = kept(takes.groupBy(*key).agg(F.min(F.when(short, at)).alias("bad"), F.coalesce(F.max(F.when(~short, F.col("all"))), F.lit(0.0)).alias("took"), F.first("region").alias("region"), F.first("dest").alias("dest")))
             held = open_.join(cut.select(*key, "bad"), key)
             fine = held.where(F.col("bad").isNull() | (at < F.col("bad"))).select(*KEYS)
-            done.append(_kept(free_moves.join(fine, KEYS, "left_semi")))
+            done.append(kept(free_moves.join(fine, KEYS, "left_semi")))
             state = cut.where("bad is not null").select(*key, "bad", F.greatest(F.lit(0.0), F.col("region") - F.col("took")).alias("region"), "dest")
         else:
             state = open_.groupBy(*key).agg(F.min(at).alias("bad")).join(state, key)
-        state = _kept(state)
+        state = kept(state)
         if state.isEmpty():
             break
         held = open_.join(state, key)
-        one = _kept(held.where(at == F.col("bad")).groupBy(*key).applyInPandas(block, kind + ", region double, dest array<double>"))
+        one = kept(held.where(at == F.col("bad")).groupBy(*key).applyInPandas(block, kind + ", region double, dest array<double>"))
         done.append(one.where("q is not null").drop("region", "dest"))
-        open_ = _kept(held.where(at > F.col("bad")).drop("bad", "region", "dest"))
-        state = _kept(one.where("q is null").select(*key, "region", "dest"))
+        open_ = kept(held.where(at > F.col("bad")).drop("bad", "region", "dest"))
+        state = kept(one.where("q is null").select(*key, "region", "dest"))
         if open_.isEmpty():
             break
     out = done[0]
     for m in done[1:]:
         out = out.unionByName(m)
-    return _kept(out)
+    return kept(out)
 
 
 def shift_upper_bound(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.functions.columns import floor_minutes, iso_week, iso_weekday, iso_year, trunc
+from wattloom.operators.ranks import exact_quantiles, running
 
 #: Periods by which usage is summed: the columns that name a period of a timestamp.
 PERIODS = {
@@ -85,7 +86,7 @@ def top_share(df: DataFrame, p: float = 0.1) -> DataFrame:
     totals = df.groupBy("ca_id").agg(F.sum("value").alias("t"))
     levels = totals.groupBy("t").agg(F.count("*").alias("n"))
     size = totals.agg(F.ceil(F.count("*") * p).alias("k"), F.sum("t").alias("all"), F.count("*").alias("customers"))
-    ranked = _running(levels, "t", "n")
+    ranked = running(levels, "t", "n")
     return (
         ranked.crossJoin(F.broadcast(size))
         .agg(F.sum(F.col("t") * F.greatest(F.lit(0), F.least(F.col("n"), F.col("k") - F.col("above")))).alias("top"), F.first("all").alias("all"), F.first("k").alias("k"))
@@ -93,17 +94,6 @@ def top_share(df: DataFrame, p: float = 0.1) -> DataFrame:
     )
 
 
-def _running(df: DataFrame, key: str, n: str, buckets: int = 1024) -> DataFrame:
-    """df with above: sum of n over rows with a larger key. Sums run within quantile buckets, which start from the
-    sums of the buckets above (at most so many rows)."""
-    cuts = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10000).alias("cuts"))
-    cut = df.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("cuts", lambda x: x <= F.col(key)))).drop("cuts")
-    sums = cut.groupBy("_b").agg(F.sum(n).alias("_n"))
-    start = sums.withColumn("_above", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = F.coalesce(F.sum(n).over(Window.partitionBy("_b").orderBy(F.desc(key)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return cut.withColumn("_inner", inner).join(F.broadcast(start), "_b").withColumn("above", F.col("_above") + F.col("_inner")).drop("_b", "_above", "_inner")
-
-
 def peak_hour_distribution(df: DataFrame) -> DataFrame:
     """Customer-days by the hour of their largest usage (the earliest of equals)."""
     hours = df.groupBy("ca_id", F.to_date("date").alias("day"), F.hour("date").alias("hour")).agg(F.sum("value").alias("t"))
@@ -203,7 +193,8 @@ def box_stats(df: DataFrame, col: str, by: str = "month_hour", ts: str = "date")
 def series_summary(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
     """Mean, median, count, and the smallest of the most frequent rounded values."""
     modes = df.where(F.col(col).isNotNull()).groupBy(F.round(col, digits).alias("v")).agg(F.count("*").alias("n")).agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("mode"))
-    return df.agg(F.avg(col).alias("mean"), F.percentile(col, F.lit(0.5)).alias("median"), F.count(col).alias("n")).crossJoin(modes)
+    (median,) = exact_quantiles(df, col, [0.5])
+    return df.agg(F.avg(col).alias("mean"), F.lit(median).cast("double").alias("median"), F.count(col).alias("n")).crossJoin(modes)
 
 
 def scope_metrics(df: DataFrame, stats: Sequence[str] = ("week", "month")) -> DataFrame:
@@ -247,9 +238,10 @@ def top_hours(df: DataFrame, n: int = 6) -> DataFrame:
 
 
 def customer_order(df: DataFrame) -> DataFrame:
-    """For each city and day, the customers by descending usage, then id."""
+    """For each city and day, the customers by descending usage, then id: a row for each, with its place from 1."""
     t = df.groupBy("city", F.to_date("date").alias("day"), "ca_id").agg(F.sum("value").alias("kwh"))
-    return t.groupBy("city", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("kwh")).alias("k"), "ca_id"))), lambda x: x["ca_id"]).alias("ca_ids"))
+    place = F.row_number().over(Window.partitionBy("city", "day").orderBy(F.desc("kwh"), "ca_id"))
+    return t.select("city", "day", place.alias("place"), "ca_id", "kwh")
 
 
 def weekday_hour_pivot(df: DataFrame) -> DataFrame:

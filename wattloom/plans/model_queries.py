@@ -193,6 +193,12 @@ SQL = {
     "b27_standardise": sql("SELECT ca_id, date, round((value - m) / (c - a), 4) + 0.0 AS value, city FROM readings, (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS c FROM readings)", "readings"),
     "b13_onehot": sql("SELECT ca_id, date, round(value, 4) AS value, city, " + ", ".join(f"(city = '{x}')::INT AS city_{x}" for x in ("error", "purchase", "signup", "view")) + " FROM readings", "readings"),
     "b25_polynomial": sql("SELECT g, round(avg(q), 4) AS q_1, round(avg(q * q), 4) AS q_2, round(avg(q * q * q), 4) AS q_3, round(avg(q * x), 4) AS q_x_x FROM model_rows GROUP BY g", "model_rows"),
+    "j1_quantile_bins": sql(
+        ", l AS (SELECT list_sort(list(q)) AS q, list_sort(list(x)) AS x, count(*) - 1 AS n FROM model_rows), e AS (SELECT list_distinct([" + ", ".join(f"(q[floor({k}::DOUBLE / 4 * n + 1e-9)::BIGINT + 1] + q[ceil({k}::DOUBLE / 4 * n - 1e-9)::BIGINT + 1]) / 2" for k in (1, 2, 3)) + "]) AS eq, list_distinct([" + ", ".join(f"(x[floor({k}::DOUBLE / 3 * n + 1e-9)::BIGINT + 1] + x[ceil({k}::DOUBLE / 3 * n - 1e-9)::BIGINT + 1]) / 2" for k in (1, 2)) + "]) AS ex FROM l), b AS (SELECT (1 + len(list_filter(eq, lambda v: v < q)))::INT AS q_bin, (1 + len(list_filter(ex, lambda v: v < x)))::INT AS x_bin, len(ex) + 1 AS k FROM model_rows, e) SELECT q_bin, x_bin, ((q_bin - 1) * k + x_bin)::INT AS group_id, count(*) AS n FROM b GROUP BY ALL",
+        "model_rows",
+    ),
+    "j5_groupwise_me": sql(", c AS (SELECT g, covar_pop(q, q) AS a, covar_pop(q, q * q) AS b, covar_pop(q * q, q * q) AS d, covar_pop(q, y) AS u, covar_pop(q * q, y) AS v, avg(q) AS m FROM model_rows GROUP BY g) SELECT g, round((u * d - v * b) / (a * d - b * b) + 2 * (v * a - u * b) / (a * d - b * b) * m, 4) AS mean_me FROM c", "model_rows"),
+    "d40_vif": sql(", c AS (SELECT corr(q, y) AS a, corr(q, x) AS b, corr(y, x) AS c FROM model_rows), d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM c) SELECT 'q' AS column, round((1 - c * c) / det, 4) AS vif FROM d UNION ALL SELECT 'y', round((1 - b * b) / det, 4) FROM d UNION ALL SELECT 'x', round((1 - a * a) / det, 4) FROM d", "model_rows"),
     "j2_median_groups": sql("SELECT ((q > a)::INT * 2 + (y > b)::INT + 1)::INT AS median_group, count(*) AS n FROM model_rows, (SELECT quantile_cont(q, 0.5) AS a, quantile_cont(y, 0.5) AS b FROM model_rows) GROUP BY ALL", "model_rows"),
     "j3_qcut_labels": sql("SELECT ((y > e[1])::INT + (y > e[2])::INT + (y > e[3])::INT + (y > e[4])::INT)::INT AS bin, 'q: ' || CASE WHEN q > m THEN 'Above Median' ELSE 'Below Median' END AS label, count(*) AS n FROM model_rows, (SELECT quantile_cont(y, [0.2, 0.4, 0.6, 0.8]) AS e, quantile_cont(q, 0.5) AS m FROM model_rows) GROUP BY ALL", "model_rows"),
     "j4_groupwise_ols": sql("SELECT g, s, round(regr_intercept(y, q), 4) AS a, round(regr_slope(y, q), 4) AS b, count(*) AS n, round(regr_r2(y, q), 4) AS r2, round(sqrt((regr_syy(y, q) - regr_sxy(y, q) * regr_sxy(y, q) / regr_sxx(y, q)) / count(*)), 4) AS rmse FROM model_rows GROUP BY g, s", "model_rows"),

@@ -10,7 +10,7 @@ from wattloom.operators import mef as M
 from wattloom.operators import quality as Q
 from wattloom.operators import shift as S
 from wattloom.plans.fixtures import Inputs, rounded, sql
-from wattloom.plans.model_queries import greedy_sql
+from wattloom.plans.model_queries import _CAND, greedy_sql
 from wattloom.sources import io
 
 
@@ -79,5 +79,9 @@ SELECT timestamp, location, round(temperature, 6) AS temperature, round(prev_val
     "g6_membership": sql("SELECT ca_id, count(*) AS n FROM readings WHERE city IN ('click', 'view') GROUP BY ca_id", "readings"),
     "j14_me_for_split": sql("SELECT timestamp, round(mef, 6) AS ME, 'train' AS split FROM factors", "factors"),
     "j17_config_hash": """SELECT n_nationkey, n_name, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS config FROM nation""",
+    "b36_classify_move": sql(
+        _CAND + ", r AS (SELECT *, row_number() OVER (PARTITION BY ca_id, city, day, t ORDER BY mef_s, abs(s - t), s) AS r FROM cm), od AS (SELECT ca_id, city, day, sum(value) AS kwh FROM shift_input GROUP BY ALL), b AS (SELECT r.*, kwh, coalesce(sum(avail) OVER (PARTITION BY ca_id, city, day ORDER BY mef_t DESC, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r JOIN od USING (ca_id, city, day) WHERE r = 1 AND avail >= 0.01::DOUBLE * kwh), m AS (SELECT t, s, q * aef_s - q * aef_t AS d FROM (SELECT *, least(avail, greatest(0, 0.2::DOUBLE * kwh - before)) AS q FROM b) WHERE q > 0) SELECT CASE WHEN d < 0 THEN 'savings' WHEN d > 0 THEN 'increases' ELSE 'neutral' END AS category, CASE WHEN s > t THEN 'forward' WHEN s < t THEN 'backward' ELSE 'stay' END AS shift_direction, count(*) AS n FROM m GROUP BY ALL",
+        "shift_input",
+    ),
     "k11_preset_one": sql(greedy_sql(S.PRESETS[1]) + " SELECT city, count(*) AS moves, round(sum(q), 6) AS kwh FROM mv GROUP BY city", "shift_input", recursive=True),
 }

@@ -84,7 +84,7 @@ QUERIES = {
     "c13_number_locations": _q(lambda i: J.number_locations(i.customer_points, ["lat", "lon"])[0]),
     "c14_moves_by_role": _q(lambda i: J.moves_by_role(_moves(i), _labels(i))),
     "c15_factor_years": _q(lambda i: J.emission_factor_years(_factor_table(i), 1990, 2030)),
-    "c16_attach_floor": _q(lambda i: J.attach_household_floor(i.readings_30min, U.household_floor(i.readings_30min.where("ca_id % 2 = 0")))),
+    "c16_attach_floor": _q(lambda i: J.attach_household_floor(i.readings_30min, U.household_floor(i.readings_30min))),
     "l21_neighbour_distances": _q(lambda i: J.neighbour_distances(i.customer_points.withColumn("city", F.concat(F.lit("c"), F.col("ca_id") % 3)), cell=0.5)),
     "d16_resample_30min": _q(lambda i: G.resample_30min(i.grid_5min, ["thermal", "gas", "renewable"], ["tons_co2"])),
     "d18_city_mean_factors": _q(lambda i: J.city_mean_factors(_orders(i), ["kwh"])),
@@ -170,7 +170,7 @@ l AS (SELECT o_orderpriority AS city, o_orderdate AS t, CASE WHEN count(*) > 1 T
 SELECT id, m.city, a AS original_time, b AS proposed_shift_time, s.c AS source_confidence, d.c AS destination_confidence, coalesce(s.c, d.c) AS confidence FROM m LEFT JOIN l s ON s.city = m.city AND s.t = a LEFT JOIN l d ON d.city = m.city AND d.t = b""",
     "c15_factor_years": "WITH _ AS (SELECT 1)" + _FACT + " SELECT year, round(thermal_factor, 6) AS thermal_factor, round(gas_factor, 6) AS gas_factor FROM fz",
     "c16_attach_floor": sql(
-        ", o AS (SELECT ca_id, hour(date)::INT AS hod, isodow(date)::INT AS dow, list_sort(list(value)) AS v, avg(value) AS m FROM readings_30min WHERE ca_id % 2 = 0 GROUP BY ALL), f AS (SELECT ca_id, hod, dow, greatest(m, v[floor((len(v) - 1) * 0.1 + 0.5)::INT + 1], 0.001) AS f FROM o) SELECT r.ca_id, city, date, round(value, 6) AS value, round(coalesce(f, 0.0), 6) AS floor_kwh FROM readings_30min r LEFT JOIN f ON f.ca_id = r.ca_id AND hod = hour(date) AND dow = isodow(date)",
+        ", o AS (SELECT ca_id, hour(date)::INT AS hod, isodow(date)::INT AS dow, list_sort(list(value)) AS v, avg(value) AS m FROM readings_30min GROUP BY ALL), f AS (SELECT ca_id, hod, dow, greatest(m, v[floor((len(v) - 1) * 0.1 + 0.5)::INT + 1], 0.001) AS f FROM o) SELECT r.ca_id, city, date, round(value, 6) AS value, round(coalesce(f, 0.0), 6) AS floor_kwh FROM readings_30min r LEFT JOIN f ON f.ca_id = r.ca_id AND hod = hour(date) AND dow = isodow(date)",
         "readings_30min",
     ),
     "l21_neighbour_distances": sql(

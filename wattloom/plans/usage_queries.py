@@ -138,6 +138,6 @@ SELECT city, freq, 'total' AS metric, 'mean' AS stat, round(a, 6) AS value, n_pe
         ", m AS (SELECT isodow(date)::INT AS weekday, hour(date)::INT AS hour, avg(value) AS m FROM readings GROUP BY ALL), r AS (SELECT *, dense_rank() OVER (PARTITION BY weekday ORDER BY m DESC)::INT AS place FROM m) SELECT weekday, hour, round(m, 6) AS mean_value, place FROM r WHERE place <= 6",
         "readings",
     ),
-    "f3_customer_order": sql(", t AS (SELECT city, date::DATE AS day, ca_id, sum(value) AS kwh FROM readings GROUP BY ALL) SELECT city, day, list(ca_id ORDER BY kwh DESC, ca_id) AS ca_ids FROM t GROUP BY ALL", "readings"),
+    "f3_customer_order": sql(", t AS (SELECT city, date::DATE AS day, ca_id, sum(value) AS kwh FROM readings GROUP BY ALL) SELECT city, day, row_number() OVER (PARTITION BY city, day ORDER BY kwh DESC, ca_id)::INT AS place, ca_id, round(kwh, 6) AS kwh FROM t", "readings"),
     "g4_weekday_pivot": sql("SELECT hour(date)::INT AS hour, " + ", ".join(f'round(avg(value) FILTER (isodow(date) = {d}), 6) AS "{d}"' for d in range(1, 8)) + " FROM readings GROUP BY hour(date)", "readings"),
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,30 @@ CUSTOMERS = T.StructType([T.StructField("id", T.StringType()), T.StructField("ci
 RESULT_NAME = r"([^/]*?)__([^/]*?)__([^/]*?)__r(\d+)"
 
 
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors share. Where it is unset, a local
+    session gets a temporary one; a cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own_folder:
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return _own_folder[0]
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as written to the shared folder, so that a lost executor costs no more than a read."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
     """Parquet with a declared schema, or the merged one of its files."""
     reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
@@ -31,7 +56,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, ts: str = "date", year:
 
 
 def month_predicates(ts: str, year: int) -> list[str]:
-    edges = [f"{year}-{m:02d}-01" for m in range(1, 13)] + [f"{year + 1}-01-01"]
+    edges = [f"{year}-{m:02d}-01 00:00:00" for m in range(1, 13)] + [f"{year + 1}-01-01 00:00:00"]
     return [f"{ts} >= '{a}' AND {ts} < '{b}'" for a, b in zip(edges, edges[1:], strict=False)]
 
 
@@ -96,6 +121,13 @@ def export_me(df: DataFrame, path: str, by_split: bool = True, mode: str = "erro
     write_parquet(df, path, ["split"] if by_split else [], mode)
 
 
+def export_full(df: DataFrame, factors: Callable[[DataFrame], DataFrame], path: str, keep: Sequence[str], mode: str = "errorifexists") -> DataFrame:
+    """Fits on the whole series and writes its marginal factor: factors gives df with ME, or with predictions; the
+    columns keep of it are written as one table, which is returned."""
+    write_parquet(factors(df).select(*keep), path, mode=mode)
+    return read_table(df.sparkSession, path)
+
+
 def align_for_concat(parts: Sequence[DataFrame]) -> DataFrame:
     """Union by name of tables whose columns differ in presence or type: types widen to the common one."""
     from functools import reduce
