@@ -1,12 +1,14 @@
 """Operators against hand-computed answers and invariants."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wattloom.functions.columns import EARTH_KM
 from wattloom.operators import grid as G
 from wattloom.operators import joins as J
 from wattloom.operators import mef as M
@@ -237,3 +239,22 @@ def test_no_python_in_plain_operators(spark):
     df = week(spark)
     text = S.candidate_moves(df, 4)._jdf.queryExecution().toString()
     assert "Python" not in text and "CartesianProduct" not in text
+
+
+def test_neighbours_far_dense_and_alone(spark):
+    rng = random.Random(9)
+    rows = [(i, "a", 77 + rng.random() * 0.01, 28 + rng.random() * 0.01) for i in range(600)]
+    rows += [(600, "a", -120.0, -60.0), (601, "a", 77.0, 80.0), (602, "a", 77.0, 80.0), (700, "b", 1.0, 1.0), (701, "b", 179.9, 1.0), (800, "c", 5.0, 5.0), (801, "c", None, 5.0)]
+    df = spark.createDataFrame(rows, "ca_id int, city string, lon double, lat double")
+
+    def km(p, q):
+        a, b, c, d = map(math.radians, (p[3], p[2], q[3], q[2]))
+        return 2 * EARTH_KM * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+    got = {r.city: r for r in J.neighbour_distances(df).collect()}
+    for city in ("a", "b"):
+        own = [r for r in rows if r[1] == city]
+        best = [min(km(p, q) for q in own if q[0] != p[0]) for p in own]
+        assert got[city].points == len(own)
+        assert (got[city].mean_km, got[city].max_km, got[city].min_km) == (pytest.approx(sum(best) / len(best), rel=1e-3), pytest.approx(max(best), rel=1e-3), pytest.approx(min(best), rel=1e-6, abs=1e-9))
+    assert "c" not in got

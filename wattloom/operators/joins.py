@@ -164,16 +164,44 @@ def _nearest_by_cells(points: DataFrame, refs: DataFrame, point_id: str, best, m
     return out
 
 
-def neighbour_distances(points: DataFrame, by: Sequence[str] = ("city",), id_col: str = "ca_id", cell: float = 0.5) -> DataFrame:
-    """Mean, median, least and largest distance (km) to the nearest other point of the same group, among the points of
-    the same and the next grid cells; points alone there count as null."""
-    p = points.select(*by, F.col(id_col).alias("a"), "lon", "lat", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    q = p.select(*by, F.col("a").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "cx", "cy")
-    for x in ("cx", "cy"):
-        q = q.withColumn(x, F.explode(F.array(F.col(x) - 1, F.col(x), F.col(x) + 1)))
-    pairs = p.join(q, [*by, "cx", "cy"]).where("a <> b")
-    near = pairs.groupBy(*by, "a").agg(F.min(haversine_km("lat", "lon", "lat2", "lon2")).alias("km"))
-    return near.groupBy(*by).agg(*(f.alias(f"{n}_km") for n, f in (("mean", F.avg("km")), ("median", F.percentile("km", F.lit(0.5))), ("min", F.min("km")), ("max", F.max("km")))), F.count("*").alias("points"))
+#: Places of one grid cell that are compared with each other; denser grids get smaller cells.
+DENSE = 256
+
+
+def neighbour_distances(points: DataFrame, by: Sequence[str] = ("city",), id_col: str = "ca_id", cell: float = 0.5, rounds: int = 24) -> DataFrame:
+    """Mean, median, least and largest distance (km) to the nearest other point of the same group, and how many points
+    have one. A point alone in its group has none; points at one place are 0 apart.
+
+    Places are compared with those of their own and the next cells of a grid, which is made finer until no cell has more
+    than DENSE places. Those whose nearest is surely no farther than a cell are done; for the others the cells double
+    until none is left.
+    """
+    places = points.where("lon is not null and lat is not null").groupBy(*by, "lon", "lat").agg(F.count("*").alias("n"), F.min(id_col).alias("a"))
+    places = kept(places)
+    at = lambda size: [F.floor(F.col(x) / size).alias(c) for x, c in (("lon", "cx"), ("lat", "cy"))]
+    while cell > 1e-6 and (places.groupBy(*by, *at(cell)).count().agg(F.max("count")).first()[0] or 0) > DENSE:
+        cell /= 2
+    done, left = [places.where("n > 1").select(*by, "n", F.lit(0.0).alias("km"))], places.where("n = 1")
+    others = places.select(*by, F.col("a").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    for r in range(rounds + 1):
+        size = cell * 2**r if r < rounds else 720.0
+        near = left.select(*by, "a", "lon", "lat", *at(size))
+        for x in ("cx", "cy"):
+            near = near.withColumn(x, F.explode(F.array(F.col(x) - 1, F.col(x), F.col(x) + 1)))
+        there = others.select("*", *(F.floor(F.col(x) / size).alias(c) for x, c in (("lon2", "cx"), ("lat2", "cy"))))
+        found = near.join(there, [*by, "cx", "cy"]).where("a <> b").groupBy(*by, "a", "lat").agg(F.min(haversine_km("lat", "lon", "lat2", "lon2")).alias("km"))
+        # a cell's breadth in km is least at the pole side of the next cell
+        sure = size * math.radians(1) * EARTH_KM * F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(90.0)))))
+        found = kept(found.where(F.col("km") <= sure) if r < rounds else found)
+        done.append(found.select(*by, F.lit(1).cast("long").alias("n"), "km"))
+        left = kept(left.join(found.select(*by, "a"), [*by, "a"], "left_anti"))
+        if left.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    stats = {"mean": F.sum(F.col("km") * F.col("n")) / F.sum("n"), "median": F.percentile("km", F.lit(0.5), F.col("n")), "min": F.min("km"), "max": F.max("km")}
+    return out.groupBy(*by).agg(*(f.alias(f"{n}_km") for n, f in stats.items()), F.sum("n").alias("points"))
 
 
 def pair_distances(points: DataFrame, by: Sequence[str] = ("city",), id_col: str = "ca_id", seed: int = 42) -> DataFrame:

@@ -174,7 +174,7 @@ SELECT id, m.city, a AS original_time, b AS proposed_shift_time, s.c AS source_c
         "readings_30min",
     ),
     "l21_neighbour_distances": sql(
-        ", p AS (SELECT ca_id AS a, 'c' || (ca_id % 3) AS city, lon, lat, floor(lon / 0.5) AS cx, floor(lat / 0.5) AS cy FROM customer_points), n AS (SELECT p.city, p.a, min(" + _HAV.format(a="p.lat", b="q.lat", c="p.lon", d="q.lon") + ") AS km FROM p JOIN p q ON p.city = q.city AND p.a <> q.a AND abs(p.cx - q.cx) <= 1 AND abs(p.cy - q.cy) <= 1 GROUP BY ALL) SELECT city, round(avg(km), 6) AS mean_km, round(quantile_cont(km, 0.5), 6) AS median_km, round(min(km), 6) AS min_km, round(max(km), 6) AS max_km, count(*) AS points FROM n GROUP BY city",
+        ", p AS (SELECT ca_id AS a, 'c' || (ca_id % 3) AS city, lon, lat FROM customer_points), n AS (SELECT p.city, p.a, min(" + _HAV.format(a="p.lat", b="q.lat", c="p.lon", d="q.lon") + ") AS km FROM p JOIN p q ON p.city = q.city AND p.a <> q.a GROUP BY ALL) SELECT city, round(avg(km), 6) AS mean_km, round(quantile_cont(km, 0.5), 6) AS median_km, round(min(km), 6) AS min_km, round(max(km), 6) AS max_km, count(*) AS points FROM n GROUP BY city",
         "customer_points",
     ),
     "d16_resample_30min": sql(
