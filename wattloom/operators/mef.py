@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from wattloom.operators import ranks
 from wattloom.operators.diagnostics import gram
 from wattloom.operators.ranks import exact_quantiles
+from wattloom.sources.io import kept
 
 # --- bins -------------------------------------------------------------------------------------------------------------
 
@@ -359,6 +360,8 @@ def average_rank(df: DataFrame, col: str, by: Sequence[str], name: str) -> DataF
 def ramp_scores(pairs: DataFrame, by: Sequence[str] = ("city",)) -> DataFrame:
     """Pearson, Spearman, rmse, mae and n of s against m, in each group or over all."""
     ok = pairs.where(F.col("m").isNotNull() & F.col("s").isNotNull())
+    # ranks over all read the pairs several times
+    ok = ok if by else kept(ok)
     ranked = average_rank(average_rank(ok, "s", by, "_rs"), "m", by, "_rm")
     e = F.col("s") - F.col("m")
     return ranked.groupBy(*by).agg(F.corr("s", "m").alias("pearson"), F.corr("_rs", "_rm").alias("spearman"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count("*").alias("n_pairs"))

@@ -14,6 +14,7 @@ from wattloom.plans.fixtures import Inputs, rounded, sql
 
 P = S.Policy("one", moves_per_day=1, moves_per_week=3, window=4, regional_fraction=0.25)
 SCENARIOS = [P, S.PRESETS[1], S.PRESETS[2]]
+# amounts in the tables have two decimals and shares of them four: sums are rounded where all digits are kept
 XY = ["q", "y", "x"]
 
 
@@ -106,19 +107,19 @@ QUERIES = {
     "k9_day_summary": _q(lambda i: S.day_summary(_metrics(i)), 6),
     "k10_optimised_readings": _q(lambda i: S.optimised_readings(i.shift_input, _moves(i)), 6),
     "k12_highest_sources": _q(lambda i: S.k_highest_sources(i.shift_input, 2).select(*S.KEYS, "slot", "place"), 6),
-    "k13_share_capped": _q(lambda i: S.share_cappedgreedy_sql(i.shift_input, 4), 6),
+    "k13_share_capped": _q(lambda i: S.share_capped_greedy(i.shift_input, 4), 6),
     "k14_scenarios": _q(lambda i: S.scenario_metrics(i.shift_input, S.shift_scenarios(i.shift_input, SCENARIOS)), 6),
     "l1_per_move_savings": _q(lambda i: R.per_move_savings(_table(i)), 6),
     "l2_household_week_savings": _q(lambda i: R.household_week_savings(_table(i)), 6),
     "l3_moves_by_category": _q(lambda i: R.moves_by_category(_table(i)), 6),
     "l3_giveback": _q(lambda i: R.giveback(_table(i)), 6),
-    "l4_overall_reduction": _q(lambda i: R.overall_reduction(_metrics(i)), 3),
+    "l4_overall_reduction": _q(lambda i: R.overall_reduction(_metrics(i)), 4),
     "l5_weekly_coverage": _q(lambda i: R.weekly_move_coverage(_metrics(i)), 6),
     "l6_customers_with_shift": _q(lambda i: R.customers_with_shift(_metrics(i)), 6),
     "l7_origin_destination": _q(lambda i: R.origin_destination(_table(i)), 6),
     "l8_confidence_share": _q(lambda i: R.moves_confidence_share(J.moves_by_role(_table(i), _table(i).select("city", F.col("original_time").alias("timestamp")).distinct().withColumn("confidence", F.when(F.hour("timestamp") < 12, "low").otherwise("high")))), 6),
     "l9_shift_size_distance": _q(lambda i: R.shift_size_distance(_table(i)), 6),
-    "l10_emissions_savings": _q(lambda i: R.emissions_savings(_metrics(i)), 6),
+    "l10_emissions_savings": _q(lambda i: R.emissions_savings(_metrics(i)), 9),
     "l11_time_histogram": _q(lambda i: R.time_histogram(_table(i), "weekday_hour"), 6),
     "l12_customer_week_stats": _q(lambda i: R.customer_week_stats(_metrics(i)), 6),
     "l13_hour_pairs": _q(lambda i: R.hour_pair_stats(_table(i)), 6),
@@ -128,7 +129,7 @@ QUERIES = {
     "l17_quota_and_boundary": _q(lambda i: R.quota_and_boundary(_table(i), P.moves_per_day, P.window), 6),
     "l18_savings_disagreement": _q(lambda i: R.savings_disagreement(_metrics(i)), 6),
     "l20_usage_hourly": _q(lambda i: R.usage_hourly(i.readings), 6),
-    "l22_weekly_summary": _q(lambda i: R.weekly_summary(_metrics(i)), 3),
+    "l22_weekly_summary": _q(lambda i: R.weekly_summary(_metrics(i)), 4),
 }
 
 _SC = ", sc AS (SELECT *, 1500 * q AS p FROM model_rows)"
@@ -172,7 +173,7 @@ def _tb(text: str) -> str:
     return sql(_TB + " " + text, "shift_input", recursive=True)
 
 
-_RED = "round(sum(ba), 3) AS baseline_avg_g, round(sum(ba + da), 3) AS post_avg_g, round(sum(bm), 3) AS baseline_marg_g, round(sum(bm + dm), 3) AS post_marg_g, round(sum(moved_kwh), 3) AS moved_kwh, round(sum(baseline_kwh), 3) AS baseline_kwh, round((sum(ba) - sum(ba + da)) / sum(ba), 3) AS reduction_avg, round((sum(bm) - sum(bm + dm)) / sum(bm), 3) AS reduction_marg"
+_RED = "round(sum(ba), 4) AS baseline_avg_g, round(sum(ba + da), 4) AS post_avg_g, round(sum(bm), 4) AS baseline_marg_g, round(sum(bm + dm), 4) AS post_marg_g, round(sum(moved_kwh), 4) AS moved_kwh, round(sum(baseline_kwh), 4) AS baseline_kwh, round((sum(ba) - sum(ba + da)) / sum(ba), 4) AS reduction_avg, round((sum(bm) - sum(bm + dm)) / sum(bm), 4) AS reduction_marg"
 
 SQL = {
     "d32_energy_weights": sql("SELECT g, round(sum(q) * 0.5::DOUBLE, 4) AS energy FROM model_rows GROUP BY g", "model_rows"),
@@ -246,7 +247,7 @@ SQL = {
         ", l AS (SELECT DISTINCT city, original_time AS ts, CASE WHEN hour(original_time) < 12 THEN 'low' ELSE 'high' END AS c FROM tb), j AS (SELECT tb.*, coalesce(a.c, b.c, 'unknown') AS confidence FROM tb LEFT JOIN l a ON a.city = tb.city AND a.ts = original_time LEFT JOIN l b ON b.city = tb.city AND b.ts = proposed_shift_time) SELECT confidence, count(*) AS moves, round(sum(delta_kwh), 6) AS kwh, round(sum(md), 6) AS grams, round(count(*) / (SELECT count(*) FROM tb), 6) AS moves_share, round(sum(delta_kwh) / (SELECT sum(delta_kwh) FROM tb), 6) AS kwh_share FROM j GROUP BY confidence"
     ),
     "l9_shift_size_distance": _tb("SELECT city, round(avg(delta_kwh), 6) AS mean_kwh, round(quantile_cont(delta_kwh, 0.5), 6) AS median_kwh, round(sum(delta_kwh * abs(delta_minutes)) / sum(delta_kwh), 6) AS weighted_minutes, round(avg(abs(delta_minutes)), 6) AS mean_minutes, round(quantile_cont(abs(delta_minutes), 0.5), 6) AS median_minutes FROM tb GROUP BY city"),
-    "l10_emissions_savings": _mt("SELECT city, round(sum(-da) / 1e6, 6) AS saved_avg_t, round(sum(-dm) / 1e6, 6) AS saved_marg_t FROM mt GROUP BY city UNION ALL SELECT 'ALL', round(sum(-da) / 1e6, 6), round(sum(-dm) / 1e6, 6) FROM mt"),
+    "l10_emissions_savings": _mt("SELECT city, round(sum(-da) / 1e6, 9) AS saved_avg_t, round(sum(-dm) / 1e6, 9) AS saved_marg_t FROM mt GROUP BY city UNION ALL SELECT 'ALL', round(sum(-da) / 1e6, 9), round(sum(-dm) / 1e6, 9) FROM mt"),
     "l11_time_histogram": _tb(", r AS (SELECT 'origin' AS role, original_time AS t FROM tb UNION ALL SELECT 'destination', proposed_shift_time FROM tb) SELECT role, isodow(t)::INT AS weekday, hour(t)::INT AS hour, count(*) AS n FROM r GROUP BY ALL"),
     "l12_customer_week_stats": _mt(", w AS (SELECT ca_id, city, isoyear(day)::INT AS iso_year, week(day)::INT AS iso_week, sum(moved_kwh) AS k, sum(-dm) AS s FROM mt GROUP BY ALL) SELECT city, iso_year, iso_week, count(*) AS customers, round(avg(k), 6) AS mean_kwh, round(quantile_cont(k, 0.5), 6) AS median_kwh, round(avg(s), 6) AS mean_saved_g FROM w GROUP BY ALL"),
     "l13_hour_pairs": _tb("SELECT hour(original_time)::INT AS origin, hour(proposed_shift_time)::INT AS destination, count(*) AS moves, round(sum(delta_kwh), 6) AS kwh, round(sum(md), 6) AS grams FROM tb GROUP BY ALL"),
