@@ -166,6 +166,13 @@ def test_shingles_are_sets():
     assert len(shingles(h, 2)) == 2 and len(shingles(h, 9)) == 1 and len(shingles(word_hashes(None), 2)) == 0
 
 
+def test_ids_must_be_integers(spark):
+    df = frame(spark, ["a b c"]).withColumn("doc_id", F.col("doc_id").cast("string"))
+    for f in (near_duplicates, dedup_lines):
+        with pytest.raises(TypeError, match="integers"):
+            f(df)
+
+
 # --- embeddings ---------------------------------------------------------------------------------------------------------
 
 

@@ -96,6 +96,13 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def integer_ids(df: DataFrame, id_col: str) -> None:
+    """Refuses ids that are no integers: components and orders go by the smallest id."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}; ids must be integers")
+
+
 def fresh_key(*cols: str) -> Column:
     """A derived join key beside the real ones.
 

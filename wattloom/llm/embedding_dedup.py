@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.llm.common import connected_components, fresh_key, stash, temporary, whole_groups
+from wattloom.llm.common import connected_components, fresh_key, integer_ids, stash, temporary, whole_groups
 
 #: Rows of one side of a comparison task.
 BLOCK = 2048
@@ -241,6 +241,7 @@ def embedding_duplicates(
     vectors of their own. Rows with null id link with nothing. An empty table gives an empty result. Other columns
     are not read. Ids are integers.
     """
+    integer_ids(df, id_col)
     with temporary() as keep:
         spark = df.sparkSession
         real = "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import fresh_key, grouped_frames, intersections, mixed, sliced, stash, temporary, unused
+from wattloom.llm.common import fresh_key, grouped_frames, integer_ids, intersections, mixed, sliced, stash, temporary, unused
 
 _ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _BYTE = mixed(np.arange(1000, 1256, dtype=np.uint64))
@@ -463,6 +463,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     earlier classes that have the token, up to FEW of them one by one, and more of them (all that have that hub) in
     blocks, so that no candidate is missed.
     """
+    integer_ids(df, id_col)
     with temporary() as keep:
         spark = df.sparkSession
         docs = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import connected_components, fresh_key, intersections, mixed, set_digest, shingles, stash, temporary, whole_groups, word_hashes
+from wattloom.llm.common import connected_components, fresh_key, integer_ids, intersections, mixed, set_digest, shingles, stash, temporary, whole_groups, word_hashes
 
 #: Buckets of a sketch; a register has 6 bits for the count of leading zeros and 10 of mantissa; four make a band.
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
@@ -172,6 +172,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingle. Rows that repeat an id share its class if their texts agree; if not, one of the texts is compared.
     Rows with null id stay alone. An empty table gives an empty result. Other columns are not read. Ids are integers.
     """
+    integer_ids(df, id_col)
     with temporary() as keep:
         threshold = percent / 100
         sigs = keep(stash(sketches(df, id_col, text_col, words), "sketches"))
