@@ -27,6 +27,8 @@ _LITERAL = 0x110000
 _CHARS = 2_000_000
 #: Units that are gone through one by one, when no more are left that are so long.
 FEW = 8
+#: Nodes of lattices that a process keeps (about 40 bytes each).
+MOST_NODES = 3_000_000
 _PLACE_BITS = 18
 
 
@@ -55,6 +57,7 @@ class Vocabulary:
                     for c in piece:
                         h = h * _BASE + np.uint64(ord(c) + 1)
                 by_length.setdefault(len(piece), []).append((int(h), i, -float(np.log(2 - min(0.0, model.get_score(i))))))
+        self.table_of_bytes = np.array(self.bytes_of, object)
         self.longest = max(by_length)
         rows = [row for found in by_length.values() for row in found]
         self.keys, self.ids, self.weights = (np.array(x, t) for x, t in zip(zip(*rows, strict=True), (np.uint64, np.int32, np.float64), strict=True))
@@ -145,10 +148,22 @@ class Lattice:
             lo = hi if len(levels) > 1 else 0
         self._few(beta, turn[lo:], deg[lo:], t[len(t) - int(deg[lo:].sum()) :], w[len(t) - int(deg[lo:].sum()) :])
         self.logp = weight + beta[self.target] - np.repeat(beta, degree[:-1])
-        self.p = np.exp(self.logp)
         self.done = np.zeros(nodes, bool)
         self.done[self.start + n] = True
 
+    def added(self, more: Lattice) -> None:
+        """Appends the nodes and edges of more, in arrays with room to grow."""
+        n, e = len(self.done), len(self.target)
+        for name, own, at in (("first", more.first + e, n), ("done", more.done, n), ("target", more.target + n, e), ("piece", more.piece, e), ("logp", more.logp, e)):
+            old = getattr(self, name)
+            room = old.base if old.base is not None and len(old.base) >= at + len(own) else None
+            if room is None:
+                room = np.empty(2 * (at + len(own)), old.dtype)
+                room[:at] = old[:at]
+            room[at : at + len(own)] = own
+            setattr(self, name, room[: at + len(own)])
+        self.start = more.start + n
+
     @staticmethod
     def _few(beta: np.ndarray, turn: np.ndarray, degree: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
         """beta of the nodes in turn, one by one: few units are so long, so there is little to do at once."""
@@ -170,7 +185,7 @@ class Lattice:
         stop = node + int(np.argmax(self.done[node:]))
         base = int(self.first[node])
         first = (self.first[node : stop + 1] - base).tolist()
-        p, target = self.p[base : int(self.first[stop])].tolist(), self.target[base : int(self.first[stop])].tolist()
+        p, target = np.exp(self.logp[base : int(self.first[stop])]).tolist(), self.target[base : int(self.first[stop])].tolist()
         edges, spare = [], []
         now = node
         while now < stop:
@@ -193,11 +208,11 @@ class Lattice:
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by its probability."""
         e, last = self.first[node], self.first[node + 1] - 1
-        u = u - self.p[e]
+        u = u - np.exp(self.logp[e])
         more = np.flatnonzero((u >= 0) & (e < last))
         while len(more):
             e[more] += 1
-            u[more] -= self.p[e[more]]
+            u[more] -= np.exp(self.logp[e[more]])
             more = more[(u[more] >= 0) & (e[more] < last[more])]
         return e
 
@@ -218,6 +233,28 @@ class Lattice:
         return int(self.first[i]), int(self.first[i + 1])
 
 
+class Known:
+    """The lattices of units met before in this process, up to about MOST_NODES nodes; common words are built once."""
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        self.vocab, self.start, self.lattice = vocab, {}, Lattice([], vocab)
+
+    def of(self, units: np.ndarray) -> tuple[Lattice, np.ndarray]:
+        """(a lattice that has the units, the first node of each)."""
+        if len(self.lattice.done) > MOST_NODES:
+            self.start, self.lattice = {}, Lattice([], self.vocab)
+        new = [u for u in units if u not in self.start]
+        if new:
+            self.lattice.added(Lattice(new, self.vocab))
+            self.start.update(zip(new, self.lattice.start.tolist(), strict=True))
+        return self.lattice, np.fromiter(map(self.start.__getitem__, units), np.int64, len(units))
+
+
+@lru_cache(4)
+def known(path: str) -> Known:
+    return Known(vocabulary(path))
+
+
 def _hashed(key: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mixed(np.asarray(key, np.uint64) + _BASE * (np.asarray(salt).astype(np.uint64) + np.uint64(1)))
@@ -263,7 +300,7 @@ def _completed(lattice: Lattice, node: np.ndarray, key: np.ndarray, sample: int)
     return out, count, left
 
 
-def sample_segmentations(texts: list[str], keys: list[int], k: int, vocab: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
+def sample_segmentations(texts: list[str], keys: list[int], k: int, vocab: Vocabulary, store: Known | None = None) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
     """(text, sample, piece ids, log probability, perturbed log probability, inclusion score) of the k distinct
     segmentations of each text whose Gumbel-perturbed log probabilities are largest.
 
@@ -276,13 +313,14 @@ def sample_segmentations(texts: list[str], keys: list[int], k: int, vocab: Vocab
     n_units = np.fromiter(map(len, per_text), np.int64, len(per_text))
     units = list(chain.from_iterable(per_text))
     unit, distinct = pd.factorize(np.array(units, object))
-    lattice = Lattice(list(distinct), vocab)
+    lattice, begins = (Known(vocab) if store is None else store).of(distinct)
+    begins = begins[unit]
     text = np.repeat(np.arange(len(texts)), n_units)
     key = np.array(keys, np.uint64)
     unit_start = np.cumsum(n_units) - n_units
     unit_key = _hashed(key[text], np.arange(len(unit)) - unit_start[text])
 
-    edges, count, spare = _completed(lattice, lattice.start[unit], unit_key, 0)
+    edges, count, spare = _completed(lattice, begins, unit_key, 0)
     step_unit = np.repeat(np.arange(len(unit)), count)
     step_text = text[step_unit]
     bound = np.searchsorted(step_text, np.arange(len(texts) + 1))
@@ -327,7 +365,7 @@ def sample_segmentations(texts: list[str], keys: list[int], k: int, vocab: Vocab
         begin, end = np.array([b[2][-1] for b in branches]), np.array([b[5] for b in branches])
         size = end - begin
         after = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        node = lattice.start[unit[after]]
+        node = begins[after]
         node[np.cumsum(size) - size] = lattice.target[[b[3] for b in branches]]
         new, c, spare = _completed(lattice, node, unit_key[after], j)
         new_units = np.repeat(after, c)
@@ -363,7 +401,7 @@ def _ids(pieces: np.ndarray, vocab: Vocabulary) -> np.ndarray:
 
 def decoded(ids: np.ndarray, vocab: Vocabulary) -> str:
     """The text of piece ids, without the space that encoding put before it."""
-    return b"".join(map(vocab.bytes_of.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
+    return b"".join(vocab.table_of_bytes[ids].tolist())[1:].decode("utf-8", "surrogatepass")
 
 
 def encode_samples(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 1, copy_col: str | None = None) -> DataFrame:
@@ -394,7 +432,7 @@ def encode_samples(df: DataFrame, model: str, id_col: str = "doc_id", text_col:
                     size += len(texts[hi] or "")
                     hi += 1
                 own = [t or "" for t in texts[lo:hi]]
-                rows = [(lo + d, *row) for d, *row in sample_segmentations(own, keys[lo:hi], k, vocab)]
+                rows = [(lo + d, *row) for d, *row in sample_segmentations(own, keys[lo:hi], k, vocab, known(model))]
                 none = np.empty(0, np.int64)
                 rows += [(lo + d, 0, none, 0.0, 0.0, 1.0) for d, t in enumerate(own) if not t]
                 ends = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]) if rows else np.zeros(1)
