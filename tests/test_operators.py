@@ -258,3 +258,10 @@ def test_neighbours_far_dense_and_alone(spark):
         assert got[city].points == len(own)
         assert (got[city].mean_km, got[city].max_km, got[city].min_km) == (pytest.approx(sum(best) / len(best), rel=1e-3), pytest.approx(max(best), rel=1e-3), pytest.approx(min(best), rel=1e-6, abs=1e-9))
     assert "c" not in got
+
+
+def test_factor_years_fill_gaps(spark):
+    """A year without factors takes those of the next one that has them, years after the last those of the last."""
+    table = spark.createDataFrame([(2019, 0.9, 0.4), (2021, 0.8, 0.3)], "year int, thermal_factor double, gas_factor double")
+    got = {r.year: r.thermal_factor for r in J.emission_factor_years(table, 2018, 2023).collect()}
+    assert got == {2018: 0.9, 2019: 0.9, 2020: 0.8, 2021: 0.8, 2022: 0.8, 2023: 0.8}

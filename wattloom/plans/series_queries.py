@@ -30,11 +30,11 @@ def _moves(i: Inputs):
 
 def _labels(i: Inputs):
     o = i.table("orders").groupBy(F.col("o_orderpriority").alias("city"), F.col("o_orderdate").alias("timestamp")).agg(F.count("*").alias("n"))
-    return o.where("n > 1 or dayofmonth(timestamp) % 2 = 0").select("city", "timestamp", F.when(F.col("n") > 1, "high").otherwise("low").alias("confidence"))
+    return o.select("city", "timestamp", F.when(F.col("n") > 1, "high").otherwise("low").alias("confidence"))
 
 
 def _factor_table(i: Inputs):
-    return i.table("orders").where("year(o_orderdate) % 2 = 0").groupBy(F.year("o_orderdate").alias("year")).agg((F.avg("o_totalprice") / 1e6).alias("thermal_factor"), (F.max("o_totalprice") / 1e6).alias("gas_factor"))
+    return i.table("orders").groupBy(F.year("o_orderdate").alias("year")).agg((F.avg("o_totalprice") / 1e6).alias("thermal_factor"), (F.max("o_totalprice") / 1e6).alias("gas_factor"))
 
 
 def _confident(i: Inputs):
@@ -123,7 +123,7 @@ _PRI = "SELECT o_orderkey AS id, o_custkey AS ca_id, o_orderdate AS timestamp, o
 _W = "WINDOW w AS (PARTITION BY location ORDER BY timestamp)"
 _RUN = """, n AS (SELECT *, temperature IS NULL AS gone FROM weather_hourly), c AS (SELECT *, CASE WHEN gone <> lag(gone) OVER w THEN 1 ELSE 0 END AS ch FROM n WINDOW w AS (PARTITION BY location ORDER BY timestamp)),
 r AS (SELECT *, sum(ch) OVER (PARTITION BY location ORDER BY timestamp)::BIGINT AS run_id FROM c)"""
-_FACT = ", f AS (SELECT year(o_orderdate)::INT AS year, avg(o_totalprice) / 1e6 AS thermal_factor, max(o_totalprice) / 1e6 AS gas_factor FROM orders WHERE year(o_orderdate) % 2 = 0 GROUP BY ALL), y AS (SELECT unnest(range(1990, 2031))::INT AS year), fy AS (SELECT y.year, f.thermal_factor, f.gas_factor FROM y ASOF LEFT JOIN f ON y.year <= f.year), fz AS (SELECT year, coalesce(thermal_factor, (SELECT arg_max(thermal_factor, year) FROM f)) AS thermal_factor, coalesce(gas_factor, (SELECT arg_max(gas_factor, year) FROM f)) AS gas_factor FROM fy)"
+_FACT = ", f AS (SELECT year(o_orderdate)::INT AS year, avg(o_totalprice) / 1e6 AS thermal_factor, max(o_totalprice) / 1e6 AS gas_factor FROM orders GROUP BY ALL), y AS (SELECT unnest(range(1990, 2031))::INT AS year), fy AS (SELECT y.year, f.thermal_factor, f.gas_factor FROM y ASOF LEFT JOIN f ON y.year <= f.year), fz AS (SELECT year, coalesce(thermal_factor, (SELECT arg_max(thermal_factor, year) FROM f)) AS thermal_factor, coalesce(gas_factor, (SELECT arg_max(gas_factor, year) FROM f)) AS gas_factor FROM fy)"
 _HAV = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2))))"
 _CARD = {4: "['N','E','S','W']", 8: "['N','NE','E','SE','S','SW','W','NW']", 16: "['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW']"}
 
@@ -166,7 +166,7 @@ SQL = {
     "c12_validated_join": sql("SELECT id, timestamp, round(aef, 6) AS aef, round(mef, 6) AS mef FROM (" + _PRI + ") LEFT JOIN factors USING (timestamp)", "factors"),
     "c13_number_locations": sql("SELECT ca_id, round(lon, 6) AS lon, round(lat, 6) AS lat, dense_rank() OVER (ORDER BY customer_points.lat, customer_points.lon) - 1 AS location_id FROM customer_points", "customer_points"),
     "c14_moves_by_role": """WITH m AS (SELECT o_orderkey AS id, o_orderpriority AS city, o_orderdate AS a, o_orderdate + INTERVAL 1 DAY AS b FROM orders),
-l AS (SELECT o_orderpriority AS city, o_orderdate AS t, CASE WHEN count(*) > 1 THEN 'high' ELSE 'low' END AS c FROM orders GROUP BY ALL HAVING count(*) > 1 OR day(o_orderdate) % 2 = 0)
+l AS (SELECT o_orderpriority AS city, o_orderdate AS t, CASE WHEN count(*) > 1 THEN 'high' ELSE 'low' END AS c FROM orders GROUP BY ALL)
 SELECT id, m.city, a AS original_time, b AS proposed_shift_time, s.c AS source_confidence, d.c AS destination_confidence, coalesce(s.c, d.c) AS confidence FROM m LEFT JOIN l s ON s.city = m.city AND s.t = a LEFT JOIN l d ON d.city = m.city AND d.t = b""",
     "c15_factor_years": "WITH _ AS (SELECT 1)" + _FACT + " SELECT year, round(thermal_factor, 6) AS thermal_factor, round(gas_factor, 6) AS gas_factor FROM fz",
     "c16_attach_floor": sql(
