@@ -55,10 +55,10 @@ def force(v, threshold=0.93):
 
 @pytest.mark.parametrize("mean", [0.0, 0.7, 0.85])
 def test_recall_in_tight_clusters(spark, mean):
-    v = tight(12_000, mean, 600, 3)
+    v = tight(6_000, mean, 300, 3)
     df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(v)), "embedding": v.tolist(), "label": 1}), "vec_id long, embedding array<double>, label int")
     want = force(v)
-    assert len(want) >= 600
+    assert len(want) >= 300
     n = np.bincount(want.ravel(), minlength=len(v))
     got = embedding_duplicates(df.repartition(6)).toPandas().sort_values("vec_id")
     assert (got["n_links"].to_numpy() != n).mean() <= 0.001
