@@ -149,7 +149,7 @@ def whitened(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         n, total = 0, [0] * p
         for b in batches:
             _, x = whole_vectors(b.column("v"), p, scale, shift)
-            if len(x):
+            if x.size:
                 x = x if float(np.abs(x).max()) * len(x) < _LONG else x.astype(object)
                 n, total = n + len(x), [a + int(s) for a, s in zip(total, x.sum(axis=0))]
         yield pa.record_batch({"at": pa.array(range(p + 1), pa.int32()), "s": pa.array([str(n), *map(str, total)])})
