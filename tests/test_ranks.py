@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from wattloom.operators import diagnostics as D
 from wattloom.operators import mef as M
-from wattloom.operators.ranks import average_rank, exact_quantiles
+from wattloom.operators import ranks
+from wattloom.operators.ranks import average_rank, average_ranks, exact_quantiles
+from wattloom.sources import io
 
 
 @pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0] * 9, list(np.random.default_rng(0).integers(0, 40, 3000).astype(float)), list(np.random.default_rng(1).standard_normal(5000))], ids=len)
@@ -90,3 +92,79 @@ def test_spline_follows_the_curve(spark):
     got = df.select("q", "x", model.predict().alias("p"), model.me().alias("me")).toPandas()
     assert np.abs(got["p"] - (100 + 12 * got["q"] - 0.08 * got["q"] ** 2 + 5 * got["x"])).max() < 4
     assert np.abs(got["me"] - (12 - 0.16 * got["q"])).mean() < 0.6
+
+
+def grouped(spark, parts=12):
+    """A hot group of many values with ties, small ones, a null group and nulls, dealt over many ranges."""
+    rng = np.random.default_rng(8)
+    g = np.append(np.full(6000, "hot"), rng.choice(["a", "b", "c", None], 900))
+    v = np.where(rng.random(len(g)) < 0.3, 7.0, rng.integers(0, 3000, len(g)) / 4)  # a third has one value
+    v[rng.random(len(g)) < 0.02] = np.nan
+    f = pd.DataFrame({"i": np.arange(len(g)), "g": g, "v": v})
+    rows = [(int(i), x, None if np.isnan(y) else float(y)) for i, x, y in f.itertuples(index=False)]
+    return f, spark.createDataFrame(rows, "i long, g string, v double").repartition(parts)
+
+
+@pytest.fixture
+def many_ranges(spark):
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_ranks_of_a_hot_group(spark, many_ranges):
+    f, df = grouped(spark)
+    got = average_ranks(df, {"v": "r"}, ["g"]).toPandas().set_index("i").sort_index()
+    want = f.groupby("g", dropna=False)["v"].rank()
+    assert np.allclose(got["r"].to_numpy(float), want.to_numpy(float), equal_nan=True)
+    levels = df.where("v is not null").groupBy("g", "v").agg(F.count("*").alias("n"))
+    parts = ranks._ordered(levels, ["g"], ["v"], "n").groupBy("g").agg(F.countDistinct("_part").alias("n")).collect()
+    assert max(r.n for r in parts if r.g == "hot") >= 7
+
+
+def test_quantiles_of_groups(spark, many_ranges):
+    f, df = grouped(spark)
+    df = df.withColumn("w", -F.col("i"))
+    probs = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = {(r.g, r.column): list(r.q) for r in ranks.grouped_quantiles(df, ["v", "w"], probs, ["g"]).collect()}
+    assert len(got) == 10
+    for (g, c), q in got.items():
+        own = f[f["g"].isna()] if g is None else f[f["g"] == g]
+        x = own["v"].dropna() if c == "v" else -own["i"]
+        assert q == pytest.approx(np.quantile(x, probs).tolist())
+    middle = {(r.g, r.column): list(r.q) for r in ranks.grouped_quantiles(df, ["v"], probs, ["g"], midpoint=True).collect()}
+    hot = f[f["g"] == "hot"]["v"].dropna()
+    assert middle["hot", "v"] == pytest.approx(np.quantile(hot, probs, method="midpoint").tolist())
+    several = exact_quantiles(df, ["w", "v"], probs)
+    assert several["v"] == pytest.approx(np.quantile(f["v"].dropna(), probs).tolist()) and several["w"][0] == -len(f) + 1
+
+
+def test_places_and_running_sums(spark, many_ranges):
+    f, df = grouped(spark)
+    got = ranks.running_sum(df, ["g"], ["i"], "v", "s").toPandas().sort_values("i")
+    want = f.assign(v=f["v"].fillna(0)).groupby("g", dropna=False)["v"].cumsum()
+    assert np.allclose(got["s"], want)
+    one = ranks.placed(df.withColumn("n", F.lit(1).cast("long")), ["g"], [F.desc_nulls_last("v"), "i"], "n").toPandas()
+    order = f.sort_values(["v", "i"], ascending=[False, True]).groupby("g", dropna=False).cumcount()
+    assert one.set_index("i")["below"].sort_index().tolist() == order.sort_index().tolist()
+    sizes = f["g"].value_counts(dropna=False)
+    assert all(t == sizes[g] for g, t in zip(one["g"], one["total"]) if isinstance(g, str))
+    empty = df.where("false")
+    assert ranks.running_sum(empty, ["g"], ["i"], "v", "s").count() == 0 and ranks.grouped_quantiles(empty, ["v"], probs=[0.5], by=["g"]).count() == 0
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    with io.scratch() as outer:
+        with io.scratch() as keep:
+            gone, stays = io.kept(spark.range(3)), keep(io.kept(spark.range(4)))
+        files = [t.inputFiles()[0].removeprefix("file://") for t in (stays,)]
+        assert stays.count() == 4 and os.path.exists(files[0])
+        with pytest.raises(Exception):
+            gone.count()
+        assert outer
+    assert not os.path.exists(files[0])

@@ -192,7 +192,7 @@ def polynomial_interactions(df: DataFrame, q: str, degree: int, cols: Sequence[s
 def winsorize_fit(df: DataFrame, cols: Sequence[str], lower: float = 0.01, upper: float = 0.99) -> dict[str, tuple[float, float]]:
     from wattloom.operators.ranks import exact_quantiles
 
-    return {x: tuple(exact_quantiles(df, x, [lower, upper])) for x in cols}
+    return {x: tuple(q) for x, q in exact_quantiles(df, list(cols), [lower, upper]).items()}
 
 
 def winsorize(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
@@ -204,7 +204,7 @@ def standardise_fit(df: DataFrame, cols: Sequence[str], robust: bool = False) ->
     if robust:
         from wattloom.operators.ranks import exact_quantiles
 
-        pairs = {x: (q[1], q[2] - q[0]) for x in cols for q in [exact_quantiles(df, x, [0.25, 0.5, 0.75])]}
+        pairs = {x: (q[1], q[2] - q[0]) for x, q in exact_quantiles(df, list(cols), [0.25, 0.5, 0.75]).items()}
     else:
         row = df.agg(*(f(x).alias(f"{x}_{n}") for x in cols for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
         pairs = {x: (row[f"{x}_m"], row[f"{x}_s"]) for x in cols}

@@ -78,7 +78,7 @@ def outliers_zscore(df: DataFrame, cols: Sequence[str], threshold: float = 3.0)
 
 
 def outliers_iqr(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
-    q = {x: exact_quantiles(df, x, [0.25, 0.75]) for x in cols}
+    q = exact_quantiles(df, cols, [0.25, 0.75])
     edges = {n: v for x, (a, b) in q.items() if a is not None for n, v in ((f"{x}_lo", a - (b - a) * k), (f"{x}_hi", b + (b - a) * k))}
     bounds = df.sparkSession.range(1).select(*(F.lit(edges.get(n)).cast("double").alias(n) for x in cols for n in (f"{x}_lo", f"{x}_hi")))
     return _flagged(df, bounds, cols)

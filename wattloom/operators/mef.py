@@ -13,10 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.operators import ranks
 from wattloom.operators.diagnostics import gram
-from wattloom.operators.ranks import exact_quantiles
-from wattloom.sources.io import kept
+from wattloom.operators.ranks import average_ranks, exact_quantiles, with_quantiles
 
 # --- bins -------------------------------------------------------------------------------------------------------------
 
@@ -28,11 +26,9 @@ def midpoint_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[
 
 def quantile_bins_fit(df: DataFrame, specs: dict[str, int]) -> dict[str, list[float]]:
     """Edges of each column: least - 1e-4, inner midpoint quantiles, largest + 1e-4, without repeats."""
-    out = {}
-    for x, n in specs.items():
-        lo, hi = df.agg(F.min(x), F.max(x)).first()
-        out[x] = sorted({lo - 1e-4, *midpoint_quantiles(df, x, [i / n for i in range(1, n)]), hi + 1e-4})
-    return out
+    probs = sorted({0.0, 1.0, *(i / n for n in specs.values() for i in range(1, n))})
+    q = {x: dict(zip(probs, v, strict=True)) for x, v in exact_quantiles(df, list(specs), probs, midpoint=True).items()}
+    return {x: sorted({q[x][0.0] - 1e-4, *(q[x][i / n] for i in range(1, n)), q[x][1.0] + 1e-4}) for x, n in specs.items()}
 
 
 def bin_of(col: str | Column, edges: Sequence[float], oob: str = "clip") -> Column:
@@ -56,7 +52,7 @@ def quantile_bins(df: DataFrame, edges: dict[str, list[float]], oob: str = "clip
 
 
 def median_groups_fit(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    return {x: exact_quantiles(df, x, [0.5])[0] for x in cols}
+    return {x: v for x, (v,) in exact_quantiles(df, list(cols), [0.5]).items()}
 
 
 def median_groups(df: DataFrame, medians: dict[str, float], name: str = "median_group") -> DataFrame:
@@ -349,20 +345,10 @@ def ramp_pairs(df: DataFrame, q: str, y: str, me: str, keys: Sequence[str] = ("c
     return out.where(near).withColumn("s", F.col("dy") / F.col("dq"))
 
 
-def average_rank(df: DataFrame, col: str, by: Sequence[str], name: str) -> DataFrame:
-    if not by:
-        return ranks.average_rank(df, col, name)
-    w = Window.partitionBy(*by)
-    ties = F.count("*").over(Window.partitionBy(*by, col))
-    return df.withColumn(name, F.rank().over(w.orderBy(col)) + (ties - 1) / 2)
-
-
 def ramp_scores(pairs: DataFrame, by: Sequence[str] = ("city",)) -> DataFrame:
     """Pearson, Spearman, rmse, mae and n of s against m, in each group or over all."""
-    ok = pairs.where(F.col("m").isNotNull() & F.col("s").isNotNull())
-    # ranks over all read the pairs several times
-    ok = ok if by else kept(ok)
-    ranked = average_rank(average_rank(ok, "s", by, "_rs"), "m", by, "_rm")
+    ok = pairs.where(F.col("m").isNotNull() & F.col("s").isNotNull()).select(*by, "s", "m")
+    ranked = average_ranks(ok, {"s": "_rs", "m": "_rm"}, by)
     e = F.col("s") - F.col("m")
     return ranked.groupBy(*by).agg(F.corr("s", "m").alias("pearson"), F.corr("_rs", "_rm").alias("spearman"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count("*").alias("n_pairs"))
 
@@ -370,7 +356,9 @@ def ramp_scores(pairs: DataFrame, by: Sequence[str] = ("city",)) -> DataFrame:
 def finite_difference_metrics(df: DataFrame, q: str, y: str, me: str, keys: Sequence[str] = ("city",), ts: str = "timestamp", max_minutes: float = 60, min_abs_dq: float = 0.0) -> DataFrame:
     """Ramp scores of each city, and pooled (city 'ALL')."""
     pairs = ramp_pairs(df, q, y, me, keys, ts, max_minutes, min_abs_dq)
-    return ramp_scores(pairs, keys).unionByName(ramp_scores(pairs, ()).withColumns({k: F.lit("ALL") for k in keys}))
+    # a group and all groups together are ranked in one pass
+    both = pairs.select("s", "m", F.inline(F.array(F.struct(*keys, F.lit(False).alias("_pooled")), F.struct(*(F.lit("ALL").alias(k) for k in keys), F.lit(True).alias("_pooled")))))
+    return ramp_scores(both, [*keys, "_pooled"]).drop("_pooled")
 
 
 def calibrate_wls(pairs: DataFrame) -> tuple[float, float]:
@@ -422,9 +410,8 @@ def me_for_split(df: DataFrame, keep: Sequence[str], split: str) -> DataFrame:
 
 
 def me_summary(df: DataFrame, by: Sequence[str] = ("split",), me: str = "ME") -> DataFrame:
-    q = F.percentile(me, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    out = df.groupBy(*by).agg(F.count(me).alias("n"), F.avg(me).alias("mean"), F.stddev_samp(me).alias("std"), F.min(me).alias("min"), F.max(me).alias("max"), q.alias("_q"))
-    return out.select(*by, "n", "mean", "std", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max")
+    out = df.groupBy(*by).agg(F.count(me).alias("n"), F.avg(me).alias("mean"), F.stddev_samp(me).alias("std"), F.min(me).alias("min"), F.max(me).alias("max"))
+    return with_quantiles(out, df, by, {"q1": (me, 0.25), "median": (me, 0.5), "q3": (me, 0.75)}).select(*by, "n", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def best_models(results: DataFrame, criterion: str, n: int = 5) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wattloom.operators.ranks import running_sum, same
+
 
 def neighbours(df: DataFrame, col: str, keys: Sequence[str], ts: str = "timestamp") -> DataFrame:
     """Previous and next value, and minutes since and until their rows."""
@@ -25,7 +27,11 @@ def irregular_intervals(df: DataFrame, keys: Sequence[str], minutes: int, ts: st
 
 
 def running_total(df: DataFrame, col: str, keys: Sequence[str], ts: str = "timestamp") -> DataFrame:
-    return df.withColumn(f"{col}_running", F.sum(col).over(Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)))
+    """df with the running sum of col by time, null before the first value; a key of any length spreads over tasks."""
+    name = f"{col}_running"
+    first = df.groupBy(*keys).agg(F.min(F.when(F.col(col).isNotNull(), F.col(ts))).alias("_first"))
+    out = same(running_sum(df, keys, [ts], col, name), first, keys)
+    return out.withColumn(name, F.when(F.col(ts) >= F.col("_first"), F.col(name))).drop("_first")
 
 
 def run_ids(df: DataFrame, is_null: Column, keys: Sequence[str], ts: str = "timestamp") -> DataFrame:

@@ -1,52 +1,132 @@
-"""Exact ranks and quantiles of whole tables without one task that sees them all."""
+"""Exact places, ranks, running sums and quantiles, of whole tables and of groups of any size.
+
+Rows are sorted over ranges of (group, value), so that a large group spreads over many tasks. Each task adds up its own
+rows; the sums of the ranges before, a row for each group and range, are added afterwards.
+"""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wattloom.sources.io import kept
+
+
+def _ordered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: str) -> DataFrame:
+    """df as a written table, sorted over ranges, with _part (the range) and _run (sum of n of the rows of the range before)."""
+    kind = df.schema[n].dataType.simpleString()
+    names = [*df.columns, "_part", "_run"]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for b in batches:
+            if b.num_rows:
+                run = np.append(0, np.cumsum(b.column(n).to_numpy(zero_copy_only=False))) + before
+                before = run[-1]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(run[:-1])], names)
+
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return kept(dealt.mapInArrow(summed, f"{fields}, _part int, _run {kind}"))
+
+
+def _parts(ordered: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
+    """keys, _part, _start (its first _run), _n (its sum), _before (the sum of the group's ranges before), _total."""
+    sums = ordered.groupBy(*keys, "_part").agg(F.min("_run").alias("_start"), F.sum(n).alias("_n"))
+    w = Window.partitionBy(*keys)
+    return sums.withColumns({"_before": F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), "_total": F.sum("_n").over(w)}).na.fill(0, ["_before"])
+
+
+def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys, null being equal to null; the keys are the left's."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    other = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    return left.join(other, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys], how).drop(*(f"_on_{k}" for k in keys))
+
+
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: str) -> DataFrame:
+    """df with below (sum of n over the rows of the same keys that come before in the order) and total (over all rows of
+    the keys). The order must leave no ties that matter; n has no nulls."""
+    ordered = _ordered(df, keys, order, n)
+    out = same(ordered, _parts(ordered, keys, n).drop("_n"), [*keys, "_part"])
+    return out.withColumns({"below": F.col("_before") + F.col("_run") - F.col("_start"), "total": F.col("_total")}).drop("_part", "_run", "_start", "_before", "_total")
+
 
-def running(df: DataFrame, key: str, n: str, buckets: int = 1024) -> DataFrame:
-    """df with above: sum of n over rows with a larger key. Sums run within quantile buckets, which start from the
-    sums of the buckets above (at most so many rows)."""
-    cuts = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10000).alias("cuts"))
-    cut = df.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("cuts", lambda x: x <= F.col(key)))).drop("cuts")
-    sums = cut.groupBy("_b").agg(F.sum(n).alias("_n"))
-    start = sums.withColumn("_above", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = F.coalesce(F.sum(n).over(Window.partitionBy("_b").orderBy(F.desc(key)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return cut.withColumn("_inner", inner).join(F.broadcast(start), "_b").withColumn("above", F.col("_above") + F.col("_inner")).drop("_b", "_above", "_inner")
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, name: str) -> DataFrame:
+    """df with the sum of value over the rows of the same keys up to this one; nulls count as 0."""
+    out = placed(df.withColumn("_v", F.coalesce(value, F.lit(0))), keys, order, "_v")
+    return out.withColumn(name, F.col("below") + F.col("_v")).drop("_v", "below", "total")
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], midpoint: bool = False) -> list[float | None]:
-    """Linear quantiles of the values that aren't null; midpoint: the middle of the two values around a place instead.
+def level_quantiles(levels: DataFrame, keys: Sequence[str], probs: Sequence[float], midpoint: bool = False) -> DataFrame:
+    """keys, q (array of double, one for each of probs): linear quantiles of v, each value n times.
 
-    Only the values at the places asked for reach the driver; nulls without values.
+    levels: keys, v, n, with no v twice for the same keys. midpoint: the middle of the two values around a place.
     """
-    levels = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    total = levels.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return [None] * len(probs)
-    at = [p * (total - 1) for p in probs]
-    places = sorted({f for a in at for f in (math.floor(a + 1e-9), math.ceil(a - 1e-9))})
-    below = F.lit(total) - F.col("above") - F.col("n")
-    hit = F.exists(F.array(*map(F.lit, places)), lambda x: (x >= below) & (x < below + F.col("n")))
-    found = running(levels, "v", "n").where(hit).select("v", below.alias("lo"), "n").collect()
-    value = {x: r.v for r in found for x in places if r.lo <= x < r.lo + r.n}
-    out = []
-    for a in at:
-        lo, hi = math.floor(a + 1e-9), math.ceil(a - 1e-9)
-        part = 0.5 if midpoint and lo < hi else a - lo
-        out.append(value[lo] + (value[hi] - value[lo]) * part)
-    return out
-
-
-def average_rank(df: DataFrame, col: str, name: str) -> DataFrame:
-    """df with the rank of col in the whole table, from 1; equal values share the middle of their places."""
-    levels = df.groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("n"))
-    total = F.broadcast(levels.agg(F.sum("n").alias("_all")))
-    ranks = running(levels, "_v", "n").crossJoin(total).select("_v", (F.col("_all") - F.col("above") - F.col("n") + (F.col("n") + 1) / 2).alias(name))
-    return df.join(ranks, F.col(col) == F.col("_v")).drop("_v")
+    ordered = _ordered(levels.where("v is not null"), keys, ["v"], "n")
+    parts = _parts(ordered, keys, "n")
+    chances = F.array(*(F.lit(float(p)) for p in probs))
+    at = parts.select("*", F.posexplode(chances).alias("_i", "_p")).withColumn("_at", F.col("_p") * (F.col("_total") - 1))
+    sides = F.array(F.floor(F.col("_at") + 1e-9), F.ceil(F.col("_at") - 1e-9))
+    want = at.select("*", F.posexplode(sides).alias("_side", "_place")).where((F.col("_place") >= F.col("_before")) & (F.col("_place") < F.col("_before") + F.col("_n")))
+    want = want.select(*keys, "_part", "_i", "_at", "_side", (F.col("_start") + F.col("_place") - F.col("_before")).alias("_place"))
+    hit = same(ordered, want, [*keys, "_part"]).where((F.col("_place") >= F.col("_run")) & (F.col("_place") < F.col("_run") + F.col("n")))
+    # a row for each probability and side
+    ends = hit.groupBy(*keys, "_i", "_at").agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
+    part = F.col("_at") - F.floor(F.col("_at") + 1e-9)
+    part = F.when(part > 1e-9, 0.5).otherwise(0.0) if midpoint else part
+    values = ends.withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * part)
+    return values.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "q"))), lambda x: x["q"]).alias("q"))
+
+
+def grouped_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), midpoint: bool = False) -> DataFrame:
+    """by, column, q: the quantiles of each of cols in each group, from one ordering of the distinct values; columns
+    without values have no row."""
+    long = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols)))
+    levels = df.select(*by, long).where("v is not null").groupBy(*by, "column", "v").agg(F.count("*").alias("n"))
+    return level_quantiles(levels, [*by, "column"], probs, midpoint)
+
+
+def with_quantiles(stats: DataFrame, df: DataFrame, by: Sequence[str], names: dict[str, tuple[str, float]]) -> DataFrame:
+    """stats (a row for each group) with columns {name: (column of df, probability)}; null where a group has no values."""
+    cols = list(dict.fromkeys(c for c, _ in names.values()))
+    probs = sorted({p for _, p in names.values()})
+    q = grouped_quantiles(df, cols, probs, by)
+    pick = [F.max(F.when(F.col("column") == c, F.col("q")[probs.index(p)])).alias(n) for n, (c, p) in names.items()]
+    return same(stats, q.groupBy(*by).agg(*pick), by, "left")
+
+
+def exact_quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float], midpoint: bool = False) -> list | dict[str, list]:
+    """Linear quantiles of the values that aren't null: a list for one column, for several {column: list} from one pass.
+
+    midpoint: the middle of the two values around a place instead. Nulls without values.
+    """
+    names = [cols] if isinstance(cols, str) else list(cols)
+    got = {r.column: list(r.q) for r in grouped_quantiles(df, names, probs, (), midpoint).collect()}
+    out = {c: got.get(c, [None] * len(probs)) for c in names}
+    return out[cols] if isinstance(cols, str) else out
+
+
+def average_ranks(df: DataFrame, cols: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """df with ranks {column: name} from 1 in each group or in the whole table; equal values share the middle of their
+    places, null has none. df is written first, as equal sums of another reading may differ in their last digit."""
+    df = kept(df)
+    long = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols)))
+    levels = df.select(*by, long).where("v is not null").groupBy(*by, "column", "v").agg(F.count("*").alias("n"))
+    ranks = placed(levels, [*by, "column"], ["v"], "n").select(*by, "column", "v", (F.col("below") + (F.col("n") + 1) / 2).alias("_rank"))
+    for c, name in cols.items():
+        own = ranks.where(F.col("column") == c).select(*(F.col(k).alias(f"_by_{k}") for k in by), F.col("v").alias("_v"), F.col("_rank").alias(name))
+        on = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by] + [F.col(c).cast("double") == F.col("_v")]
+        df = df.join(own, on, "left").drop("_v", *(f"_by_{k}" for k in by))
+    return df
+
+
+def average_rank(df: DataFrame, col: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    return average_ranks(df, {col: name}, by)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions.columns import classify_move, iso_week, iso_weekday, iso_year
+from wattloom.operators.ranks import with_quantiles
 
 DELTA = "marginal_emissions_delta_grams_co2"
 BEFORE = "marginal_emissions_before_shift_grams_co2"
@@ -22,17 +23,19 @@ def _week() -> list[Column]:
     return [iso_year("day").alias("iso_year"), iso_week("day").alias("iso_week")]
 
 
-def _quartiles(x: str | Column) -> list[Column]:
-    return [F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.75)).alias("p75"), F.count("*").alias("n")]
+def _quartiles(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
+    """Mean, median, upper quartile and number of x in each group."""
+    stats = df.groupBy(*by).agg(F.avg(x).alias("mean"), F.count("*").alias("n"))
+    return with_quantiles(stats, df, by, {"median": (x, 0.5), "p75": (x, 0.75)}).select(*by, "mean", "median", "p75", "n")
 
 
 def per_move_savings(moves: DataFrame, by: Sequence[str] = ("city",)) -> DataFrame:
-    return moves.withColumn("_s", -F.col(DELTA)).groupBy(*by).agg(*_quartiles("_s"))
+    return _quartiles(moves.select(*by, (-F.col(DELTA)).alias("_s")), "_s", by)
 
 
 def household_week_savings(moves: DataFrame, by: Sequence[str] = ("city",)) -> DataFrame:
     weeks = moves.groupBy(*dict.fromkeys([*by, "city"]), "ca_id", *_week()).agg(F.sum(-F.col(DELTA)).alias("_s"))
-    return weeks.groupBy(*by).agg(*_quartiles("_s"))
+    return _quartiles(weeks, "_s", by)
 
 
 def moves_by_category(moves: DataFrame) -> DataFrame:
@@ -81,11 +84,10 @@ def moves_confidence_share(labelled: DataFrame, label: str = "confidence") -> Da
 
 
 def shift_size_distance(moves: DataFrame, by: Sequence[str] = ("city",)) -> DataFrame:
-    d = F.abs("delta_minutes")
-    return moves.groupBy(*by).agg(
-        F.avg("delta_kwh").alias("mean_kwh"), F.percentile("delta_kwh", F.lit(0.5)).alias("median_kwh"), (F.sum(F.col("delta_kwh") * d) / F.sum("delta_kwh")).alias("weighted_minutes"),
-        F.avg(d).alias("mean_minutes"), F.percentile(d, F.lit(0.5)).alias("median_minutes"),
-    )
+    sized = moves.select(*by, "delta_kwh", F.abs("delta_minutes").alias("_d"))
+    stats = sized.groupBy(*by).agg(F.avg("delta_kwh").alias("mean_kwh"), (F.sum(F.col("delta_kwh") * F.col("_d")) / F.sum("delta_kwh")).alias("weighted_minutes"), F.avg("_d").alias("mean_minutes"))
+    out = with_quantiles(stats, sized, by, {"median_kwh": ("delta_kwh", 0.5), "median_minutes": ("_d", 0.5)})
+    return out.select(*by, "mean_kwh", "median_kwh", "weighted_minutes", "mean_minutes", "median_minutes")
 
 
 def emissions_savings(metrics: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.functions.columns import floor_minutes, iso_week, iso_weekday, iso_year, trunc
-from wattloom.operators.ranks import exact_quantiles, running
+from wattloom.operators.ranks import average_rank, exact_quantiles, placed, same, with_quantiles
 
 #: Periods by which usage is summed: the columns that name a period of a timestamp.
 PERIODS = {
@@ -86,10 +86,10 @@ def top_share(df: DataFrame, p: float = 0.1) -> DataFrame:
     totals = df.groupBy("ca_id").agg(F.sum("value").alias("t"))
     levels = totals.groupBy("t").agg(F.count("*").alias("n"))
     size = totals.agg(F.ceil(F.count("*") * p).alias("k"), F.sum("t").alias("all"), F.count("*").alias("customers"))
-    ranked = running(levels, "t", "n")
+    ranked = placed(levels, [], [F.desc("t")], "n")
     return (
         ranked.crossJoin(F.broadcast(size))
-        .agg(F.sum(F.col("t") * F.greatest(F.lit(0), F.least(F.col("n"), F.col("k") - F.col("above")))).alias("top"), F.first("all").alias("all"), F.first("k").alias("k"))
+        .agg(F.sum(F.col("t") * F.greatest(F.lit(0), F.least(F.col("n"), F.col("k") - F.col("below")))).alias("top"), F.first("all").alias("all"), F.first("k").alias("k"))
         .select(F.col("k").alias("n_top"), (F.col("top") / F.col("all")).alias("top_share"))
     )
 
@@ -177,17 +177,20 @@ def hour_profile(df: DataFrame, cols: Sequence[str], by: str = "hour", ts: str =
 
 
 def rebin(df: DataFrame, cols: Sequence[str], minutes: int, how: str = "mean", ts: str = "date") -> DataFrame:
-    agg = {"mean": F.avg, "sum": F.sum, "median": lambda x: F.percentile(x, F.lit(0.5))}[how]
-    return df.groupBy(floor_minutes(ts, minutes).alias("bin")).agg(*(agg(x).alias(x) for x in cols))
+    df = df.select(floor_minutes(ts, minutes).alias("bin"), *cols)
+    if how == "median":
+        return with_quantiles(df.select("bin").distinct(), df, ["bin"], {x: (x, 0.5) for x in cols})
+    return df.groupBy("bin").agg(*({"mean": F.avg, "sum": F.sum}[how](x).alias(x) for x in cols))
 
 
 def box_stats(df: DataFrame, col: str, by: str = "month_hour", ts: str = "date") -> DataFrame:
     keys = {
         "month_hour": [F.month(ts).alias("month"), F.hour(ts).alias("hour")], "quarter_hour": [F.quarter(ts).alias("quarter"), F.hour(ts).alias("hour")], "year": [F.year(ts).alias("year")],
     }[by]
-    q = F.percentile(col, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    out = df.groupBy(*keys).agg(F.min(col).alias("least"), q.alias("q"), F.max(col).alias("most"), F.count(col).alias("n"))
-    return out.select(*[x for x in out.columns if x in ("month", "quarter", "year", "hour")], "least", *(F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))), "most", "n")
+    at = df.select(*keys, F.col(col).alias("v"))
+    by = at.columns[:-1]
+    out = at.groupBy(*by).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count("v").alias("n"))
+    return with_quantiles(out, at, by, {"q1": ("v", 0.25), "median": ("v", 0.5), "q3": ("v", 0.75)}).select(*by, "least", "q1", "median", "q3", "most", "n")
 
 
 def series_summary(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
@@ -224,11 +227,10 @@ def usage_emissions(df: DataFrame, factor: str, freq: str = "day", keys: Sequenc
 def rank_customers(df: DataFrame, percent: bool = False) -> DataFrame:
     """Average-tie rank / n of customers by daily usage within city and day: descending share, or ascending x 100."""
     t = df.groupBy("city", F.to_date("date").alias("day"), "ca_id").agg(F.sum("value").alias("kwh"))
-    day = Window.partitionBy("city", "day")
-    order = day.orderBy(F.asc("kwh") if percent else F.desc("kwh"))
-    ties = F.count("*").over(Window.partitionBy("city", "day", "kwh"))
-    share = (F.rank().over(order) + (ties - 1) / 2) / F.count("*").over(day)
-    return t.withColumn("rank_share", share * 100 if percent else share)
+    ranked = average_rank(t, "kwh", "_rank", ["city", "day"])
+    sizes = ranked.groupBy("city", "day").agg(F.count("*").alias("_n"))
+    share = (F.col("_rank") if percent else F.col("_n") + 1 - F.col("_rank")) / F.col("_n")
+    return same(ranked, sizes, ["city", "day"]).select("city", "day", "ca_id", "kwh", (share * 100 if percent else share).alias("rank_share"))
 
 
 def top_hours(df: DataFrame, n: int = 6) -> DataFrame:
@@ -240,8 +242,8 @@ def top_hours(df: DataFrame, n: int = 6) -> DataFrame:
 def customer_order(df: DataFrame) -> DataFrame:
     """For each city and day, the customers by descending usage, then id: a row for each, with its place from 1."""
     t = df.groupBy("city", F.to_date("date").alias("day"), "ca_id").agg(F.sum("value").alias("kwh"))
-    place = F.row_number().over(Window.partitionBy("city", "day").orderBy(F.desc("kwh"), "ca_id"))
-    return t.select("city", "day", place.alias("place"), "ca_id", "kwh")
+    order = placed(t.withColumn("_one", F.lit(1).cast("long")), ["city", "day"], [F.desc("kwh"), "ca_id"], "_one")
+    return order.select("city", "day", (F.col("below") + 1).cast("int").alias("place"), "ca_id", "kwh")
 
 
 def weekday_hour_pivot(df: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +36,44 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+_scopes: list[list[tuple]] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df as written to the shared folder, so that a lost executor costs no more than a read."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df as Parquet in the shared folder, read back: a lost executor costs no more than a read, and columns that nothing
+    reads are pruned. The files go when the scratch() around them ends, else with the driver."""
+    spark = df.sparkSession
+    name = f"{shared_folder(spark)}/wattloom-tables/{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(name)
+    if _scopes:
+        _scopes[-1].append((out, files, path))
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, the tables kept inside it, but for those given to the function that it yields, which a result
+    still reads; these belong to the next outer scope."""
+    results: list[DataFrame] = []
+    _scopes.append([])
+
+    def keep(t: DataFrame) -> DataFrame:
+        results.append(t)
+        return t
+
+    try:
+        yield keep
+    finally:
+        for entry in _scopes.pop():
+            if any(entry[0] is t for t in results):
+                if _scopes:
+                    _scopes[-1].append(entry)
+            else:
+                entry[1].delete(entry[2], True)
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
