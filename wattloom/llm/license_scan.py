@@ -42,9 +42,9 @@ BASE = (_phrase("mit", "under the mit license"), _phrase("apache-2", "apache lic
 
 #: Usual notices of public licences and the phrases that they must hold.
 NOTICES = (
-    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ("permission is hereby granted free of charge", "deal in the software without restriction")),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", ("permission is hereby granted free of charge", "deal in the software without restriction")),
     Template("mit", "Released under the terms of the MIT License", ("mit license",)),
-    Template("apache-2", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License", ("apache license version 2",)),
+    Template("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License", ("apache license version 2",)),
     Template("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", ("gnu general public license", "version 2")),
     Template("gpl-2", "Licensed under the GNU General Public License, version 2", ("gnu general public license version 2",)),
     Template("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ("gnu general public license", "version 3")),
