@@ -9,8 +9,9 @@ import numpy as np
 SLOTS = 48
 #: Energy below this is none (kWh).
 LEAST = 1e-12
-#: Customer-days that choose together before the first of them that lacks room is looked for.
-CHUNK = 512
+#: Customer-days that choose together before the first of them that lacks room is looked for: at most, and at first
+#: where destinations have limits.
+CHUNK, FIRST = 512, 16
 
 
 @dataclass
@@ -98,18 +99,32 @@ def chosen(days: Days, quota: np.ndarray, window: int, rounds: int, region: np.n
     return out
 
 
-def settled(days: Days, quota: np.ndarray, window: int, rounds: int, region: float, dest: np.ndarray | None, peaks: list[list[int]], fraction: float | None) -> tuple[Moves, float, np.ndarray | None]:
+def _needed(days: Days, window: int, rounds: int) -> np.ndarray:
+    """Of each customer-day and slot, how much energy its moves could at most bring there: 0 where no slot of a higher
+    factor is in reach; of one move the most that such a slot can give, of more all that any slot can."""
+    spare = np.maximum(0.0, days.value - days.floor)
+    out = np.zeros_like(spare)
+    for d in range(1, window + 1):
+        for to, source in ((slice(d, None), slice(None, -d)), (slice(None, -d), slice(d, None))):
+            with np.errstate(invalid="ignore"):
+                higher = days.mef[:, source] - days.mef[:, to] > LEAST
+            out[:, to] = np.maximum(out[:, to], np.where(higher, spare[:, source] if rounds == 1 else spare.sum(axis=1, keepdims=True), 0.0))
+    return out
+
+
+def settled(days: Days, quota: np.ndarray, window: int, rounds: int, region: float, dest: np.ndarray | None, peaks: list[list[int]], fraction: float | None, work: list[int] | None = None) -> tuple[Moves, float, np.ndarray | None]:
     """(moves, room left in the region, at the destinations) when the customer-days choose one after the other.
 
     region: kWh that may still move; dest: usage that each slot may still take, own usage included. A chunk chooses
     with the rooms at its head; all before the first whose choice could differ, had it seen what those before it took,
-    keep it, and the rest choose again. The first of a chunk always keeps its choice.
+    keep it, and the rest choose again. The first of a chunk always keeps its choice. Chunks are about twice as long as
+    what was kept of the one before. work: gets the number of choices of each chunk.
     """
     n = len(days.value)
     out = Moves.none(n, rounds)
-    at = 0
+    at, size = 0, CHUNK if dest is None else FIRST
     while at < n and (region > LEAST or dest is not None):
-        part = days[at : at + CHUNK]
+        part = days[at : at + size]
         m = len(part.value)
         own = None if dest is None else np.maximum(0.0, dest - np.cumsum(part.value, axis=0))
         got = chosen(part, quota[at : at + m], window, rounds, np.full(m, region), own, peaks, fraction)
@@ -120,8 +135,7 @@ def settled(days: Days, quota: np.ndarray, window: int, rounds: int, region: flo
         if dest is not None:
             into = got.into()
             now = np.maximum(0.0, dest - np.cumsum(part.value, axis=0) - (np.cumsum(into, axis=0) - into))
-            enough = part.value.sum(axis=1)[:, None]
-            ok &= ((now == own) | (np.minimum(now, own) >= enough)).all(axis=1)
+            ok &= ((now == own) | (np.minimum(now, own) >= _needed(part, window, rounds))).all(axis=1)
         ok[0] = True
         k = m if ok.all() else int(np.argmin(ok))
         out.t[at : at + k], out.s[at : at + k], out.q[at : at + k] = got.t[:k], got.s[:k], got.q[:k]
@@ -129,4 +143,7 @@ def settled(days: Days, quota: np.ndarray, window: int, rounds: int, region: flo
         if dest is not None:
             dest = dest - part.value[:k].sum(axis=0) - into[:k].sum(axis=0)
         at += k
+        size = min(CHUNK, 2 * size if k == m else k + k // 2 + 1)
+        if work is not None:
+            work.append(m)
     return out, region, dest

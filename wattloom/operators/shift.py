@@ -5,21 +5,20 @@ Input: ca_id, city, day (date), slot (0-47), value (kWh), mef and aef (grams for
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from wattloom.functions.columns import shift_direction
 from wattloom.operators.greedy import CHUNK, LEAST, SLOTS, Days, Moves, chosen, settled
-from wattloom.sources.io import kept
+from wattloom.operators.ranks import placed
+from wattloom.sources.io import kept, scratch
 
 KEYS = ["ca_id", "city", "day"]
 
@@ -79,17 +78,27 @@ def valid_slots(df: DataFrame) -> DataFrame:
     return df.withColumn("valid", F.coalesce(ok("mef") & ok("aef"), F.lit(False)))
 
 
+def _slots(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row for each customer-day with slots: its readings (slot and cols) in the order of the slots."""
+    return df.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("slot", *cols))).alias("slots"))
+
+
 def slot_arrays(df: DataFrame) -> DataFrame:
-    """Dense arrays of 48 slots for each customer-day; absent slots are 0 usage and null factors."""
+    """Dense arrays of 48 slots for each customer-day; absent slots are 0 usage and null factors. Whole days are taken as
+    they are; only days with gaps look their slots up one by one."""
     cols = ["value", "mef", "aef"] + (["floor_kwh"] if "floor_kwh" in df.columns else [])
-    maps = df.groupBy(*KEYS).agg(*(F.map_from_entries(F.collect_list(F.struct("slot", x))).alias(x) for x in cols))
+    days = _slots(df, cols)
+    every = F.sequence(F.lit(0), F.lit(SLOTS - 1))
+    whole = F.col("slots.slot").cast("array<int>") == every
 
     def array(x: str) -> Column:
         absent = F.lit(0.0) if x in ("value", "floor_kwh") else F.lit(None).cast("double")
-        return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.col(x)[i], absent))
+        found = lambda i: F.get(F.filter("slots", lambda e: e["slot"] == i), 0)[x]
+        full = F.col(f"slots.{x}")
+        full = F.transform(full, lambda v: F.coalesce(v, absent)) if x in ("value", "floor_kwh") else full
+        return F.when(whole, full).otherwise(F.transform(every, lambda i: F.coalesce(found(i), absent)))
 
-    dense = {x: array(x) for x in cols}
-    return maps.select(*KEYS, *(v.alias(k) for k, v in dense.items()))
+    return days.select(*KEYS, *(array(x).alias(x) for x in cols))
 
 
 def k_highest_sources(df: DataFrame, k: int) -> DataFrame:
@@ -115,50 +124,85 @@ def _order(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEYS).agg(F.sum("value").alias("kwh"))
 
 
-#: Customer-days of a city and week that one task takes; larger ones go in rounds of blocks of so many.
+#: Customer-days of a city and week that one task takes; larger ones go in blocks of so many.
 TASK_ROWS = 50_000
-_ARRAYS = ("value", "mef", "aef", "floor")
 _OUT = "t int, s int, q double, mef_t double, mef_s double, aef_t double, aef_s double"
 
 
 def _customer_days(df: DataFrame) -> DataFrame:
-    """One row for each customer-day with its arrays of 48 slots, its week, weekday (1-7) and usage."""
+    """One row for each customer-day with its slots, week, weekday (1-7) and usage."""
     floor = F.coalesce(F.col("floor_kwh"), F.lit(0.0)) if "floor_kwh" in df.columns else F.lit(0.0)
-    ok = valid_slots(df).select(*KEYS, "slot", F.coalesce("value", F.lit(0.0)).alias("value"), *(F.when(F.col("valid"), F.col(x)).alias(x) for x in ("mef", "aef")), floor.alias("floor_kwh"))
-    return slot_arrays(ok).withColumnRenamed("floor_kwh", "floor").withColumns({"week": F.trunc("day", "week"), "weekday": F.weekday("day") + 1, "kwh": F.aggregate("value", F.lit(0.0), lambda a, x: a + x)})
-
-
-def _dense(g: pd.DataFrame) -> tuple[Days, np.ndarray]:
-    """(days of the rows of g, average factors)."""
-    x = {c: np.array([list(v) for v in g[c]], np.float64).reshape(-1, SLOTS) for c in _ARRAYS}
+    ok = valid_slots(df).select(*KEYS, F.col("slot").cast("int").alias("slot"), F.coalesce("value", F.lit(0.0)).alias("value"), *(F.when(F.col("valid"), F.col(x)).alias(x) for x in ("mef", "aef")), floor.alias("floor"))
+    return _slots(ok, ["value", "mef", "aef", "floor"]).withColumns({"week": F.trunc("day", "week"), "weekday": F.weekday("day") + 1, "kwh": F.aggregate("slots.value", F.lit(0.0), lambda a, x: a + x)})
+
+
+def _dense(g: pa.Table | pa.RecordBatch) -> tuple[Days, np.ndarray]:
+    """(days of the rows of g, average factors), spread from lists of slots without Python objects. Usage that a slot has
+    twice adds up."""
+    col = g.column("slots")
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    row, entries = pc.list_parent_indices(col).to_numpy(), pc.list_flatten(col)
+    field = lambda x: entries.field(x).to_numpy(zero_copy_only=False)
+    slot, shape = field("slot"), (g.num_rows, SLOTS)
+    x = {"value": np.zeros(shape), "floor": np.zeros(shape), "mef": np.full(shape, np.nan), "aef": np.full(shape, np.nan)}
+    np.add.at(x["value"], (row, slot), field("value"))
+    for c in ("floor", "mef", "aef"):
+        x[c][row, slot] = field(c)
     return Days(x["value"], x["mef"], x["floor"]), x["aef"]
 
 
-def _rows(g: pd.DataFrame, days: Days, aef: np.ndarray, moves: Moves) -> pd.DataFrame:
+def _rows(g: pa.Table | pa.RecordBatch, days: Days, aef: np.ndarray, moves: Moves) -> pa.Table:
     i, k = np.nonzero(moves.q > 0)
     t, s = moves.t[i, k], moves.s[i, k]
-    keys = {c: g[c].to_numpy()[i] for c in KEYS}
-    return pd.DataFrame(keys | {"t": t, "s": s, "q": moves.q[i, k], "mef_t": days.mef[i, t], "mef_s": days.mef[i, s], "aef_t": aef[i, t], "aef_s": aef[i, s]})
+    at = pa.array(i)
+    rest = {"t": pa.array(t.astype(np.int32)), "s": pa.array(s.astype(np.int32)), "q": moves.q[i, k], "mef_t": days.mef[i, t], "mef_s": days.mef[i, s], "aef_t": aef[i, t], "aef_s": aef[i, s]}
+    return pa.table({c: g.column(c).take(at) for c in KEYS} | rest)
 
 
 def _region(policy: Policy, city: str, load: float) -> float:
     return np.inf if policy.regional_fraction is None else policy.regional_fraction * (policy.regional_load or {}).get(city, load)
 
 
-def _week_moves(g: pd.DataFrame, policy: Policy) -> pd.DataFrame:
-    """The moves of a whole city and week, day by day."""
-    used: Counter = Counter()
+def _in_order(g: pa.Table) -> pa.Table:
+    return g.take(pc.sort_indices(g.select(["kwh", "ca_id"]), [("kwh", "descending"), ("ca_id", "ascending")]))
+
+
+def _week_moves(g: pa.Table, policies: Sequence[Policy]) -> pa.Table:
+    """The moves of a whole city and week, day by day, under each policy; the days' arrays are made once."""
+    g = g.append_column("who", pc.dictionary_encode(g.column("ca_id").combine_chunks()).indices)
+    used = np.zeros((len(policies), g.num_rows), np.int64)
     parts = []
-    for _, day in sorted(g.groupby("day"), key=lambda x: x[0]):
-        day = day.sort_values(["kwh", "ca_id"], ascending=[False, True]).reset_index(drop=True)
+    for date in pc.unique(g.column("day")).sort():
+        day = _in_order(g.filter(pc.equal(g.column("day"), date)))
         days, aef = _dense(day)
-        quota = np.minimum(policy.moves_per_day, policy.moves_per_week - day["ca_id"].map(used).fillna(0).to_numpy())
-        load = days.value.sum(axis=0)
-        dest = None if policy.headroom is None else (1 + policy.headroom) * load
-        moves, _, _ = settled(days, quota, policy.window, policy.moves_per_day, _region(policy, day["city"].iloc[0], day["kwh"].sum()), dest, policy.peaks(int(day["weekday"].iloc[0])), policy.peak_fraction)
-        parts.append(_rows(day, days, aef, moves))
-        used.update(parts[-1]["ca_id"])
-    return pd.concat(parts)
+        who, load = day.column("who").to_numpy(), days.value.sum(axis=0)
+        for policy, spent in zip(policies, used, strict=True):
+            quota = np.minimum(policy.moves_per_day, policy.moves_per_week - spent[who])
+            dest = None if policy.headroom is None else (1 + policy.headroom) * load
+            region = _region(policy, day.column("city")[0].as_py(), float(day.column("kwh").to_numpy().sum()))
+            moves, _, _ = settled(days, quota, policy.window, policy.moves_per_day, region, dest, policy.peaks(day.column("weekday")[0].as_py()), policy.peak_fraction)
+            spent[who] += (moves.q > 0).sum(axis=1)
+            out = _rows(day, days, aef, moves)
+            parts.append(out.append_column("policy", pa.array([policy.name] * out.num_rows, pa.string())))
+    return pa.concat_tables(parts)
+
+
+def shift_scenarios(df: DataFrame, policies: Sequence[Policy], task_rows: int = TASK_ROWS) -> DataFrame:
+    """The moves of several policies (see shift_load), with the policy's name: readings are gathered once, and each task
+    goes through all policies. Names of policies must differ."""
+    if len({p.name for p in policies}) < len(policies):
+        raise ValueError("policies need names of their own")
+    with scratch() as keep:
+        days = kept(_customer_days(df))
+        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in days.select(*KEYS).schema) + ", " + _OUT
+        sizes = days.groupBy("city", "week").count().withColumn("large", F.col("count") > task_rows).drop("count")
+        known = days.join(sizes, ["city", "week"])
+        moves = known.where("not large").drop("large").groupBy("city", "week").applyInArrow(lambda g: _week_moves(g, policies), kind + ", policy string")
+        if not sizes.where("large").isEmpty():
+            large = kept(known.where("large").drop("large"))
+            for p in policies:
+                moves = moves.unionByName(_in_rounds(large, p, task_rows, kind).withColumn("policy", F.lit(p.name)))
+        return keep(kept(moves))
 
 
 def shift_load(df: DataFrame, policy: Policy, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -174,16 +218,10 @@ def shift_load(df: DataFrame, policy: Policy, task_rows: int = TASK_ROWS) -> Dat
     A city and week of up to task_rows customer-days is settled in one task. Larger ones go day by day in blocks of so
     many: all blocks choose at once with the room that is left, those before the first that lacks room in the region are
     settled, that one is gone through in one task, and so on until none is open. With headroom each round settles the
-    next block of every city. The moves are written to the checkpoint folder, as reports read them several times.
+    next block of every city, and only the rooms go on to the one after. The moves are written, as reports read them
+    several times.
     """
-    days = kept(_customer_days(df))
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in days.select(*KEYS).schema) + ", " + _OUT
-    sizes = days.groupBy("city", "week").count().withColumn("large", F.col("count") > task_rows).drop("count")
-    known = days.join(sizes, ["city", "week"])
-    moves = known.where("not large").drop("large").groupBy("city", "week").applyInPandas(lambda g: _week_moves(g, policy), kind)
-    if not sizes.where("large").isEmpty():
-        moves = moves.unionByName(_in_rounds(kept(known.where("large").drop("large")), policy, task_rows, kind))
-    return kept(moves)
+    return shift_scenarios(df, [policy], task_rows).drop("policy")
 
 
 def _in_rounds(days: DataFrame, policy: Policy, task_rows: int, kind: str) -> DataFrame:
@@ -193,73 +231,83 @@ def _in_rounds(days: DataFrame, policy: Policy, task_rows: int, kind: str) -> Da
     for weekday in sorted(r.weekday for r in days.select("weekday").distinct().collect()):
         today = days.where(F.col("weekday") == weekday)
         today = today.withColumn("spent", F.lit(0)) if out is None else today.join(spent(out), ["ca_id", "city", "week"], "left")
-        left = F.least(F.lit(policy.moves_per_day), policy.moves_per_week - F.coalesce("spent", F.lit(0)))
-        now = _day_in_rounds(today.withColumn("quota", left).drop("spent"), policy, weekday, task_rows, kind)
+        left = F.least(F.lit(policy.moves_per_day), policy.moves_per_week - F.coalesce("spent", F.lit(0))).cast("int")
+        with scratch() as keep:
+            now = keep(_day_in_rounds(today.withColumn("quota", left).drop("spent"), policy, weekday, task_rows, kind))
         out = now if out is None else out.unionByName(now)
     return out
 
 
-def _day_in_rounds(today: DataFrame, policy: Policy, weekday: int, task_rows: int, kind: str) -> DataFrame:
-    peaks, rounds, key = policy.peaks(weekday), policy.moves_per_day, ["city", "day"]
-
-    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Block numbers: the task's, then that of each task_rows rows in it, which are in order over all tasks."""
-        part, n = TaskContext.get().partitionId(), 0
-        for f in frames:
-            yield f.assign(part=part, chunk=(n + np.arange(len(f))) // task_rows)
-            n += len(f)
-
-    schema = StructType([*today.schema.fields, StructField("part", IntegerType()), StructField("chunk", LongType())])
-    dealt = today.repartitionByRange(*key, F.desc("kwh"), "ca_id").sortWithinPartitions(*key, F.desc("kwh"), "ca_id")
-    open_ = kept(dealt.mapInPandas(numbered, schema))
-    state = today.groupBy(*key).agg(F.sum("kwh").alias("load"), *((F.sum(F.col("value")[i]) * (1 + (policy.headroom or 0))).alias(f"d{i}") for i in range(SLOTS)))
+def _rooms(today: DataFrame, policy: Policy) -> DataFrame:
+    """city, day, region (kWh that may move), dest (usage that each slot may take)."""
+    key = ["city", "day"]
+    slots = today.select(*key, F.inline("slots")).groupBy(*key, "slot").agg(F.sum("value").alias("v"))
+    dest = F.array(*(F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("v"))), F.lit(0.0)) * (1 + (policy.headroom or 0)) for i in range(SLOTS)))
+    out = slots.groupBy(*key).agg(F.sum("v").alias("load"), dest.alias("dest"))
     regional = F.lit(float("inf"))
     if policy.regional_fraction is not None:
         given = F.create_map(*(F.lit(x) for kv in policy.regional_load.items() for x in kv))[F.col("city")] if policy.regional_load else F.lit(None)
         regional = policy.regional_fraction * F.coalesce(given.cast("double"), F.col("load"))
-    state = kept(state.select(*key, regional.alias("region"), F.array(*(f"d{i}" for i in range(SLOTS))).alias("dest")))
+    return out.select(*key, regional.alias("region"), "dest")
+
+
+def _day_in_rounds(today: DataFrame, policy: Policy, weekday: int, task_rows: int, kind: str) -> DataFrame:
+    peaks, rounds, key = policy.peaks(weekday), policy.moves_per_day, ["city", "day"]
 
-    def free(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for lo in range(0, len(f), 4 * CHUNK):
-                g = f.iloc[lo : lo + 4 * CHUNK]
+    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 4 * CHUNK):
+                g = b.slice(lo, 4 * CHUNK)
                 x, aef = _dense(g)
-                yield _rows(g, x, aef, chosen(x, g["quota"].to_numpy(), policy.window, rounds, g["region"].to_numpy(np.float64), None, peaks, policy.peak_fraction))
+                got = chosen(x, g.column("quota").to_numpy(), policy.window, rounds, g.column("region").to_numpy(), None, peaks, policy.peak_fraction)
+                yield from _rows(g, x, aef, got).to_batches()
 
-    def block(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["kwh", "ca_id"], ascending=[False, True]).reset_index(drop=True)
+    def block(g: pa.Table) -> pa.Table:
+        """The moves of a block, and a row with the rooms that it leaves."""
+        g = _in_order(g)
         x, aef = _dense(g)
-        dest = None if policy.headroom is None else np.array(list(g["dest"].iloc[0]), np.float64)
-        moves, region, dest = settled(x, g["quota"].to_numpy(), policy.window, rounds, float(g["region"].iloc[0]), dest, peaks, policy.peak_fraction)
-        rest = pd.DataFrame({**{c: g[c].iloc[:1] for c in KEYS}, "region": [region], "dest": [dest if dest is not None else np.zeros(SLOTS)]})
-        return pd.concat([_rows(g, x, aef, moves).assign(dest=None), rest])
-
-    done, at = [], F.struct("part", "chunk")
-    while True:
-        if policy.headroom is None:
+        dest = None if policy.headroom is None else np.array(g.column("dest")[0].as_py(), np.float64)
+        moves, region, dest = settled(x, g.column("quota").to_numpy(), policy.window, rounds, g.column("region")[0].as_py(), dest, peaks, policy.peak_fraction)
+        out, rooms = _rows(g, x, aef, moves), pa.list_(pa.float64())
+        none = pa.nulls(out.num_rows)
+        out = out.append_column("region", none.cast(pa.float64())).append_column("dest", none.cast(rooms))
+        rest = {c: g.column(c).slice(0, 1) for c in KEYS} | {"region": pa.array([region]), "dest": pa.array([[] if dest is None else dest.tolist()], rooms)}
+        return pa.concat_tables([out, pa.table({f.name: rest.get(f.name, pa.nulls(1, f.type)) for f in out.schema})])
+
+    ranked = placed(today.withColumn("_one", F.lit(1).cast("long")), key, [F.desc("kwh"), "ca_id"], "_one")
+    numbered = ranked.withColumn("block", F.floor(F.col("below") / task_rows).cast("int")).drop("_one", "below", "total")
+    open_, state, done = kept(numbered, ["block"]), kept(_rooms(today, policy)), []
+    settle = lambda rows: kept(rows.groupBy(*key).applyInArrow(block, kind + ", region double, dest array<double>"))
+    rooms = lambda one: kept(one.where("q is null").select(*key, "region", "dest"))
+    moved = lambda one: one.where("q is not null").drop("region", "dest")
+    if policy.headroom is not None:
+        # each block is read once, from a folder of its own
+        for n in range((open_.agg(F.max("block")).first()[0] or 0) + 1):
+            one = settle(open_.where(F.col("block") == n).join(state, key))
+            done.append(moved(one))
+            state = rooms(one)
+    else:
+        first = F.lit(0)
+        while True:
             # room goes to whole blocks as long as it lasts
-            free_moves = kept(open_.join(state.drop("dest"), key).mapInPandas(free, kind))
-            takes = open_.select(*KEYS, "part", "chunk").join(free_moves.groupBy(*KEYS).agg(F.sum("q").alias("q")), KEYS, "left").groupBy(*key, "part", "chunk").agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("q"))
-            run = Window.partitionBy(*key).orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, 0)
-            takes = takes.withColumn("all", F.sum("q").over(run)).join(state, key)
+            free_moves = kept(open_.join(state.drop("dest"), key).where(F.col("block") >= first).mapInArrow(free, kind))
+            takes = open_.join(state, key).where(F.col("block") >= first).select(*KEYS, "block", "region").join(free_moves.groupBy(*KEYS).agg(F.sum("q").alias("q")), KEYS, "left")
+            takes = takes.groupBy(*key, "block").agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("q"), F.first("region").alias("region"))
+            run = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+            takes = takes.withColumn("all", F.sum("q").over(run))
             short = F.col("all") > F.col("region") + LEAST
-            cut = kept(takes.groupBy(*key).agg(F.min(F.when(short, at)).alias("bad"), F.coalesce(F.max(F.when(~short, F.col("all"))), F.lit(0.0)).alias("took"), F.first("region").alias("region"), F.first("dest").alias("dest")))
-            held = open_.join(cut.select(*key, "bad"), key)
-            fine = held.where(F.col("bad").isNull() | (at < F.col("bad"))).select(*KEYS)
+            cut = kept(takes.groupBy(*key).agg(F.min(F.when(short, F.col("block"))).alias("bad"), F.coalesce(F.max(F.when(~short, F.col("all"))), F.lit(0.0)).alias("took"), F.first("region").alias("region")))
+            fine = open_.join(cut.select(*key, "bad"), key).where(F.col("bad").isNull() | (F.col("block") < F.col("bad"))).select(*KEYS)
             done.append(kept(free_moves.join(fine, KEYS, "left_semi")))
-            state = cut.where("bad is not null").select(*key, "bad", F.greatest(F.lit(0.0), F.col("region") - F.col("took")).alias("region"), "dest")
-        else:
-            state = open_.groupBy(*key).agg(F.min(at).alias("bad")).join(state, key)
-        state = kept(state)
-        if state.isEmpty():
-            break
-        held = open_.join(state, key)
-        one = kept(held.where(at == F.col("bad")).groupBy(*key).applyInPandas(block, kind + ", region double, dest array<double>"))
-        done.append(one.where("q is not null").drop("region", "dest"))
-        open_ = kept(held.where(at > F.col("bad")).drop("bad", "region", "dest"))
-        state = kept(one.where("q is null").select(*key, "region", "dest"))
-        if open_.isEmpty():
-            break
+            state = kept(cut.where("bad is not null").select(*key, "bad", F.greatest(F.lit(0.0), F.col("region") - F.col("took")).alias("region"), F.lit(None).cast("array<double>").alias("dest")))
+            if state.isEmpty():
+                break
+            one = settle(open_.join(state, key).where(F.col("block") == F.col("bad")))
+            done.append(moved(one))
+            state = kept(rooms(one).join(state.select(*key, "bad"), key).where(F.col("region") > LEAST))
+            if state.isEmpty():
+                break
+            first = F.col("bad") + 1
     out = done[0]
     for m in done[1:]:
         out = out.unionByName(m)
@@ -340,15 +388,6 @@ def share_capped_greedy(df: DataFrame, window: int, max_share: float = 0.2, trig
     return c.withColumn("q", q).where("q > 0").select(*KEYS, "t", "s", "q", "mef_t", "mef_s", "aef_t", "aef_s")
 
 
-def shift_scenarios(df: DataFrame, policies: Sequence[Policy]) -> DataFrame:
-    """Moves of several policies, with the policy's name."""
-    out: DataFrame | None = None
-    for p in policies:
-        part = shift_load(df, p).withColumn("policy", F.lit(p.name))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def scenario_metrics(df: DataFrame, moves: DataFrame) -> DataFrame:
     """Moved kWh, its share of all, and kWh moved forward and backward, by policy."""
     total = F.broadcast(df.agg(F.sum("value").alias("_all")))

@@ -39,12 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
 _scopes: list[list[tuple]] = []
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """df as Parquet in the shared folder, read back: a lost executor costs no more than a read, and columns that nothing
-    reads are pruned. The files go when the scratch() around them ends, else with the driver."""
+    reads are pruned; by: integers with a folder for each value. The files go when the scratch() around them ends, else
+    with the driver."""
     spark = df.sparkSession
     name = f"{shared_folder(spark)}/wattloom-tables/{uuid.uuid4().hex}"
-    df.write.parquet(name)
+    df.write.partitionBy(*by).parquet(name)
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     files.deleteOnExit(path)
