@@ -95,9 +95,11 @@ def quality_scores(
 
     marks = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held & F.col(id_col).isNotNull()).withColumnRenamed(id_col, "id")
     part = min(1.0, sample / max(1, marks.count()))
-    train = x.join(marks.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) < part * (1 << 20)), "id").select("x", "y").toPandas()
-    rows = np.stack(train["x"].to_numpy()) if len(train) else np.zeros((1, len(FEATURES)))
-    y = train["y"].to_numpy() if len(train) else np.ones(1, int)
+    train = x.join(marks.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) < part * (1 << 20)), "id").select("id", "y", "x").toPandas()
+    # in an order that no partitioning changes, as seeded pairs go by place
+    train = sorted(zip(train["id"].tolist(), train["y"].tolist(), map(tuple, train["x"]), strict=True))
+    rows = np.array([r[2] for r in train]) if train else np.zeros((1, len(FEATURES)))
+    y = np.array([r[1] for r in train]) if train else np.ones(1, int)
     mean, scale = rows.mean(axis=0), rows.std(axis=0)
     scale[scale < 1e-9] = 1.0
     z = np.clip((rows - mean) / scale, -8, 8)
