@@ -210,12 +210,12 @@ def test_embedding_odd_tables(spark):
 # --- lines --------------------------------------------------------------------------------------------------------------
 
 
-def line_tokens(line, words=5):
+def line_tokens(line, words=1):
     w = line.encode().lower().split()
     return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
 
 
-def lines_by_force(texts, words=5, threshold=0.8, least=1):
+def lines_by_force(texts, words=1, threshold=0.8, least=1):
     seen, out = [], {}
     for i, t in enumerate(texts):
         gone = []
@@ -230,8 +230,8 @@ def lines_by_force(texts, words=5, threshold=0.8, least=1):
     return out
 
 
-@pytest.mark.parametrize("few", [16, 1])
-def test_line_dedup(spark, monkeypatch, few):
+@pytest.mark.parametrize(("few", "words"), [(16, 1), (1, 1), (16, 5)])
+def test_line_dedup(spark, monkeypatch, few, words):
     monkeypatch.setattr(line_dedup, "FEW", few)
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(300)]
@@ -247,8 +247,8 @@ def test_line_dedup(spark, monkeypatch, few):
             lines.append(" ".join(w))
         texts.append("\n".join(lines))
     texts += [None, "", "\n\n", texts[0], texts[0].upper(), "a b c d e f\na b c d e f\n"]
-    gone = lines_by_force(texts)
-    got = {r.doc_id: r for r in dedup_lines(clashing(frame(spark, texts))).collect()}
+    gone = lines_by_force(texts, words)
+    got = {r.doc_id: r for r in dedup_lines(clashing(frame(spark, texts)), words=words).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         keep = None if t is None else [x for n, x in enumerate(t.split("\n")) if n not in gone[i]]

@@ -454,7 +454,7 @@ def _matched_in_crowds(crowd: DataFrame, texts: DataFrame, words: int, threshold
     return tasks.mapInPandas(matched, "doc long, line int").distinct()
 
 
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, least: int = 1) -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 1, threshold: float = 0.8, least: int = 1) -> DataFrame:
     """doc, line (from 0) of every line that matches an earlier line, in the order of (id, line).
 
     Lines match when the Jaccard similarity of their token sets is at least threshold. Equal sets are one class, with
@@ -502,11 +502,11 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return again.union(matched).distinct()
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, least: int = 1) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 1, threshold: float = 0.8, least: int = 1) -> DataFrame:
     """df with text without the lines that match an earlier line, and columns n_lines, n_removed, kept.
 
-    Lines end at a line feed. A line's tokens are its runs of words words in lower case; a line of fewer words is one
-    token. Lines match from a Jaccard similarity of threshold on; the match in the row with the smaller id, or
+    Lines end at a line feed. A line's tokens are its words in lower case (words: runs of so many; a line of fewer is then
+    one token). Lines match from a Jaccard similarity of threshold on; the match in the row with the smaller id, or
     earlier in the same text, stays, and lines that go still make later ones go. Lines with fewer than least words
     stay (1: only blank lines). kept is false where all lines went.
 
