@@ -60,28 +60,93 @@ def test_search_fits_each_group(spark):
     assert row.r2_macro == pytest.approx(r2.mean(), abs=1e-6) and row.rmse_micro == pytest.approx((rmse * n).sum() / n.sum(), rel=1e-6)
 
 
-def test_huber_minds_outliers_less(spark):
+def huber_by_force(x, y, epsilon, alpha):
+    """Weights and scale by turns of reweighted fits and scales, until nothing moves."""
+    w = np.linalg.lstsq(x, y, rcond=None)[0]
+    scale = np.sqrt(np.mean((y - x @ w) ** 2))
+    pen = alpha * np.diag(np.append(0.0, np.ones(x.shape[1] - 1)))
+    for _ in range(100_000):
+        r = y - x @ w
+        near = np.abs(r) <= epsilon * scale
+        v = np.where(near, 1.0, epsilon * scale / np.maximum(np.abs(r), 1e-300))
+        new = np.linalg.solve(x.T @ (x * v[:, None]) + pen * scale, x.T @ (v * y))
+        r = y - x @ new
+        near = np.abs(r) <= epsilon * scale
+        was, scale = scale, np.sqrt((r[near] ** 2).sum() / (len(y) - epsilon**2 * (~near).sum()))
+        if np.abs(new - w).max() < 1e-13 * np.abs(w).max() and abs(scale - was) < 1e-13 * scale:
+            break
+        w = new
+    return w, scale
+
+
+@pytest.mark.parametrize(("epsilon", "alpha"), [(1.35, 1e-4), (1.05, 5.0), (3.0, 0.0)])
+def test_huber_is_the_joint_minimum(spark, epsilon, alpha):
+    f, df = series(spark)
+    model = M.poly_huber(df, "q", "y", 2, ["x"], epsilon=epsilon, alpha=alpha, standard=True)
+    z = (f["q"] - f["q"].mean()) / f["q"].std(ddof=0)
+    d = (f["x"] - f["x"].mean()) / f["x"].std(ddof=0)
+    x = np.column_stack([np.ones(len(f)), z, z**2, z * d, d])
+    w, scale = huber_by_force(x, f["y"].to_numpy(), epsilon, alpha)
+    assert list(model.coefficients) == ["const", "z1", "z2", "z*x", "x"]
+    assert list(model.coefficients.values()) == pytest.approx(w.tolist(), rel=1e-6, abs=1e-6)
+    assert M.huber_weights(df, model.columns(), "y", epsilon, alpha)[1] == pytest.approx(scale, rel=1e-6)
+    me = df.select("q", "x", model.me().alias("m")).toPandas()
+    zz, dd = (me["q"] - f["q"].mean()) / f["q"].std(ddof=0), (me["x"] - f["x"].mean()) / f["x"].std(ddof=0)
+    assert np.allclose(me["m"], (w[1] + 2 * w[2] * zz + w[3] * dd) / f["q"].std(ddof=0))
+
+
+def test_ridge_is_the_closed_form(spark):
     f, df = series(spark)
-    model = M.poly_huber(df, "q", "y", 2)
-    z = (f["q"] - model.mean) / model.sigma
-    got = df.select("q", "x", "y", model.predict().alias("p")).toPandas()
-    clean = np.polyfit(z[40:], f["y"][40:], 2)
-    plain = np.polyfit(z, f["y"], 2)
-    at = (got["q"].to_numpy() - model.mean) / model.sigma
-    far = lambda w: np.abs(got["p"].to_numpy() - np.polyval(w, at)).max()
-    assert far(clean) < 2 and far(clean) < 0.5 * np.abs(np.polyval(plain, at) - np.polyval(clean, at)).max()
+    df = df.repartition(3)
+    model = M.poly_ridge(df, "q", "y", 2, ["x"], alphas=(1e-6, 0.5, 80.0, 1e7), standard=True)
+    z, d = ((f[c] - f[c].mean()) / f[c].std(ddof=0) for c in "qx")
+    x = np.column_stack([np.ones(len(f)), z, z**2, z * d, d])
+    fold = {(r.q, r.y): r.f for r in df.select("q", "y", F.pmod(F.xxhash64(*df.columns), F.lit(5)).alias("f")).collect()}
+    fold = np.array([fold[k] for k in zip(f["q"], f["y"])])
+    fit = lambda a, x, y: np.linalg.solve(x.T @ x + a * np.diag([0, 1, 1, 1, 1]), x.T @ y)
+    y = f["y"].to_numpy()
+    for a, score in model.scores.items():
+        want = sum(((y[fold == k] - x[fold == k] @ fit(a, x[fold != k], y[fold != k])) ** 2).sum() for k in range(5)) / len(y)
+        assert score == pytest.approx(want, rel=1e-8)
+    assert model.alpha == min(model.scores, key=model.scores.get) and len(model.scores) == 4
+    assert list(model.coefficients.values()) == pytest.approx(fit(model.alpha, x, y).tolist(), rel=1e-8)
+
 
+def basis(x, lo, hi, n):
+    """Cubic B-splines by the recursion over degrees."""
+    h = (hi - lo) / (n - 3)
+    t = lo + h * np.arange(-3, n + 1)
+    b = [((t[i] <= x) & (x < t[i + 1])).astype(float) for i in range(n + 3)]
+    b[n - 1][x >= hi], b[n][x >= hi] = 1.0, 0.0  # the last interval is closed
+    for k in range(1, 4):
+        b = [(x - t[i]) / (k * h) * b[i] + (t[i + k + 1] - x) / (k * h) * b[i + 1] for i in range(len(b) - 1)]
+    return np.column_stack(b)
 
-def test_ridge_is_between_none_and_all(spark):
+
+def test_spline_is_the_closed_form(spark):
     f, df = series(spark)
-    weak, strong = (M.poly_ridge(df, "q", "y", 2, ["x"], alphas=(a,)) for a in (1e-9, 1e9))
-    p = df.select("q", "x", "y", weak.predict().alias("w"), strong.predict().alias("s")).toPandas()
-    z = (p["q"] - weak.mean) / weak.sigma
-    a = np.column_stack([np.ones(len(p)), z, z**2, p["x"] * z])
-    b = np.column_stack([a, p["x"]])
-    fits = [m @ np.linalg.lstsq(m, p["y"], rcond=None)[0] for m in (a, b)]
-    assert min(np.abs(p["w"] - fit).max() for fit in fits) < 0.5
-    assert np.abs(p["s"] - p["y"].mean()).max() < 1
+    f = f.assign(v=np.random.default_rng(6).uniform(-2, 3, len(f)))
+    df = spark.createDataFrame(f).repartition(4)
+    penalties, n = (0.1, 10.0, 1000.0), 8
+    model = M.spline_fit(df, "q", "y", ["v"], ["x"], n, penalties)
+    parts = [basis(f[c].to_numpy(), f[c].min(), f[c].max(), n) for c in "qv"]
+    x = np.column_stack([np.ones(len(f)), *parts, f["x"]])
+    second = np.diff(np.eye(n), 2, axis=0)
+    pen = np.zeros((x.shape[1],) * 2)
+    for k in range(2):
+        pen[1 + k * n : 1 + (k + 1) * n, 1 + k * n : 1 + (k + 1) * n] = second.T @ second
+    y, gcv = f["y"].to_numpy(), {}
+    for p in penalties:
+        inverse = np.linalg.pinv(x.T @ x + p * pen, rcond=1e-12)
+        gcv[p] = len(y) * ((y - x @ (inverse @ x.T @ y)) ** 2).sum() / (len(y) - np.trace(inverse @ x.T @ x)) ** 2
+    assert model.scores == pytest.approx(gcv, rel=1e-6) and model.penalty == min(gcv, key=gcv.get)
+    w = np.linalg.pinv(x.T @ x + model.penalty * pen, rcond=1e-12) @ x.T @ y
+    got = df.select("q", "v", "x", model.predict().alias("p"), model.me().alias("me")).toPandas()
+    at = lambda q: np.column_stack([np.ones(len(got)), basis(q, f["q"].min(), f["q"].max(), n), basis(got["v"].to_numpy(), f["v"].min(), f["v"].max(), n), got["x"]]) @ w
+    q = got["q"].to_numpy()
+    assert np.allclose(got["p"], at(q), rtol=1e-6)
+    inside = (q > f["q"].min() + 0.01) & (q < f["q"].max() - 0.01)
+    assert np.allclose(got["me"][inside], ((at(q + 1e-4) - at(q - 1e-4)) / 2e-4)[inside], rtol=1e-4, atol=1e-4)
 
 
 def test_spline_follows_the_curve(spark):
@@ -94,6 +159,51 @@ def test_spline_follows_the_curve(spark):
     assert np.abs(got["me"] - (12 - 0.16 * got["q"])).mean() < 0.6
 
 
+CONFIGS = [
+    {"bins": {"q": 3}, "controls": []}, {"bins": {"q": 3}, "controls": ["x"]}, {"bins": {"x": 2, "q": 2}, "controls": ["v"]},
+    {"family": "poly", "degree": 1}, {"family": "poly", "degree": 3, "interactions": ["x"], "controls": ["v"], "alpha": 4.0}, {"family": "huber", "degree": 2, "controls": ["v"]},
+    {"family": "spline", "n": 6, "penalty": 2.0, "controls": ["x"]}, {"family": "spline", "n": 6, "penalty": 50.0, "smooths": ["v"]}, {"family": "spline", "n": 6, "penalty": 30.0},
+]
+
+
+def test_search_over_families_equals_single_fits(spark):
+    f, _ = series(spark)
+    rng = np.random.default_rng(9)
+    f = f.assign(v=rng.uniform(-2, 3, len(f)), part=rng.choice(["train", "validation"], len(f), p=[0.7, 0.3]))
+    df = spark.createDataFrame(f).repartition(4)
+    got = {(r.params_json, r.split): r for r in M.search_families(df, "y", "q", CONFIGS, "part").collect()}
+    assert len(got) == 2 * len(CONFIGS) and {r.family for r in got.values()} == {"bins", "poly", "huber", "spline"}
+    import json
+
+    train = df.where("part = 'train'")
+    for c in CONFIGS:
+        name = json.dumps(c | {"y": "y", "q": "q"}, sort_keys=True)
+        for part in ("train", "validation"):
+            r, rows = got[name, part], df.where(F.col("part") == part)
+            if "bins" in c:
+                edges = M.quantile_bins_fit(train, c["bins"])
+                fits = M.groupwise_ols(M.quantile_bins(train.withColumn("q2", F.col("q") * F.col("q")), edges), "y", ["q", "q2", *c["controls"]], ["group_id"])
+                k = F.col("coefficients")
+                at = M.quantile_bins(rows.withColumn("q2", F.col("q") * F.col("q")), edges).join(fits.select("group_id", "coefficients"), "group_id")
+                p = at.withColumn("p", k["const"] + sum((k[x] * F.col(x) for x in ("q", "q2", *c["controls"])), F.lit(0.0)))
+            else:
+                model = {
+                    "poly": lambda: M.poly_ols(train, "q", "y", c["degree"], c.get("interactions", ()), c.get("controls", ()), c.get("alpha", 0.0), True),
+                    "huber": lambda: M.poly_huber(train, "q", "y", c["degree"], (), c["controls"]),
+                    "spline": lambda: M.spline_fit(train, "q", "y", c.get("smooths", ()), c.get("controls", ()), c["n"], c["penalty"]),
+                }[c["family"]]()
+                p = rows.withColumns({"p": model.predict(), "group_id": F.lit(0)})
+            want = M.macro_micro_means(M.point_metrics(p, "y", "p", ["group_id"]), ["r2", "rmse", "mae"]).first()
+            for m in ("r2", "rmse", "mae"):
+                assert r[f"{m}_macro"] == pytest.approx(want[f"{m}_macro"], rel=1e-6, abs=1e-8), (c, part, m)
+                assert r[f"{m}_micro"] == pytest.approx(want[f"{m}_micro"], rel=1e-6, abs=1e-8), (c, part, m)
+            assert r.n_obs == rows.count()
+    left = M.search_families(df, "y", "q", CONFIGS[3:5], "part", done=[r.config for r in got.values() if r.params_json != json.dumps(CONFIGS[3] | {"y": "y", "q": "q"}, sort_keys=True)])
+    assert {r.family for r in left.collect()} == {"poly"} and left.count() == 2
+    with pytest.raises(ValueError):
+        M.search_families(df, "y", "q", CONFIGS, "part", done=[r.config for r in got.values()])
+
+
 def grouped(spark, parts=12):
     """A hot group of many values with ties, small ones, a null group and nulls, dealt over many ranges."""
     rng = np.random.default_rng(8)

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.operators.diagnostics import gram
 from wattloom.operators.ranks import average_ranks, exact_quantiles, with_quantiles
 
 # --- bins -------------------------------------------------------------------------------------------------------------
@@ -131,103 +130,192 @@ def groupwise_me(df: DataFrame, models: DataFrame, q: str, group: Sequence[str],
     return df.join(c, list(group), "left").withColumn("ME", F.col("alpha1") + 2 * F.col("alpha2") * F.col(q))
 
 
+def gram_sums(df: DataFrame, cols: dict[str, Column], keys: Sequence[str] = ()) -> dict[tuple, np.ndarray]:
+    """{values of keys: sums of products of cols} over the rows without nulls in cols, as sums of one aggregation."""
+    p = len(cols)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    base = df.select(*keys, *(c.cast("double").alias(f"_c{i}") for i, c in enumerate(cols.values()))).dropna(subset=[f"_c{i}" for i in range(p)])
+    out = {}
+    for r in base.groupBy(*keys).agg(*(F.sum(F.col(f"_c{i}") * F.col(f"_c{j}")).alias(f"s{i}_{j}") for i, j in pairs)).collect():
+        g = np.zeros((p, p))
+        for (i, j), v in zip(pairs, r[len(keys) :], strict=True):
+            g[i, j] = g[j, i] = v or 0.0
+        out[tuple(r[: len(keys)])] = g
+    return out
+
+
+def solved(g: np.ndarray, penalty: np.ndarray | float = 0.0) -> np.ndarray:
+    """Weights of the columns before the last, which is the target, by (penalised) least squares from sums of products."""
+    return np.linalg.pinv(g[:-1, :-1] + penalty, rcond=1e-12, hermitian=True) @ g[:-1, -1]
+
+
+def squared_error(g: np.ndarray, w: np.ndarray) -> float:
+    e = np.append(-w, 1.0)
+    return max(0.0, float(e @ g @ e))
+
+
 @dataclass(frozen=True)
-class PolyModel:
-    """y = b0 + sum b_k z^k + interactions b_d z d + controls, with z = (q - mean) / sigma."""
+class PolyDesign:
+    """Columns 1, z^k, and of each driver d and z d, and controls as they are (as time terms); z = (q - mean) / sigma.
+    Drivers in scales are standardised by their (mean, deviation)."""
 
     q: str
     mean: float
     sigma: float
     degree: int
-    coefficients: dict[str, float]
     interactions: tuple[str, ...] = ()
     controls: tuple[str, ...] = ()
+    scales: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+    @classmethod
+    def fit(cls, df: DataFrame, q: str, degree: int, interactions: Sequence[str] = (), controls: Sequence[str] = (), standard: bool = False) -> PolyDesign:
+        seen = [q, *(interactions if standard else ())]
+        row = df.agg(*(f(x) for x in seen for f in (F.avg, F.stddev_pop))).first()
+        scale = {x: (float(row[2 * i] or 0.0), float(row[2 * i + 1] or 0.0) or 1.0) for i, x in enumerate(seen)}
+        return cls(q, *scale[q], degree, tuple(interactions), tuple(controls), {d: scale[d] for d in interactions} if standard else {})
 
     def _z(self) -> Column:
         return (F.col(self.q) - self.mean) / self.sigma
 
+    def _driver(self, d: str) -> Column:
+        m, s = self.scales.get(d, (0.0, 1.0))
+        return (F.col(d) - m) / s if d in self.scales else F.col(d).cast("double")
+
+    def columns(self) -> dict[str, Column]:
+        z = self._z()
+        out = {"const": F.lit(1.0)} | {f"z{k}": F.pow(z, F.lit(float(k))) for k in range(1, self.degree + 1)}
+        out |= {f"z*{d}": z * self._driver(d) for d in self.interactions} | {d: self._driver(d) for d in self.interactions}
+        return out | {d: F.col(d).cast("double") for d in self.controls}
+
+
+@dataclass(frozen=True)
+class PolyModel(PolyDesign):
+    """A design with its coefficients, the penalty they were fitted with, and, where it was chosen by folds, the mean
+    squared error of each penalty in the folds left out."""
+
+    coefficients: dict[str, float] = field(default_factory=dict)
+    alpha: float = 0.0
+    scores: dict[float, float] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, design: PolyDesign, w: np.ndarray, alpha: float = 0.0, scores: dict[float, float] | None = None) -> PolyModel:
+        own = {f: getattr(design, f) for f in ("q", "mean", "sigma", "degree", "interactions", "controls", "scales")}
+        return cls(**own, coefficients=dict(zip(design.columns(), map(float, w), strict=True)), alpha=alpha, scores=scores or {})
+
     def predict(self) -> Column:
-        z, c = self._z(), self.coefficients
-        out = F.lit(c["const"]) + sum((c[f"z{k}"] * F.pow(z, F.lit(float(k))) for k in range(1, self.degree + 1)), F.lit(0.0))
-        out = out + sum((c[f"z*{d}"] * z * F.col(d) + c[d] * F.col(d) for d in self.interactions), F.lit(0.0))
-        return out + sum((c[d] * F.col(d) for d in self.controls), F.lit(0.0))
+        return sum((self.coefficients[k] * c for k, c in self.columns().items()), F.lit(0.0))
 
     def me(self) -> Column:
         """dy/dq."""
         z, c = self._z(), self.coefficients
         out = sum((k * c[f"z{k}"] * F.pow(z, F.lit(float(k - 1))) for k in range(1, self.degree + 1)), F.lit(0.0))
-        return (out + sum((c[f"z*{d}"] * F.col(d) for d in self.interactions), F.lit(0.0))) / self.sigma
+        return (out + sum((c[f"z*{d}"] * self._driver(d) for d in self.interactions), F.lit(0.0))) / self.sigma
 
 
-def _poly_columns(df: DataFrame, q: str, degree: int, interactions: Sequence[str], controls: Sequence[str]) -> tuple[DataFrame, list[str], float, float]:
-    mean, sigma = df.agg(F.avg(q), F.stddev_pop(q)).first()
-    sigma = sigma or 1.0
-    z = (F.col(q) - mean) / sigma
-    cols = {"const": F.lit(1.0)} | {f"z{k}": F.pow(z, F.lit(float(k))) for k in range(1, degree + 1)}
-    cols |= {f"z*{d}": z * F.col(d) for d in interactions} | {d: F.col(d).cast("double") for d in (*interactions, *controls)}
-    return df.select(*(v.alias(f"_c{i}") for i, v in enumerate(cols.values())), "*"), list(cols), mean, sigma
+def _ridge(p: int, alpha: float) -> np.ndarray:
+    """alpha for each weight but that of the intercept."""
+    return alpha * np.diag(np.append(0.0, np.ones(p - 1)))
 
 
-def poly_ols(df: DataFrame, q: str, y: str, degree: int = 2, interactions: Sequence[str] = (), controls: Sequence[str] = (), ridge: float = 0.0) -> PolyModel:
+def poly_ols(df: DataFrame, q: str, y: str, degree: int = 2, interactions: Sequence[str] = (), controls: Sequence[str] = (), ridge: float = 0.0, standard: bool = False) -> PolyModel:
     """Least squares (with ridge: plus ridge times the squared coefficients but the intercept) from one Gram aggregation."""
-    data, names, mean, sigma = _poly_columns(df, q, degree, interactions, controls)
-    g = gram(data, [f"_c{i}" for i in range(len(names))] + [y])
-    a, b = g[:-1, :-1], g[:-1, -1]
-    penalty = ridge * np.eye(len(names))
-    penalty[0, 0] = 0
-    w = np.linalg.pinv(a + penalty, hermitian=True) @ b
-    return PolyModel(q, mean, sigma, degree, dict(zip(names, map(float, w), strict=True)), tuple(interactions), tuple(controls))
+    design = PolyDesign.fit(df, q, degree, interactions, controls, standard)
+    cols = design.columns()
+    g = gram_sums(df, cols | {"": F.col(y)}).get((), np.zeros((len(cols) + 1,) * 2))
+    return PolyModel.of(design, solved(g, _ridge(len(cols), ridge)), ridge)
 
 
-def poly_ridge(df: DataFrame, q: str, y: str, degree: int = 2, interactions: Sequence[str] = (), controls: Sequence[str] = (), alphas: Sequence[float] = (0.1, 1.0, 10.0), folds: int = 5) -> PolyModel:
+def poly_ridge(df: DataFrame, q: str, y: str, degree: int = 2, interactions: Sequence[str] = (), controls: Sequence[str] = (), alphas: Sequence[float] = (0.1, 1.0, 10.0), folds: int = 5, standard: bool = False) -> PolyModel:
     """The alpha with the least squared error over hashed folds; each fold's Gram sums come from one grouped pass."""
-    data, names, mean, sigma = _poly_columns(df, q, degree, interactions, controls)
-    cols = [f"_c{i}" for i in range(len(names))] + [y]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    fold = F.pmod(F.xxhash64(*df.columns), F.lit(folds)).alias("fold")
-    rows = data.dropna(subset=cols).groupBy(fold).agg(*(F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"s{n}") for n, (i, j) in enumerate(pairs))).collect()
-    parts = []
-    for r in rows:
-        g = np.zeros((len(cols), len(cols)))
-        for n, (i, j) in enumerate(pairs):
-            g[i, j] = g[j, i] = r[n + 1]
-        parts.append(g)
+    design = PolyDesign.fit(df, q, degree, interactions, controls, standard)
+    cols = design.columns()
+    fold = F.pmod(F.xxhash64(*df.columns), F.lit(folds))
+    parts = list(gram_sums(df.withColumn("_fold", fold), cols | {"": F.col(y)}, ["_fold"]).values())
     total = sum(parts)
-    eye = np.eye(len(names))
-    eye[0, 0] = 0
+    loss = lambda a: sum(squared_error(g, solved(total - g, _ridge(len(cols), a))) for g in parts) / max(1.0, total[0, 0])
+    scores = {float(a): float(loss(a)) for a in alphas}
+    best = min(scores, key=scores.get)
+    return PolyModel.of(design, solved(total, _ridge(len(cols), best)), best, scores)
+
+
+@dataclass(frozen=True)
+class _HuberSums:
+    """Sums at one point (weights, scale): products over the rows within epsilon * scale, signed columns of the others."""
 
-    def fit(g: np.ndarray, alpha: float) -> np.ndarray:
-        return np.linalg.pinv(g[:-1, :-1] + alpha * eye, hermitian=True) @ g[:-1, -1]
+    loss: float
+    inner: np.ndarray
+    signs: np.ndarray
+    n: int
+    n_outer: int
 
-    def loss(alpha: float) -> float:
-        out = 0.0
-        for g in parts:
-            w = np.append(-fit(total - g, alpha), 1.0)
-            out += w @ g @ w
-        return out
 
-    best = min(alphas, key=loss)
-    return PolyModel(q, mean, sigma, degree, dict(zip(names, map(float, fit(total, best)), strict=True)), tuple(interactions), tuple(controls))
+def _huber_sums(df: DataFrame, cols: dict[str, Column], y: str, w: np.ndarray, scale: float, epsilon: float, alpha: float) -> _HuberSums:
+    names = list(cols)
+    base = df.select(*(c.cast("double").alias(f"_c{i}") for i, c in enumerate(cols.values())), F.col(y).cast("double").alias("_y")).dropna()
+    at = base.withColumn("_r", F.col("_y") - sum((F.col(f"_c{i}") * float(w[i]) for i in range(len(names))), F.lit(0.0)))
+    near = F.abs("_r") <= epsilon * scale
+    x = [F.when(near, F.col(f"_c{i}")) for i in range(len(names))] + [F.when(near, F.col("_y"))]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    row = at.agg(
+        F.count("*"), F.count_if(near), F.sum(F.when(near, F.col("_r") * F.col("_r"))), F.sum(F.when(~near, F.abs("_r"))),
+        *(F.sum(F.when(~near, F.signum("_r") * F.col(f"_c{i}"))) for i in range(len(names))), *(F.sum(x[i] * x[j]) for i, j in pairs),
+    ).first()
+    n, inside, squares, far = row[0], row[1], row[2] or 0.0, row[3] or 0.0
+    g = np.zeros((len(x), len(x)))
+    for (i, j), v in zip(pairs, row[4 + len(names) :], strict=True):
+        g[i, j] = g[j, i] = v or 0.0
+    loss = n * scale + squares / scale + 2 * epsilon * far - epsilon**2 * scale * (n - inside) + alpha * float(w[1:] @ w[1:])
+    return _HuberSums(loss, g, np.array([v or 0.0 for v in row[4 : 4 + len(names)]]), n, n - inside)
+
+
+def _huber_step(s: _HuberSums, epsilon: float, alpha: float, scale: float) -> tuple[np.ndarray, float]:
+    """The weights and scale that are best if no row crosses the threshold."""
+    w = np.zeros(len(s.signs))
+    free = s.n - epsilon**2 * s.n_outer
+    for _ in range(200):
+        w = np.linalg.pinv(s.inner[:-1, :-1] + _ridge(len(w), alpha * scale), rcond=1e-12, hermitian=True) @ (s.inner[:-1, -1] + epsilon * scale * s.signs)
+        # with so many rows outside a larger scale is always better
+        new = max(1e-12, np.sqrt(squared_error(s.inner, w) / free)) if free > 0 else 2 * scale
+        if free <= 0 or abs(new - scale) <= 1e-13 * scale:
+            return w, new
+        scale = new
+    return w, scale
+
+
+def poly_huber(
+    df: DataFrame, q: str, y: str, degree: int = 2, interactions: Sequence[str] = (), controls: Sequence[str] = (), epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 60, standard: bool = False
+) -> PolyModel:
+    """Huber loss, minimised over weights and scale together: the sum of scale + H(e / scale) * scale, H(x) being x^2
+    up to epsilon and 2 epsilon |x| - epsilon^2 beyond, plus alpha times the squared weights but the intercept.
+
+    Each round is one aggregation at a point: its loss, the sums of products of the rows within epsilon scales and the
+    signed sums of the others. From these the driver takes the best point with the same rows inside; where the loss there
+    is higher, half of the way. The loss is convex and the rows inside soon stay, so rounds are few.
+    """
+    design = PolyDesign.fit(df, q, degree, interactions, controls, standard)
+    return PolyModel.of(design, huber_weights(df, design.columns(), y, epsilon, alpha, rounds)[0], alpha)
 
 
-def poly_huber(df: DataFrame, q: str, y: str, degree: int = 2, interactions: Sequence[str] = (), controls: Sequence[str] = (), epsilon: float = 1.35, rounds: int = 8) -> PolyModel:
-    """Huber loss by reweighted least squares: each round is one weighted Gram aggregation; the scale is the median
-    absolute error / 0.6745."""
-    model = poly_ols(df, q, y, degree, interactions, controls)
-    data, names, _, _ = _poly_columns(df, q, degree, interactions, controls)
-    cols = [f"_c{i}" for i in range(len(names))] + [y]
+def huber_weights(df: DataFrame, cols: dict[str, Column], y: str, epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """(weights of cols, the first of which is 1, and the scale) of the least Huber loss; see poly_huber."""
+    g = gram_sums(df, cols | {"": F.col(y)}).get((), np.zeros((len(cols) + 1,) * 2))
+    w = solved(g)
+    scale = max(1e-12, np.sqrt(squared_error(g, w) / max(1.0, g[0, 0])))
+    at = _huber_sums(df, cols, y, w, scale, epsilon, alpha)
     for _ in range(rounds):
-        e = data.withColumn("_e", F.abs(F.col(y) - model.predict()))
-        scale = (e.agg(F.percentile_approx("_e", 0.5, 10000)).first()[0] or 0.0) / 0.6745 or 1e-12
-        w = F.sqrt(F.least(F.lit(1.0), epsilon * scale / F.greatest("_e", F.lit(1e-12))))
-        g = gram(e.select(*((F.col(c) * w).alias(c) for c in cols)), cols)
-        b = np.linalg.pinv(g[:-1, :-1], hermitian=True) @ g[:-1, -1]
-        new = dict(zip(names, map(float, b), strict=True))
-        done = max(abs(new[k] - model.coefficients[k]) for k in names) < 1e-8 * max(1.0, *(abs(v) for v in new.values()))
-        model = PolyModel(model.q, model.mean, model.sigma, degree, new, model.interactions, model.controls)
-        if done:
+        w1, s1 = _huber_step(at, epsilon, alpha, scale)
+        part, then = 1.0, None
+        while part > 1e-6:
+            there = w + part * (w1 - w), scale + part * (s1 - scale)
+            then = _huber_sums(df, cols, y, *there, epsilon, alpha)
+            if then.loss <= at.loss * (1 + 1e-14):
+                break
+            part /= 2
+        moved = np.abs(there[0] - w).max() / max(1e-12, np.abs(w).max()) + abs(there[1] - scale) / scale
+        (w, scale), at = there, then
+        if moved < 1e-10:
             break
-    return model
+    return w, scale
 
 
 @dataclass(frozen=True)
@@ -238,6 +326,8 @@ class SplineModel:
     knots: dict[str, tuple[float, float, int]]
     coefficients: tuple[float, ...]
     linear: tuple[str, ...] = ()
+    penalty: float = 0.0
+    scores: dict[float, float] = field(default_factory=dict)
 
     def _spline(self, x: str, at: int, derivative: bool = False) -> Column:
         lo, hi, n = self.knots[x]
@@ -279,24 +369,80 @@ def spline_basis(x: Column, lo: float, hi: float, n: int) -> list[Column]:
     return [F.when(k == i, parts[0]).when(k == i - 1, parts[1]).when(k == i - 2, parts[2]).when(k == i - 3, parts[3]).otherwise(0.0) for i in range(n)]
 
 
-def spline_fit(df: DataFrame, q: str, y: str, smooths: Sequence[str] = (), linear: Sequence[str] = (), n: int = 10, penalty: float = 10.0) -> SplineModel:
-    """Penalised least squares (second differences of the coefficients of each spline) from one Gram aggregation."""
-    xs = [q, *smooths]
+def spline_knots(df: DataFrame, xs: Sequence[str], n: int) -> dict[str, tuple[float, float, int]]:
     row = df.agg(*(e for x in xs for e in (F.min(x), F.max(x)))).first()
-    knots = {x: (float(row[2 * i]), float(row[2 * i + 1]) if row[2 * i + 1] > row[2 * i] else float(row[2 * i]) + 1.0, n) for i, x in enumerate(xs)}
-    terms = [F.lit(1.0)]
-    for x, (lo, hi, _) in knots.items():
-        terms += spline_basis(F.col(x), lo, hi, n)
-    terms += [F.col(x).cast("double") for x in linear]
-    data = df.dropna(subset=[*xs, *linear, y]).select(*(t.alias(f"_t{i}") for i, t in enumerate(terms)), F.col(y).cast("double").alias("_y"))
-    g = gram(data, [f"_t{i}" for i in range(len(terms))] + ["_y"])
-    second = np.diff(np.eye(n), 2, axis=0)
-    pen = np.zeros((len(terms), len(terms)))
-    for k in range(len(xs)):
-        at = slice(1 + k * n, 1 + (k + 1) * n)
-        pen[at, at] = penalty * second.T @ second
-    w = np.linalg.pinv(g[:-1, :-1] + pen, rcond=1e-12, hermitian=True) @ g[:-1, -1]
-    return SplineModel(q, knots, tuple(map(float, w)), tuple(linear))
+    ends = [(float(row[2 * i]), float(row[2 * i + 1])) for i in range(len(xs))]
+    return {x: (lo, hi if hi > lo else lo + 1.0, n) for x, (lo, hi) in zip(xs, ends, strict=True)}
+
+
+def spline_sums(df: DataFrame, knots: dict[str, tuple[float, float, int]], linear: Sequence[str], y: str, keys: Sequence[str] = ()) -> dict[tuple, np.ndarray]:
+    """{values of keys: sums of products} of 1, all splines, the linear columns and y, over rows without nulls in them.
+
+    At most four splines of a variable are not 0 at a place, so the rows of each pair of intervals of two variables
+    have 4 x 4 products: these are summed by pair of intervals, and the driver puts the blocks together. With several
+    variables each row counts in all pairs of them.
+    """
+    names, dense = list(knots), [F.lit(1.0), *(F.col(x).cast("double") for x in linear), F.col(y).cast("double")]
+    parts = {x: _interval(F.col(x).cast("double"), *knots[x]) for x in names}
+    cols = {f"k{i}": parts[x][0] for i, x in enumerate(names)} | {f"b{i}_{j}": v for i, x in enumerate(names) for j, v in enumerate(_cubic(parts[x][1]))}
+    base = df.dropna(subset=[*names, *linear, y]).select(*keys, *(c.alias(f"_{n}") for n, c in cols.items()), *(c.alias(f"_d{i}") for i, c in enumerate(dense)))
+    pairs = [(a, b) for a in range(len(names)) for b in range(a, len(names))]
+    one = lambda a, b: F.struct(F.lit(a).alias("_a"), F.lit(b).alias("_b"), F.col(f"_k{a}").alias("_ka"), F.col(f"_k{b}").alias("_kb"), *(F.col(f"_b{a}_{j}").alias(f"_u{j}") for j in range(4)), *(F.col(f"_b{b}_{j}").alias(f"_v{j}") for j in range(4)))
+    d = [f"_d{i}" for i in range(len(dense))]
+    base = base.select(*keys, *d, F.inline(F.array(*(one(a, b) for a, b in pairs))))
+    sums = [F.sum(F.col(f"_u{i}") * F.col(f"_v{j}")) for i in range(4) for j in range(4)]
+    sums += [F.sum(F.col(f"_u{i}") * F.col(x)) for i in range(4) for x in d]
+    sums += [F.sum(F.col(d[i]) * F.col(d[j])) for i in range(len(d)) for j in range(len(d))]
+    rows = base.groupBy(*keys, "_a", "_b", "_ka", "_kb").agg(*(s.alias(f"_s{i}") for i, s in enumerate(sums))).collect()
+    starts = np.cumsum([1, *(n for _, _, n in knots.values())])
+    rest = np.append(0, np.arange(starts[-1], starts[-1] + len(d) - 1))  # places of the dense columns
+    out: dict[tuple, np.ndarray] = {}
+    for r in rows:
+        g = out.setdefault(tuple(r[: len(keys)]), np.zeros((starts[-1] + len(d) - 1,) * 2))
+        a, b, ka, kb = r[len(keys) : len(keys) + 4]
+        s = np.array(r[len(keys) + 4 :], float)
+        u, v = starts[a] + ka + np.arange(4), starts[b] + kb + np.arange(4)
+        block = s[:16].reshape(4, 4)
+        g[np.ix_(u, v)] += block
+        if a != b:
+            g[np.ix_(v, u)] += block.T
+        else:
+            side = s[16 : 16 + 4 * len(d)].reshape(4, -1)
+            g[np.ix_(u, rest)] += side
+            g[np.ix_(rest, u)] += side.T
+            if a == 0:
+                g[np.ix_(rest, rest)] += s[16 + 4 * len(d) :].reshape(len(d), -1)
+    return out
+
+
+def spline_solved(g: np.ndarray, knots: dict[str, tuple[float, float, int]], penalties: Sequence[float], keep: Sequence[int] | None = None) -> tuple[np.ndarray, float, dict[float, float]]:
+    """(weights, the penalty of the least generalised cross-validation score, the scores) from sums of products; keep:
+    the columns that take part. Second differences of the weights of each spline are penalised."""
+    keep = list(range(len(g) - 1)) if keep is None else list(keep)
+    pen, at = np.zeros((len(g) - 1,) * 2), 1
+    for _, _, n in knots.values():
+        second = np.diff(np.eye(n), 2, axis=0)
+        pen[at : at + n, at : at + n] = second.T @ second
+        at += n
+    own, pen, n = g[np.ix_([*keep, -1], [*keep, -1])], pen[np.ix_(keep, keep)], max(1.0, g[0, 0])
+    fits, scores = {}, {}
+    for p in penalties:
+        inverse = np.linalg.pinv(own[:-1, :-1] + p * pen, rcond=1e-12, hermitian=True)
+        fits[p] = inverse @ own[:-1, -1]
+        used = min(float(np.trace(inverse @ own[:-1, :-1])), n - 1e-9)
+        scores[float(p)] = n * squared_error(own, fits[p]) / (n - used) ** 2
+    best = min(penalties, key=lambda p: scores[float(p)])
+    return fits[best], float(best), scores
+
+
+def spline_fit(df: DataFrame, q: str, y: str, smooths: Sequence[str] = (), linear: Sequence[str] = (), n: int = 10, penalty: float | Sequence[float] = 10.0) -> SplineModel:
+    """Penalised least squares from sums over pairs of intervals; of several penalties the one of the least generalised
+    cross-validation score, from the same sums."""
+    knots = spline_knots(df, [q, *smooths], n)
+    size = 1 + n * len(knots) + len(linear) + 1
+    g = spline_sums(df, knots, linear, y).get((), np.zeros((size, size)))
+    w, best, scores = spline_solved(g, knots, [penalty] if isinstance(penalty, (int, float)) else list(penalty))
+    return SplineModel(q, knots, tuple(map(float, w)), tuple(linear), best, scores)
 
 
 # --- scores -------------------------------------------------------------------------------------------------------------
@@ -484,19 +630,159 @@ def evaluate_model(df: DataFrame, y: str, p: str, q: str, me: str, group: Sequen
 
 
 def search_models(df: DataFrame, y: str, q: str, bins: Sequence[dict[str, int]], controls: Sequence[Sequence[str]], done: Sequence[str] = (), min_size: int = 10) -> DataFrame:
-    """One row for each configuration of bins and controls that isn't done yet: its hash, parameters, groups, macro and
-    micro scores. Each is a grouped fit of y on q, its square and the controls."""
-    out: DataFrame | None = None
-    data = df.withColumn("_q2", F.col(q) * F.col(q))
-    for spec, extra in itertools.product(bins, controls):
-        config = {"bins": dict(spec), "controls": list(extra), "y": y, "q": q}
-        key = config_hash(config)
-        if key in done:
-            continue
-        fits = groupwise_ols(quantile_bins(data, quantile_bins_fit(df, spec)), y, [q, "_q2", *extra], ["group_id"], (), min_size)
-        row = macro_micro_means(fits, ["r2", "rmse", "mae"]).crossJoin(fits.agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_obs")))
-        row = row.select(F.lit(key).alias("config"), F.lit(json.dumps(config, sort_keys=True)).alias("params_json"), "*")
-        out = row if out is None else out.unionByName(row)
-    if out is None:
+    """search_families over all combinations of bins and controls, on all rows: a row for each that isn't done yet."""
+    configs = [{"bins": dict(spec), "controls": list(extra)} for spec, extra in itertools.product(bins, controls)]
+    return search_families(df, y, q, configs, done=done, min_size=min_size).drop("family", "split")
+
+
+@dataclass
+class _Candidate:
+    """A configuration: its predictions over the columns of its scan, by group of rows, as weights of these columns."""
+
+    key: str
+    config: dict
+    weights: dict[int, np.ndarray]
+
+
+@dataclass
+class _Scan:
+    """Rows that several configurations read together: df with _split and _group, columns, sums of products (the last is
+    the target) by split and group, and the configurations fitted on them."""
+
+    df: DataFrame
+    columns: dict[str, Column]
+    sums: dict[tuple, np.ndarray]
+    fitted: list[_Candidate]
+
+
+def _bin_scan(df: DataFrame, y: str, q: str, edges: dict, todo: list[tuple[str, dict]], fit_on: str, min_size: int) -> _Scan:
+    controls = list(dict.fromkeys(c for _, config in todo for c in config.get("controls", ())))
+    cols = {"const": F.lit(1.0), q: F.col(q), "_q2": F.col(q) * F.col(q)} | {c: F.col(c) for c in controls}
+    rows = quantile_bins(df, edges, name="_group")
+    sums = gram_sums(rows, cols | {"": F.col(y)}, ["_split", "_group"])
+    fitted = []
+    for key, config in todo:
+        at = [list(cols).index(c) for c in ("const", q, "_q2", *config.get("controls", ()))]
+        weights = {}
+        for (split, group), g in sums.items():
+            if split == fit_on and group is not None and g[0, 0] >= min_size:
+                own = g[np.ix_([*at, -1], [*at, -1])]
+                scale = np.sqrt(np.maximum(np.diag(own), 1e-300))
+                w = np.zeros(len(cols))
+                w[at] = solved(own / np.outer(scale, scale)) / scale[:-1] * scale[-1]
+                weights[group] = w
+        fitted.append(_Candidate(key, config, weights))
+    return _Scan(rows, cols, sums, fitted)
+
+
+def _poly_scan(df: DataFrame, train: DataFrame, y: str, q: str, todo: list[tuple[str, dict]], fit_on: str) -> _Scan:
+    """Polynomials, ridge and Huber: all are weights of one union of columns; only Huber fits read the rows again."""
+    take = lambda name: list(dict.fromkeys(c for _, config in todo for c in config.get(name, ())))
+    design = PolyDesign.fit(train, q, max(config.get("degree", 2) for _, config in todo), take("interactions"), [c for c in take("controls") if c not in take("interactions")], True)
+    cols = design.columns()
+    rows = df.withColumn("_group", F.lit(0))
+    sums = gram_sums(rows, cols | {"": F.col(y)}, ["_split", "_group"])
+    g = sums.get((fit_on, 0), np.zeros((len(cols) + 1,) * 2))
+    fitted = []
+    for key, config in todo:
+        own = PolyDesign(q, design.mean, design.sigma, config.get("degree", 2), tuple(config.get("interactions", ())), tuple(config.get("controls", ())), design.scales)
+        at = [list(cols).index(c) for c in own.columns()]
+        w = np.zeros(len(cols))
+        if config["family"] == "huber":
+            # of the same rows as the others: those without nulls in the union of columns
+            whole = train.select("*", *(c.cast("double").alias(f"_u{i}") for i, c in enumerate(cols.values()))).dropna(subset=[f"_u{i}" for i in range(len(cols))])
+            w[at] = huber_weights(whole, {k: cols[k] for k in own.columns()}, y, config.get("epsilon", 1.35), config.get("alpha", 1e-4))[0]
+        else:
+            w[at] = solved(g[np.ix_([*at, -1], [*at, -1])], _ridge(len(at), config.get("alpha", 0.0)))
+        fitted.append(_Candidate(key, config, {0: w}))
+    return _Scan(rows, cols, sums, fitted)
+
+
+def _spline_scan(df: DataFrame, train: DataFrame, y: str, q: str, smooths: tuple[str, ...], n: int, todo: list[tuple[str, dict]], fit_on: str) -> _Scan:
+    linear = list(dict.fromkeys(c for _, config in todo for c in config.get("controls", ())))
+    knots = spline_knots(train, [q, *smooths], n)
+    rows = df.withColumn("_group", F.lit(0))
+    sums = spline_sums(rows, knots, linear, y, ["_split", "_group"])
+    cols = {"const": F.lit(1.0)} | {f"{x}[{j}]": c for x, (lo, hi, _) in knots.items() for j, c in enumerate(spline_basis(F.col(x), lo, hi, n))} | {c: F.col(c).cast("double") for c in linear}
+    fitted = []
+    for key, config in todo:
+        keep = [i for i, c in enumerate(cols) if c not in linear or c in config.get("controls", ())]
+        w = np.zeros(len(cols))
+        if (fit_on, 0) in sums:
+            w[keep] = spline_solved(sums[fit_on, 0], knots, [config.get("penalty", 10.0)], keep)[0]
+        fitted.append(_Candidate(key, config, {0: w}))
+    return _Scan(rows, cols, sums, fitted)
+
+
+def _absolute_errors(scan: _Scan, y: str) -> dict[tuple, list[float]]:
+    """{(split, group): summed absolute errors of each configuration}, in one reading of the rows."""
+    names = list(scan.columns)
+    base = scan.df.select("_split", "_group", F.col(y).cast("double").alias("_y"), *(c.cast("double").alias(f"_c{i}") for i, c in enumerate(scan.columns.values()))).dropna()
+    groups = sorted({g for c in scan.fitted for g in c.weights})
+    # a row for each group of bins, as few as the configurations have
+    table = [(g, [c.weights[g].tolist() if g in c.weights else None for c in scan.fitted]) for g in groups]
+    table = scan.df.sparkSession.createDataFrame(table, "_group int, _w array<array<double>>")
+    error = lambda k: F.abs(F.col("_y") - sum((F.col(f"_w{k}")[i] * F.col(f"_c{i}") for i in range(len(names))), F.lit(0.0)))
+    joined = base.join(F.broadcast(table.select("_group", *(F.col("_w")[k].alias(f"_w{k}") for k in range(len(scan.fitted))))), "_group")
+    return {(r[0], r[1]): r[2:] for r in joined.groupBy("_split", "_group").agg(*(F.sum(error(k)) for k in range(len(scan.fitted)))).collect()}
+
+
+def search_families(df: DataFrame, y: str, q: str, configs: Sequence[dict], split: str | None = None, fit_on: str = "train", done: Sequence[str] = (), min_size: int = 10) -> DataFrame:
+    """A row for each configuration that isn't done yet and each split: config (hash), params_json, family, split, n_groups,
+    n_obs, and macro (mean over groups) and micro (by rows) r2, rmse and mae.
+
+    Families: bins {"bins": {column: number}, "controls": [...]}, a fit of y on q, its square and the controls in each
+    group of bins with at least min_size rows; {"family": "poly" or "huber", "degree", "interactions", "controls",
+    "alpha", "epsilon"} with standardised drivers (alpha over 0: ridge); {"family": "spline", "n", "penalty", "smooths",
+    "controls"}. Models, bins, knots and scales are fitted on the rows of the split fit_on (all rows without a split
+    column).
+
+    Configurations that share bins, knots, or the polynomial columns are one scan: its sums of products of all their
+    columns by split and group are enough to fit each one and to score it on every split; one more reading gives the
+    absolute errors. Only Huber fits read the training rows again. A row with a null in any column of a scan counts for
+    none of its configurations, so that their scores are of the same rows.
+    """
+    keyed = []
+    for c in configs:
+        full = dict(c) | {"y": y, "q": q}
+        key = config_hash(full)
+        if key not in done and key not in {k for k, _ in keyed}:
+            keyed.append((key, full | {"family": full.get("family", "bins")}))
+    if not keyed:
         raise ValueError("every configuration is done")
-    return out
+    rows = df.withColumn("_split", F.col(split).cast("string") if split else F.lit(fit_on))
+    train = rows.where(F.col("_split") == fit_on)
+    of = lambda f: [(k, c) for k, c in keyed if c["family"] in f]
+    grouped = lambda todo, by: [(b, [t for t in todo if by(t[1]) == b]) for b in dict.fromkeys(by(c) for _, c in todo)]
+    scans = []
+    if of({"bins"}):
+        specs = grouped(of({"bins"}), lambda c: tuple(sorted(c["bins"].items())))
+        # the edges of all bins from one ordering of the values
+        probs = sorted({0.0, 1.0, *(i / n for spec, _ in specs for _, n in spec for i in range(1, n))})
+        q_of = exact_quantiles(train, list(dict.fromkeys(x for spec, _ in specs for x, _ in spec)), probs, midpoint=True)
+        q_of = {x: dict(zip(probs, v, strict=True)) for x, v in q_of.items()}
+        for spec, todo in specs:
+            edges = {x: sorted({q_of[x][0.0] - 1e-4, *(q_of[x][i / n] for i in range(1, n)), q_of[x][1.0] + 1e-4}) for x, n in todo[0][1]["bins"].items()}
+            scans.append(_bin_scan(rows, y, q, edges, todo, fit_on, min_size))
+    if of({"poly", "huber"}):
+        scans.append(_poly_scan(rows, train, y, q, of({"poly", "huber"}), fit_on))
+    for (smooths, n), todo in grouped(of({"spline"}), lambda c: (tuple(c.get("smooths", ())), c.get("n", 10))):
+        scans.append(_spline_scan(rows, train, y, q, smooths, n, todo, fit_on))
+    out = []
+    for scan in scans:
+        far = _absolute_errors(scan, y)
+        for k, c in enumerate(scan.fitted):
+            for s in sorted({s for s, _ in scan.sums if s is not None}):
+                scores = []
+                for (own, group), g in scan.sums.items():
+                    if own == s and group in c.weights:
+                        n, sst = g[0, 0], g[-1, -1] - g[0, -1] ** 2 / g[0, 0]
+                        sse = squared_error(g, c.weights[group])
+                        scores.append((n, 1 - sse / sst if sst > 1e-12 * g[-1, -1] else np.nan, np.sqrt(sse / n), far[s, group][k] / n))
+                if scores:
+                    n, *metrics = np.array(scores).T
+                    mean = lambda m, w: float((m * w)[~np.isnan(m)].sum() / w[~np.isnan(m)].sum()) if (~np.isnan(m)).any() else None
+                    shown = {x: v for x, v in c.config.items() if x != "family" or v != "bins"}
+                    out.append((c.key, json.dumps(shown, sort_keys=True), c.config["family"], s, *(mean(m, np.ones(len(n))) for m in metrics), *(mean(m, n) for m in metrics), len(n), int(n.sum())))
+    names = "config string, params_json string, family string, split string, r2_macro double, rmse_macro double, mae_macro double, r2_micro double, rmse_micro double, mae_micro double, n_groups long, n_obs long"
+    return df.sparkSession.createDataFrame(out, names)
