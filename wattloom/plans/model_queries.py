@@ -44,6 +44,25 @@ def _metrics(i: Inputs):
     return S.shift_metrics(i.shift_input, _moves(i), P)
 
 
+def _candidates(i: Inputs):
+    """All candidate moves, summed by customer-day."""
+    out = S.candidate_moves(i.shift_input, 4).groupBy("ca_id", "city", "day")
+    whole = {n: F.sum(c).cast("long").alias(n) for n, c in (("t", F.col("t")), ("s", F.col("s")), ("ts", F.col("t") * F.col("s")))}
+    return out.agg(F.count("*").alias("n"), *whole.values(), F.sum("avail").alias("avail"), F.sum("gain").alias("gain"), F.sum(F.col("aef_t") - F.col("aef_s")).alias("aef"))
+
+
+def _splits(i: Inputs):
+    return M.time_split(i.model_rows, [("train", "1990-01-01", "1997-01-01"), ("validation", "1997-01-01", "2000-01-01")], "t")
+
+
+#: One configuration or two of each family.
+FAMILIES = [
+    {"bins": {"q": 3}, "controls": []}, {"bins": {"q": 3}, "controls": ["x"]}, {"bins": {"x": 4}, "controls": []},
+    {"family": "poly", "degree": 2}, {"family": "poly", "degree": 3, "interactions": ["x"], "alpha": 10.0}, {"family": "huber", "degree": 2, "controls": ["x"]},
+    {"family": "spline", "n": 8, "penalty": 10.0}, {"family": "spline", "n": 8, "penalty": 100.0, "controls": ["x"]}, {"family": "spline", "n": 8, "penalty": 10.0, "smooths": ["x"]},
+]
+
+
 def _scored(i: Inputs):
     return i.model_rows.withColumn("p", 1500 * F.col("q"))
 
@@ -87,19 +106,21 @@ QUERIES = {
     "j7_poly_ridge": _q(_predicted(lambda i: M.poly_ridge(i.model_rows, "q", "y", 2, ["x"], alphas=(0.1, 10.0)))),
     "j8_poly_huber": _q(_predicted(lambda i: M.poly_huber(i.model_rows, "q", "y", 2))),
     "j9_spline": _q(_predicted(lambda i: M.spline_fit(i.model_rows, "q", "y", linear=["x"], n=8))),
+    "j9_spline_smooths": _q(_predicted(lambda i: M.spline_fit(i.model_rows, "q", "y", ["x"], n=8, penalty=(1.0, 10.0, 100.0)))),
     "j10_finite_difference": _q(lambda i: M.finite_difference_metrics(_ramps(i), "q", "y", "ME", max_minutes=2880, min_abs_dq=1.0)),
     "j11_calibrate": _q(lambda i: M.calibrated(_ramps(i), M.calibrate_wls(_pairs(i))).select("city", "timestamp", "ME_cal")),
     "j12_national_median": _q(lambda i: M.national_median(_ramps(i), ["ME"]), 6),
     "j13_confidence": _q(lambda i: M.confidence_table(_pairs(i), [1, 2, 5, 10])),
     "j15_time_split": _q(lambda i: M.time_split(i.model_rows, [("train", "1990-01-01", "1998-01-01"), ("test", "1998-01-01", "2000-01-01")], "t").groupBy("split").agg(F.count("*").alias("n"))),
     "j16_search_models": _q(lambda i: M.search_models(i.model_rows, "y", "q", [{"q": 3}, {"x": 4}], [[], ["x"]]).drop("params_json")),
+    "j16_search_families": _q(lambda i: M.search_families(_splits(i), "y", "q", FAMILIES, "split").drop("params_json")),
     "j20_me_summary": _q(lambda i: M.me_summary(i.model_rows.withColumnRenamed("x", "ME"), ["g"])),
     "j21_best_models": _q(lambda i: M.best_models(i.model_rows.groupBy(F.concat("g", "s").alias("config")).agg(F.stddev_samp("q").alias("std"), F.avg("q").alias("mean")), "std", 3)),
     "k1_city_slot_baseline": _q(lambda i: S.city_slot_baseline(i.shift_input), 6),
     "k2_peak_targets": _q(lambda i: S.peak_targets(i.shift_input, {d: (7, 8, 18, 19) for d in range(1, 6)}, 0.25), 6),
     "k3_valid_slots": _q(lambda i: S.valid_slots(i.shift_input.withColumn("mef", F.when(F.col("slot") % 9 != 0, F.col("mef")))).groupBy("city", "valid").agg(F.count("*").alias("n")), 6),
     "k4_slot_arrays": _q(lambda i: S.slot_arrays(i.shift_input).select(*S.KEYS, F.size("value").alias("n"), F.aggregate("value", F.lit(0.0), lambda a, x: a + x).alias("kwh")), 6),
-    "c9_candidate_moves": _q(lambda i: S.candidate_moves(i.shift_input, 4), 6),
+    "c9_candidate_moves": _q(_candidates, 6),
     "k5_shift_load": _q(_moves, 6),
     "k6_upper_bound": _q(lambda i: S.shift_upper_bound(i.shift_input), 6),
     "k7_moves_table": _q(_table, 6),
@@ -184,6 +205,18 @@ SQL = {
     "d37_weighted_median_shift": sql(_MV + ", d AS (SELECT city, abs(s - t) * 30 AS m, sum(q) AS q FROM mv GROUP BY ALL), c AS (SELECT city, m, sum(q) OVER (PARTITION BY city ORDER BY m) AS c, sum(q) OVER (PARTITION BY city) AS a FROM d) SELECT city, min(m) AS median_abs_shift_minutes FROM c WHERE c >= 0.5 * a - 1e-12 GROUP BY city", "shift_input", recursive=True),
     "d38_emissions_totals": sql("SELECT ca_id, city, day, round(sum(value), 4) AS baseline_kwh, round(sum(value * aef), 4) AS baseline_E_avg_g, round(sum(value * mef), 4) AS baseline_E_marg_g FROM shift_input GROUP BY ALL", "shift_input"),
     "d39_correlation": sql(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) + 0.0 AS r FROM model_rows" for a in XY for b in XY), "model_rows"),
+    # the closed form of the eigenvalues of a symmetric 3 x 3 matrix
+    "d41_eigen": sql(
+        """, v AS (SELECT (q / 50)::DOUBLE AS a, (y / 1e5)::DOUBLE AS b, x::DOUBLE AS c FROM model_rows),
+m AS (SELECT sum(a * a) AS aa, sum(b * b) AS bb, sum(c * c) AS cc, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * c) AS bc FROM v),
+t AS (SELECT *, (aa + bb + cc) / 3 AS t FROM m),
+p AS (SELECT *, sqrt(((aa - t) * (aa - t) + (bb - t) * (bb - t) + (cc - t) * (cc - t) + 2 * (ab * ab + ac * ac + bc * bc)) / 6) AS p FROM t),
+d AS (SELECT *, ((aa - t) * ((bb - t) * (cc - t) - bc * bc) - ab * (ab * (cc - t) - bc * ac) + ac * (ab * bc - (bb - t) * ac)) / (p * p * p) / 2 AS r FROM p),
+f AS (SELECT *, acos(greatest(-1, least(1, r))) / 3 AS f FROM d),
+e AS (SELECT t + 2 * p * cos(f) AS e0, t + 2 * p * cos(f + 2 * pi() / 3) AS e2, t FROM f)
+SELECT n::INT AS nth, round([e0, 3 * t - e0 - e2, e2][n + 1], 4) AS eigenvalue, round(sqrt(e0 / e2), 4) AS condition FROM e, (SELECT unnest([0, 1, 2]) AS n)""",
+        "model_rows",
+    ),
     "d42_skew_kurtosis": sql(" UNION ALL ".join(f"SELECT '{a}' AS column, round(avg(pow(({a} - mu) / sd, 3)), 4) + 0.0 AS skewness, round(avg(pow(({a} - mu) / sd, 4)) - 3, 4) AS kurtosis FROM model_rows, (SELECT avg({a}) AS mu, stddev_pop({a}) AS sd FROM model_rows)" for a in XY), "model_rows"),
     "d48_outliers_zscore": sql("SELECT 'value' AS column, count(*) FILTER (abs(value - m) > 3 * s) AS outliers, round(count(*) FILTER (abs(value - m) > 3 * s) / count(value) * 100, 4) AS percent FROM readings, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM readings)", "readings"),
     "d49_outliers_iqr": sql(", b AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS c FROM readings) SELECT 'value' AS column, count(*) FILTER (value < a - (c - a) * 1.5 OR value > c + (c - a) * 1.5) AS outliers, round(count(*) FILTER (value < a - (c - a) * 1.5 OR value > c + (c - a) * 1.5) / count(value) * 100, 4) AS percent FROM readings, b", "readings"),
@@ -218,7 +251,9 @@ SQL = {
     "k2_peak_targets": sql("SELECT city, day, slot, round(sum(value) * 0.25::DOUBLE, 6) AS room FROM shift_input WHERE isodow(day) <= 5 AND slot // 2 IN (7, 8, 18, 19) GROUP BY ALL", "shift_input"),
     "k3_valid_slots": sql("SELECT city, slot % 9 <> 0 AS valid, count(*) AS n FROM shift_input GROUP BY ALL", "shift_input"),
     "k4_slot_arrays": sql("SELECT ca_id, city, day, count(*)::INT AS n, round(sum(value), 6) AS kwh FROM shift_input GROUP BY ALL", "shift_input"),
-    "c9_candidate_moves": sql(_CAND + " SELECT ca_id, city, day, t, s, round(avail, 6) AS avail, mef_t, aef_t, mef_s, aef_s, round(gain, 6) AS gain FROM cm", "shift_input"),
+    "c9_candidate_moves": sql(
+        _CAND + " SELECT ca_id, city, day, count(*) AS n, sum(t)::BIGINT AS t, sum(s)::BIGINT AS s, sum(t * s)::BIGINT AS ts, round(sum(avail), 6) AS avail, round(sum(gain), 6) AS gain, round(sum(aef_t - aef_s), 6) AS aef FROM cm GROUP BY ALL", "shift_input"
+    ),
     "k5_shift_load": sql(_MV + " SELECT ca_id, city, day, t, s, round(q, 6) AS q, mef_t, mef_s, aef_t, aef_s FROM mv", "shift_input", recursive=True),
     "k6_upper_bound": sql("SELECT ca_id, city, day, round(sum(value), 6) AS kwh, round(sum(value * mef), 6) AS baseline_grams, min(mef) AS least_mef, arg_min(slot, mef * 100 + slot) AS slot, round(sum(value) * min(mef), 6) AS bound_grams, round(sum(value * mef) - sum(value) * min(mef), 6) AS saving_grams FROM shift_input GROUP BY ALL", "shift_input"),
     "k7_moves_table": _tb("SELECT ca_id, city, day, original_time, proposed_shift_time, delta_minutes, shift_direction, round(delta_kwh, 6) AS delta_kwh, round(mb, 6) AS marginal_emissions_before_shift_grams_co2, round(ma, 6) AS marginal_emissions_after_shift_grams_co2, round(md, 6) AS marginal_emissions_delta_grams_co2, round(ab, 6) AS average_emissions_before_shift_grams_co2, round(aa, 6) AS average_emissions_after_shift_grams_co2, round(ad, 6) + 0.0 AS average_emissions_delta_grams_co2 FROM tb"),

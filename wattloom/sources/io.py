@@ -120,20 +120,26 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.coalesce(1).write.mode(mode).option("header", "true").csv(path)
 
 
+def balanced(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df dealt by keys for a partitioned write: adaptive execution splits keys of many bytes over tasks and gathers those of
+    few, both to spark.sql.adaptive.advisoryPartitionSizeInBytes, so files have about that size."""
+    return df.hint("rebalance", *map(F.col, keys))
+
+
 def partition_by_city(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One folder for each city, in one pass; cities are split over tasks by day, so that a large one isn't one task."""
+    """One folder for each city, in one pass; a large city is several tasks and files."""
     out = df.withColumn("city_key", sanitize_city("city"))
-    write_parquet(out.repartition("city_key", F.to_date("date")), path, ["city_key"], mode)
+    write_parquet(balanced(out, ["city_key"]), path, ["city_key"], mode)
 
 
 def partition_by_quarter(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     out = df.withColumns({"year": F.year("date"), "quarter": quarter_label("date")})
-    write_parquet(out.repartition("year", "quarter", F.to_date("date")), path, ["year", "quarter"], mode)
+    write_parquet(balanced(out, ["year", "quarter"]), path, ["year", "quarter"], mode)
 
 
 def partition_by_city_week(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     out = df.withColumns({"city_key": sanitize_city("city"), "week_start": week_start("date")})
-    write_parquet(out.repartition("city_key", "week_start", F.to_date("date")), path, ["city_key", "week_start"], mode)
+    write_parquet(balanced(out, ["city_key", "week_start"]), path, ["city_key", "week_start"], mode)
 
 
 def consolidate_runs(df: DataFrame, run: str = "run_ts", by: Sequence[str] = ("case", "kind")) -> DataFrame:
