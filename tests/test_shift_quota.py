@@ -3,11 +3,13 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from test_operators import moves_of, week
 from wattloom.operators import shift as S
+from wattloom.operators.greedy import Days, settled
 
 
 def greedy(rows, policy):
@@ -107,3 +109,38 @@ def test_empty_and_useless_input(spark):
     assert S.shift_load(df.where("false"), S.PRESETS[1]).count() == 0
     assert S.shift_load(df.withColumn("value", F.lit(0.0)), S.PRESETS[1]).count() == 0
     assert S.shift_load(df.withColumn("mef", F.lit(None).cast("double")), S.PRESETS[1]).count() == 0
+
+
+def test_policies_in_one_pass(spark):
+    df = varied(spark).cache()
+    some = [S.Policy(n, **{f: getattr(POLICIES[n], f) for f in ("moves_per_day", "moves_per_week", "window", "peak_hours", "peak_fraction", "peak_per", "regional_fraction", "regional_load", "headroom")}) for n in ("one a day", "destinations", "peak hours")]
+    got = S.shift_scenarios(df, some).collect()
+    for p in some:
+        assert sorted((r.ca_id, r.day, r.t, r.s, round(r.q, 9)) for r in got if r.policy == p.name) == greedy(df.collect(), p)
+    with pytest.raises(ValueError):
+        S.shift_scenarios(df, [some[0], some[0]])
+
+
+def test_few_choices_where_destinations_have_limits():
+    """Chunks adapt to conflicts, and the moves are those of one household after the other."""
+    rng = np.random.default_rng(2)
+    n = 1500
+    value = rng.gamma(1.0, 1.0, (n, 48)) * rng.choice([0.2, 1, 3], (n, 1))
+    days = Days(value[np.argsort(-value.sum(axis=1))], np.tile(rng.uniform(100, 900, 48), (n, 1)), np.zeros((n, 48)))
+    for headroom in (0.0, 0.05):
+        load, work = days.value.sum(axis=0) * (1 + headroom), []
+        got, _, left = settled(days, np.full(n, 2), 4, 2, np.inf, load.copy(), [], None, work)
+        assert sum(work) < 3 * n
+        dest = load.copy()
+        for i in range(n):
+            one, _, dest = settled(days[i : i + 1], np.full(1, 2), 4, 2, np.inf, dest, [], None)
+            assert (one.t == got.t[i]).all() and (one.s == got.s[i]).all() and np.allclose(one.q, got.q[i])
+        assert np.allclose(dest, left)
+
+
+def test_arrays_of_days_with_gaps(spark):
+    rows = [(1, "a", t, float(t), 500.0 + t, 400.0) for t in range(48)] + [(2, "a", t, 1.0, 7.0, None) for t in (3, 40)]
+    df = spark.createDataFrame(rows, "ca_id int, city string, slot int, value double, mef double, aef double").selectExpr("*", "date'2024-01-01' AS day")
+    got = {r.ca_id: r for r in S.slot_arrays(df.repartition(5)).collect()}
+    assert got[1].value == [float(t) for t in range(48)] and got[1].mef[47] == 547.0 and len(got[1].aef) == 48
+    assert got[2].value == [1.0 if t in (3, 40) else 0.0 for t in range(48)] and got[2].mef == [7.0 if t in (3, 40) else None for t in range(48)] and got[2].aef == [None] * 48

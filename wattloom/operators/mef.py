@@ -362,13 +362,6 @@ def _cubic(w: Column, derivative: bool = False) -> tuple[Column, ...]:
     return (1 - w) * (1 - w) * (1 - w) / 6, (3 * w * w * w - 6 * w * w + 4) / 6, (-3 * w * w * w + 3 * w * w + 3 * w + 1) / 6, w * w * w / 6
 
 
-def spline_basis(x: Column, lo: float, hi: float, n: int) -> list[Column]:
-    """n cubic B-splines on n - 3 equal intervals of [lo, hi]."""
-    k, w, _ = _interval(x, lo, hi, n)
-    parts = _cubic(w)
-    return [F.when(k == i, parts[0]).when(k == i - 1, parts[1]).when(k == i - 2, parts[2]).when(k == i - 3, parts[3]).otherwise(0.0) for i in range(n)]
-
-
 def spline_knots(df: DataFrame, xs: Sequence[str], n: int) -> dict[str, tuple[float, float, int]]:
     row = df.agg(*(e for x in xs for e in (F.min(x), F.max(x)))).first()
     ends = [(float(row[2 * i]), float(row[2 * i + 1])) for i in range(len(xs))]
@@ -647,12 +640,13 @@ class _Candidate:
 @dataclass
 class _Scan:
     """Rows that several configurations read together: df with _split and _group, columns, sums of products (the last is
-    the target) by split and group, and the configurations fitted on them."""
+    the target) by split and group, the configurations fitted on them, and, where there is one group, their predictions."""
 
     df: DataFrame
     columns: dict[str, Column]
     sums: dict[tuple, np.ndarray]
     fitted: list[_Candidate]
+    predictions: list[Column] | None = None
 
 
 def _bin_scan(df: DataFrame, y: str, q: str, edges: dict, todo: list[tuple[str, dict]], fit_on: str, min_size: int) -> _Scan:
@@ -703,20 +697,26 @@ def _spline_scan(df: DataFrame, train: DataFrame, y: str, q: str, smooths: tuple
     knots = spline_knots(train, [q, *smooths], n)
     rows = df.withColumn("_group", F.lit(0))
     sums = spline_sums(rows, knots, linear, y, ["_split", "_group"])
-    cols = {"const": F.lit(1.0)} | {f"{x}[{j}]": c for x, (lo, hi, _) in knots.items() for j, c in enumerate(spline_basis(F.col(x), lo, hi, n))} | {c: F.col(c).cast("double") for c in linear}
+    # columns that must not be null; the weights are of 1, the splines and the linear columns
+    cols = {c: F.col(c) for c in (q, *smooths, *linear)}
+    names = ["", *(f"{x}[{j}]" for x in knots for j in range(n)), *linear]
     fitted = []
     for key, config in todo:
-        keep = [i for i, c in enumerate(cols) if c not in linear or c in config.get("controls", ())]
-        w = np.zeros(len(cols))
+        keep = [i for i, c in enumerate(names) if c not in linear or c in config.get("controls", ())]
+        w = np.zeros(len(names))
         if (fit_on, 0) in sums:
             w[keep] = spline_solved(sums[fit_on, 0], knots, [config.get("penalty", 10.0)], keep)[0]
         fitted.append(_Candidate(key, config, {0: w}))
-    return _Scan(rows, cols, sums, fitted)
+    return _Scan(rows, cols, sums, fitted, [SplineModel(q, knots, tuple(map(float, c.weights[0])), tuple(linear)).predict() for c in fitted])
 
 
 def _absolute_errors(scan: _Scan, y: str) -> dict[tuple, list[float]]:
     """{(split, group): summed absolute errors of each configuration}, in one reading of the rows."""
     names = list(scan.columns)
+    if scan.predictions is not None:
+        errors = [F.abs(F.col(y).cast("double") - p).alias(f"_e{k}") for k, p in enumerate(scan.predictions)]
+        whole = scan.df.dropna(subset=[y, *scan.columns]).select("_split", "_group", *errors)
+        return {(r[0], r[1]): r[2:] for r in whole.groupBy("_split", "_group").agg(*(F.sum(f"_e{k}") for k in range(len(errors)))).collect()}
     base = scan.df.select("_split", "_group", F.col(y).cast("double").alias("_y"), *(c.cast("double").alias(f"_c{i}") for i, c in enumerate(scan.columns.values()))).dropna()
     groups = sorted({g for c in scan.fitted for g in c.weights})
     # a row for each group of bins, as few as the configurations have
