@@ -233,6 +233,9 @@ def lines_by_force(texts, words=1, threshold=0.8, least=1):
 @pytest.mark.parametrize(("few", "words"), [(16, 1), (1, 1), (16, 5)])
 def test_line_dedup(spark, monkeypatch, few, words):
     monkeypatch.setattr(line_dedup, "FEW", few)
+    if few == 1:  # crowds in many blocks, more bits for all but short lines
+        monkeypatch.setattr(line_dedup, "BLOCK", 3)
+        monkeypatch.setattr(line_dedup, "LONG", 8)
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(300)]
     pool = [" ".join(rng.choices(vocab, k=rng.choice([1, 3, 5, 6, 12, 30, 80]))) for _ in range(30)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import fresh_key, grouped_frames, integer_ids, intersections, mixed, sliced, stash, temporary, unused
+from wattloom.llm.common import fresh_key, grouped_frames, integer_ids, mixed, sliced, stash, temporary, unused
 
 _ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _BYTE = mixed(np.arange(1000, 1256, dtype=np.uint64))
@@ -30,7 +30,11 @@ _HELD = 1_000_000
 _BYTES = 2_000_000
 _GONE, _CLASS, _TOKEN = 0, 1, 2
 #: Lines of one side of a block.
-BLOCK = 64
+BLOCK = 1024
+#: Documents whose line numbers may go to all tasks (with 16 lines each on average, about 10 MB).
+SENT_DOCS = 100_000
+#: Tokens from which a line has more bits in crowds, and how many times 64.
+LONG, MORE = 65, 4
 #: Lines that may share a token and be compared one by one.
 FEW = 16
 
@@ -197,12 +201,14 @@ def _ordered(t: np.ndarray, rank: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Classes:
-    """Lines with equal token sets: digest of the set, first line, size of the set, and its rarest tokens (a prefix)."""
+    """Lines with equal token sets: digest of the set, first line, bits of the set, its size, and its rarest tokens (a
+    prefix). A token turns one of 64 bits over, so sets differ in at least as many tokens as their bits do."""
 
     h0: np.ndarray
     h1: np.ndarray
     doc: np.ndarray
     line: np.ndarray
+    bits: np.ndarray
     n: np.ndarray
     p: np.ndarray
     token: np.ndarray
@@ -214,7 +220,7 @@ class Classes:
     def taken(self, at: np.ndarray) -> Classes:
         start, p = (np.cumsum(self.p) - self.p)[at], self.p[at]
         token = self.token[np.repeat(start - (np.cumsum(p) - p), p) + np.arange(p.sum())]
-        return Classes(self.h0[at], self.h1[at], self.doc[at], self.line[at], self.n[at], p, token)
+        return Classes(self.h0[at], self.h1[at], self.doc[at], self.line[at], self.bits[at], self.n[at], p, token)
 
     def split(self) -> tuple[Classes, np.ndarray, np.ndarray]:
         """(the first line of each class, doc and line of the others)."""
@@ -265,7 +271,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, thresho
         rows = [_row(_GONE, int(i), [doc[x]], [line[x]]) for i, x in _by_part(_bucket(mixed(doc.astype(np.uint64)), parts), parts)]
         for i, at in _by_part(_bucket(own.h0, parts), parts):
             c = own.taken(at)
-            rows.append(_row(_CLASS, i, [c.h0, c.h1, c.doc], [c.line, c.n, c.p], c.token))
+            rows.append(_row(_CLASS, i, [c.h0, c.h1, c.doc, c.bits], [c.line, c.n, c.p], c.token))
         return _batch(rows)
 
     for b in batches:
@@ -284,8 +290,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, thresho
             size = n[some]
             p = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[i : i + k]) for i, k in zip(start, size, strict=True)), np.int64).reshape(-1, 2)
+            bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(t) >> np.uint64(58)), start).view(np.int64) if len(start) else np.empty(0, np.int64)
             take = np.repeat(start - (np.cumsum(p) - p), p) + np.arange(p.sum())
-            held.append(Classes(digests[:, 0], digests[:, 1], ids[rows[s.text[some]]].astype(np.int64), s.no[some], size, p, t[take]))
+            held.append(Classes(digests[:, 0], digests[:, 1], ids[rows[s.text[some]]].astype(np.int64), s.no[some], bits, size, p, t[take]))
             if sum(len(c.token) for c in held) > _HELD:
                 yield dealt()
                 held.clear()
@@ -308,8 +315,8 @@ def _classes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
         if kind == _GONE:
             yield _batch([_row(_GONE, part, [a], [b])])
             continue
-        h, m = a.reshape(3, -1), b.reshape(3, -1)
-        held.append(Classes(*h, *m, token))
+        h, m = a.reshape(4, -1), b.reshape(3, -1)
+        held.append(Classes(*h[:3], m[0], h[3], *m[1:], token))
         new += h.shape[1]
         if new > _HELD:
             yield firsts()
@@ -325,17 +332,17 @@ def _classes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
             c = own.taken(at)
             of = np.repeat(np.arange(len(at)), c.p)
             place = np.arange(len(of)) - np.repeat(np.cumsum(c.p) - c.p, c.p)
-            yield _batch([_row(_TOKEN, i, [c.token[x].view(np.int64), c.doc[of[x]]], [c.line[of[x]], c.n[of[x]], place[x]]) for i, x in _by_part(_bucket(c.token, parts), parts)])
+            yield _batch([_row(_TOKEN, i, [c.token[x].view(np.int64), c.doc[of[x]], c.bits[of[x]]], [c.line[of[x]], c.n[of[x]], place[x]]) for i, x in _by_part(_bucket(c.token, parts), parts)])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of prefix tokens dealt by token, those that several classes have; and the lines that are gone. Held are one row
     of each token and a bounded number of new ones, however many rows a token has."""
-    held: list[np.ndarray] = []  # rows token, doc, line, n, at, whether it is out already
+    held: list[np.ndarray] = []  # rows token, doc, line, n, at, whether it is out already, bits
     new = 0
 
     def rows(x: np.ndarray, kind: int) -> pa.RecordBatch:
-        return pa.record_batch({"kind": np.full(x.shape[1], kind, np.int32), "token": x[0], "doc": x[1], **{k: x[i].astype(np.int32) for i, k in ((2, "line"), (3, "n"), (4, "at"))}})
+        return pa.record_batch({"kind": np.full(x.shape[1], kind, np.int32), "token": x[0], "doc": x[1], **{k: x[i].astype(np.int32) for i, k in ((2, "line"), (3, "n"), (4, "at"))}, "bits": x[6]})
 
     def met() -> pa.RecordBatch:
         x = np.concatenate(held, axis=1)
@@ -353,10 +360,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, kind, a, b, _ in _unpacked(batches):
         if kind == _GONE:
             z = np.zeros(len(a), np.int64)
-            yield rows(np.stack([z, a, b.astype(np.int64), z, z]), _GONE)
+            yield rows(np.stack([z, a, b.astype(np.int64), z, z, z, z]), _GONE)
             continue
-        h, m = a.reshape(2, -1), b.reshape(3, -1).astype(np.int64)
-        held.append(np.concatenate([h, m, np.zeros((1, h.shape[1]), np.int64)]))
+        h, m = a.reshape(3, -1), b.reshape(3, -1).astype(np.int64)
+        held.append(np.concatenate([h[:2], m, np.zeros((1, h.shape[1]), np.int64), h[2:]]))
         new += h.shape[1]
         if new > _HELD:
             yield met()
@@ -391,10 +398,12 @@ def _picked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _allowed(a: str, b: str, threshold: float) -> Column:
-    """Length and positional filters for a token at places at_a, at_b of the ordered sets of n_a, n_b tokens."""
+    """Length and positional filters for a token at places at_a, at_b of the ordered sets of n_a, n_b tokens, and a filter
+    of bits: similar sets differ in few tokens, so in few bits."""
     na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
     need = F.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
-    return (F.least(na, nb) >= threshold * F.greatest(na, nb) - 1e-9) & (F.least(na - F.col(f"at_{a}"), nb - F.col(f"at_{b}")) >= need)
+    near = F.bit_count(F.col(f"bits_{a}").bitwiseXOR(F.col(f"bits_{b}"))) <= na + nb - 2 * need
+    return (F.least(na, nb) >= threshold * F.greatest(na, nb) - 1e-9) & (F.least(na - F.col(f"at_{a}"), nb - F.col(f"at_{b}")) >= need) & near
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -410,48 +419,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
     return both.select("doc_a", "line_a", "t_a", "t_b").mapInPandas(matched, "doc long, line int").distinct()
 
 
-def _matched_in_crowds(crowd: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(doc, line) of the lines of a crowd (those that share tokens with its hub) that aren't done and match an earlier
-    line of it. Lines that aren't done meet all others in blocks of 64 by 64, of which only matched lines leave a task."""
+def _more_bits(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+    """64 x MORE bits of each line, of which each token turns one over."""
+    for f in sliced(frames, "t"):
+        t, row = tokens(scanned(list(f["t"])), words)
+        order = np.lexsort((t, row))
+        t, row = t[order], row[order]
+        new = np.append(True, (t[1:] != t[:-1]) | (row[1:] != row[:-1]))[: len(t)]
+        place = mixed(t[new]) >> np.uint64(32)
+        bits = np.zeros((len(f), MORE), np.uint64)
+        np.bitwise_xor.at(bits, (row[new], (place >> np.uint64(6)) % np.uint64(MORE)), np.uint64(1) << (place & np.uint64(63)))
+        yield pd.DataFrame({"doc_a": f["doc"], "line_a": f["line"], "more": pd.Series([x.tobytes() for x in bits], index=f.index, dtype=object)})
+
+
+def _pairs_in_crowds(crowd: DataFrame, threshold: float, every: bool) -> DataFrame:
+    """doc_a, line_a, doc_b, line_b: lines of a crowd (those that share tokens with its hub) with earlier lines of it that
+    they may match by sizes and bits; every: all of these, else the one in each block whose bits are nearest.
+
+    Lines that aren't done meet all others in blocks of BLOCK by BLOCK. Only numbers are dealt, no texts; long lines, in
+    which 64 bits are too few to tell sets apart, have more bits.
+    """
     hub = ["doc_b", "line_b"]
     open_ = crowd.groupBy(*hub).agg(F.count("*").alias("m"), F.count_if(F.col("done").isNull()).alias("o")).where("o > 0 and m > 1")
     open_ = open_.select(*hub, F.ceil(F.col("o") / BLOCK).cast("int").alias("bi"), F.ceil(F.col("m") / BLOCK).cast("int").alias("bj"), fresh_key(*hub).alias("k"))
-    sides = crowd.withColumn("k", fresh_key(*hub)).join(open_, ["k", *hub]).drop("k").withColumnsRenamed({"doc_a": "doc", "line_a": "line"})
-    sides = sides.withColumn("k", fresh_key("doc", "line")).join(texts.withColumn("k", fresh_key("doc", "line")), ["k", "doc", "line"])
+    sides = crowd.withColumn("k", fresh_key(*hub)).join(open_, ["k", *hub]).drop("k").withColumnsRenamed({f"{c}_a": c for c in ("doc", "line", "n", "bits")})
     at = lambda n: F.pmod(F.xxhash64(F.lit(29), "doc", "line"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = sides.where("done is null").select(*hub, "doc", "line", "t", F.lit(True).alias("first"), at("bi").alias("i"), upto("bj").alias("j"))
-    other = sides.select(*hub, "doc", "line", "t", F.lit(False).alias("first"), upto("bi").alias("i"), at("bj").alias("j"))
+    row = [*hub, "doc", "line", "n", "bits", "more"]
+    one = sides.where("done is null").select(*row, F.lit(True).alias("first"), at("bi").alias("i"), upto("bj").alias("j"))
+    other = sides.select(*row, F.lit(False).alias("first"), upto("bi").alias("i"), at("bj").alias("j"))
     tasks = one.unionByName(other).repartition(*hub, "i", "j").sortWithinPartitions(*hub, "i", "j")
 
-    def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f, cuts in grouped_frames(sliced(frames, "t"), [*hub, "i", "j"]):
-            t, row = tokens(scanned(list(f["t"])), words)
-            order = np.lexsort((t, row))
-            t, row = t[order], row[order]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (row[1:] != row[:-1])
-            t, row = t[new], row[new]
-            begin = np.searchsorted(row, np.arange(len(f) + 1))
-            size = np.diff(begin)
-            doc, line, first = f["doc"].to_numpy(), f["line"].to_numpy(), f["first"].to_numpy()
-            hit: list[np.ndarray] = []
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, cuts in grouped_frames(frames, [*hub, "i", "j"]):
+            doc, line, n, bits, first = (f[c].to_numpy() for c in ("doc", "line", "n", "bits", "first"))
+            long = f["more"].notna().to_numpy()
+            more = np.zeros((len(f), MORE), np.uint64)
+            more[long] = np.frombuffer(b"".join(f["more"][long]), np.uint64).reshape(-1, MORE)
+            bits, found = bits.view(np.uint64), []
+            allowed = lambda both: both - 2 * np.ceil(threshold / (1 + threshold) * both - 1e-9)
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 a, b = lo + np.flatnonzero(first[lo:hi]), lo + np.flatnonzero(~first[lo:hi])
-                earlier = (doc[b] < doc[a][:, None]) | (doc[b] == doc[a][:, None]) & (line[b] < line[a][:, None])
-                x, y = np.nonzero(earlier & (np.minimum.outer(size[a], size[b]) >= threshold * np.maximum.outer(size[a], size[b]) - 1e-9))
-                if not len(x):
-                    continue
-                own = lambda i: t[begin[i] : begin[i + 1]]  # noqa: B023, E731
-                if len(x) <= 16:
-                    both = np.array([len(np.intersect1d(own(a[i]), own(b[j]), assume_unique=True)) for i, j in zip(x, y, strict=True)])
-                else:
-                    both = intersections([own(i) for i in [*a, *b]], len(a))[x, y]
-                hit.append(a[x[both >= threshold * (size[a[x]] + size[b[y]] - both) - 1e-9]])
-            found = np.unique(np.concatenate(hit)) if hit else np.empty(0, np.int64)
-            yield pd.DataFrame({"doc": doc[found], "line": line[found]})
-
-    return tasks.mapInPandas(matched, "doc long, line int").distinct()
+                for low in range(0, len(a) if len(b) else 0, 256):
+                    x = a[low : low + 256]
+                    earlier = (doc[b] < doc[x][:, None]) | (doc[b] == doc[x][:, None]) & (line[b] < line[x][:, None])
+                    alike = np.minimum.outer(n[x], n[b]) >= threshold * np.maximum.outer(n[x], n[b]) - 1e-9
+                    i, j = np.nonzero(earlier & alike & (np.bitwise_count(bits[x][:, None] ^ bits[b]) <= allowed(np.add.outer(n[x], n[b]))))
+                    i, j = x[i], b[j]
+                    differ = np.where(long[i] & long[j], np.bitwise_count(more[i] ^ more[j]).sum(axis=1), np.bitwise_count(bits[i] ^ bits[j]))
+                    ok = differ <= allowed(n[i] + n[j])
+                    i, j, differ = i[ok], j[ok], differ[ok]
+                    if not every:
+                        order = np.lexsort((differ, i))
+                        i, j = i[order], j[order]
+                        new = np.append(True, i[1:] != i[:-1])[: len(i)]
+                        i, j = i[new], j[new]
+                    found.append((i, j))
+            i, j = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+            yield pd.DataFrame({"doc_a": doc[i], "line_a": line[i], "doc_b": doc[j], "line_b": line[j]})
+
+    return tasks.mapInPandas(near, "doc_a long, line_a int, doc_b long, line_b int").distinct()
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 1, threshold: float = 0.8, least: int = 1) -> DataFrame:
@@ -461,7 +488,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     its first line. Classes that share a token of their prefixes (their rarest tokens) are candidates. First each is
     compared with the earliest class (the hub) of each of its tokens. Those without a match are then compared with all
     earlier classes that have the token, up to FEW of them one by one, and more of them (all that have that hub) in
-    blocks, so that no candidate is missed.
+    blocks, so that no candidate is missed. Only pairs that sizes, places and bits of the sets allow read their texts.
     """
     integer_ids(df, id_col)
     with temporary() as keep:
@@ -474,30 +501,53 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kind = "part int, kind int, longs binary, ints binary, more binary"
         dealt = docs.mapInArrow(lambda b: _prefixes(b, words, least, threshold, known.value, parts), kind).repartitionById(parts, "part")
         dealt = dealt.mapInArrow(lambda b: _classes(b, parts), kind).repartitionById(parts, "part")
-        found = keep(stash(dealt.mapInArrow(_shared, "kind int, token long, doc long, line int, n int, at int"), "members"))
+        found = keep(stash(dealt.mapInArrow(_shared, "kind int, token long, doc long, line int, n int, at int, bits long"), "members"))
         members, again = found.where(F.col("kind") == _TOKEN).drop("kind"), found.where(F.col("kind") == _GONE).select("doc", "line")
 
-        wanted = members.select("doc", "line").distinct().groupBy("doc").agg(F.collect_list("line").alias("want"))
-        texts = docs.join(wanted, docs["id"] == wanted["doc"]).select("id", "text", "want").mapInPandas(_picked, "doc long, line int, t string")
-        texts = stash(texts.dropDuplicates(["doc", "line"]), "texts")
-
-        a = members.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), "token", fresh_key("token").alias("k"))
-        hubs = members.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "at")).alias("b"), F.count("*").alias("many"))
-        hubs = hubs.select("token", "many", F.col("b.doc").alias("doc_b"), F.col("b.line").alias("line_b"), F.col("b.n").alias("n_b"), F.col("b.at").alias("at_b"), fresh_key("token").alias("k"))
+        side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("doc", "line", "n", "at", "bits")]
+        a, b = (members.select(*side(x), "token", fresh_key("token").alias("k")) for x in "ab")
+        hubs = members.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "at", "bits")).alias("b"), F.count("*").alias("many"))
+        hubs = hubs.select("token", "many", *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("doc", "line", "n", "at", "bits")), fresh_key("token").alias("k"))
         met = a.join(hubs, ["k", "token"]).where("doc_a <> doc_b or line_a <> line_b")
-        crowd = met.groupBy("doc_a", "line_a", "doc_b", "line_b").agg(F.max(_allowed("a", "b", threshold)).alias("ok"), F.max(F.col("many") > FEW).alias("large"))
-        crowd = stash(crowd, "crowd")
-        matched = keep(stash(_verified(crowd.where("ok").drop("ok", "large"), texts, words, threshold), "matched"))
-
-        done = matched.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.lit(True).alias("done"), fresh_key("doc", "line").alias("j"))
-        some = met.where(F.col("many") <= FEW).select("k", "token", "doc_a", "line_a", "n_a", "at_a", fresh_key("doc_a", "line_a").alias("j")).join(done, ["j", "doc_a", "line_a"], "left_anti").drop("j")
-        b = members.select(F.col("doc").alias("doc_b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "token", fresh_key("token").alias("k"))
+        crowd = met.groupBy("doc_a", "line_a", "n_a", "bits_a", "doc_b", "line_b").agg(F.max(_allowed("a", "b", threshold)).alias("ok"), F.max(F.col("many") > FEW).alias("large"))
+        crowd = stash(crowd.where("ok or large"), "crowd")
         later = (F.col("doc_b") < F.col("doc_a")) | (F.col("doc_b") == F.col("doc_a")) & (F.col("line_b") < F.col("line_a"))
-        few = some.join(b, ["k", "token"]).where(later & _allowed("a", "b", threshold)).select("doc_a", "line_a", "doc_b", "line_b").distinct()
-        more = keep(stash(_verified(few, texts, words, threshold), "matched"))
-
-        large = crowd.where("large").drop("ok", "large").withColumn("j", fresh_key("doc_a", "line_a")).join(done, ["j", "doc_a", "line_a"], "left").drop("j")
-        matched = matched.union(more).union(keep(stash(_matched_in_crowds(large, texts, words, threshold), "matched")))
+        some = met.where(F.col("many") <= FEW).select("k", "token", *(f"{c}_a" for c in ("doc", "line", "n", "at", "bits")))
+        pair = ["doc_a", "line_a", "doc_b", "line_b"]
+        few = stash(some.join(b, ["k", "token"]).where(later & _allowed("a", "b", threshold)).select(*pair).distinct(), "few")
+
+        def picked(ends: list[DataFrame]) -> DataFrame:
+            """The texts of lines; of few documents their lines go to all tasks, so that the other texts stay where they are."""
+            wanted = stash(reduce(DataFrame.union, ends).distinct().groupBy("doc").agg(F.collect_list("line").alias("want")), "wanted")
+            sent = wanted.count() <= SENT_DOCS and (wanted.agg(F.sum(F.size("want"))).first()[0] or 0) <= 16 * SENT_DOCS
+            wanted = F.broadcast(wanted) if sent else wanted
+            texts = docs.join(wanted, docs["id"] == wanted["doc"]).select("id", "text", "want").mapInPandas(_picked, "doc long, line int, t string")
+            return texts.dropDuplicates(["doc", "line"])
+
+        ends = lambda p: [p.select(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line")) for x in "ab"]
+
+        def without(rows: DataFrame, found: DataFrame) -> DataFrame:
+            done = found.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), fresh_key("doc", "line").alias("j"))
+            return rows.withColumn("j", fresh_key("doc_a", "line_a")).join(done, ["j", "doc_a", "line_a"], "left_anti").drop("j")
+
+        def of_crowds(found: DataFrame, every: bool) -> DataFrame:
+            done = found.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.lit(True).alias("done"), fresh_key("doc", "line").alias("j"))
+            rows = crowd.where("large").drop("ok", "large").withColumn("j", fresh_key("doc_a", "line_a")).join(done, ["j", "doc_a", "line_a"], "left").drop("j")
+            rows = rows.withColumn("j", fresh_key("doc_a", "line_a")).join(more.withColumn("j", fresh_key("doc_a", "line_a")), ["j", "doc_a", "line_a"], "left").drop("j")
+            return stash(_pairs_in_crowds(rows, threshold, every), "pairs")
+
+        hub = crowd.where("ok").select(*pair)
+        texts = stash(picked(ends(hub) + ends(few)), "texts")
+        first = keep(stash(_verified(hub, texts, words, threshold), "matched"))
+        matched = first.union(keep(stash(_verified(without(few, first), texts, words, threshold), "matched")))
+        long = crowd.where(F.col("large") & (F.col("n_a") >= LONG)).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line"))
+        more = stash(picked([long]).mapInPandas(lambda f: _more_bits(f, words), "doc_a long, line_a int, more binary"), "bits")
+        # in crowds: the nearest of each block, then, for lines still without a match, all
+        for every in (False, True):
+            pairs = of_crowds(matched, every)
+            if pairs.isEmpty():
+                break
+            matched = matched.union(keep(stash(_verified(pairs, stash(picked(ends(pairs)), "texts"), words, threshold), "matched")))
 
         return again.union(matched).distinct()
 
