@@ -6,7 +6,10 @@ rows; the sums of the ranges before, a row for each group and range, are added a
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.sources.io import kept
+from wattloom.sources.io import kept, scratch
 
 
 def _ordered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: str) -> DataFrame:
@@ -86,12 +89,19 @@ def level_quantiles(levels: DataFrame, keys: Sequence[str], probs: Sequence[floa
     return values.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "q"))), lambda x: x["q"]).alias("q"))
 
 
+def _levels(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """by, column, v, n: how often each value of cols that isn't null occurs in each group."""
+    if len(cols) == 1:
+        long = df.select(*by, F.lit(cols[0]).alias("column"), F.col(cols[0]).cast("double").alias("v"))
+    else:
+        long = df.select(*by, F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols))))
+    return long.where("v is not null").groupBy(*by, "column", "v").agg(F.count("*").alias("n"))
+
+
 def grouped_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), midpoint: bool = False) -> DataFrame:
     """by, column, q: the quantiles of each of cols in each group, from one ordering of the distinct values; columns
     without values have no row."""
-    long = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols)))
-    levels = df.select(*by, long).where("v is not null").groupBy(*by, "column", "v").agg(F.count("*").alias("n"))
-    return level_quantiles(levels, [*by, "column"], probs, midpoint)
+    return level_quantiles(_levels(df, cols, by), [*by, "column"], probs, midpoint)
 
 
 def with_quantiles(stats: DataFrame, df: DataFrame, by: Sequence[str], names: dict[str, tuple[str, float]]) -> DataFrame:
@@ -106,11 +116,40 @@ def with_quantiles(stats: DataFrame, df: DataFrame, by: Sequence[str], names: di
 def exact_quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float], midpoint: bool = False) -> list | dict[str, list]:
     """Linear quantiles of the values that aren't null: a list for one column, for several {column: list} from one pass.
 
-    midpoint: the middle of the two values around a place instead. Nulls without values.
+    midpoint: the middle of the two values around a place instead. Nulls without values. The driver gets the sums of the
+    ranges and then the values at the places asked for.
     """
     names = [cols] if isinstance(cols, str) else list(cols)
-    got = {r.column: list(r.q) for r in grouped_quantiles(df, names, probs, (), midpoint).collect()}
-    out = {c: got.get(c, [None] * len(probs)) for c in names}
+    with scratch():
+        ordered = _ordered(_levels(df, names), ["column"], ["v"], "n")
+        ranges: dict[str, list] = {c: [] for c in names}
+        for r in sorted(ordered.groupBy("column", "_part").agg(F.min("_run").alias("start"), F.sum("n").alias("n")).collect(), key=lambda r: r["_part"]):
+            ranges[r.column].append((r["_part"], r.start, r.n))
+        ends, want = {}, {}
+        for c, parts in ranges.items():
+            total = sum(n for _, _, n in parts)
+            for p in probs if total else ():
+                at = p * (total - 1)
+                ends[c, p] = math.floor(at + 1e-9), math.ceil(at - 1e-9), at
+            for place in {x for (own, _), e in ends.items() if own == c for x in e[:2]}:
+                before = 0
+                for part, start, n in parts:
+                    if place < before + n:
+                        want[c, place] = part, start + place - before
+                        break
+                    before += n
+        value = {}
+        if want:
+            hit = reduce(operator.or_, ((F.col("column") == c) & (F.col("_part") == part) & (F.col("_run") <= run) & (F.col("_run") + F.col("n") > run) for (c, _), (part, run) in want.items()))
+            found = ordered.where(hit).select("column", "_part", "_run", "n", "v").collect()
+            value = {k: float(r.v) for k, (part, run) in want.items() for r in found if (r.column, r["_part"]) == (k[0], part) and r["_run"] <= run < r["_run"] + r.n}
+    out = {}
+    for c in names:
+        out[c] = []
+        for p in probs:
+            lo, hi, at = ends.get((c, p), (0, 0, 0.0))
+            a, b = value.get((c, lo)), value.get((c, hi))
+            out[c].append(None if a is None else a + (b - a) * (0.5 if midpoint and lo < hi else at - lo))
     return out[cols] if isinstance(cols, str) else out
 
 
@@ -118,9 +157,7 @@ def average_ranks(df: DataFrame, cols: dict[str, str], by: Sequence[str] = ()) -
     """df with ranks {column: name} from 1 in each group or in the whole table; equal values share the middle of their
     places, null has none. df is written first, as equal sums of another reading may differ in their last digit."""
     df = kept(df)
-    long = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols)))
-    levels = df.select(*by, long).where("v is not null").groupBy(*by, "column", "v").agg(F.count("*").alias("n"))
-    ranks = placed(levels, [*by, "column"], ["v"], "n").select(*by, "column", "v", (F.col("below") + (F.col("n") + 1) / 2).alias("_rank"))
+    ranks = placed(_levels(df, list(cols), by), [*by, "column"], ["v"], "n").select(*by, "column", "v", (F.col("below") + (F.col("n") + 1) / 2).alias("_rank"))
     for c, name in cols.items():
         own = ranks.where(F.col("column") == c).select(*(F.col(k).alias(f"_by_{k}") for k in by), F.col("v").alias("_v"), F.col("_rank").alias(name))
         on = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by] + [F.col(c).cast("double") == F.col("_v")]
