@@ -485,10 +485,9 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc, line (from 0) of every line that matches an earlier line, in the order of (id, line).
 
     Lines match when the Jaccard similarity of their token sets is at least threshold. Equal sets are one class, with
-    its first line. Classes that share a token of their prefixes (their rarest tokens) are candidates. First each is
-    compared with the earliest class (the hub) of each of its tokens. Those without a match are then compared with all
-    earlier classes that have the token, up to FEW of them one by one, and more of them (all that have that hub) in
-    blocks, so that no candidate is missed. Only pairs that sizes, places and bits of the sets allow read their texts.
+    its first line. Classes that share a token of their prefixes (their rarest tokens) are candidates: of a token that up
+    to FEW have, one by one; of others first with the earliest class that has it (the hub), then, for those without a
+    match, with all earlier ones of that hub in blocks, so that no candidate is missed. Only pairs that sizes, places and bits of the sets allow read their texts.
     """
     integer_ids(df, id_col)
     with temporary() as keep:
@@ -505,16 +504,16 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         members, again = found.where(F.col("kind") == _TOKEN).drop("kind"), found.where(F.col("kind") == _GONE).select("doc", "line")
 
         side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("doc", "line", "n", "at", "bits")]
-        a, b = (members.select(*side(x), "token", fresh_key("token").alias("k")) for x in "ab")
-        hubs = members.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "at", "bits")).alias("b"), F.count("*").alias("many"))
-        hubs = hubs.select("token", "many", *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("doc", "line", "n", "at", "bits")), fresh_key("token").alias("k"))
-        met = a.join(hubs, ["k", "token"]).where("doc_a <> doc_b or line_a <> line_b")
-        crowd = met.groupBy("doc_a", "line_a", "n_a", "bits_a", "doc_b", "line_b").agg(F.max(_allowed("a", "b", threshold)).alias("ok"), F.max(F.col("many") > FEW).alias("large"))
-        crowd = stash(crowd.where("ok or large"), "crowd")
-        later = (F.col("doc_b") < F.col("doc_a")) | (F.col("doc_b") == F.col("doc_a")) & (F.col("line_b") < F.col("line_a"))
-        some = met.where(F.col("many") <= FEW).select("k", "token", *(f"{c}_a" for c in ("doc", "line", "n", "at", "bits")))
         pair = ["doc_a", "line_a", "doc_b", "line_b"]
-        few = stash(some.join(b, ["k", "token"]).where(later & _allowed("a", "b", threshold)).select(*pair).distinct(), "few")
+        hubs = members.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "at", "bits")).alias("b"), F.count("*").alias("many")).where(F.col("many") > FEW)
+        hubs = stash(hubs.select("token", *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("doc", "line", "n", "at", "bits"))), "hubs")
+        sent = F.broadcast if hubs.count() <= SENT_DOCS else (lambda t: t)
+        met = members.select(*side("a"), "token", fresh_key("token").alias("k")).join(sent(hubs.withColumn("k", fresh_key("token"))), ["k", "token"]).where("doc_a <> doc_b or line_a <> line_b")
+        crowd = stash(met.groupBy("doc_a", "line_a", "n_a", "bits_a", "doc_b", "line_b").agg(F.max(_allowed("a", "b", threshold)).alias("ok")), "crowd")
+        later = (F.col("doc_b") < F.col("doc_a")) | (F.col("doc_b") == F.col("doc_a")) & (F.col("line_b") < F.col("line_a"))
+        rare = members.withColumn("k", fresh_key("token")).join(sent(hubs.select("token", fresh_key("token").alias("k"))), ["k", "token"], "left_anti")
+        a, b = (rare.select("k", "token", *side(x)) for x in "ab")
+        few = stash(a.join(b, ["k", "token"]).where(later & _allowed("a", "b", threshold)).select(*pair).distinct(), "few")
 
         def picked(ends: list[DataFrame]) -> DataFrame:
             """The texts of lines; of few documents their lines go to all tasks, so that the other texts stay where they are."""
@@ -532,7 +531,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         def of_crowds(found: DataFrame, every: bool) -> DataFrame:
             done = found.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.lit(True).alias("done"), fresh_key("doc", "line").alias("j"))
-            rows = crowd.where("large").drop("ok", "large").withColumn("j", fresh_key("doc_a", "line_a")).join(done, ["j", "doc_a", "line_a"], "left").drop("j")
+            rows = crowd.drop("ok").withColumn("j", fresh_key("doc_a", "line_a")).join(done, ["j", "doc_a", "line_a"], "left").drop("j")
             rows = rows.withColumn("j", fresh_key("doc_a", "line_a")).join(more.withColumn("j", fresh_key("doc_a", "line_a")), ["j", "doc_a", "line_a"], "left").drop("j")
             return stash(_pairs_in_crowds(rows, threshold, every), "pairs")
 
@@ -540,7 +539,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts = stash(picked(ends(hub) + ends(few)), "texts")
         first = keep(stash(_verified(hub, texts, words, threshold), "matched"))
         matched = first.union(keep(stash(_verified(without(few, first), texts, words, threshold), "matched")))
-        long = crowd.where(F.col("large") & (F.col("n_a") >= LONG)).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line"))
+        long = crowd.where(F.col("n_a") >= LONG).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line"))
         more = stash(picked([long]).mapInPandas(lambda f: _more_bits(f, words), "doc_a long, line_a int, more binary"), "bits")
         # in crowds: the nearest of each block, then, for lines still without a match, all
         for every in (False, True):
