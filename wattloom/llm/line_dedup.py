@@ -501,6 +501,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         dealt = docs.mapInArrow(lambda b: _prefixes(b, words, least, threshold, known.value, parts), kind).repartitionById(parts, "part")
         dealt = dealt.mapInArrow(lambda b: _classes(b, parts), kind).repartitionById(parts, "part")
         found = keep(stash(dealt.mapInArrow(_shared, "kind int, token long, doc long, line int, n int, at int, bits long"), "members"))
+        known.unpersist()
         members, again = found.where(F.col("kind") == _TOKEN).drop("kind"), found.where(F.col("kind") == _GONE).select("doc", "line")
 
         side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("doc", "line", "n", "at", "bits")]
