@@ -109,10 +109,47 @@ def test_nearest_by_cells_is_exact(spark, monkeypatch):
     refs = spark.createDataFrame([(i, rng.uniform(60, 100), rng.uniform(-5, 60)) for i in range(40)], "r int, lon double, lat double")
     want = {r.p: (r.r, round(r.distance, 6)) for r in J.nearest_location(pts, refs, "p", "r").collect()}
     monkeypatch.setattr(J, "FEW_REFERENCES", 5)
-    got = {r.p: (r.r, round(r.distance, 6)) for r in J.nearest_location(pts, refs, "p", "r", cell=2.0, rounds=4).collect()}
+    got = {r.p: (r.r, round(r.distance, 6)) for r in J.nearest_location(pts, refs, "p", "r").collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("metric", ["haversine", "planar"])
+def test_nearest_over_densities(spark, monkeypatch, metric):
+    """Clusters of very different density, single far points, both sides of the date line, poles, ties and shared places."""
+    rng = random.Random(3)
+    around = lambda lon, lat, r, n: [(lon + rng.uniform(-r, r), lat + rng.uniform(-r, r)) for _ in range(n)]
+    places = around(77, 28, 1e-4, 300) + around(77, 28, 1, 100) + around(-60, -20, 15, 60) + around(10, 60, 1e-9, 20)
+    places += [(179.999, 1.0), (-179.999, 1.0), (0.0, 89.9), (180.0, 89.9), (5.0, 5.0), (5.0, 5.0), (0.0, 0.0)]
+    refs = [(i, *x) for i, x in enumerate(places)]
+    pts = [(i, *x) for i, x in enumerate(around(77, 28, 1e-3, 100) + around(-60, -20, 40, 60) + [(-179.998, 1.0), (179.9, 1.1), (90.0, 89.95), (5.0, 5.0), (1.0, 0.0), (120.0, -80.0)])]
+    p, r = spark.createDataFrame(pts, "p int, lon double, lat double"), spark.createDataFrame(refs, "r int, lon double, lat double")
+    want = {x.p: (x.r, x.distance) for x in J.nearest_location(p, r, "p", "r", metric).collect()}
+    monkeypatch.setattr(J, "FEW_REFERENCES", 5)
+    got = {x.p: (x.r, x.distance) for x in J.nearest_location(p, r, "p", "r", metric).collect()}
+    assert got == want
+    empty = J.nearest_location(p.where("p < 0"), r, "p", "r", metric)
+    assert empty.count() == 0 and empty.columns == ["p", "lon", "lat", "r", "distance"]
+
+
+def test_nearest_other_place(spark):
+    """A city dense at every scale beside far outliers, in two groups, one of them null: each place's nearest other one."""
+    from wattloom.operators import places
+
+    rng = random.Random(4)
+    dense = [(i, "ab"[i % 2] if i % 3 else None, 77 + rng.random() * 10 ** -rng.uniform(0, 7), 28 + rng.random() * 10 ** -rng.uniform(0, 7)) for i in range(1500)]
+    rows = [*dense, (1500, "a", -120.0, -60.0), (1501, "b", 20.0, 70.0), (1502, "c", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "i int, g string, lon double, lat double")
+    got = {r.i: r.best.distance for r in places.nearest(df, df, ["g"], "i", "i", apart=True).collect()}
+    assert set(got) == {r[0] for r in rows[:-1]}
+    for g in ("a", "b", None):
+        own = [r for r in rows if r[1] == g]
+        lon, lat = np.radians([r[2] for r in own]), np.radians([r[3] for r in own])
+        s, t = np.sin((lat[:, None] - lat) / 2), np.sin((lon[:, None] - lon) / 2)
+        km = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, s * s + np.cos(lat)[:, None] * np.cos(lat) * t * t)))
+        np.fill_diagonal(km, np.inf)
+        assert [got[r[0]] for r in own] == pytest.approx(km.min(axis=1), rel=1e-6, abs=1e-9)
+
+
 def test_factor_years(spark):
     t = spark.createDataFrame([(2001, 1.0), (2003, 3.0)], "year int, f double")
     got = {r.year: r.f for r in J.emission_factor_years(t, 2000, 2004).collect()}

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.functions.columns import EARTH_KM, haversine_km, iso_weekday
+from wattloom.functions.columns import haversine_km, iso_weekday
+from wattloom.operators.places import nearest
 from wattloom.sources.io import kept
 
 
@@ -121,85 +121,37 @@ def attach_household_floor(readings: DataFrame, floors: DataFrame, default: floa
 FEW_REFERENCES = 2_000
 
 
-def nearest_location(points: DataFrame, refs: DataFrame, point_id: str, ref_id: str, metric: str = "haversine", cell: float = 1.0, rounds: int = 12) -> DataFrame:
+def nearest_location(points: DataFrame, refs: DataFrame, point_id: str, ref_id: str, metric: str = "haversine") -> DataFrame:
     """points with the id and the distance (km, or degrees for metric 'planar') of the nearest of refs; the smallest id of equals.
 
     Both have lon and lat; points without a place get nulls. Up to FEW_REFERENCES references go to each task. More are
-    matched by cells of a growing grid: each round compares the points that are left with the references of their and
-    the next cells, and takes those whose nearest is surely no farther than a cell; the grid doubles until none is left.
+    matched by cells as broad as each point's distance to references beside it on a curve (places.nearest).
     """
     r = refs.select(F.col(ref_id).alias("_ref"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).where(F.col("_lon").isNotNull() & F.col("_lat").isNotNull())
-    planar = F.sqrt(F.pow(F.col("lon") - F.col("_lon"), F.lit(2.0)) + F.pow(F.col("lat") - F.col("_lat"), F.lit(2.0)))
-    distance = haversine_km("lat", "lon", "_lat", "_lon") if metric == "haversine" else planar
-    best = F.min(F.struct(distance.alias("distance"), F.col("_ref").alias("id")))
     placed = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
     if r.limit(FEW_REFERENCES + 1).count() <= FEW_REFERENCES:
+        planar = F.sqrt(F.pow(F.col("lon") - F.col("_lon"), F.lit(2.0)) + F.pow(F.col("lat") - F.col("_lat"), F.lit(2.0)))
+        distance = haversine_km("lat", "lon", "_lat", "_lon") if metric == "haversine" else planar
+        best = F.min(F.struct(distance.alias("distance"), F.col("_ref").alias("id")))
         near = placed.select(point_id, "lon", "lat").join(F.broadcast(r), how="cross").groupBy(point_id).agg(best.alias("_best"))
     else:
-        near = _nearest_by_cells(placed.select(point_id, "lon", "lat"), r, point_id, best, metric, cell, rounds)
+        there = r.select("_ref", F.col("_lon").alias("lon"), F.col("_lat").alias("lat"))
+        near = nearest(placed.select(point_id, "lon", "lat"), there, [], point_id, "_ref", metric).groupBy(point_id).agg(F.min("best").alias("_best"))
     near = near.select(point_id, F.col("_best.id").alias(ref_id), F.col("_best.distance").alias("distance"))
     return points.join(near, point_id, "left")
 
 
-def _nearest_by_cells(points: DataFrame, refs: DataFrame, point_id: str, best, metric: str, cell: float, rounds: int) -> DataFrame:
-    parts, left = [], points
-    steps = [F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias(x) for x in ("dx", "dy")]
-    for n in range(rounds + 1):
-        size = cell * 2**n if n < rounds else 720.0
-        at = lambda lon, lat, size=size: [F.floor(F.col(lon) / size).alias("cx"), F.floor(F.col(lat) / size).alias("cy")]
-        around = left.select(point_id, "lon", "lat", *at("lon", "lat")).select("*", steps[0]).select("*", steps[1]).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
-        found = around.join(refs.select("*", *at("_lon", "_lat")), ["cx", "cy"]).groupBy(point_id, "lat").agg(best.alias("_best"))
-        # a cell's breadth in km is least at the pole side of the next cell
-        sure = F.lit(size) if metric != "haversine" else size * math.radians(1) * EARTH_KM * F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(90.0)))))
-        found = found.where(F.col("_best.distance") <= sure) if n < rounds else found
-        parts.append(found.select(point_id, "_best"))
-        left = left.join(found.select(point_id), point_id, "left_anti")
-        if n < rounds:
-            left = kept(left)
-            if left.isEmpty():
-                break
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-#: Places of one grid cell that are compared with each other; denser grids get smaller cells.
-DENSE = 256
-
-
-def neighbour_distances(points: DataFrame, by: Sequence[str] = ("city",), id_col: str = "ca_id", cell: float = 0.5, rounds: int = 24) -> DataFrame:
+def neighbour_distances(points: DataFrame, by: Sequence[str] = ("city",), id_col: str = "ca_id") -> DataFrame:
     """Mean, median, least and largest distance (km) to the nearest other point of the same group, and how many points
     have one. A point alone in its group has none; points at one place are 0 apart.
 
-    Places are compared with those of their own and the next cells of a grid, which is made finer until no cell has more
-    than DENSE places. Those whose nearest is surely no farther than a cell are done; for the others the cells double
-    until none is left.
+    The cells in which a place looks for its nearest are as broad as its distance to others beside it on a curve
+    (places.nearest), so that dense cities and far outliers take the same joins.
     """
-    places = points.where("lon is not null and lat is not null").groupBy(*by, "lon", "lat").agg(F.count("*").alias("n"), F.min(id_col).alias("a"))
-    places = kept(places)
-    at = lambda size: [F.floor(F.col(x) / size).alias(c) for x, c in (("lon", "cx"), ("lat", "cy"))]
-    while cell > 1e-6 and (places.groupBy(*by, *at(cell)).count().agg(F.max("count")).first()[0] or 0) > DENSE:
-        cell /= 2
-    done, left = [places.where("n > 1").select(*by, "n", F.lit(0.0).alias("km"))], places.where("n = 1")
-    others = places.select(*by, F.col("a").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    for r in range(rounds + 1):
-        size = cell * 2**r if r < rounds else 720.0
-        near = left.select(*by, "a", "lon", "lat", *at(size))
-        for x in ("cx", "cy"):
-            near = near.withColumn(x, F.explode(F.array(F.col(x) - 1, F.col(x), F.col(x) + 1)))
-        there = others.select("*", *(F.floor(F.col(x) / size).alias(c) for x, c in (("lon2", "cx"), ("lat2", "cy"))))
-        found = near.join(there, [*by, "cx", "cy"]).where("a <> b").groupBy(*by, "a", "lat").agg(F.min(haversine_km("lat", "lon", "lat2", "lon2")).alias("km"))
-        # a cell's breadth in km is least at the pole side of the next cell
-        sure = size * math.radians(1) * EARTH_KM * F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(90.0)))))
-        found = kept(found.where(F.col("km") <= sure) if r < rounds else found)
-        done.append(found.select(*by, F.lit(1).cast("long").alias("n"), "km"))
-        left = kept(left.join(found.select(*by, "a"), [*by, "a"], "left_anti"))
-        if left.isEmpty():
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+    places = kept(points.where("lon is not null and lat is not null").groupBy(*by, "lon", "lat").agg(F.count("*").alias("n"), F.min(id_col).alias("a")))
+    shared = places.where("n > 1").select(*by, "n", F.lit(0.0).alias("km"))
+    alone = nearest(places.where("n = 1"), places, by, "a", "a", apart=True)
+    out = shared.unionByName(alone.select(*by, F.lit(1).cast("long").alias("n"), F.col("best.distance").alias("km")))
     stats = {"mean": F.sum(F.col("km") * F.col("n")) / F.sum("n"), "median": F.percentile("km", F.lit(0.5), F.col("n")), "min": F.min("km"), "max": F.max("km")}
     return out.groupBy(*by).agg(*(f.alias(f"{n}_km") for n, f in stats.items()), F.sum("n").alias("points"))
 

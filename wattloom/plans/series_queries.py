@@ -85,7 +85,7 @@ QUERIES = {
     "c14_moves_by_role": _q(lambda i: J.moves_by_role(_moves(i), _labels(i))),
     "c15_factor_years": _q(lambda i: J.emission_factor_years(_factor_table(i), 1990, 2030)),
     "c16_attach_floor": _q(lambda i: J.attach_household_floor(i.readings_30min, U.household_floor(i.readings_30min))),
-    "l21_neighbour_distances": _q(lambda i: J.neighbour_distances(i.customer_points.withColumn("city", F.concat(F.lit("c"), F.col("ca_id") % 3)), cell=0.5)),
+    "l21_neighbour_distances": _q(lambda i: J.neighbour_distances(i.customer_points.withColumn("city", F.concat(F.lit("c"), F.col("ca_id") % 3)))),
     "d16_resample_30min": _q(lambda i: G.resample_30min(i.grid_5min, ["thermal", "gas", "renewable"], ["tons_co2"])),
     "d18_city_mean_factors": _q(lambda i: J.city_mean_factors(_orders(i), ["kwh"])),
     "d19_completeness": _q(lambda i: Q.completeness(i.weather_hourly, KEY, ["temperature", "precipitation"])),
