@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wattloom.llm.common import stash, temporary, unused, whole_groups
+from wattloom.operators.ranks import placed
+from wattloom.sources.io import scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of sources is a dimension: it is read by the driver, up to this many rows.
@@ -102,20 +103,20 @@ def _plan(sized: DataFrame, weights: tuple, share: float, most: float, shard_wor
     known = spark.createDataFrame(pd.DataFrame(columns), "source string, source_size long, target double, base long, rest double, nth long")
 
     weighed = sized.groupBy("source", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(blocks)).alias("block")).agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
-    before = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words") / 2
+    # a source's blocks in a seeded order, which spreads over many tasks
+    weighed = placed(weighed.withColumn("h", F.xxhash64(F.lit(seed + 1), "source", "block")), ["source"], ["h", "block"], "words").drop("h", "total")
     known = F.broadcast(known) if len(total) <= BROADCAST_SOURCES else known
-    picked = weighed.withColumn("before", before).join(known, weighed["source"].eqNullSafe(known["source"])).drop(known["source"])
+    picked = weighed.withColumn("before", F.col("below") + F.col("words") / 2).drop("below").join(known, weighed["source"].eqNullSafe(known["source"])).drop(known["source"])
     picked = stash(picked.withColumn("copies", F.col("base") + (F.col("before") < F.col("rest")).cast("long")), "blocks")
 
     ranges = shard_quotas(picked.groupBy("nth").agg(F.sum("copies").alias("units")), shards, seed)
-    upto = F.sum("units").over(Window.partitionBy("nth").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    ranges = ranges.withColumn("hi", upto - 1).withColumn("lo", F.col("hi") - F.col("units") + 1)
-    drawn = ranges.select("nth", "shard", F.explode(F.sequence("lo", "hi")).alias("at"))
+    ranges = placed(ranges, ["nth"], ["shard"], "units")
+    drawn = ranges.select("nth", "shard", F.explode(F.sequence(F.col("below"), F.col("below") + F.col("units") - 1)).alias("at"))
 
     units = picked.where("copies > 0").select("nth", "block", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    shuffled = Window.partitionBy("nth").orderBy(F.xxhash64(F.lit(seed + 2), "nth", "block", "copy"), "block", "copy")
-    dealt = units.withColumn("at", F.row_number().over(shuffled).cast("long") - 1).join(drawn, ["nth", "at"])
+    units = units.withColumns({"h": F.xxhash64(F.lit(seed + 2), "nth", "block", "copy"), "one": F.lit(1).cast("long")})
+    shuffled = placed(units, ["nth"], ["h", "block", "copy"], "one").select("nth", "block", F.col("below").alias("at"))
+    dealt = shuffled.join(drawn, ["nth", "at"])
     dealt = dealt.groupBy("nth", "block").agg(F.array_sort(F.collect_list("shard")).alias("shards"))
     plan = picked.join(dealt, ["nth", "block"], "left").select("source", "block", "source_size", "target", F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards"))
     return stash(plan, "plan"), blocks, len(total) * blocks
@@ -149,7 +150,7 @@ def mix(
     in one block and are each taken. A source with words in few rows is met only to half a row. An empty table
     gives an empty result. Other columns are not read. Reruns give the same.
     """
-    with temporary() as keep:
+    with temporary() as keep, scratch():
         sized = keep(_sized(df, id_col, text_col, source_col))
         plan, blocks, rows = _plan(sized, weights, share, most, shard_words, seed)
         out = _planned(sized, keep(plan), blocks, rows, seed, "source", "id", ["_source", "_block", "source_size", "target", "shards"])
@@ -162,7 +163,7 @@ def mixed_documents(
     """The rows of df as often as mix() takes them, with the columns of df, whatever their names; a partition holds whole
     shards, each in a seeded random order."""
     *names, copy, shard = unused(df, "source", "block", "source_size", "target", "shards", "copy", "shard")
-    with temporary() as keep:
+    with temporary() as keep, scratch():
         plan, blocks, rows = _plan(_sized(df, id_col, text_col, source_col), weights, share, most, shard_words, seed)
         out = _planned(df, keep(plan), blocks, rows, seed, source_col, id_col, names).select(*(df[c] for c in df.columns), F.posexplode(names[4]).alias(copy, shard))
         return out.repartition(shard).sortWithinPartitions(shard, F.xxhash64(F.lit(seed + 3), F.col(id_col), copy)).drop(copy, shard)
