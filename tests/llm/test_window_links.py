@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
 from test_dedup import roots
-from wattloom.llm.embedding_dedup import _linked_in_windows, embedding_duplicates
+from wattloom.llm import embedding_dedup
+from wattloom.llm.embedding_dedup import _least_passes, _linked_in_windows, embedding_duplicates
 
 
 def links(frames):
@@ -72,3 +73,35 @@ def test_windows_go_over_borders(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, n, *cols, f=DataFrame.repartitionByRange: f(self, 40, *cols))
     got = embedding_duplicates(df, windows=(128,)).toPandas().sort_values("vec_id")
     assert (got["n_links"].to_numpy() != np.bincount(force(v).ravel(), minlength=len(v))).sum() <= 2
+
+
+def labelled(spark, *groups):
+    rows = [(x.tolist(), label) for label, v in enumerate(groups) for x in v]
+    df = pd.DataFrame({"vec_id": range(len(rows)), "embedding": [r[0] for r in rows], "label": [r[1] for r in rows]})
+    return spark.createDataFrame(df, "vec_id long, embedding array<double>, label int")
+
+
+def test_labels_beyond_the_passes_meet_in_blocks(spark):
+    """Without passes every label takes the exact way, also one of several blocks: links and components are all there."""
+    v, w = tight(4500, 0.85, 300, 6), tight(50, 0.0, 10, 7)
+    want = np.concatenate([force(v), force(w) + len(v)])
+    n = len(v) + len(w)
+    got = embedding_duplicates(labelled(spark, v, w), most_passes=0).toPandas().sort_values("vec_id")
+    assert got["n_links"].tolist() == np.bincount(want.ravel(), minlength=n).tolist()
+    assert got["component_id"].tolist() == roots(n, want)
+
+
+def test_passes_in_turn(spark, monkeypatch):
+    """Few passes at once find what all at once do."""
+    df = labelled(spark, tight(1000, 0.5, 80, 8))
+    want = sorted(map(str, embedding_duplicates(df, windows=(128,)).collect()))
+    monkeypatch.setattr(embedding_dedup, "AT_ONCE", 2)
+    assert sorted(map(str, embedding_duplicates(df, windows=(128,)).collect())) == want
+
+
+def test_least_passes():
+    near, c = np.array([0.01, 0.2]), np.array([30, 70])
+    p = _least_passes(near, c, 1e-6, 10**6)
+    missed = [(c * (1 - near) ** x).sum() / c.sum() for x in (p - 1, p)]
+    assert missed[1] <= 1e-6 < missed[0]
+    assert _least_passes(near, c, 1e-6, p - 1) is None and _least_passes(np.zeros(1), np.ones(1), 1e-6, 10**9) is None

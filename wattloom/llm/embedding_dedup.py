@@ -12,17 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.llm.common import connected_components, fresh_key, integer_ids, stash, temporary, whole_groups
+from wattloom.llm.common import connected_components, discard, fresh_key, integer_ids, stash, temporary, whole_groups
 
 #: Rows of one side of a comparison task.
 BLOCK = 2048
-#: Passes and windows that a label may get; the cheapest that keep the expected share of missed pairs below the bound.
+#: Passes and windows that are tried for a label; the cheapest that keep the expected share of missed pairs below the
+#: bound. A label for which none does gets as many passes as it takes, or all its pairs in blocks if that is cheaper.
 PASSES = (1, 2, 3, 4, 6, 8, 12, 16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
 WINDOWS = (128, 512, 2048, 8192)
 #: Passes over which the order of a label is measured.
 TRIALS = 2
 #: Comparisons that cost about as much as moving a vector once more.
 MOVE = 1000
+#: Passes that are made at once; the scratch of these goes before the next ones are made.
+AT_ONCE = 32
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -107,9 +110,22 @@ def _ahead(frames: Iterator[pd.DataFrame], windows: tuple[int, ...]) -> Iterator
     yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["part", "window", "bucket", "same", "n"])
 
 
-def plans(trials: DataFrame, threshold: float, miss: float, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """part, window, passes, missed: for each label the cheapest window and number of passes with which, by the order
-    measured, at most a share of miss of the pairs at the threshold is in no window; else those that miss least.
+def _least_passes(near: np.ndarray, c: np.ndarray, miss: float, most: int) -> int | None:
+    """The least number of passes up to most that misses a share of at most miss; near: chance of a pair in one pass."""
+    missed = lambda p: float((c * (1 - near) ** p).sum() / c.sum())
+    if missed(most) > miss:
+        return None
+    lo, hi = 0, most
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if missed(mid) <= miss else (mid, hi)
+    return hi
+
+
+def plans(trials: DataFrame, threshold: float, miss: float, windows: tuple[int, ...] = WINDOWS, most_passes: int = PASSES[-1]) -> DataFrame:
+    """part, window, passes: for each label the cheapest window and number of passes with which, by the order measured, at
+    most a share of miss of the pairs at the threshold is in no window. If no window does in most_passes: more passes,
+    or, if these cost more than all pairs in blocks, none (passes 0), which stands for the blocks.
 
     A pair is in a window at least when it agrees in one sign more than rows a window apart do.
     """
@@ -117,25 +133,29 @@ def plans(trials: DataFrame, threshold: float, miss: float, windows: tuple[int,
 
     def chosen(f: pd.DataFrame) -> pd.DataFrame:
         near = np.where(f["same"] >= 64, 1.0, agreement(f["bucket"].to_numpy() / 100, threshold) ** (f["same"].to_numpy() + 1))
-        best = None
-        for w in sorted(f["window"].unique()):
-            at = (f["window"] == w).to_numpy()
-            c = f["n"].to_numpy()[at]
-            for p in PASSES:
-                missed = float((c * (1 - near[at]) ** p).sum() / c.sum())
-                cost = (missed > miss, missed if missed > miss else p * (MOVE + w))
-                if best is None or cost < best[0]:
-                    best = cost, w, p, missed
-        return pd.DataFrame({"part": f["part"].iloc[:1], "window": [best[1]], "passes": [best[2]], "missed": [best[3]]})
-
-    return n.groupBy("part").applyInPandas(chosen, "part long, window int, passes int, missed double")
-
-
-def _keyed(frames: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
-    """Each class once for each pass of its label, with the pass's 64 signs as a sort key."""
+        sides = [(int(w), near[at], f["n"].to_numpy()[at]) for w in sorted(f["window"].unique()) for at in [(f["window"] == w).to_numpy()]]
+        options = []
+        for w, x, c in sides:
+            p = next((p for p in PASSES if p <= most_passes and (c * (1 - x) ** p).sum() / c.sum() <= miss), None)
+            options += [(p * (MOVE + w), w, p)] if p else []
+        if not options:
+            size = sides[0][2].sum() / TRIALS
+            blocks = size * (0.5 + MOVE / BLOCK)
+            options = [(blocks, sides[0][0], 0)]
+            for w, x, c in sides:
+                p = _least_passes(x, c, miss, int(blocks // (MOVE + w)))
+                options += [(p * (MOVE + w), w, p)] if p else []
+        _, window, passes = min(options)
+        return pd.DataFrame({"part": f["part"].iloc[:1], "window": [window], "passes": [passes]})
+
+    return n.groupBy("part").applyInPandas(chosen, "part long, window int, passes int")
+
+
+def _keyed(frames: Iterator[pd.DataFrame], seed: int, first: int, end: int) -> Iterator[pd.DataFrame]:
+    """Each class once for each pass of its label from first up to end, with the pass's 64 signs as a sort key."""
     for f in frames:
         for own in _by_size(f):
-            for p in range(int(own["passes"].max())):
+            for p in range(first, min(end, int(own["passes"].max()))):
                 x = own[own["passes"] > p]
                 yield pd.DataFrame({"pass": p, "part": x["part"], "key": _keys(x, p, seed), "cid": x["cid"], "window": x["window"], "v": x["v"]})
 
@@ -208,6 +228,19 @@ def _over_borders(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return _linked(_unit(both["v"]), both["cid"].to_numpy(), len(tail), int(g["window"].iloc[0]), threshold)
 
 
+def _linked_in_blocks(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Links of the rows of one block of a label with those of another, which join all that are linked."""
+    for g in whole_groups(frames, ["part", "i", "j"]):
+        g = g.sort_values("block", kind="stable")
+        u, block, cid = _unit(g["v"]), g["block"].to_numpy(), g["cid"].to_numpy()
+        old = int((block < g["j"].iloc[0]).sum())
+        near = u[old:] @ u.T >= threshold
+        # within a block each pair once, else only pairs of both
+        near &= np.arange(len(u)) < (np.arange(old, len(u))[:, None] if old == 0 else old)
+        i, j = _forest(near, old)
+        yield pd.DataFrame({"a": cid[i], "b": cid[j]})
+
+
 def _counted(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     """Weights of the links of each row with the rows of the other block of its task."""
     for g in whole_groups(frames, ["component", "i", "j"]):
@@ -223,7 +256,8 @@ def _counted(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
 
 
 def embedding_duplicates(
-    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.93, miss: float = 1e-6, seed: int = 9, windows: tuple[int, ...] = WINDOWS
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.93, miss: float = 1e-6, seed: int = 9, windows: tuple[int, ...] = WINDOWS,
+    most_passes: int = PASSES[-1],
 ) -> DataFrame:
     """One row for each row of df: id, n_links, component_id, kept, class_id.
 
@@ -232,8 +266,8 @@ def embedding_duplicates(
     mean, and each is compared with the rows in the window before it, over the borders of tasks as well; of the verified
     links of a piece all are kept that the others don't replace. The links of all passes make components. Each label has
     its own window and number of passes, from an order measured over all its rows (plans()), so that a pair at the
-    threshold is expected to be missed at a rate of miss; a label for which the largest window and 1,024 passes don't do
-    gets these. Within the components, classes are compared in blocks of 2,048 rows a side, and only counts of links
+    threshold is expected to be missed at a rate of miss; a label for which the largest window and most_passes don't do
+    gets more passes, or all its pairs in blocks, whichever costs less. Within the components, classes are compared in blocks of 2,048 rows a side, and only counts of links
     leave a task: n_links has no cap, however large a group of near copies is.
 
     Null labels (where a label column is given), null and empty vectors, zero vectors and those with null, NaN or
@@ -264,17 +298,32 @@ def embedding_duplicates(
         trials = trials.repartitionByRange(partitions, "pass", "part", "key").sortWithinPartitions("pass", "part", "key")
         plan = stash(plans(trials.mapInPandas(lambda f: _ahead(f, windows), "part long, window int, bucket int, same int, n long"), threshold, miss, windows), "plans")
 
-        moved = means.select("part", "n").join(plan, "part").agg(F.sum(F.col("n") * F.col("passes")), F.max("window")).first()
-        partitions = max(1, min(partitions, (moved[0] or 0) // (8 * (moved[1] or 1))))
-        keyed = centred.withColumn("k", fresh_key("part")).join(plan.withColumn("k", fresh_key("part")), ["k", "part"]).select("part", "cid", "size_", "v", "mean", "window", "passes")
-        keyed = keyed.mapInPandas(lambda f: _keyed(f, seed), f"pass int, part long, key long, cid long, window int, v array<{real}>")
-        dealt = keyed.repartitionByRange(partitions, "pass", "part", "key").sortWithinPartitions("pass", "part", "key", "cid")
-        found = stash(dealt.mapInPandas(lambda f: _linked_in_windows(f, threshold, TaskContext.get().partitionId()), _LINKS.format(real)), "links")
-        ends = found.where("task is not null")
-        before = ends.select("task").distinct().withColumn("edge", F.lag("task").over(Window.orderBy("task")))
-        ends = ends.join(F.broadcast(before), "task").withColumn("edge", F.when(F.col("head"), F.col("edge")).otherwise(F.col("task"))).where("edge is not null")
-        over = ends.groupBy("edge").applyInPandas(lambda g: _over_borders(g, threshold), "a long, b long")
-        links = stash(found.where("task is null").select("a", "b").union(over).distinct(), "links")
+        planned = centred.withColumn("k", fresh_key("part")).join(plan.withColumn("k", fresh_key("part")), ["k", "part"]).select("part", "cid", "size_", "v", "mean", "n", "window", "passes")
+        moved = means.select("part", "n").join(plan, "part").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+        passes, once, window, blocks = moved.agg(
+            F.max("passes"), F.sum(F.col("n") * F.least("passes", F.lit(AT_ONCE))), F.max("window"), F.sum(F.when(F.col("passes") == 0, F.col("n") * F.col("blocks")))
+        ).first()
+        parts = max(1, min(partitions, (once or 0) // (8 * (window or 1))))
+        links = stash(spark.createDataFrame([], "a long, b long"), "links")
+        if blocks:
+            dense = planned.where("passes = 0").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+            dense = dense.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "cid"), F.col("blocks")))
+            dense = dense.select("part", "cid", "v", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+            dense = dense.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "v")
+            dense = dense.repartition(max(partitions, blocks // (16 * BLOCK)), "part", "i", "j").sortWithinPartitions("part", "i", "j", "cid")
+            links = stash(dense.mapInPandas(lambda f: _linked_in_blocks(f, threshold), "a long, b long").distinct(), "links")
+        for lo in range(0, passes or 0, AT_ONCE):
+            keyed = planned.where(F.col("passes") > lo).select("part", "cid", "size_", "v", "mean", "window", "passes")
+            keyed = keyed.mapInPandas(lambda f, lo=lo: _keyed(f, seed, lo, lo + AT_ONCE), f"pass int, part long, key long, cid long, window int, v array<{real}>")
+            dealt = keyed.repartitionByRange(parts, "pass", "part", "key").sortWithinPartitions("pass", "part", "key", "cid")
+            found = stash(dealt.mapInPandas(lambda f: _linked_in_windows(f, threshold, TaskContext.get().partitionId()), _LINKS.format(real)), "links")
+            ends = found.where("task is not null")
+            before = ends.select("task").distinct().withColumn("edge", F.lag("task").over(Window.orderBy("task")))
+            ends = ends.join(F.broadcast(before), "task").withColumn("edge", F.when(F.col("head"), F.col("edge")).otherwise(F.col("task"))).where("edge is not null")
+            over = ends.groupBy("edge").applyInPandas(lambda g: _over_borders(g, threshold), "a long, b long")
+            fresh = found.where("task is null").select("a", "b").union(over)
+            old, links = links, stash(fresh.union(links).distinct(), "links")
+            discard(found, old)
         found = keep(stash(connected_components(links), "found"))
 
         member = classes.withColumn("k", fresh_key("cid")).join(found.select(F.col("node").alias("cid"), "component", fresh_key("node").alias("k")), ["k", "cid"])
