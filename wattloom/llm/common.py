@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -9,6 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +87,15 @@ def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
             _open[-1].extend(kept)
 
 
+def release_memory() -> None:
+    """Gives back the memory that a Python worker has freed: workers serve one stage after the other, and what the arrays
+    of one leave behind would count beside those of the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+    if trim:
+        trim(0)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before those that df has as columns, in whatever case."""
     taken, out = {c.lower() for c in df.columns}, []

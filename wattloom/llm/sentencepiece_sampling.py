@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import mixed
+from wattloom.llm.common import mixed, release_memory
 
 SPACE = "▁"
 #: No piece spans a border of these units: spaces stand only before other letters, line feeds only alone.
@@ -420,6 +420,7 @@ def encode_samples(df: DataFrame, model: str, id_col: str = "doc_id", text_col:
     kind = df.schema[id_col].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         vocab = vocabulary(model)
         for b in batches:
             ids, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
