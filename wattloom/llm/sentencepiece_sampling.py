@@ -24,7 +24,7 @@ _UNIT = re.compile(r" *[^ \n]+|\n| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A literal U+2581 in a text; no piece has it, so that it is spelled in bytes and comes back.
 _LITERAL = 0x110000
-_CHARS = 2_000_000
+_CHARS = 1_000_000
 #: Units that are gone through one by one, when no more are left that are so long.
 FEW = 8
 #: Nodes of lattices that a process keeps (about 40 bytes each).
