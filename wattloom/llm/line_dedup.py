@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import fresh_key, grouped_frames, integer_ids, mixed, sliced, stash, temporary, unused
+from wattloom.llm.common import discard, fresh_key, grouped_frames, integer_ids, mixed, sliced, stash, temporary, unused
 
 _ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _BYTE = mixed(np.arange(1000, 1256, dtype=np.uint64))
@@ -500,9 +500,9 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kind = "part int, kind int, longs binary, ints binary, more binary"
         dealt = docs.mapInArrow(lambda b: _prefixes(b, words, least, threshold, known.value, parts), kind).repartitionById(parts, "part")
         dealt = dealt.mapInArrow(lambda b: _classes(b, parts), kind).repartitionById(parts, "part")
-        found = keep(stash(dealt.mapInArrow(_shared, "kind int, token long, doc long, line int, n int, at int, bits long"), "members"))
+        found = stash(dealt.mapInArrow(_shared, "kind int, token long, doc long, line int, n int, at int, bits long"), "members")
         known.unpersist()
-        members, again = found.where(F.col("kind") == _TOKEN).drop("kind"), found.where(F.col("kind") == _GONE).select("doc", "line")
+        members, again = found.where(F.col("kind") == _TOKEN).drop("kind"), keep(stash(found.where(F.col("kind") == _GONE).select("doc", "line"), "gone"))
 
         side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("doc", "line", "n", "at", "bits")]
         pair = ["doc_a", "line_a", "doc_b", "line_b"]
@@ -515,6 +515,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rare = members.withColumn("k", fresh_key("token")).join(sent(hubs.select("token", fresh_key("token").alias("k"))), ["k", "token"], "left_anti")
         a, b = (rare.select("k", "token", *side(x)) for x in "ab")
         few = stash(a.join(b, ["k", "token"]).where(later & _allowed("a", "b", threshold)).select(*pair).distinct(), "few")
+        discard(found, hubs)
 
         def picked(ends: list[DataFrame]) -> DataFrame:
             """The texts of lines; of few documents their lines go to all tasks, so that the other texts stay where they are."""
@@ -540,6 +541,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts = stash(picked(ends(hub) + ends(few)), "texts")
         first = keep(stash(_verified(hub, texts, words, threshold), "matched"))
         matched = first.union(keep(stash(_verified(without(few, first), texts, words, threshold), "matched")))
+        discard(few, texts)
         long = crowd.where(F.col("n_a") >= LONG).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line"))
         more = stash(picked([long]).mapInPandas(lambda f: _more_bits(f, words), "doc_a long, line_a int, more binary"), "bits")
         # in crowds: the nearest of each block, then, for lines still without a match, all
