@@ -17,6 +17,9 @@ from wattloom.operators import reports as R
 from wattloom.operators import shift as S
 from wattloom.operators import usage as U
 from wattloom.operators import weather as W
+from wattloom.plans.fixtures import Inputs
+
+SF = "/root/testdata/sf0.001"
 
 
 def hourly(spark, values, start="2024-01-01 00:00:00", key="a"):
@@ -302,3 +305,18 @@ def test_factor_years_fill_gaps(spark):
     table = spark.createDataFrame([(2019, 0.9, 0.4), (2021, 0.8, 0.3)], "year int, thermal_factor double, gas_factor double")
     got = {r.year: r.thermal_factor for r in J.emission_factor_years(table, 2018, 2023).collect()}
     assert got == {2018: 0.9, 2019: 0.9, 2020: 0.8, 2021: 0.8, 2022: 0.8, 2023: 0.8}
+
+
+def test_candidate_moves_send_nothing_to_all(spark):
+    """A customer-day pairs its own slots: a join would be sent whole to the driver, as its size is taken for that of the file."""
+    df = week(spark).withColumn("floor_kwh", F.lit(0.2))
+    rows = {(r.ca_id, r.day, r.slot): r for r in df.collect()}
+    want = {(p, d, a.slot, b) for (p, d, _), a in rows.items() if a.value > 0.2 for b in range(max(0, a.slot - 4), min(47, a.slot + 4) + 1) if rows[p, d, b].mef < a.mef}
+    for moves in (S.candidate_moves(df, 4), S.candidate_moves(df.groupBy(*S.KEYS).agg(F.sort_array(F.collect_list(F.struct("slot", "value", "mef", "aef", "floor_kwh"))).alias("slots")), 4)):
+        got = [(r.ca_id, r.day, r.t, r.s) for r in moves.collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert all(r.avail == pytest.approx(rows[r.ca_id, r.day, r.t].value - 0.2) for r in moves.collect())
+        assert "Join" not in moves._jdf.queryExecution().toString()
+    few = Inputs(spark, SF)
+    for out in (S.candidate_moves(few.shift_days, 4), S.share_capped_greedy(few.shift_days, 4), few.shift_input):
+        assert "Join" not in out._jdf.queryExecution().toString()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -316,6 +316,12 @@ def sanitize_city(city: str | Column) -> Column:
     return F.regexp_replace(F.lower(c(city)), "[^a-z0-9_-]", "_")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once a row: inside a lambda, the optimizer would put its expression in place of its
+    name, to be worked out again for every element."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def classify_move(delta_grams: str | Column) -> Column:
     return F.when(c(delta_grams) < 0, "savings").when(c(delta_grams) > 0, "increases").otherwise("neutral")
 

@@ -1,6 +1,7 @@
 """Load shifting: move a household's energy to cleaner half-hours under household, slot and regional limits.
 
 Input: ca_id, city, day (date), slot (0-47), value (kWh), mef and aef (grams for a kWh), and, if there, floor_kwh.
+Where it says so, also customer-days: ca_id, city, day, and slots, an array of structs of the rest in the order of the slots.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.functions.columns import shift_direction
+from wattloom.functions.columns import once, shift_direction
 from wattloom.operators.greedy import CHUNK, LEAST, SLOTS, Days, Moves, chosen, settled
 from wattloom.operators.ranks import placed
 from wattloom.sources.io import kept, scratch
@@ -73,9 +74,13 @@ def peak_targets(df: DataFrame, peak_hours: dict[int, Sequence[int]], fraction:
     return base.groupBy("city", "day", per).agg((F.sum("baseline") * fraction).alias("room"))
 
 
+def _valid(mef: Column, aef: Column) -> Column:
+    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & (x > 0)
+    return F.coalesce(ok(mef) & ok(aef), F.lit(False))
+
+
 def valid_slots(df: DataFrame) -> DataFrame:
-    ok = lambda x: F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & (F.col(x) > 0)
-    return df.withColumn("valid", F.coalesce(ok("mef") & ok("aef"), F.lit(False)))
+    return df.withColumn("valid", _valid(F.col("mef"), F.col("aef")))
 
 
 def _slots(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -108,20 +113,25 @@ def k_highest_sources(df: DataFrame, k: int) -> DataFrame:
 
 
 def candidate_moves(df: DataFrame, window: int) -> DataFrame:
-    """(source, destination) slots of a customer-day at most window apart, to a lower factor: an equi-join on the
-    exploded destinations. Columns t, s, avail, mef_t, mef_s, aef_t, aef_s, gain."""
-    floor = F.coalesce("floor_kwh", F.lit(0.0)) if "floor_kwh" in df.columns else F.lit(0.0)
-    ok = valid_slots(df).where("valid").drop("valid")
-    src = ok.withColumn("avail", F.greatest(F.lit(0.0), F.col("value") - floor)).where(F.col("avail") > 0)
-    reach = F.sequence(F.greatest(F.lit(0), F.col("slot") - window), F.least(F.lit(SLOTS - 1), F.col("slot") + window))
-    src = src.select(*KEYS, F.col("slot").alias("t"), "avail", F.col("mef").alias("mef_t"), F.col("aef").alias("aef_t"), F.explode(reach).alias("s"))
-    dst = ok.select(*KEYS, F.col("slot").alias("s"), F.col("mef").alias("mef_s"), F.col("aef").alias("aef_s"))
-    return src.join(dst, [*KEYS, "s"]).where("mef_s < mef_t").withColumn("gain", (F.col("mef_t") - F.col("mef_s")) * F.col("avail"))
+    """(source, destination) slots of a customer-day at most window apart, to a lower factor, from readings or
+    customer-days: each customer-day pairs its own slots, with no join. Columns t, s, avail, mef_t, aef_t, mef_s, aef_s,
+    gain."""
+    return _candidates(_customer_days(df), window, KEYS)
+
 
+def _candidates(days: DataFrame, window: int, keep: Sequence[str]) -> DataFrame:
+    floor = _has_floor(days)
+    avail = lambda e: F.greatest(F.lit(0.0), F.coalesce(e["value"], F.lit(0.0)) - (F.coalesce(e["floor_kwh"], F.lit(0.0)) if floor else F.lit(0.0)))
+    ok = lambda e: _valid(e["mef"], e["aef"])
+    fields = lambda a, b: {"t": a["slot"].cast("int"), "s": b["slot"].cast("int"), "avail": avail(a), "mef_t": a["mef"], "aef_t": a["aef"], "mef_s": b["mef"], "aef_s": b["aef"]}
 
-def _order(df: DataFrame) -> DataFrame:
-    """Daily usage of each customer-day: the order in which shared limits are used up (descending, then id)."""
-    return df.groupBy(*KEYS).agg(F.sum("value").alias("kwh"))
+    def pairs(slots: Column) -> Column:
+        near = lambda a: F.filter(slots, lambda b: (b["mef"] < a["mef"]) & (F.abs(a["slot"] - b["slot"]) <= window) & ok(b))
+        return F.flatten(F.transform(F.filter(slots, lambda a: (avail(a) > 0) & ok(a)), lambda a: F.transform(near(a), lambda b: F.struct(*(x.alias(n) for n, x in fields(a, b).items())))))
+
+    # explode_outer keeps the optimizer from working the pairs out once more to see whether there are any
+    out = days.select(*keep, F.explode_outer(once(F.col("slots"), pairs)).alias("m")).where("m is not null")
+    return out.select(*keep, "m.*").withColumn("gain", (F.col("mef_t") - F.col("mef_s")) * F.col("avail"))
 
 
 #: Customer-days of a city and week that one task takes; larger ones go in blocks of so many.
@@ -130,25 +140,34 @@ _OUT = "t int, s int, q double, mef_t double, mef_s double, aef_t double, aef_s
 
 
 def _customer_days(df: DataFrame) -> DataFrame:
-    """One row for each customer-day with its slots, week, weekday (1-7) and usage."""
-    floor = F.coalesce(F.col("floor_kwh"), F.lit(0.0)) if "floor_kwh" in df.columns else F.lit(0.0)
-    ok = valid_slots(df).select(*KEYS, F.col("slot").cast("int").alias("slot"), F.coalesce("value", F.lit(0.0)).alias("value"), *(F.when(F.col("valid"), F.col(x)).alias(x) for x in ("mef", "aef")), floor.alias("floor"))
-    return _slots(ok, ["value", "mef", "aef", "floor"]).withColumns({"week": F.trunc("day", "week"), "weekday": F.weekday("day") + 1, "kwh": F.aggregate("slots.value", F.lit(0.0), lambda a, x: a + x)})
+    """One row for each customer-day of readings or customer-days with its slots, week, weekday (1-7) and usage."""
+    days = df if "slots" in df.columns else _slots(df, [x for x in ("value", "mef", "aef", "floor_kwh") if x in df.columns])
+    kwh = F.aggregate("slots", F.lit(0.0), lambda a, e: a + F.coalesce(e["value"], F.lit(0.0)))
+    return days.select(*KEYS, F.trunc("day", "week").alias("week"), (F.weekday("day") + 1).alias("weekday"), kwh.alias("kwh"), "slots")
+
+
+def _has_floor(days: DataFrame) -> bool:
+    return "floor_kwh" in days.schema["slots"].dataType.elementType.names
 
 
 def _dense(g: pa.Table | pa.RecordBatch) -> tuple[Days, np.ndarray]:
     """(days of the rows of g, average factors), spread from lists of slots without Python objects. Usage that a slot has
-    twice adds up."""
+    twice adds up; factors are NaN where not both are finite and positive."""
     col = g.column("slots")
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     row, entries = pc.list_parent_indices(col).to_numpy(), pc.list_flatten(col)
-    field = lambda x: entries.field(x).to_numpy(zero_copy_only=False)
-    slot, shape = field("slot"), (g.num_rows, SLOTS)
-    x = {"value": np.zeros(shape), "floor": np.zeros(shape), "mef": np.full(shape, np.nan), "aef": np.full(shape, np.nan)}
-    np.add.at(x["value"], (row, slot), field("value"))
-    for c in ("floor", "mef", "aef"):
-        x[c][row, slot] = field(c)
-    return Days(x["value"], x["mef"], x["floor"]), x["aef"]
+    names = [f.name for f in entries.type]
+    field = lambda x: entries.field(x).to_numpy(zero_copy_only=False).astype(np.float64)
+    used = lambda x: np.nan_to_num(field(x), nan=0.0, posinf=np.inf, neginf=-np.inf) if entries.field(x).null_count else field(x)
+    at, n = row * SLOTS + entries.field("slot").to_numpy(), g.num_rows * SLOTS
+    mef, aef = field("mef"), field("aef")
+    ok = np.isfinite(mef) & np.isfinite(aef) & (mef > 0) & (aef > 0)
+    out = {"floor": np.zeros(n), "mef": np.full(n, np.nan), "aef": np.full(n, np.nan)}
+    for c, v in (("mef", np.where(ok, mef, np.nan)), ("aef", np.where(ok, aef, np.nan)), *([("floor", used("floor_kwh"))] if "floor_kwh" in names else [])):
+        out[c][at] = v
+    value = np.bincount(at, used("value"), n)
+    shape = (g.num_rows, SLOTS)
+    return Days(value.reshape(shape), out["mef"].reshape(shape), out["floor"].reshape(shape)), out["aef"].reshape(shape)
 
 
 def _rows(g: pa.Table | pa.RecordBatch, days: Days, aef: np.ndarray, moves: Moves) -> pa.Table:
@@ -380,9 +399,8 @@ def share_capped_greedy(df: DataFrame, window: int, max_share: float = 0.2, trig
     """Simple policy: slots by descending factor, each to the cheapest slot in its window, until max_share of the day's
     energy has moved; only slots with at least trigger_share of it move."""
     day = Window.partitionBy(*KEYS)
-    c = candidate_moves(df, window)
+    c = _candidates(_customer_days(df), window, [*KEYS, "kwh"]).where(F.col("avail") >= trigger_share * F.col("kwh"))
     c = c.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS, "t").orderBy("mef_s", F.abs(F.col("s") - F.col("t")), "s"))).where("_r = 1")
-    c = c.join(_order(df), KEYS).where(F.col("avail") >= trigger_share * F.col("kwh"))
     before = F.coalesce(F.sum("avail").over(day.orderBy(F.desc("mef_t"), "t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     q = F.least("avail", F.greatest(F.lit(0.0), max_share * F.col("kwh") - before))
     return c.withColumn("q", q).where("q > 0").select(*KEYS, "t", "s", "q", "mef_t", "mef_s", "aef_t", "aef_s")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.functions.columns import floor_minutes, slot
+from wattloom.functions.columns import floor_minutes, once, slot
 
 
 class Inputs:
@@ -26,13 +26,32 @@ class Inputs:
         return self.readings.groupBy("ca_id", "city", floor_minutes("date", 30).alias("date")).agg(F.sum("value").alias("value"))
 
     @property
-    def shift_input(self) -> DataFrame:
-        """Dense 48 slots for each observed customer-day of 'city' ca_id mod 3, with made-up factors."""
+    def _used_slots(self) -> DataFrame:
+        """Of each observed customer-day of 'city' ca_id mod 3 the usage by slot, as a map."""
         r = self.readings.groupBy("ca_id", F.to_date("date").alias("day"), slot("date").alias("slot")).agg(F.sum("value").alias("value"))
-        dense = r.select("ca_id", "day").distinct().select("ca_id", "day", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("slot"))
-        out = dense.join(r, ["ca_id", "day", "slot"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-        mef = F.lit(400.0) + 30 * F.pmod(F.col("slot") * 7 + F.dayofmonth("day"), F.lit(11))
-        return out.withColumns({"city": F.concat(F.lit("c"), F.pmod("ca_id", F.lit(3)).cast("string")), "mef": mef.cast("double"), "aef": (500 + 20 * F.pmod("slot", F.lit(5))).cast("double")})
+        known = F.col("ca_id").isNotNull() & F.col("slot").isNotNull()
+        days = r.groupBy("ca_id", "day").agg(F.map_from_entries(F.collect_list(F.when(known, F.struct("slot", "value")))).alias("used"))
+        return days.withColumn("city", F.concat(F.lit("c"), F.pmod("ca_id", F.lit(3)).cast("string")))
+
+    @staticmethod
+    def _slot(used: Column, i: Column) -> dict[str, Column]:
+        """Usage and made-up factors of slot i."""
+        mef = F.lit(400.0) + 30 * F.pmod(i * 7 + F.dayofmonth("day"), F.lit(11))
+        return {"value": F.coalesce(used[i], F.lit(0.0)), "mef": mef.cast("double"), "aef": (500 + 20 * F.pmod(i, F.lit(5))).cast("double")}
+
+    @property
+    def shift_days(self) -> DataFrame:
+        """A row for each observed customer-day with its 48 slots. No join: Spark takes the size of exploded slots for that of
+        the file, and would send them whole to all tasks."""
+        entry = lambda used: lambda i: F.struct(i.alias("slot"), *(x.alias(n) for n, x in self._slot(used, i).items()))
+        slots = once(F.col("used"), lambda used: F.transform(F.sequence(F.lit(0), F.lit(47)), entry(used)))
+        return self._used_slots.select("ca_id", "city", "day", slots.alias("slots"))
+
+    @property
+    def shift_input(self) -> DataFrame:
+        """Dense 48 slots for each observed customer-day: the rows of shift_days."""
+        dense = self._used_slots.select("*", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("slot"))
+        return dense.withColumns(self._slot(F.col("used"), F.col("slot"))).select("ca_id", "day", "slot", "value", "city", "mef", "aef")
 
     @property
     def weather_hourly(self) -> DataFrame:

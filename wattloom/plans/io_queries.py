@@ -145,7 +145,7 @@ QUERIES = {
     "b28_b29_names": _q(_named),
     "b31_me_units": _q(_units),
     "b33_points_from_wkb": _q(_hex_points),
-    "b37_slots_of_hours": _q(lambda i: S.candidate_moves(i.shift_input, C.slots_of_hours(1.5)).groupBy(F.abs(F.col("s") - F.col("t")).alias("distance")).agg(F.count("*").alias("n"))),
+    "b37_slots_of_hours": _q(lambda i: S.candidate_moves(i.shift_days, C.slots_of_hours(1.5)).groupBy(F.abs(F.col("s") - F.col("t")).alias("distance")).agg(F.count("*").alias("n"))),
     "b38_fuel_emissions": _q(_fuel),
     "d23_joined_null_reports": _q(lambda i: (lambda r: r.select("location", *((F.size(c).alias(c) if c.endswith("gaps") else F.col(c)) for c in r.columns if c != "location")))(Q.joined_null_reports(i.weather_hourly, ["location"], ["temperature", "precipitation"]))),
     "f4_sample_rows": _q(lambda i: io.sample_rows(i.readings, 10).join(i.readings.select("ca_id", "date", "value").distinct(), ["ca_id", "date", "value"], "left_semi").agg(F.count("*").alias("n"))),

@@ -36,7 +36,7 @@ QUERIES = {
     "b21_peak_flags": _q(lambda i: C.peak_flags(i.readings.select("ca_id", "date"), "date", i.spark.createDataFrame([(d, h, p) for d in range(1, 6) for h, p in ((7, "morning"), (8, "morning"), (18, "evening"))], "dow int, hour int, peak string"))),
     "b22_logs": _q(lambda i: i.readings.select("ca_id", "date", C.log_transform("value").alias("ln"), C.log1p_clamped(F.col("value") - 50).alias("ln1p"))),
     "b24_bounded_logit": _q(lambda i: i.table("lineitem").select("l_orderkey", "l_linenumber", C.bounded_logit("l_discount").alias("logit"))),
-    "b36_classify_move": _q(lambda i: S.moves_table(S.share_capped_greedy(i.shift_input, 4)).groupBy(C.classify_move("average_emissions_delta_grams_co2").alias("category"), "shift_direction").agg(F.count("*").alias("n"))),
+    "b36_classify_move": _q(lambda i: S.moves_table(S.share_capped_greedy(i.shift_days, 4)).groupBy(C.classify_move("average_emissions_delta_grams_co2").alias("category"), "shift_direction").agg(F.count("*").alias("n"))),
     "c2_join_models": _q(lambda i: J.join_models(i.factors, i.factors.where("aef > 200000"), ["timestamp"], "_other")),
     "c3_join_location": _q(lambda i: J.join_location(i.readings, _customers(i))),
     "c4_join_time_location": _q(lambda i: J.join_time_location(J.join_location(_half(i), _customers(i)), _half(i).groupBy("date").agg(F.avg("value").alias("factor")).withColumn("location_id", F.lit(3)))),
