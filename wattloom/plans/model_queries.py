@@ -44,13 +44,6 @@ def _metrics(i: Inputs):
     return S.shift_metrics(i.shift_input, _moves(i), P)
 
 
-def _candidates(i: Inputs):
-    """All candidate moves, summed by customer-day."""
-    out = S.candidate_moves(i.shift_input, 4).groupBy("ca_id", "city", "day")
-    whole = {n: F.sum(c).cast("long").alias(n) for n, c in (("t", F.col("t")), ("s", F.col("s")), ("ts", F.col("t") * F.col("s")))}
-    return out.agg(F.count("*").alias("n"), *whole.values(), F.sum("avail").alias("avail"), F.sum("gain").alias("gain"), F.sum(F.col("aef_t") - F.col("aef_s")).alias("aef"))
-
-
 def _splits(i: Inputs):
     return M.time_split(i.model_rows, [("train", "1990-01-01", "1997-01-01"), ("validation", "1997-01-01", "2000-01-01")], "t")
 
@@ -120,7 +113,7 @@ QUERIES = {
     "k2_peak_targets": _q(lambda i: S.peak_targets(i.shift_input, {d: (7, 8, 18, 19) for d in range(1, 6)}, 0.25), 6),
     "k3_valid_slots": _q(lambda i: S.valid_slots(i.shift_input.withColumn("mef", F.when(F.col("slot") % 9 != 0, F.col("mef")))).groupBy("city", "valid").agg(F.count("*").alias("n")), 6),
     "k4_slot_arrays": _q(lambda i: S.slot_arrays(i.shift_input).select(*S.KEYS, F.size("value").alias("n"), F.aggregate("value", F.lit(0.0), lambda a, x: a + x).alias("kwh")), 6),
-    "c9_candidate_moves": _q(_candidates, 6),
+    "c9_candidate_moves": _q(lambda i: S.candidate_moves(i.shift_days, 4), 6),
     "k5_shift_load": _q(_moves, 6),
     "k6_upper_bound": _q(lambda i: S.shift_upper_bound(i.shift_input), 6),
     "k7_moves_table": _q(_table, 6),
@@ -128,7 +121,7 @@ QUERIES = {
     "k9_day_summary": _q(lambda i: S.day_summary(_metrics(i)), 6),
     "k10_optimised_readings": _q(lambda i: S.optimised_readings(i.shift_input, _moves(i)), 6),
     "k12_highest_sources": _q(lambda i: S.k_highest_sources(i.shift_input, 2).select(*S.KEYS, "slot", "place"), 6),
-    "k13_share_capped": _q(lambda i: S.share_capped_greedy(i.shift_input, 4), 6),
+    "k13_share_capped": _q(lambda i: S.share_capped_greedy(i.shift_days, 4), 6),
     "k14_scenarios": _q(lambda i: S.scenario_metrics(i.shift_input, S.shift_scenarios(i.shift_input, SCENARIOS)), 6),
     "l1_per_move_savings": _q(lambda i: R.per_move_savings(_table(i)), 6),
     "l2_household_week_savings": _q(lambda i: R.household_week_savings(_table(i)), 6),
@@ -251,9 +244,7 @@ SELECT n::INT AS nth, round([e0, 3 * t - e0 - e2, e2][n + 1], 4) AS eigenvalue,
     "k2_peak_targets": sql("SELECT city, day, slot, round(sum(value) * 0.25::DOUBLE, 6) AS room FROM shift_input WHERE isodow(day) <= 5 AND slot // 2 IN (7, 8, 18, 19) GROUP BY ALL", "shift_input"),
     "k3_valid_slots": sql("SELECT city, slot % 9 <> 0 AS valid, count(*) AS n FROM shift_input GROUP BY ALL", "shift_input"),
     "k4_slot_arrays": sql("SELECT ca_id, city, day, count(*)::INT AS n, round(sum(value), 6) AS kwh FROM shift_input GROUP BY ALL", "shift_input"),
-    "c9_candidate_moves": sql(
-        _CAND + " SELECT ca_id, city, day, count(*) AS n, sum(t)::BIGINT AS t, sum(s)::BIGINT AS s, sum(t * s)::BIGINT AS ts, round(sum(avail), 6) AS avail, round(sum(gain), 6) AS gain, round(sum(aef_t - aef_s), 6) AS aef FROM cm GROUP BY ALL", "shift_input"
-    ),
+    "c9_candidate_moves": sql(_CAND + " SELECT ca_id, city, day, t, s, round(avail, 6) AS avail, mef_t, aef_t, mef_s, aef_s, round(gain, 6) AS gain FROM cm", "shift_input"),
     "k5_shift_load": sql(_MV + " SELECT ca_id, city, day, t, s, round(q, 6) AS q, mef_t, mef_s, aef_t, aef_s FROM mv", "shift_input", recursive=True),
     "k6_upper_bound": sql("SELECT ca_id, city, day, round(sum(value), 6) AS kwh, round(sum(value * mef), 6) AS baseline_grams, min(mef) AS least_mef, arg_min(slot, mef * 100 + slot) AS slot, round(sum(value) * min(mef), 6) AS bound_grams, round(sum(value * mef) - sum(value) * min(mef), 6) AS saving_grams FROM shift_input GROUP BY ALL", "shift_input"),
     "k7_moves_table": _tb("SELECT ca_id, city, day, original_time, proposed_shift_time, delta_minutes, shift_direction, round(delta_kwh, 6) AS delta_kwh, round(mb, 6) AS marginal_emissions_before_shift_grams_co2, round(ma, 6) AS marginal_emissions_after_shift_grams_co2, round(md, 6) AS marginal_emissions_delta_grams_co2, round(ab, 6) AS average_emissions_before_shift_grams_co2, round(aa, 6) AS average_emissions_after_shift_grams_co2, round(ad, 6) + 0.0 AS average_emissions_delta_grams_co2 FROM tb"),
