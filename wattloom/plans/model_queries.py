@@ -33,7 +33,7 @@ def _pairs(i: Inputs):
 
 
 def _moves(i: Inputs):
-    return S.shift_load(i.shift_input, P)
+    return S.shift_load(i.shift_days, P)
 
 
 def _table(i: Inputs):
@@ -122,7 +122,7 @@ QUERIES = {
     "k10_optimised_readings": _q(lambda i: S.optimised_readings(i.shift_input, _moves(i)), 6),
     "k12_highest_sources": _q(lambda i: S.k_highest_sources(i.shift_input, 2).select(*S.KEYS, "slot", "place"), 6),
     "k13_share_capped": _q(lambda i: S.share_capped_greedy(i.shift_days, 4), 6),
-    "k14_scenarios": _q(lambda i: S.scenario_metrics(i.shift_input, S.shift_scenarios(i.shift_input, SCENARIOS)), 6),
+    "k14_scenarios": _q(lambda i: S.scenario_metrics(i.shift_input, S.shift_scenarios(i.shift_days, SCENARIOS)), 6),
     "l1_per_move_savings": _q(lambda i: R.per_move_savings(_table(i)), 6),
     "l2_household_week_savings": _q(lambda i: R.household_week_savings(_table(i)), 6),
     "l3_moves_by_category": _q(lambda i: R.moves_by_category(_table(i)), 6),
@@ -131,7 +131,7 @@ QUERIES = {
     "l5_weekly_coverage": _q(lambda i: R.weekly_move_coverage(_metrics(i)), 6),
     "l6_customers_with_shift": _q(lambda i: R.customers_with_shift(_metrics(i)), 6),
     "l7_origin_destination": _q(lambda i: R.origin_destination(_table(i)), 6),
-    "l8_confidence_share": _q(lambda i: R.moves_confidence_share(J.moves_by_role(_table(i), _table(i).select("city", F.col("original_time").alias("timestamp")).distinct().withColumn("confidence", F.when(F.hour("timestamp") < 12, "low").otherwise("high")))), 6),
+    "l8_confidence_share": _q(lambda i: (lambda t: R.moves_confidence_share(J.moves_by_role(t, t.select("city", F.col("original_time").alias("timestamp")).distinct().withColumn("confidence", F.when(F.hour("timestamp") < 12, "low").otherwise("high")))))(_table(i)), 6),
     "l9_shift_size_distance": _q(lambda i: R.shift_size_distance(_table(i)), 6),
     "l10_emissions_savings": _q(lambda i: R.emissions_savings(_metrics(i)), 9),
     "l11_time_histogram": _q(lambda i: R.time_histogram(_table(i), "weekday_hour"), 6),
