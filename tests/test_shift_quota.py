@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -104,6 +105,16 @@ def test_rounds_of_blocks_agree(spark, name):
     assert moves_of(df, POLICIES[name], task_rows=2) == want
 
 
+def test_large_weeks_choose_once(spark):
+    """Quotas of earlier days, peaks, and rooms that end in several blocks, with all policies in one pass and blocks of three."""
+    df = varied(spark).where("day < '2024-01-05'").cache()
+    names = [n for n, p in POLICIES.items() if p.headroom is None]
+    some = [replace(POLICIES[n], name=n) for n in names]
+    got = S.shift_scenarios(df, some, task_rows=3).collect()
+    for p in some:
+        assert sorted((r.ca_id, r.day, r.t, r.s, round(r.q, 9)) for r in got if r.policy == p.name) == greedy(df.collect(), p), p.name
+
+
 def test_empty_and_useless_input(spark):
     df = week(spark, people=2, days=1)
     assert S.shift_load(df.where("false"), S.PRESETS[1]).count() == 0

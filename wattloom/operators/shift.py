@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 
 from wattloom.functions.columns import once, shift_direction
 from wattloom.operators.greedy import CHUNK, LEAST, SLOTS, Days, Moves, chosen, settled
-from wattloom.operators.ranks import placed
+from wattloom.operators.ranks import placed, same
 from wattloom.sources.io import kept, scratch
 
 KEYS = ["ca_id", "city", "day"]
@@ -170,12 +171,14 @@ def _dense(g: pa.Table | pa.RecordBatch) -> tuple[Days, np.ndarray]:
     return Days(value.reshape(shape), out["mef"].reshape(shape), out["floor"].reshape(shape)), out["aef"].reshape(shape)
 
 
-def _rows(g: pa.Table | pa.RecordBatch, days: Days, aef: np.ndarray, moves: Moves) -> pa.Table:
+def _rows(g: pa.Table | pa.RecordBatch, days: Days, aef: np.ndarray, moves: Moves, also: Sequence[str] = ()) -> pa.Table:
+    """The moves, with their customer-day and the columns also of g; k is the place of a move among those of its day."""
     i, k = np.nonzero(moves.q > 0)
     t, s = moves.t[i, k], moves.s[i, k]
     at = pa.array(i)
     rest = {"t": pa.array(t.astype(np.int32)), "s": pa.array(s.astype(np.int32)), "q": moves.q[i, k], "mef_t": days.mef[i, t], "mef_s": days.mef[i, s], "aef_t": aef[i, t], "aef_s": aef[i, s]}
-    return pa.table({c: g.column(c).take(at) for c in KEYS} | rest)
+    rest |= {"k": pa.array(k.astype(np.int32))} if also else {}
+    return pa.table({c: g.column(c).take(at) for c in [*KEYS, *also]} | rest)
 
 
 def _region(policy: Policy, city: str, load: float) -> float:
@@ -219,8 +222,12 @@ def shift_scenarios(df: DataFrame, policies: Sequence[Policy], task_rows: int =
         moves = known.where("not large").drop("large").groupBy("city", "week").applyInArrow(lambda g: _week_moves(g, policies), kind + ", policy string")
         if not sizes.where("large").isEmpty():
             large = kept(known.where("large").drop("large"))
+            own = [p for p in policies if p.headroom is None]
+            if own:
+                moves = moves.unionByName(_by_prefix(large, own, task_rows))
             for p in policies:
-                moves = moves.unionByName(_in_rounds(large, p, task_rows, kind).withColumn("policy", F.lit(p.name)))
+                if p.headroom is not None:
+                    moves = moves.unionByName(_in_rounds(large, p, task_rows, kind).withColumn("policy", F.lit(p.name)))
         return keep(kept(moves))
 
 
@@ -234,17 +241,103 @@ def shift_load(df: DataFrame, policy: Policy, task_rows: int = TASK_ROWS) -> Dat
     finds too little takes the move that is then best. Only moves count towards the quota. Slots without two positive
     factors take no part.
 
-    A city and week of up to task_rows customer-days is settled in one task. Larger ones go day by day in blocks of so
-    many: all blocks choose at once with the room that is left, those before the first that lacks room in the region are
-    settled, that one is gone through in one task, and so on until none is open. With headroom each round settles the
-    next block of every city, and only the rooms go on to the one after. The moves are written, as reports read them
-    several times.
+    A city and week of up to task_rows customer-days is settled in one task. Larger ones without headroom choose all at
+    once, as if alone (see _by_prefix); with headroom they go day by day in blocks of so many, and only the rooms go on to
+    the next block. The moves are written, as reports read them several times.
     """
     return shift_scenarios(df, [policy], task_rows).drop("policy")
 
 
+#: Customer-days of a block that is gone through again where the room of its region ends.
+BLOCK_ROWS = 16_384
+
+
+def _by_prefix(days: DataFrame, policies: Sequence[Policy], task_rows: int) -> DataFrame:
+    """The moves of cities and weeks of any size under policies without headroom.
+
+    What a customer-day takes alone does not depend on others, and a smaller quota takes the first of those moves: they
+    are chosen once for all. In the order of a city's day everyone keeps theirs as long as their sum is within the region's
+    room. Sums of blocks find the first block beyond it; that one is settled in one task, and so on with what it leaves.
+    The weekdays follow one another, as quotas do, over rows of moves only.
+    """
+    size, by_name = min(task_rows, BLOCK_ROWS), {p.name: p for p in policies}
+    key, who, order = ["policy", "city", "day"], ["policy", "ca_id", "city", "week"], ["city", "day", F.desc("kwh"), "ca_id"]
+    dealt = days.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = kept(dealt.withColumn("block", F.floor(F.monotonically_increasing_id() / size)))
+    fields = {f.name: f.dataType.simpleString() for f in ordered.schema}
+
+    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for weekday in pc.unique(b.column("weekday")).to_pylist():
+                today = b.filter(pc.equal(b.column("weekday"), weekday))
+                for lo in range(0, today.num_rows, 4 * CHUNK):
+                    g = today.slice(lo, 4 * CHUNK)
+                    x, aef = _dense(g)
+                    for p in policies:
+                        got = chosen(x, np.full(g.num_rows, p.moves_per_day), p.window, p.moves_per_day, np.full(g.num_rows, np.inf), None, p.peaks(weekday), p.peak_fraction)
+                        out = _rows(g, x, aef, got, ["week", "weekday", "block"])
+                        yield from out.append_column("policy", pa.array([p.name] * out.num_rows, pa.string())).to_batches()
+
+    def block(g: pa.Table) -> pa.Table:
+        """The moves of a block, and a row with the room that it leaves."""
+        g = _in_order(g)
+        x, aef = _dense(g)
+        p = by_name[g.column("policy")[0].as_py()]
+        moves, room, _ = settled(x, g.column("quota").to_numpy(), p.window, p.moves_per_day, g.column("room")[0].as_py(), None, p.peaks(g.column("weekday")[0].as_py()), p.peak_fraction)
+        out = _rows(g, x, aef, moves, ["week", "policy", "block"]).drop_columns("k")
+        out = out.append_column("room", pa.nulls(out.num_rows, pa.float64()))
+        rest = {c: g.column(c).slice(0, 1) for c in [*KEYS, "week", "policy", "block"]} | {"room": pa.array([room])}
+        return pa.concat_tables([out, pa.table({f.name: rest.get(f.name, pa.nulls(1, f.type)) for f in out.schema})])
+
+    keys = ", ".join(f"{c} {fields[c]}" for c in KEYS)
+    own = kept(ordered.mapInArrow(free, f"{keys}, week {fields['week']}, weekday int, block bigint, {_OUT}, k int, policy string"))
+    load = kept(ordered.groupBy("city", "day", "weekday").agg(F.sum("kwh").alias("load")))
+
+    def region(p: Policy) -> Column:
+        if p.regional_fraction is None:
+            return F.lit(float("inf"))
+        given = F.create_map(*(F.lit(x) for kv in p.regional_load.items() for x in kv))[F.col("city")] if p.regional_load else F.lit(None)
+        return p.regional_fraction * F.coalesce(given.cast("double"), F.col("load"))
+
+    rooms = load.select("city", "day", "weekday", F.inline(F.array(*(F.struct(F.lit(p.name).alias("policy"), region(p).alias("room")) for p in policies))))
+    limit = lambda f: F.create_map(*(F.lit(x) for p in policies for x in (p.name, getattr(p, f))))[F.col("policy")]
+    cols = [f.strip().split(" ")[0] for f in _OUT.split(",")]
+    done: list[DataFrame] = []
+
+    def with_left(df: DataFrame) -> DataFrame:
+        """df with the moves that the quota of the week leaves."""
+        if not done:
+            return df.withColumn("left", limit("moves_per_week"))
+        spent = reduce(DataFrame.unionByName, done).groupBy(*who).agg(F.count("*").alias("spent"))
+        return same(df, spent, who, "left").withColumn("left", limit("moves_per_week") - F.coalesce("spent", F.lit(0))).drop("spent")
+
+    for weekday in sorted(r.weekday for r in load.select("weekday").distinct().collect()):
+        now = kept(with_left(own.where(F.col("weekday") == weekday)).where("k < left").drop("left"))
+        sums = kept(now.groupBy(*key, "block").agg(F.sum("q").alias("q")))
+        state, parts = rooms.where(F.col("weekday") == weekday).select(*key, "room", F.lit(-1).cast("long").alias("first")), []
+        while True:
+            run = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+            all_ = same(sums, state, key).where("block > first").withColumn("all", F.sum("q").over(run))
+            short = F.col("all") > F.col("room") + LEAST
+            cut = kept(all_.groupBy(*key, "room", "first").agg(F.min(F.when(short, F.col("block"))).alias("bad"), F.coalesce(F.max(F.when(~short, F.col("all"))), F.lit(0.0)).alias("took")))
+            fine = same(now, cut.select(*key, "first", "bad"), key).where("block > first and (bad is null or block < bad)")
+            parts.append(fine.select(*KEYS, *cols, "week", "policy"))
+            bad = cut.where("bad is not null").select(*key, F.col("bad").alias("block"), F.greatest(F.lit(0.0), F.col("room") - F.col("took")).alias("room"))
+            if bad.isEmpty():
+                break
+            rows = same(ordered.where(F.col("weekday") == weekday), bad, ["city", "day", "block"])
+            rows = with_left(rows).withColumn("quota", F.least(limit("moves_per_day"), "left").cast("int")).drop("left")
+            one = kept(rows.groupBy(*key).applyInArrow(block, f"{keys}, week {fields['week']}, policy string, block bigint, {_OUT}, room double"))
+            parts.append(one.where("q is not null").select(*KEYS, *cols, "week", "policy"))
+            state = kept(one.where("q is null").select(*key, "room", F.col("block").alias("first")).where(F.col("room") > LEAST))
+            if state.isEmpty():
+                break
+        done.append(kept(reduce(DataFrame.unionByName, parts)))
+    return reduce(DataFrame.unionByName, done).drop("week")
+
+
 def _in_rounds(days: DataFrame, policy: Policy, task_rows: int, kind: str) -> DataFrame:
-    """The moves of cities and weeks of any size, by rounds over blocks of customer-days."""
+    """The moves of cities and weeks of any size under a policy with headroom, by rounds over blocks of customer-days."""
     out = None
     spent = lambda m: m.groupBy("ca_id", "city", F.trunc("day", "week").alias("week")).agg(F.count("*").alias("spent"))
     for weekday in sorted(r.weekday for r in days.select("weekday").distinct().collect()):
@@ -273,14 +366,6 @@ def _rooms(today: DataFrame, policy: Policy) -> DataFrame:
 def _day_in_rounds(today: DataFrame, policy: Policy, weekday: int, task_rows: int, kind: str) -> DataFrame:
     peaks, rounds, key = policy.peaks(weekday), policy.moves_per_day, ["city", "day"]
 
-    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 4 * CHUNK):
-                g = b.slice(lo, 4 * CHUNK)
-                x, aef = _dense(g)
-                got = chosen(x, g.column("quota").to_numpy(), policy.window, rounds, g.column("region").to_numpy(), None, peaks, policy.peak_fraction)
-                yield from _rows(g, x, aef, got).to_batches()
-
     def block(g: pa.Table) -> pa.Table:
         """The moves of a block, and a row with the rooms that it leaves."""
         g = _in_order(g)
@@ -299,34 +384,11 @@ def _day_in_rounds(today: DataFrame, policy: Policy, weekday: int, task_rows: in
     settle = lambda rows: kept(rows.groupBy(*key).applyInArrow(block, kind + ", region double, dest array<double>"))
     rooms = lambda one: kept(one.where("q is null").select(*key, "region", "dest"))
     moved = lambda one: one.where("q is not null").drop("region", "dest")
-    if policy.headroom is not None:
-        # each block is read once, from a folder of its own
-        for n in range((open_.agg(F.max("block")).first()[0] or 0) + 1):
-            one = settle(open_.where(F.col("block") == n).join(state, key))
-            done.append(moved(one))
-            state = rooms(one)
-    else:
-        first = F.lit(0)
-        while True:
-            # room goes to whole blocks as long as it lasts
-            free_moves = kept(open_.join(state.drop("dest"), key).where(F.col("block") >= first).mapInArrow(free, kind))
-            takes = open_.join(state, key).where(F.col("block") >= first).select(*KEYS, "block", "region").join(free_moves.groupBy(*KEYS).agg(F.sum("q").alias("q")), KEYS, "left")
-            takes = takes.groupBy(*key, "block").agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("q"), F.first("region").alias("region"))
-            run = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-            takes = takes.withColumn("all", F.sum("q").over(run))
-            short = F.col("all") > F.col("region") + LEAST
-            cut = kept(takes.groupBy(*key).agg(F.min(F.when(short, F.col("block"))).alias("bad"), F.coalesce(F.max(F.when(~short, F.col("all"))), F.lit(0.0)).alias("took"), F.first("region").alias("region")))
-            fine = open_.join(cut.select(*key, "bad"), key).where(F.col("bad").isNull() | (F.col("block") < F.col("bad"))).select(*KEYS)
-            done.append(kept(free_moves.join(fine, KEYS, "left_semi")))
-            state = kept(cut.where("bad is not null").select(*key, "bad", F.greatest(F.lit(0.0), F.col("region") - F.col("took")).alias("region"), F.lit(None).cast("array<double>").alias("dest")))
-            if state.isEmpty():
-                break
-            one = settle(open_.join(state, key).where(F.col("block") == F.col("bad")))
-            done.append(moved(one))
-            state = kept(rooms(one).join(state.select(*key, "bad"), key).where(F.col("region") > LEAST))
-            if state.isEmpty():
-                break
-            first = F.col("bad") + 1
+    # each block is read once, from a folder of its own
+    for n in range((open_.agg(F.max("block")).first()[0] or 0) + 1):
+        one = settle(open_.where(F.col("block") == n).join(state, key))
+        done.append(moved(one))
+        state = rooms(one)
     out = done[0]
     for m in done[1:]:
         out = out.unionByName(m)
