@@ -241,7 +241,10 @@ def top_hours(df: DataFrame, n: int = 6) -> DataFrame:
 
 def customer_order(df: DataFrame) -> DataFrame:
     """For each city and day, the customers by descending usage, then id: a row for each, with its place from 1."""
-    t = df.groupBy("city", F.to_date("date").alias("day"), "ca_id").agg(F.sum("value").alias("kwh"))
+    # sums of decimals: equal usage stays equal, in whatever order it is added up
+    exact = F.expr("try_cast(value AS DECIMAL(28, 12))")
+    kwh = F.when(F.count(exact) == F.count("value"), F.try_sum(exact).cast("double"))
+    t = df.groupBy("city", F.to_date("date").alias("day"), "ca_id").agg(F.coalesce(kwh, F.sum("value")).alias("kwh"))
     order = placed(t.withColumn("_one", F.lit(1).cast("long")), ["city", "day"], [F.desc("kwh"), "ca_id"], "_one")
     return order.select("city", "day", (F.col("below") + 1).cast("int").alias("place"), "ca_id", "kwh")
 
