@@ -155,3 +155,23 @@ def test_arrays_of_days_with_gaps(spark):
     got = {r.ca_id: r for r in S.slot_arrays(df.repartition(5)).collect()}
     assert got[1].value == [float(t) for t in range(48)] and got[1].mef[47] == 547.0 and len(got[1].aef) == 48
     assert got[2].value == [1.0 if t in (3, 40) else 0.0 for t in range(48)] and got[2].mef == [7.0 if t in (3, 40) else None for t in range(48)] and got[2].aef == [None] * 48
+
+
+def used_only(df):
+    """Customer-days of readings with the slots in use only, and the factors of all slots, which are the city's."""
+    factors = df.groupBy("city", "day", "slot").agg(F.max("mef").alias("mef"), F.max("aef").alias("aef"))
+    dense = S.slot_arrays(factors.withColumns({"ca_id": F.lit(0), "value": F.lit(0.0)})).select("city", "day", "mef", "aef")
+    slots = F.sort_array(F.collect_list(F.when((F.col("value") > 0) | (F.col("floor_kwh") > 0), F.struct("slot", "value", "floor_kwh"))))
+    return df.groupBy(*S.KEYS).agg(slots.alias("slots")), dense
+
+
+@pytest.mark.parametrize("task_rows", [3, 50_000])
+def test_factors_of_a_city_beside_the_slots_in_use(spark, task_rows):
+    """Slots without usage aren't carried along; the moves are those of whole days."""
+    df = varied(spark).where("day < '2024-01-05'").withColumns({"mef": F.when(F.col("slot") % 7 > 0, 400.0 + 30 * ((F.col("slot") * 7 + F.dayofmonth("day")) % 11)), "aef": 500.0 + F.col("slot"), "value": F.when(F.col("slot") % 3 > 0, F.col("value")).otherwise(0.0)}).cache()
+    days, factors = used_only(df)
+    some = [replace(POLICIES[n], name=n) for n in ("two a day", "no limit of the region", "peak hours", "destinations and region")]
+    got = S.shift_scenarios(days, some, task_rows, factors).collect()
+    for p in some:
+        want = greedy(df.collect(), p)
+        assert want and sorted((r.ca_id, r.day, r.t, r.s, round(r.q, 9)) for r in got if r.policy == p.name) == want, p.name

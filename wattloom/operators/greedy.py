@@ -55,14 +55,10 @@ def chosen(days: Days, quota: np.ndarray, window: int, rounds: int, region: np.n
     the earliest t, then s. region, dest: rooms of each customer-day by itself; quota: its moves at most."""
     n = len(days.value)
     out = Moves.none(n, rounds)
-    rows = np.arange(n)
     offsets = np.arange(-window, window + 1)
     to = np.arange(SLOTS)[:, None] + offsets
     inside = (to >= 0) & (to < SLOTS)
     to = np.clip(to, 0, SLOTS - 1)
-    with np.errstate(invalid="ignore"):
-        delta = days.mef[:, :, None] - days.mef[:, to]
-        delta = np.where(inside & (delta > LEAST), delta, 0.0)
     value, region = days.value.copy(), region.copy()
     room = None if dest is None else dest.copy()
     group = np.full(SLOTS, -1)
@@ -74,18 +70,29 @@ def chosen(days: Days, quota: np.ndarray, window: int, rounds: int, region: np.n
         most = np.where(used, 0.0, np.maximum(0.0, value - days.floor))
         if peaks:
             most = np.where(group >= 0, np.minimum(most, peak[:, group]), most)
-        q = np.minimum(most, region[:, None])[:, :, None] * np.ones(len(offsets))
-        if room is not None:
-            q = np.minimum(q, room[:, to])
-        gain = np.where(q > LEAST, delta * q, 0.0).reshape(n, -1)
-        best = gain.argmax(axis=1)
-        some = (gain[rows, best] > 0) & (k < quota)
-        if not some.any():
+        most = np.minimum(most, region[:, None])
+        # only slots from which something can move are looked at
+        row, source = np.nonzero((most > LEAST) & (k < quota)[:, None])
+        if not len(row):
+            break
+        near, q = to[source], most[row, source][:, None]
+        with np.errstate(invalid="ignore"):
+            delta = days.mef[row, source][:, None] - days.mef[row[:, None], near]
+            delta = np.where(inside[source] & (delta > LEAST), delta, 0.0)
+            if room is not None:
+                q = np.minimum(q, room[row[:, None], near])
+                delta = np.where(q > LEAST, delta, 0.0)
+            gain = delta * q
+        at = gain.argmax(axis=1)
+        top = gain[np.arange(len(row)), at]
+        starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        best = np.repeat(np.maximum.reduceat(top, starts), np.diff(np.append(starts, len(row))))
+        first = np.flatnonzero((top == best) & (top > 0))
+        first = first[np.append(True, row[first][1:] != row[first][:-1])[: len(first)]]
+        if not len(first):
             break
-        i = rows[some]
-        t = best[some] // len(offsets)
-        s = to[t, best[some] % len(offsets)]
-        x = q.reshape(n, -1)[i, best[some]]
+        i, t, s = row[first], source[first], near[first, at[first]]
+        x = q[first, 0] if room is None else q[first, at[first]]
         out.t[i, k], out.s[i, k], out.q[i, k] = t, s, x
         value[i, t] -= x
         value[i, s] += x
@@ -94,8 +101,8 @@ def chosen(days: Days, quota: np.ndarray, window: int, rounds: int, region: np.n
         if room is not None:
             room[i, s] -= x
         if peaks:
-            at = group[t] >= 0
-            peak[i[at], group[t[at]]] -= x[at]
+            on = group[t] >= 0
+            peak[i[on], group[t[on]]] -= x[on]
     return out
 
 

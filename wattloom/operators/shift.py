@@ -1,7 +1,9 @@
 """Load shifting: move a household's energy to cleaner half-hours under household, slot and regional limits.
 
 Input: ca_id, city, day (date), slot (0-47), value (kWh), mef and aef (grams for a kWh), and, if there, floor_kwh.
-Where it says so, also customer-days: ca_id, city, day, and slots, an array of structs of the rest in the order of the slots.
+Where it says so, also customer-days: ca_id, city, day, and slots, an array of structs of the rest in the order of the slots;
+where all of a city share their factors, shift_load and shift_scenarios take slots in use only, once each, and a table of
+factors: city, day, mef, aef (arrays of 48).
 """
 
 from __future__ import annotations
@@ -161,23 +163,25 @@ def _dense(g: pa.Table | pa.RecordBatch) -> tuple[Days, np.ndarray]:
     field = lambda x: entries.field(x).to_numpy(zero_copy_only=False).astype(np.float64)
     used = lambda x: np.nan_to_num(field(x), nan=0.0, posinf=np.inf, neginf=-np.inf) if entries.field(x).null_count else field(x)
     at, n = row * SLOTS + entries.field("slot").to_numpy(), g.num_rows * SLOTS
-    mef, aef = field("mef"), field("aef")
-    ok = np.isfinite(mef) & np.isfinite(aef) & (mef > 0) & (aef > 0)
     out = {"floor": np.zeros(n), "mef": np.full(n, np.nan), "aef": np.full(n, np.nan)}
-    for c, v in (("mef", np.where(ok, mef, np.nan)), ("aef", np.where(ok, aef, np.nan)), *([("floor", used("floor_kwh"))] if "floor_kwh" in names else [])):
-        out[c][at] = v
+    apart = "mef" in g.column_names
+    for c in ("mef", "aef"):
+        out[c][slice(None) if apart else at] = pc.list_flatten(g.column(c)).to_numpy(zero_copy_only=False) if apart else field(c)
+    ok = np.isfinite(out["mef"]) & np.isfinite(out["aef"]) & (out["mef"] > 0) & (out["aef"] > 0)
+    out["mef"][~ok] = out["aef"][~ok] = np.nan
+    if "floor_kwh" in names:
+        out["floor"][at] = used("floor_kwh")
     value = np.bincount(at, used("value"), n)
     shape = (g.num_rows, SLOTS)
     return Days(value.reshape(shape), out["mef"].reshape(shape), out["floor"].reshape(shape)), out["aef"].reshape(shape)
 
 
 def _rows(g: pa.Table | pa.RecordBatch, days: Days, aef: np.ndarray, moves: Moves, also: Sequence[str] = ()) -> pa.Table:
-    """The moves, with their customer-day and the columns also of g; k is the place of a move among those of its day."""
+    """The moves, in the order of the rows of g, with their customer-day and the columns also of g."""
     i, k = np.nonzero(moves.q > 0)
     t, s = moves.t[i, k], moves.s[i, k]
     at = pa.array(i)
     rest = {"t": pa.array(t.astype(np.int32)), "s": pa.array(s.astype(np.int32)), "q": moves.q[i, k], "mef_t": days.mef[i, t], "mef_s": days.mef[i, s], "aef_t": aef[i, t], "aef_s": aef[i, s]}
-    rest |= {"k": pa.array(k.astype(np.int32))} if also else {}
     return pa.table({c: g.column(c).take(at) for c in [*KEYS, *also]} | rest)
 
 
@@ -209,7 +213,7 @@ def _week_moves(g: pa.Table, policies: Sequence[Policy]) -> pa.Table:
     return pa.concat_tables(parts)
 
 
-def shift_scenarios(df: DataFrame, policies: Sequence[Policy], task_rows: int = TASK_ROWS) -> DataFrame:
+def shift_scenarios(df: DataFrame, policies: Sequence[Policy], task_rows: int = TASK_ROWS, factors: DataFrame | None = None) -> DataFrame:
     """The moves of several policies (see shift_load), with the policy's name: readings are gathered once, and each task
     goes through all policies. Names of policies must differ."""
     if len({p.name for p in policies}) < len(policies):
@@ -217,21 +221,30 @@ def shift_scenarios(df: DataFrame, policies: Sequence[Policy], task_rows: int =
     with scratch() as keep:
         days = kept(_customer_days(df))
         kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in days.select(*KEYS).schema) + ", " + _OUT
-        sizes = days.groupBy("city", "week").count().withColumn("large", F.col("count") > task_rows).drop("count")
-        known = days.join(sizes, ["city", "week"])
-        moves = known.where("not large").drop("large").groupBy("city", "week").applyInArrow(lambda g: _week_moves(g, policies), kind + ", policy string")
-        if not sizes.where("large").isEmpty():
-            large = kept(known.where("large").drop("large"))
+        days = days.where("city is not null and day is not null")
+        sizes = kept(days.groupBy("city", "week").count())
+        if factors is not None:
+            # written apart and joined where they are used: 96 numbers a row are slow to write and read
+            factors = kept(factors.select("city", "day", "mef", "aef"))
+            days = days.join(factors, ["city", "day"])
+        # at most a row for each task_rows customer-days
+        large = F.broadcast(sizes.where(F.col("count") > task_rows).select("city", "week"))
+        small = days
+        parts = []
+        if not large.isEmpty():
+            small, big = days.join(large, ["city", "week"], "left_anti"), days.join(large, ["city", "week"], "left_semi")
             own = [p for p in policies if p.headroom is None]
             if own:
-                moves = moves.unionByName(_by_prefix(large, own, task_rows))
-            for p in policies:
-                if p.headroom is not None:
-                    moves = moves.unionByName(_in_rounds(large, p, task_rows, kind).withColumn("policy", F.lit(p.name)))
-        return keep(kept(moves))
+                parts.append(_by_prefix(big, own, task_rows))
+            if len(own) < len(policies):
+                big = kept(big)
+                parts += [_in_rounds(big, p, task_rows, kind).withColumn("policy", F.lit(p.name)) for p in policies if p.headroom is not None]
+        if not parts or not sizes.where(F.col("count") <= task_rows).isEmpty():
+            parts.append(small.groupBy("city", "week").applyInArrow(lambda g: _week_moves(g, policies), kind + ", policy string"))
+        return keep(kept(reduce(DataFrame.unionByName, parts)))
 
 
-def shift_load(df: DataFrame, policy: Policy, task_rows: int = TASK_ROWS) -> DataFrame:
+def shift_load(df: DataFrame, policy: Policy, task_rows: int = TASK_ROWS, factors: DataFrame | None = None) -> DataFrame:
     """The moves of a policy: ca_id, city, day, t, s, q (kWh), mef and aef of both slots.
 
     Greedy: the days of a week come one after the other, and in a day the households of a city by descending usage, then
@@ -245,28 +258,31 @@ def shift_load(df: DataFrame, policy: Policy, task_rows: int = TASK_ROWS) -> Dat
     once, as if alone (see _by_prefix); with headroom they go day by day in blocks of so many, and only the rooms go on to
     the next block. The moves are written, as reports read them several times.
     """
-    return shift_scenarios(df, [policy], task_rows).drop("policy")
+    return shift_scenarios(df, [policy], task_rows, factors).drop("policy")
 
 
-#: Customer-days of a block that is gone through again where the room of its region ends.
-BLOCK_ROWS = 16_384
+#: Customer-days with moves of a block that is gone through again where the room of its region ends.
+BLOCK_ROWS = 4_096
 
 
 def _by_prefix(days: DataFrame, policies: Sequence[Policy], task_rows: int) -> DataFrame:
     """The moves of cities and weeks of any size under policies without headroom.
 
     What a customer-day takes alone does not depend on others, and a smaller quota takes the first of those moves: they
-    are chosen once for all. In the order of a city's day everyone keeps theirs as long as their sum is within the region's
-    room. Sums of blocks find the first block beyond it; that one is settled in one task, and so on with what it leaves.
-    The weekdays follow one another, as quotas do, over rows of moves only.
+    are chosen once for all, where the days are, and only they are put in the order of a city's day. Everyone keeps theirs
+    as long as their sum is within the region's room. Sums of blocks find the first block beyond it; the slots of that one
+    are looked up and it is settled in one task, and so on with what it leaves. Days without moves of their own have none
+    with less room. The weekdays follow one another, as quotas do.
     """
     size, by_name = min(task_rows, BLOCK_ROWS), {p.name: p for p in policies}
-    key, who, order = ["policy", "city", "day"], ["policy", "ca_id", "city", "week"], ["city", "day", F.desc("kwh"), "ca_id"]
-    dealt = days.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered = kept(dealt.withColumn("block", F.floor(F.monotonically_increasing_id() / size)))
-    fields = {f.name: f.dataType.simpleString() for f in ordered.schema}
+    key, who = ["policy", "city", "day"], ["policy", "ca_id", "city", "week"]
+    place = F.struct("less", "ca_id")
+    fields = {f.name: f.dataType.simpleString() for f in days.schema}
+    cols = [f.strip().split(" ")[0] for f in _OUT.split(",")]
+    keys = ", ".join(f"{c} {fields[c]}" for c in KEYS)
 
     def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each customer-day with moves, of each policy."""
         for b in batches:
             for weekday in pc.unique(b.column("weekday")).to_pylist():
                 today = b.filter(pc.equal(b.column("weekday"), weekday))
@@ -275,8 +291,12 @@ def _by_prefix(days: DataFrame, policies: Sequence[Policy], task_rows: int) -> D
                     x, aef = _dense(g)
                     for p in policies:
                         got = chosen(x, np.full(g.num_rows, p.moves_per_day), p.window, p.moves_per_day, np.full(g.num_rows, np.inf), None, p.peaks(weekday), p.peak_fraction)
-                        out = _rows(g, x, aef, got, ["week", "weekday", "block"])
-                        yield from out.append_column("policy", pa.array([p.name] * out.num_rows, pa.string())).to_batches()
+                        n = (got.q > 0).sum(axis=1)
+                        flat = _rows(g, x, aef, got).select(cols).combine_chunks()
+                        entries = pa.StructArray.from_arrays([flat.column(c).combine_chunks() for c in cols], cols)
+                        ends = np.append(0, np.cumsum(n[n > 0])).astype(np.int32)
+                        some = {c: g.column(c).filter(pa.array(n > 0)) for c in [*KEYS, "week", "weekday", "kwh"]}
+                        yield from pa.table(some | {"moves": pa.ListArray.from_arrays(ends, entries), "policy": pa.array([p.name] * (len(ends) - 1), pa.string())}).to_batches()
 
     def block(g: pa.Table) -> pa.Table:
         """The moves of a block, and a row with the room that it leaves."""
@@ -284,14 +304,17 @@ def _by_prefix(days: DataFrame, policies: Sequence[Policy], task_rows: int) -> D
         x, aef = _dense(g)
         p = by_name[g.column("policy")[0].as_py()]
         moves, room, _ = settled(x, g.column("quota").to_numpy(), p.window, p.moves_per_day, g.column("room")[0].as_py(), None, p.peaks(g.column("weekday")[0].as_py()), p.peak_fraction)
-        out = _rows(g, x, aef, moves, ["week", "policy", "block"]).drop_columns("k")
+        out = _rows(g, x, aef, moves, ["week", "policy", "block"])
         out = out.append_column("room", pa.nulls(out.num_rows, pa.float64()))
         rest = {c: g.column(c).slice(0, 1) for c in [*KEYS, "week", "policy", "block"]} | {"room": pa.array([room])}
         return pa.concat_tables([out, pa.table({f.name: rest.get(f.name, pa.nulls(1, f.type)) for f in out.schema})])
 
-    keys = ", ".join(f"{c} {fields[c]}" for c in KEYS)
-    own = kept(ordered.mapInArrow(free, f"{keys}, week {fields['week']}, weekday int, block bigint, {_OUT}, k int, policy string"))
-    load = kept(ordered.groupBy("city", "day", "weekday").agg(F.sum("kwh").alias("load")))
+    entry = ", ".join(f.strip().replace(" ", ": ") for f in _OUT.split(","))
+    alone = kept(days.mapInArrow(free, f"{keys}, week {fields['week']}, weekday int, kwh double, moves array<struct<{entry}>>, policy string"))
+    order = [*key, "less", "ca_id"]
+    dealt = alone.withColumn("less", -F.col("kwh")).drop("kwh").repartitionByRange(*order).sortWithinPartitions(*order)
+    own = kept(dealt.withColumn("block", F.floor(F.monotonically_increasing_id() / size)))
+    load = kept(days.groupBy("city", "day", "weekday").agg(F.sum("kwh").alias("load")))
 
     def region(p: Policy) -> Column:
         if p.regional_fraction is None:
@@ -301,32 +324,38 @@ def _by_prefix(days: DataFrame, policies: Sequence[Policy], task_rows: int) -> D
 
     rooms = load.select("city", "day", "weekday", F.inline(F.array(*(F.struct(F.lit(p.name).alias("policy"), region(p).alias("room")) for p in policies))))
     limit = lambda f: F.create_map(*(F.lit(x) for p in policies for x in (p.name, getattr(p, f))))[F.col("policy")]
-    cols = [f.strip().split(" ")[0] for f in _OUT.split(",")]
     done: list[DataFrame] = []
 
     def with_left(df: DataFrame) -> DataFrame:
-        """df with the moves that the quota of the week leaves."""
+        """df with the moves of the day that the quota of the week leaves."""
+        if all((len(done) + 1) * p.moves_per_day <= p.moves_per_week for p in policies):
+            return df.withColumn("left", limit("moves_per_day"))
         if not done:
-            return df.withColumn("left", limit("moves_per_week"))
+            return df.withColumn("left", F.least(limit("moves_per_day"), limit("moves_per_week")))
         spent = reduce(DataFrame.unionByName, done).groupBy(*who).agg(F.count("*").alias("spent"))
-        return same(df, spent, who, "left").withColumn("left", limit("moves_per_week") - F.coalesce("spent", F.lit(0))).drop("spent")
+        left = F.least(limit("moves_per_day"), limit("moves_per_week") - F.coalesce("spent", F.lit(0))).cast("int")
+        return same(df, spent, who, "left").withColumn("left", left).drop("spent")
 
     for weekday in sorted(r.weekday for r in load.select("weekday").distinct().collect()):
-        now = kept(with_left(own.where(F.col("weekday") == weekday)).where("k < left").drop("left"))
-        sums = kept(now.groupBy(*key, "block").agg(F.sum("q").alias("q")))
+        today = days.where(F.col("weekday") == weekday).withColumn("less", -F.col("kwh"))
+        now = with_left(own.where(F.col("weekday") == weekday).drop("weekday")).where("left > 0").withColumn("moves", F.slice("moves", 1, F.col("left")))
+        now = kept(now.withColumn("q", F.aggregate("moves", F.lit(0.0), lambda a, m: a + m["q"])))
+        sums = kept(now.groupBy(*key, "block").agg(F.sum("q").alias("q"), F.min(place).alias("lo"), F.max(place).alias("hi")))
         state, parts = rooms.where(F.col("weekday") == weekday).select(*key, "room", F.lit(-1).cast("long").alias("first")), []
         while True:
             run = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
             all_ = same(sums, state, key).where("block > first").withColumn("all", F.sum("q").over(run))
             short = F.col("all") > F.col("room") + LEAST
-            cut = kept(all_.groupBy(*key, "room", "first").agg(F.min(F.when(short, F.col("block"))).alias("bad"), F.coalesce(F.max(F.when(~short, F.col("all"))), F.lit(0.0)).alias("took")))
-            fine = same(now, cut.select(*key, "first", "bad"), key).where("block > first and (bad is null or block < bad)")
-            parts.append(fine.select(*KEYS, *cols, "week", "policy"))
-            bad = cut.where("bad is not null").select(*key, F.col("bad").alias("block"), F.greatest(F.lit(0.0), F.col("room") - F.col("took")).alias("room"))
+            ends = F.min_by(F.when(short, F.struct("block", "lo", "hi")), F.when(short, F.col("block"))).alias("bad")
+            cut = kept(all_.groupBy(*key, "room", "first").agg(ends, F.coalesce(F.max(F.when(~short, F.col("all"))), F.lit(0.0)).alias("took")))
+            fine = same(now, F.broadcast(cut.select(*key, "first", F.col("bad.block").alias("bad"))), key).where("block > first and (bad is null or block < bad)")
+            parts.append(fine.select(*KEYS, F.inline("moves"), "week", "policy").select(*KEYS, *cols, "week", "policy"))
+            bad = F.broadcast(cut.where("bad is not null").select(*key, "bad.*", F.greatest(F.lit(0.0), F.col("room") - F.col("took")).alias("room")))
             if bad.isEmpty():
                 break
-            rows = same(ordered.where(F.col("weekday") == weekday), bad, ["city", "day", "block"])
-            rows = with_left(rows).withColumn("quota", F.least(limit("moves_per_day"), "left").cast("int")).drop("left")
+            rows = same(today, bad, ["city", "day"]).where(place.between(F.col("lo"), F.col("hi"))).drop("lo", "hi", "less")
+            quotas = same(now, bad.select(*key, "block"), [*key, "block"]).select("policy", *KEYS, F.col("left").cast("int").alias("quota"))
+            rows = same(rows, quotas, ["policy", *KEYS])
             one = kept(rows.groupBy(*key).applyInArrow(block, f"{keys}, week {fields['week']}, policy string, block bigint, {_OUT}, room double"))
             parts.append(one.where("q is not null").select(*KEYS, *cols, "week", "policy"))
             state = kept(one.where("q is null").select(*key, "room", F.col("block").alias("first")).where(F.col("room") > LEAST))

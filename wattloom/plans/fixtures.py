@@ -47,6 +47,25 @@ class Inputs:
         slots = once(F.col("used"), lambda used: F.transform(F.sequence(F.lit(0), F.lit(47)), entry(used)))
         return self._used_slots.select("ca_id", "city", "day", slots.alias("slots"))
 
+    @property
+    def shift_used(self) -> DataFrame:
+        """The customer-days of shift_days with the slots in use only, and the factors of the 48 slots as arrays."""
+        slots = F.transform(F.array_sort(F.map_entries("used")), lambda e: F.struct(e["key"].alias("slot"), e["value"].alias("value")))
+        return self._used_slots.select("ca_id", "city", "day", slots.alias("slots"), *self._factor_arrays())
+
+    @staticmethod
+    def _factor_arrays() -> list[Column]:
+        """The factors of _slot of all slots; they depend on the day of the month only."""
+        array = lambda v: "array(" + ", ".join(f"{x}D" for x in v) + ")"
+        mef = F.expr("array(" + ", ".join(array(400.0 + 30 * ((i * 7 + d) % 11) for i in range(48)) for d in range(1, 32)) + ")")
+        return [F.get(mef, F.dayofmonth("day") - 1).alias("mef"), F.expr(array(500.0 + 20 * (i % 5) for i in range(48))).alias("aef")]
+
+    @property
+    def shift_factors(self) -> DataFrame:
+        """The factors of each city and day."""
+        city = F.concat(F.lit("c"), F.pmod("ca_id", F.lit(3)).cast("string"))
+        return self.readings.select(city.alias("city"), F.to_date("date").alias("day")).distinct().select("city", "day", *self._factor_arrays())
+
     @property
     def shift_input(self) -> DataFrame:
         """Dense 48 slots for each observed customer-day: the rows of shift_days."""

@@ -33,7 +33,7 @@ def _pairs(i: Inputs):
 
 
 def _moves(i: Inputs):
-    return S.shift_load(i.shift_days, P)
+    return S.shift_load(i.shift_used, P, factors=i.shift_factors)
 
 
 def _table(i: Inputs):
@@ -122,7 +122,7 @@ QUERIES = {
     "k10_optimised_readings": _q(lambda i: S.optimised_readings(i.shift_input, _moves(i)), 6),
     "k12_highest_sources": _q(lambda i: S.k_highest_sources(i.shift_input, 2).select(*S.KEYS, "slot", "place"), 6),
     "k13_share_capped": _q(lambda i: S.share_capped_greedy(i.shift_days, 4), 6),
-    "k14_scenarios": _q(lambda i: S.scenario_metrics(i.shift_input, S.shift_scenarios(i.shift_days, SCENARIOS)), 6),
+    "k14_scenarios": _q(lambda i: S.scenario_metrics(i.shift_input, S.shift_scenarios(i.shift_used, SCENARIOS, factors=i.shift_factors)), 6),
     "l1_per_move_savings": _q(lambda i: R.per_move_savings(_table(i)), 6),
     "l2_household_week_savings": _q(lambda i: R.household_week_savings(_table(i)), 6),
     "l3_moves_by_category": _q(lambda i: R.moves_by_category(_table(i)), 6),

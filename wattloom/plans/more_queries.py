@@ -51,7 +51,7 @@ QUERIES = {
     "g6_membership": _q(lambda i: i.readings.where(F.col("city").isin("click", "view")).groupBy("ca_id").agg(F.count("*").alias("n"))),
     "j14_me_for_split": _q(lambda i: M.me_for_split(i.factors.withColumnRenamed("mef", "ME"), ["timestamp"], "train")),
     "j17_config_hash": _q(lambda i: M.hash_column(i.table("nation").select("n_nationkey", "n_name"), ["n_nationkey", "n_name"])),
-    "k11_preset_one": _q(lambda i: S.shift_load(i.shift_days, S.PRESETS[1]).groupBy("city").agg(F.count("*").alias("moves"), F.sum("q").alias("kwh"))),
+    "k11_preset_one": _q(lambda i: S.shift_load(i.shift_used, S.PRESETS[1], factors=i.shift_factors).groupBy("city").agg(F.count("*").alias("moves"), F.sum("q").alias("kwh"))),
 }
 
 SQL = {
