@@ -175,3 +175,16 @@ def test_factors_of_a_city_beside_the_slots_in_use(spark, task_rows):
     for p in some:
         want = greedy(df.collect(), p)
         assert want and sorted((r.ca_id, r.day, r.t, r.s, round(r.q, 9)) for r in got if r.policy == p.name) == want, p.name
+
+
+def test_reports_on_customer_days_are_those_on_readings(spark):
+    df = varied(spark).where("day < '2024-01-05'").withColumns({"mef": 400.0 + F.col("slot") % 11 * 30, "aef": 500.0 + F.col("slot")}).cache()
+    moves = S.shift_load(df, POLICIES["two a day"]).cache()
+    days, factors = used_only(df)
+    rows = lambda x, c: sorted([tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in x.select(*c).collect()], key=str)
+    forms = [days.join(factors, ["city", "day"]), df.groupBy(*S.KEYS).agg(F.sort_array(F.collect_list(F.struct("slot", "value", "mef", "aef"))).alias("slots"))]
+    want = S.shift_metrics(df, moves, POLICIES["two a day"])
+    for d in forms:
+        assert rows(S.shift_metrics(d, moves, POLICIES["two a day"]), want.columns) == rows(want, want.columns)
+    whole = S.weighted_median_shift(moves).withColumnRenamed("median_abs_shift_minutes", "m")
+    assert rows(want.where("moved_kwh > 0").select(*S.KEYS, F.col("median_shift_minutes_energy_weighted").alias("m")), [*S.KEYS, "m"]) == rows(whole, [*S.KEYS, "m"])

@@ -2,8 +2,9 @@
 
 Input: ca_id, city, day (date), slot (0-47), value (kWh), mef and aef (grams for a kWh), and, if there, floor_kwh.
 Where it says so, also customer-days: ca_id, city, day, and slots, an array of structs of the rest in the order of the slots;
-where all of a city share their factors, shift_load and shift_scenarios take slots in use only, once each, and a table of
-factors: city, day, mef, aef (arrays of 48).
+shift_metrics and optimised_readings also take them with mef and aef as arrays of 48 beside slots, which then need only the
+slots in use, once each. Where all of a city share their factors, shift_load and shift_scenarios take such slots and a
+table of factors: city, day, mef, aef (arrays of 48).
 """
 
 from __future__ import annotations
@@ -445,10 +446,17 @@ def moves_table(moves: DataFrame) -> DataFrame:
 
 
 def emissions_totals(df: DataFrame, by: Sequence[str] = tuple(KEYS)) -> DataFrame:
-    """Grams by average and marginal factor, over factors that are finite and positive."""
-    ok = lambda x: F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & (F.col(x) > 0)
-    grams = lambda x: F.sum(F.when(ok(x), F.col("value") * F.col(x)).otherwise(0.0))
-    return df.groupBy(*by).agg(F.sum("value").alias("baseline_kwh"), grams("aef").alias("baseline_E_avg_g"), grams("mef").alias("baseline_E_marg_g"))
+    """Grams by average and marginal factor, over factors that are finite and positive, of readings or customer-days."""
+    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & (x > 0)
+    grams = lambda v, x: F.when(ok(x), v * x).otherwise(0.0)
+    if "slots" not in df.columns:
+        return df.groupBy(*by).agg(F.sum("value").alias("baseline_kwh"), *(F.sum(grams(F.col("value"), F.col(x))).alias(f"baseline_E_{n}_g") for x, n in (("aef", "avg"), ("mef", "marg"))))
+    factor = lambda e, x: F.get(F.col(x), e["slot"]) if x in df.columns else e[x]
+    # the slots of a customer-day are added up in its row
+    day = lambda f: F.aggregate("slots", F.lit(0.0), lambda a, e: a + F.coalesce(f(e), F.lit(0.0)))
+    sums = {"baseline_kwh": day(lambda e: e["value"]), "baseline_E_avg_g": day(lambda e: grams(e["value"], factor(e, "aef"))), "baseline_E_marg_g": day(lambda e: grams(e["value"], factor(e, "mef")))}
+    days = df.select(*by, *(x.alias(n) for n, x in sums.items()))
+    return days if list(by) == KEYS else days.groupBy(*by).agg(*(F.sum(n).alias(n) for n in sums))
 
 
 def weighted_median_shift(moves: DataFrame, by: Sequence[str] = tuple(KEYS)) -> DataFrame:
@@ -459,14 +467,23 @@ def weighted_median_shift(moves: DataFrame, by: Sequence[str] = tuple(KEYS)) ->
     return cum.where(F.col("c") >= 0.5 * F.col("all") - 1e-12).groupBy(*by).agg(F.min("m").alias("median_abs_shift_minutes"))
 
 
+def _median_of_day() -> Column:
+    """weighted_median_shift of the few moves of a customer-day, as an aggregate."""
+    moves = F.array_sort(F.collect_list(F.struct((F.abs(F.col("s") - F.col("t")) * 30).alias("m"), "q")))
+    half = 0.5 * F.sum("q") - 1e-12
+    step = lambda a, e: F.struct((a["c"] + e["q"]).alias("c"), F.coalesce(a["m"], F.when(a["c"] + e["q"] >= half, e["m"])).alias("m"))
+    return F.aggregate(moves, F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("int").alias("m")), step)["m"]
+
+
 def shift_metrics(df: DataFrame, moves: DataFrame, policy: Policy) -> DataFrame:
     """Base and shifted emissions, moved kWh, mean and median shift, quota used and left, of each customer-day."""
     delta = lambda x: F.sum(F.col("q") * (F.col(f"{x}_s") - F.col(f"{x}_t")))
     m = moves.groupBy(*KEYS).agg(
         delta("aef").alias("delta_E_avg_g"), delta("mef").alias("delta_E_marg_g"), F.sum("q").alias("moved_kwh"), F.count("*").alias("moves"),
         (F.sum(F.col("q") * F.abs(F.col("s") - F.col("t")) * 30) / F.sum("q")).alias("avg_shift_minutes_energy_weighted"),
+        _median_of_day().alias("median_shift_minutes_energy_weighted"),
     )
-    out = emissions_totals(df).join(m, KEYS, "left").join(weighted_median_shift(moves).withColumnRenamed("median_abs_shift_minutes", "median_shift_minutes_energy_weighted"), KEYS, "left")
+    out = emissions_totals(df).join(m, KEYS, "left")
     zero = {x: F.coalesce(x, F.lit(0.0)) for x in ("delta_E_avg_g", "delta_E_marg_g", "moved_kwh")} | {"moves": F.coalesce("moves", F.lit(0))}
     out = out.withColumns(zero).withColumns({f"post_E_{n}_g": F.col(f"baseline_E_{n}_g") + F.col(f"delta_E_{n}_g") for n in ("avg", "marg")})
     week = Window.partitionBy("ca_id", "city", F.trunc("day", "week")).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)

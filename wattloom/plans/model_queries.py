@@ -41,7 +41,7 @@ def _table(i: Inputs):
 
 
 def _metrics(i: Inputs):
-    return S.shift_metrics(i.shift_input, _moves(i), P)
+    return S.shift_metrics(i.shift_used, _moves(i), P)
 
 
 def _splits(i: Inputs):
