@@ -186,5 +186,8 @@ def test_reports_on_customer_days_are_those_on_readings(spark):
     want = S.shift_metrics(df, moves, POLICIES["two a day"])
     for d in forms:
         assert rows(S.shift_metrics(d, moves, POLICIES["two a day"]), want.columns) == rows(want, want.columns)
+        after = S.optimised_readings(d, moves, with_value=True)
+        assert rows(after, [*S.KEYS, "slot", "optimised_value"]) == rows(S.optimised_readings(df, moves), [*S.KEYS, "slot", "optimised_value"])
+        assert rows(after, [*S.KEYS, "slot", "value"]) == rows(df, [*S.KEYS, "slot", "value"])
     whole = S.weighted_median_shift(moves).withColumnRenamed("median_abs_shift_minutes", "m")
     assert rows(want.where("moved_kwh > 0").select(*S.KEYS, F.col("median_shift_minutes_energy_weighted").alias("m")), [*S.KEYS, "m"]) == rows(whole, [*S.KEYS, "m"])

@@ -123,9 +123,10 @@ def weekday_hour_flow(moves: DataFrame) -> DataFrame:
     return days.groupBy("role", iso_weekday("day").alias("weekday"), "hour").agg(F.avg("kwh").alias("mean_kwh"), F.avg("g").alias("mean_grams"), F.count("*").alias("days"))
 
 
-def pre_post_profile(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Mean usage of each hour before and after. before: value, after: optimised_value, both by customer-day and slot."""
-    both = before.join(after, ["ca_id", "city", "day", "slot"], "full")
+def pre_post_profile(before: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """Mean usage of each hour before and after. before: value, after: optimised_value, both by customer-day and slot;
+    without after, before has both."""
+    both = before if after is None else before.join(after, ["ca_id", "city", "day", "slot"], "full")
     z = lambda x: F.coalesce(x, F.lit(0.0))
     return both.groupBy(F.floor(F.col("slot") / 2).cast("int").alias("hour")).agg(F.avg(z("value")).alias("mean_before"), F.avg(z("optimised_value")).alias("mean_after"), (F.sum(z("optimised_value")) - F.sum(z("value"))).alias("net_kwh"))
 

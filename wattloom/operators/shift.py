@@ -495,12 +495,24 @@ def day_summary(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("city", "day").agg(F.count("*").alias("n_customers_solved"), F.sum("moved_kwh").alias("moved_kwh_day_sum")).withColumn("row_type", F.lit("day_summary"))
 
 
-def optimised_readings(df: DataFrame, moves: DataFrame) -> DataFrame:
-    """Usage of each slot less what left it and with what came; slots without readings come in when energy moves there."""
+def optimised_readings(df: DataFrame, moves: DataFrame, with_value: bool = False) -> DataFrame:
+    """Usage of each slot less what left it and with what came; slots without readings come in when energy moves there.
+    with_value: also the usage before, 0 where there was no reading. Customer-days meet their moves as one row each."""
     flows = moves.select(*KEYS, F.explode(F.array(F.struct(F.col("t").alias("slot"), (-F.col("q")).alias("q")), F.struct(F.col("s").alias("slot"), F.col("q").alias("q")))).alias("f")).select(*KEYS, "f.*")
-    flows = flows.groupBy(*KEYS, "slot").agg(F.sum("q").alias("_d"))
-    out = df.select(*KEYS, "slot", "value").join(flows, [*KEYS, "slot"], "full")
-    return out.select(*KEYS, "slot", (F.coalesce("value", F.lit(0.0)) + F.coalesce("_d", F.lit(0.0))).alias("optimised_value"))
+    value, flow = F.coalesce("value", F.lit(0.0)), F.coalesce("_d", F.lit(0.0))
+    if "slots" in df.columns:
+        known = lambda xs, v: F.map_from_entries(F.transform(xs, lambda e: F.struct(e["slot"].cast("int"), e[v])))
+        sums = flows.groupBy(*KEYS, "slot").agg(F.sum("q").alias("q"))
+        sums = sums.groupBy(*KEYS).agg(F.collect_list(F.struct("slot", "q")).alias("_flows"))
+        days = df.select(*KEYS, known(F.col("slots"), "value").alias("_used")).join(sums.select(*KEYS, known(F.col("_flows"), "q").alias("_moved")), KEYS, "full")
+        own = lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<int>"))
+        every = F.sequence(F.lit(0), F.lit(SLOTS - 1)) if "mef" in df.columns else F.array_union(own("_used"), own("_moved"))
+        rows = days.select("*", F.explode(every).alias("slot"))
+        out = rows.withColumns({"value": F.col("_used")[F.col("slot")], "_d": F.col("_moved")[F.col("slot")]})
+    else:
+        flows = flows.groupBy(*KEYS, "slot").agg(F.sum("q").alias("_d"))
+        out = df.select(*KEYS, "slot", "value").join(flows, [*KEYS, "slot"], "full")
+    return out.select(*KEYS, "slot", *([value.alias("value")] if with_value else []), (value + flow).alias("optimised_value"))
 
 
 def share_capped_greedy(df: DataFrame, window: int, max_share: float = 0.2, trigger_share: float = 0.01) -> DataFrame:

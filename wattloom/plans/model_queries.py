@@ -119,7 +119,7 @@ QUERIES = {
     "k7_moves_table": _q(_table, 6),
     "k8_shift_metrics": _q(lambda i: _metrics(i).select(*S.KEYS, "baseline_kwh", "moved_kwh", "baseline_E_marg_g", "delta_E_marg_g", "post_E_marg_g", "weekly_moves_used", "weekly_moves_remaining"), 6),
     "k9_day_summary": _q(lambda i: S.day_summary(_metrics(i)), 6),
-    "k10_optimised_readings": _q(lambda i: S.optimised_readings(i.shift_input, _moves(i)), 6),
+    "k10_optimised_readings": _q(lambda i: S.optimised_readings(i.shift_used, _moves(i)), 6),
     "k12_highest_sources": _q(lambda i: S.k_highest_sources(i.shift_input, 2).select(*S.KEYS, "slot", "place"), 6),
     "k13_share_capped": _q(lambda i: S.share_capped_greedy(i.shift_days, 4), 6),
     "k14_scenarios": _q(lambda i: S.scenario_metrics(i.shift_input, S.shift_scenarios(i.shift_used, SCENARIOS, factors=i.shift_factors)), 6),
@@ -138,7 +138,7 @@ QUERIES = {
     "l12_customer_week_stats": _q(lambda i: R.customer_week_stats(_metrics(i)), 6),
     "l13_hour_pairs": _q(lambda i: R.hour_pair_stats(_table(i)), 6),
     "l14_weekday_hour_flow": _q(lambda i: R.weekday_hour_flow(_table(i)), 6),
-    "l15_pre_post_profile": _q(lambda i: R.pre_post_profile(i.shift_input, S.optimised_readings(i.shift_input, _moves(i))), 6),
+    "l15_pre_post_profile": _q(lambda i: R.pre_post_profile(S.optimised_readings(i.shift_used, _moves(i), with_value=True)), 6),
     "l16_direction_by_hour": _q(lambda i: R.direction_by_hour(_table(i)), 6),
     "l17_quota_and_boundary": _q(lambda i: R.quota_and_boundary(_table(i), P.moves_per_day, P.window), 6),
     "l18_savings_disagreement": _q(lambda i: R.savings_disagreement(_metrics(i)), 6),
