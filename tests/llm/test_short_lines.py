@@ -57,3 +57,13 @@ def test_very_long_text(spark):
     near[1000] = near[200_000] = "other"
     got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, [" ".join(x) for x in (w, near, w[:30_000])])).collect()}
     assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_workers_give_memory_back_at_the_end_of_a_task(monkeypatch):
+    from wattloom.llm import common
+
+    done = []
+    monkeypatch.setattr(common, "release_memory", lambda: done.append(True))
+    out = common.releasing(lambda batches: (2 * b for b in batches))(iter([1, 2]))
+    assert next(out) == 2 and not done
+    assert list(out) == [4] and done == [True]

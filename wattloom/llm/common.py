@@ -96,6 +96,16 @@ def release_memory() -> None:
         trim(0)
 
 
+def releasing(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f, which a task maps its batches with; at its end the worker gives back what it has freed."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        release_memory()
+
+    return run
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before those that df has as columns, in whatever case."""
     taken, out = {c.lower() for c in df.columns}, []

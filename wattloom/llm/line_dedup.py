@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import discard, fresh_key, grouped_frames, integer_ids, mixed, sliced, stash, temporary, unused
+from wattloom.llm.common import discard, fresh_key, grouped_frames, integer_ids, mixed, releasing, sliced, stash, temporary, unused
 
 _ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _BYTE = mixed(np.arange(1000, 1256, dtype=np.uint64))
@@ -178,7 +178,7 @@ def token_ranks(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
     """(rank of each counter, tokens counted): how frequent tokens are, over all of docs. A token's counter is chosen by
     its hash; the array has a fixed size, so tokens of one counter have the rank of their sum."""
     kind = "chunk int, width int, body binary"
-    counted = docs.select("text").mapInArrow(lambda b: _counts(b, words), kind)
+    counted = docs.select("text").mapInArrow(releasing(lambda b: _counts(b, words)), kind)
     # first sums within 64 groups of tasks, so that no task gets a chunk's counters of all others
     parts = counted.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(64))).repartition("chunk", "group").drop("group").mapInArrow(_summed, kind)
     ranks, total = np.zeros(1 << COUNTERS, np.uint16), 0
@@ -416,7 +416,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
         for f in sliced(frames, "t_a", "t_b"):
             yield f.loc[_similar(f, words, threshold), ["doc_a", "line_a"]].rename(columns={"doc_a": "doc", "line_a": "line"})
 
-    return both.select("doc_a", "line_a", "t_a", "t_b").mapInPandas(matched, "doc long, line int").distinct()
+    return both.select("doc_a", "line_a", "t_a", "t_b").mapInPandas(releasing(matched), "doc long, line int").distinct()
 
 
 def _more_bits(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
@@ -478,7 +478,7 @@ def _pairs_in_crowds(crowd: DataFrame, threshold: float, every: bool) -> DataFra
             i, j = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
             yield pd.DataFrame({"doc_a": doc[i], "line_a": line[i], "doc_b": doc[j], "line_b": line[j]})
 
-    return tasks.mapInPandas(near, "doc_a long, line_a int, doc_b long, line_b int").distinct()
+    return tasks.mapInPandas(releasing(near), "doc_a long, line_a int, doc_b long, line_b int").distinct()
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 1, threshold: float = 0.8, least: int = 1) -> DataFrame:
@@ -498,9 +498,9 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         known = spark.sparkContext.broadcast(ranks)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
         kind = "part int, kind int, longs binary, ints binary, more binary"
-        dealt = docs.mapInArrow(lambda b: _prefixes(b, words, least, threshold, known.value, parts), kind).repartitionById(parts, "part")
-        dealt = dealt.mapInArrow(lambda b: _classes(b, parts), kind).repartitionById(parts, "part")
-        found = stash(dealt.mapInArrow(_shared, "kind int, token long, doc long, line int, n int, at int, bits long"), "members")
+        dealt = docs.mapInArrow(releasing(lambda b: _prefixes(b, words, least, threshold, known.value, parts)), kind).repartitionById(parts, "part")
+        dealt = dealt.mapInArrow(releasing(lambda b: _classes(b, parts)), kind).repartitionById(parts, "part")
+        found = stash(dealt.mapInArrow(releasing(_shared), "kind int, token long, doc long, line int, n int, at int, bits long"), "members")
         known.unpersist()
         members, again = found.where(F.col("kind") == _TOKEN).drop("kind"), keep(stash(found.where(F.col("kind") == _GONE).select("doc", "line"), "gone"))
 
@@ -522,7 +522,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             wanted = stash(reduce(DataFrame.union, ends).distinct().groupBy("doc").agg(F.collect_list("line").alias("want")), "wanted")
             sent = wanted.count() <= SENT_DOCS and (wanted.agg(F.sum(F.size("want"))).first()[0] or 0) <= 16 * SENT_DOCS
             wanted = F.broadcast(wanted) if sent else wanted
-            texts = docs.join(wanted, docs["id"] == wanted["doc"]).select("id", "text", "want").mapInPandas(_picked, "doc long, line int, t string")
+            texts = docs.join(wanted, docs["id"] == wanted["doc"]).select("id", "text", "want").mapInPandas(releasing(_picked), "doc long, line int, t string")
             return texts.dropDuplicates(["doc", "line"])
 
         ends = lambda p: [p.select(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line")) for x in "ab"]
@@ -543,7 +543,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         matched = first.union(keep(stash(_verified(without(few, first), texts, words, threshold), "matched")))
         discard(few, texts)
         long = crowd.where(F.col("n_a") >= LONG).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line"))
-        more = stash(picked([long]).mapInPandas(lambda f: _more_bits(f, words), "doc_a long, line_a int, more binary"), "bits")
+        more = stash(picked([long]).mapInPandas(releasing(lambda f: _more_bits(f, words)), "doc_a long, line_a int, more binary"), "bits")
         # in crowds: the nearest of each block, then, for lines still without a match, all
         for every in (False, True):
             pairs = of_crowds(matched, every)
