@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import stash
+from wattloom.llm.common import releasing, stash
 
 #: Bytes of ordinary prose punctuation; other ASCII signs count as symbols.
 _PUNCTUATION = b".,;:'\"-()?"
@@ -91,7 +91,7 @@ def quality_scores(
     """
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == held_fold, F.lit(False))
     # the result reads them; a pipeline deletes them when it has written the stage
-    x = stash(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(_featured, f"id {df.schema[id_col].dataType.simpleString()}, x array<double>"), "features")
+    x = stash(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(releasing(_featured), f"id {df.schema[id_col].dataType.simpleString()}, x array<double>"), "features")
 
     marks = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held & F.col(id_col).isNotNull()).withColumnRenamed(id_col, "id")
     part = min(1.0, sample / max(1, marks.count()))
@@ -115,7 +115,7 @@ def quality_scores(
                 s = np.clip((np.stack(f["x"].to_numpy()) - mean) / scale, -8, 8) @ w
                 yield pd.DataFrame({"id": f["id"], "score": 1 / (1 + np.exp(-np.clip(s - cut + level + 1e-9, -30, 30)))})
 
-    out = x.mapInPandas(scored, f"id {df.schema[id_col].dataType.simpleString()}, score double")
+    out = x.mapInPandas(releasing(scored), f"id {df.schema[id_col].dataType.simpleString()}, score double")
     return out.withColumnRenamed("id", id_col).select(id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

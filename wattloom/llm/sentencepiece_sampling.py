@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import mixed, release_memory
+from wattloom.llm.common import mixed, release_memory, releasing
 
 SPACE = "▁"
 #: No piece spans a border of these units: spaces stand only before other letters, line feeds only alone.
@@ -455,7 +455,7 @@ def encode_samples(df: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     copy = F.coalesce(F.col(copy_col).cast("int"), F.lit(1)) if copy_col else F.lit(1)
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), copy.alias("copy"))
-    out = out.mapInArrow(encoded, f"id {kind}, sample int, piece_ids array<int>, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean")
+    out = out.mapInArrow(releasing(encoded), f"id {kind}, sample int, piece_ids array<int>, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 
