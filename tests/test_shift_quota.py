@@ -191,3 +191,23 @@ def test_reports_on_customer_days_are_those_on_readings(spark):
         assert rows(after, [*S.KEYS, "slot", "value"]) == rows(df, [*S.KEYS, "slot", "value"])
     whole = S.weighted_median_shift(moves).withColumnRenamed("median_abs_shift_minutes", "m")
     assert rows(want.where("moved_kwh > 0").select(*S.KEYS, F.col("median_shift_minutes_energy_weighted").alias("m")), [*S.KEYS, "m"]) == rows(whole, [*S.KEYS, "m"])
+
+
+def test_first_weekdays_of_large_weeks_go_together(spark, monkeypatch):
+    """Weekdays that the week's quota can't end in are one step, and a step writes no more than four tables."""
+    df = varied(spark).cache()
+    written, real = [], S.kept
+    monkeypatch.setattr(S, "kept", lambda t, *by: written.append(t.columns) or real(t, *by))
+    policy = POLICIES["one a day"]
+    assert moves_of(df, policy, task_rows=3) == greedy(df.collect(), policy)
+    days = df.select("day").distinct().count()
+    assert days > policy.moves_per_week and sum("quota" not in c and "first" in c for c in written) <= days - policy.moves_per_week + 1
+    assert len(written) <= 6 + 4 * (days - policy.moves_per_week + 1)
+
+
+def test_readings_of_customer_days_are_dealt_once(spark):
+    from wattloom.plans.fixtures import Inputs
+
+    days = Inputs(spark, "/root/testdata/sf0.001").shift_used
+    days.collect()
+    assert days._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1

@@ -273,7 +273,8 @@ def _by_prefix(days: DataFrame, policies: Sequence[Policy], task_rows: int) -> D
     are chosen once for all, where the days are, and only they are put in the order of a city's day. Everyone keeps theirs
     as long as their sum is within the region's room. Sums of blocks find the first block beyond it; the slots of that one
     are looked up and it is settled in one task, and so on with what it leaves. Days without moves of their own have none
-    with less room. The weekdays follow one another, as quotas do.
+    with less room. The first weekdays, as far as the quota of the week can't end in them, go together; the others follow
+    one another, as quotas do.
     """
     size, by_name = min(task_rows, BLOCK_ROWS), {p.name: p for p in policies}
     key, who = ["policy", "city", "day"], ["policy", "ca_id", "city", "week"]
@@ -329,20 +330,21 @@ def _by_prefix(days: DataFrame, policies: Sequence[Policy], task_rows: int) -> D
 
     def with_left(df: DataFrame) -> DataFrame:
         """df with the moves of the day that the quota of the week leaves."""
-        if all((len(done) + 1) * p.moves_per_day <= p.moves_per_week for p in policies):
-            return df.withColumn("left", limit("moves_per_day"))
         if not done:
             return df.withColumn("left", F.least(limit("moves_per_day"), limit("moves_per_week")))
         spent = reduce(DataFrame.unionByName, done).groupBy(*who).agg(F.count("*").alias("spent"))
         left = F.least(limit("moves_per_day"), limit("moves_per_week") - F.coalesce("spent", F.lit(0))).cast("int")
-        return same(df, spent, who, "left").withColumn("left", left).drop("spent")
-
-    for weekday in sorted(r.weekday for r in load.select("weekday").distinct().collect()):
-        today = days.where(F.col("weekday") == weekday).withColumn("less", -F.col("kwh"))
-        now = with_left(own.where(F.col("weekday") == weekday).drop("weekday")).where("left > 0").withColumn("moves", F.slice("moves", 1, F.col("left")))
-        now = kept(now.withColumn("q", F.aggregate("moves", F.lit(0.0), lambda a, m: a + m["q"])))
-        sums = kept(now.groupBy(*key, "block").agg(F.sum("q").alias("q"), F.min(place).alias("lo"), F.max(place).alias("hi")))
-        state, parts = rooms.where(F.col("weekday") == weekday).select(*key, "room", F.lit(-1).cast("long").alias("first")), []
+        return kept(same(df, spent, who, "left").withColumn("left", left).drop("spent"))
+
+    weekdays = sorted(r.weekday for r in load.select("weekday").distinct().collect())
+    free_days = max(1, min(p.moves_per_week // max(1, p.moves_per_day) for p in policies))
+    for some in filter(None, [weekdays[:free_days], *([w] for w in weekdays[free_days:])]):
+        of_day = F.col("weekday").isin(some)
+        today = days.where(of_day).withColumn("less", -F.col("kwh"))
+        now = with_left(own.where(of_day).drop("weekday")).where("left > 0").withColumn("moves", F.slice("moves", 1, F.col("left")))
+        now = now.withColumn("q", F.aggregate("moves", F.lit(0.0), lambda a, m: a + m["q"]))
+        sums = now.groupBy(*key, "block").agg(F.sum("q").alias("q"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+        state, parts = rooms.where(of_day).select(*key, "room", F.lit(-1).cast("long").alias("first")), []
         while True:
             run = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
             all_ = same(sums, state, key).where("block > first").withColumn("all", F.sum("q").over(run))
@@ -359,9 +361,11 @@ def _by_prefix(days: DataFrame, policies: Sequence[Policy], task_rows: int) -> D
             rows = same(rows, quotas, ["policy", *KEYS])
             one = kept(rows.groupBy(*key).applyInArrow(block, f"{keys}, week {fields['week']}, policy string, block bigint, {_OUT}, room double"))
             parts.append(one.where("q is not null").select(*KEYS, *cols, "week", "policy"))
-            state = kept(one.where("q is null").select(*key, "room", F.col("block").alias("first")).where(F.col("room") > LEAST))
+            state = one.where("q is null").select(*key, "room", F.col("block").alias("first")).where(F.col("room") > LEAST)
             if state.isEmpty():
                 break
+            if len(parts) == 2:
+                sums = kept(sums)
         done.append(kept(reduce(DataFrame.unionByName, parts)))
     return reduce(DataFrame.unionByName, done).drop("week")
 

@@ -26,13 +26,20 @@ class Inputs:
         return self.readings.groupBy("ca_id", "city", floor_minutes("date", 30).alias("date")).agg(F.sum("value").alias("value"))
 
     @property
-    def _used_slots(self) -> DataFrame:
-        """Of each observed customer-day of 'city' ca_id mod 3 the usage by slot, as a map."""
-        r = self.readings.groupBy("ca_id", F.to_date("date").alias("day"), slot("date").alias("slot")).agg(F.sum("value").alias("value"))
+    def _slot_lists(self) -> DataFrame:
+        """Of each observed customer-day of 'city' ca_id mod 3 the slots in use, in order, with their usage. Readings are
+        dealt once, by customer-day, for both sums: few slots have more than one reading to add up before."""
+        r = self.readings.select("ca_id", F.to_date("date").alias("day"), slot("date").alias("slot"), "value").repartition("ca_id", "day")
         known = F.col("ca_id").isNotNull() & F.col("slot").isNotNull()
-        days = r.groupBy("ca_id", "day").agg(F.map_from_entries(F.collect_list(F.when(known, F.struct("slot", "value")))).alias("used"))
+        sums = r.groupBy("ca_id", "day", "slot").agg(F.sum("value").alias("value"))
+        days = sums.groupBy("ca_id", "day").agg(F.sort_array(F.collect_list(F.when(known, F.struct("slot", "value")))).alias("slots"))
         return days.withColumn("city", F.concat(F.lit("c"), F.pmod("ca_id", F.lit(3)).cast("string")))
 
+    @property
+    def _used_slots(self) -> DataFrame:
+        """The same with the usage by slot as a map."""
+        return self._slot_lists.select("ca_id", "day", F.map_from_entries("slots").alias("used"), "city")
+
     @staticmethod
     def _slot(used: Column, i: Column) -> dict[str, Column]:
         """Usage and made-up factors of slot i."""
@@ -50,8 +57,7 @@ class Inputs:
     @property
     def shift_used(self) -> DataFrame:
         """The customer-days of shift_days with the slots in use only, and the factors of the 48 slots as arrays."""
-        slots = F.transform(F.array_sort(F.map_entries("used")), lambda e: F.struct(e["key"].alias("slot"), e["value"].alias("value")))
-        return self._used_slots.select("ca_id", "city", "day", slots.alias("slots"), *self._factor_arrays())
+        return self._slot_lists.select("ca_id", "city", "day", "slots", *self._factor_arrays())
 
     @staticmethod
     def _factor_arrays() -> list[Column]:
