@@ -342,3 +342,19 @@ def test_copies_have_seeds_of_their_own(spark):
     plain = {r.perturbed for r in encode_samples(df.limit(1), default_model()).collect()}
     rows = {r.perturbed for r in encode_samples(df, default_model(), copy_col="copy").collect()}
     assert len(plain) == 2 and len(rows) == 4 and plain < rows
+
+
+def test_workers_keep_no_lattices_between_tasks(spark):
+    """Lattices of words belong to a task: a worker that goes on to another stage holds none."""
+    df = spark.range(200).selectExpr("id AS doc_id", "concat('word', id, ' common text') AS text").coalesce(1)
+
+    def held(batches):
+        import gc
+
+        for b in batches:
+            yield b.assign(n=sum(type(o).__name__ == "Known" for o in gc.get_objects()))
+
+    # tasks one after the other in a worker
+    for _ in range(4):
+        assert encode_samples(df, default_model()).count() == 400
+        assert spark.range(8, numPartitions=8).mapInPandas(held, "id long, n long").agg(F.max("n")).first()[0] == 0

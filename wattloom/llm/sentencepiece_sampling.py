@@ -27,8 +27,8 @@ _LITERAL = 0x110000
 _CHARS = 1_000_000
 #: Units that are gone through one by one, when no more are left that are so long.
 FEW = 8
-#: Nodes of lattices that a process keeps (about 40 bytes each).
-MOST_NODES = 3_000_000
+#: Nodes of lattices that a task keeps (about 40 bytes each).
+MOST_NODES = 750_000
 _PLACE_BITS = 18
 
 
@@ -234,7 +234,7 @@ class Lattice:
 
 
 class Known:
-    """The lattices of units met before in this process, up to about MOST_NODES nodes; common words are built once."""
+    """The lattices of units met before, up to about MOST_NODES nodes; common words are built once."""
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab, self.start, self.lattice = vocab, {}, Lattice([], vocab)
@@ -250,11 +250,6 @@ class Known:
         return self.lattice, np.fromiter(map(self.start.__getitem__, units), np.int64, len(units))
 
 
-@lru_cache(4)
-def known(path: str) -> Known:
-    return Known(vocabulary(path))
-
-
 def _hashed(key: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mixed(np.asarray(key, np.uint64) + _BASE * (np.asarray(salt).astype(np.uint64) + np.uint64(1)))
@@ -422,6 +417,8 @@ def encode_samples(df: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         vocab = vocabulary(model)
+        # of the task, not of the worker, which would hold it beside the arrays of other stages
+        known = Known(vocab)
         for b in batches:
             ids, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
             copies = b.column("copy").to_pylist()
@@ -433,7 +430,7 @@ def encode_samples(df: DataFrame, model: str, id_col: str = "doc_id", text_col:
                     size += len(texts[hi] or "")
                     hi += 1
                 own = [t or "" for t in texts[lo:hi]]
-                rows = [(lo + d, *row) for d, *row in sample_segmentations(own, keys[lo:hi], k, vocab, known(model))]
+                rows = [(lo + d, *row) for d, *row in sample_segmentations(own, keys[lo:hi], k, vocab, known)]
                 none = np.empty(0, np.int64)
                 rows += [(lo + d, 0, none, 0.0, 0.0, 1.0) for d, t in enumerate(own) if not t]
                 ends = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]) if rows else np.zeros(1)
