@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wattloom.llm.common import discard, fresh_key, grouped_frames, integer_ids, mixed, releasing, sliced, stash, temporary, unused
 
@@ -25,18 +26,20 @@ COUNTERS = 23
 #: Bits of the number of counters in a chunk.
 CHUNK = 16
 #: Tokens that a task may get: more partitions are made where there are more.
-PART_TOKENS = 20_000_000
+PART_TOKENS = 5_000_000
 _HELD = 1_000_000
 _BYTES = 2_000_000
-_GONE, _CLASS, _TOKEN = 0, 1, 2
+_GONE, _CLASS, _TOKEN, _PAIR = 0, 1, 2, 3
 #: Lines of one side of a block.
 BLOCK = 1024
 #: Documents whose line numbers may go to all tasks (with 16 lines each on average, about 10 MB).
 SENT_DOCS = 100_000
 #: Tokens from which a line has more bits in crowds, and how many times 64.
 LONG, MORE = 65, 4
-#: Lines that may share a token and be compared one by one.
-FEW = 16
+#: Lines that may share a token and be compared where the token is dealt.
+FEW = 2048
+#: Candidates that a line may have among those lines; beyond that they are a crowd.
+NEAR = 16
 
 
 @lru_cache(2)
@@ -202,7 +205,8 @@ def _ordered(t: np.ndarray, rank: np.ndarray, line: np.ndarray) -> np.ndarray:
 @dataclass
 class Classes:
     """Lines with equal token sets: digest of the set, first line, bits of the set, its size, and its rarest tokens (a
-    prefix). A token turns one of 64 bits over, so sets differ in at least as many tokens as their bits do."""
+    prefix; p tokens from place at on, as those before it are of no other line). A token turns one of 64 bits over, so
+    sets differ in at least as many tokens as their bits do."""
 
     h0: np.ndarray
     h1: np.ndarray
@@ -210,6 +214,7 @@ class Classes:
     line: np.ndarray
     bits: np.ndarray
     n: np.ndarray
+    at: np.ndarray
     p: np.ndarray
     token: np.ndarray
 
@@ -220,7 +225,7 @@ class Classes:
     def taken(self, at: np.ndarray) -> Classes:
         start, p = (np.cumsum(self.p) - self.p)[at], self.p[at]
         token = self.token[np.repeat(start - (np.cumsum(p) - p), p) + np.arange(p.sum())]
-        return Classes(self.h0[at], self.h1[at], self.doc[at], self.line[at], self.bits[at], self.n[at], p, token)
+        return Classes(self.h0[at], self.h1[at], self.doc[at], self.line[at], self.bits[at], self.n[at], self.at[at], p, token)
 
     def split(self) -> tuple[Classes, np.ndarray, np.ndarray]:
         """(the first line of each class, doc and line of the others)."""
@@ -233,8 +238,19 @@ class Classes:
         return self.taken(order[first]), doc[gone], line[gone]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on: those of small numbers are 0 and compress well."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(b: bytes, kind: type, rows: int) -> np.ndarray:
+    """Columns of numbers that _planes packed one after the other."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(rows, size, -1).transpose(0, 2, 1)).view(kind)[:, :, 0]
+
+
 def _row(kind: int, part: int, longs: list[np.ndarray], ints: list[np.ndarray], more: np.ndarray | None = None) -> tuple:
-    join = lambda x, t: b"".join(np.ascontiguousarray(c, t).tobytes() for c in x)
+    join = lambda x, t: b"".join(_planes(np.ascontiguousarray(c, t)) for c in x)
     return part, kind, join(longs, np.int64), join(ints, np.int32), b"" if more is None else more.tobytes()
 
 
@@ -255,10 +271,17 @@ def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(i), order[cuts[i] : cuts[i + 1]]
 
 
+#: Columns of longs and ints in a row of each kind.
+_COLUMNS = {_GONE: (1, 1), _CLASS: (4, 4), _TOKEN: (2, 4)}
+#: Columns of what _shared finds; those that a kind doesn't have are 0.
+_FOUND = {"kind": "i4", "token": "i8", "doc": "i8", "line": "i4", "n": "i4", "at": "i4", "bits": "i8", "doc_b": "i8", "line_b": "i4", "differ": "i4"}
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     for b in batches:
         for part, kind, longs, ints, more in zip(*(b.column(x).to_pylist() for x in ("part", "kind", "longs", "ints", "more")), strict=True):
-            yield part, kind, np.frombuffer(longs, np.int64), np.frombuffer(ints, np.int32), np.frombuffer(more, np.uint64)
+            n, m = _COLUMNS[kind]
+            yield part, kind, _numbers(longs, np.int64, n), _numbers(ints, np.int32, m), np.frombuffer(more, np.uint64)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, threshold: float, ranks: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
@@ -271,7 +294,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, thresho
         rows = [_row(_GONE, int(i), [doc[x]], [line[x]]) for i, x in _by_part(_bucket(mixed(doc.astype(np.uint64)), parts), parts)]
         for i, at in _by_part(_bucket(own.h0, parts), parts):
             c = own.taken(at)
-            rows.append(_row(_CLASS, i, [c.h0, c.h1, c.doc, c.bits], [c.line, c.n, c.p], c.token))
+            rows.append(_row(_CLASS, i, [c.h0, c.h1, c.doc, c.bits], [c.line, c.n, c.at, c.p], c.token))
         return _batch(rows)
 
     for b in batches:
@@ -279,11 +302,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, thresho
         for rows, texts in _pieces(b):
             s = scanned(texts)
             t, line = tokens(s, words, s.n_words >= max(1, least))
-            order = _ordered(t, ranks[_counter(t)], line)
-            t, line = t[order], line[order]
+            rank = ranks[_counter(t)]
+            order = _ordered(t, rank, line)
+            t, line, rank = t[order], line[order], rank[order]
             first = np.ones(len(t), bool)
             first[1:] = (t[1:] != t[:-1]) | (line[1:] != line[:-1])
-            t, line = t[first], line[first]
+            t, line, rank = t[first], line[first], rank[first]
             n = np.bincount(line, minlength=len(s.text))
             some = np.flatnonzero(n)
             start = (np.cumsum(n) - n)[some]
@@ -292,7 +316,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, thresho
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[i : i + k]) for i, k in zip(start, size, strict=True)), np.int64).reshape(-1, 2)
             bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(t) >> np.uint64(58)), start).view(np.int64) if len(start) else np.empty(0, np.int64)
             take = np.repeat(start - (np.cumsum(p) - p), p) + np.arange(p.sum())
-            held.append(Classes(digests[:, 0], digests[:, 1], ids[rows[s.text[some]]].astype(np.int64), s.no[some], bits, size, p, t[take]))
+            single = rank[take] == 0  # counted once, so no other class has them
+            at = np.bincount(np.repeat(np.arange(len(p)), p)[single], minlength=len(p))
+            held.append(Classes(digests[:, 0], digests[:, 1], ids[rows[s.text[some]]].astype(np.int64), s.no[some], bits, size, at, p - at, t[take[~single]]))
             if sum(len(c.token) for c in held) > _HELD:
                 yield dealt()
                 held.clear()
@@ -313,11 +339,10 @@ def _classes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
     new = 0
     for part, kind, a, b, token in _unpacked(batches):
         if kind == _GONE:
-            yield _batch([_row(_GONE, part, [a], [b])])
+            yield _batch([_row(_GONE, part, [*a], [*b])])
             continue
-        h, m = a.reshape(4, -1), b.reshape(3, -1)
-        held.append(Classes(*h[:3], m[0], h[3], *m[1:], token))
-        new += h.shape[1]
+        held.append(Classes(*a[:3], b[0], a[3], *b[1:], token))
+        new += a.shape[1]
         if new > _HELD:
             yield firsts()
             new = 0
@@ -326,50 +351,111 @@ def _classes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
     yield firsts()
     (own,) = held
     ends = np.cumsum(own.p.astype(np.int64))
-    for lo in range(0, int(ends[-1]), _HELD):
+    for lo in range(0, int(ends[-1]), _HELD):  # classes without tokens take no part
         at = np.arange(*np.searchsorted(ends, [lo, lo + _HELD], side="right"))
         if len(at):
             c = own.taken(at)
             of = np.repeat(np.arange(len(at)), c.p)
-            place = np.arange(len(of)) - np.repeat(np.cumsum(c.p) - c.p, c.p)
-            yield _batch([_row(_TOKEN, i, [c.token[x].view(np.int64), c.doc[of[x]], c.bits[of[x]]], [c.line[of[x]], c.n[of[x]], place[x]]) for i, x in _by_part(_bucket(c.token, parts), parts)])
+            place = np.arange(len(of)) - np.repeat(np.cumsum(c.p) - c.p, c.p) + c.at[of]
+            short = c.token.astype(np.uint32).view(np.int32)  # within its part the half tells tokens apart
+            yield _batch([_row(_TOKEN, i, [c.doc[of[x]], c.bits[of[x]]], [short[x], c.line[of[x]], c.n[of[x]], place[x]]) for i, x in _by_part(_bucket(c.token, parts), parts)])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of prefix tokens dealt by token, those that several classes have; and the lines that are gone. Held are one row
-    of each token and a bounded number of new ones, however many rows a token has."""
-    held: list[np.ndarray] = []  # rows token, doc, line, n, at, whether it is out already, bits
-    new = 0
+@dataclass
+class Prefixes:
+    """Rows of prefix tokens: the half of the token that tells it apart within its part, line, place, size and bits."""
 
-    def rows(x: np.ndarray, kind: int) -> pa.RecordBatch:
-        return pa.record_batch({"kind": np.full(x.shape[1], kind, np.int32), "token": x[0], "doc": x[1], **{k: x[i].astype(np.int32) for i, k in ((2, "line"), (3, "n"), (4, "at"))}, "bits": x[6]})
-
-    def met() -> pa.RecordBatch:
-        x = np.concatenate(held, axis=1)
-        x = x[:, np.argsort(x[0], kind="stable")]
-        first = np.ones(x.shape[1], bool)
-        first[1:] = x[0, 1:] != x[0, :-1]
-        many = ~first
-        many[:-1] |= ~first[1:]
-        out = x[:, many & (x[5] == 0)]
-        kept = x[:, first]
-        kept[5] |= many[first]
-        held[:] = [kept]
-        return rows(out, _TOKEN)
-
-    for _, kind, a, b, _ in _unpacked(batches):
+    token: np.ndarray
+    doc: np.ndarray
+    line: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+    bits: np.ndarray
+
+    @classmethod
+    def joined(cls, parts: list[Prefixes]) -> Prefixes:
+        return cls(*(np.concatenate([getattr(x, f.name) for x in parts]) for f in fields(cls)))
+
+    def taken(self, at: np.ndarray) -> Prefixes:
+        return Prefixes(*(getattr(self, f.name)[at] for f in fields(self)))
+
+
+def _candidates(x: Prefixes, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows in the order of (token, n): pairs of rows (later line, earlier line, bits that differ) of one token that
+    sizes, places and bits allow, and whether each row is of a crowd: a token at which a line has more than NEAR."""
+    start = x.token.astype(np.uint64) << np.uint64(32)
+    low = np.searchsorted(start | x.n.astype(np.uint64), start | np.ceil(threshold * x.n - 1e-9).astype(np.uint64))
+    many = np.arange(len(low)) - low
+    ends, lo, found, crowded = np.cumsum(many), 0, [], [np.empty(0, np.uint32)]
+    while lo < len(low):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _HELD, side="right")))
+        m = many[lo:hi]
+        a = np.repeat(np.arange(lo, hi), m)
+        b = low[a] + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+        both = x.n[a] + x.n[b]
+        need = np.ceil(threshold / (1 + threshold) * both - 1e-9)
+        differ = np.bitwise_count(x.bits[a] ^ x.bits[b])
+        ok = (np.minimum(x.n[a] - x.at[a], x.n[b] - x.at[b]) >= need) & (differ <= both - 2 * need)
+        a, b, differ = a[ok], b[ok], differ[ok]
+        crowded.append(np.unique(x.token[lo:hi][np.bincount(a - lo, minlength=hi - lo) > NEAR]))
+        ok = ~np.isin(x.token[a], crowded[-1])
+        found.append((a[ok], b[ok], differ[ok]))
+        lo = hi
+    crowd = np.isin(x.token, np.concatenate(crowded))
+    a, b, differ = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3))
+    swap = (x.doc[a] < x.doc[b]) | (x.doc[a] == x.doc[b]) & (x.line[a] < x.line[b])
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    ok = ~crowd[a] & ((x.doc[a] != x.doc[b]) | (x.line[a] != x.line[b]))
+    return a[ok], b[ok], differ[ok], crowd
+
+
+def _shared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Of prefix tokens dealt by token: the pairs of lines that share one and may match, the rows of tokens that crowds
+    share, and the lines that are gone. Rows of a token leave once there are more than FEW, so those held are as many as
+    a part has, however many rows a token has."""
+    held: list[Prefixes] = []
+    hot, new, of = np.empty(0, np.uint32), 0, 0
+
+    def out(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
+        size = len(columns["doc"])
+        return pa.record_batch({k: columns.get(k, np.full(size, kind if k == "kind" else 0)).astype(t) for k, t in _FOUND.items()})
+
+    def crowd(x: Prefixes) -> pa.RecordBatch:
+        return out(_TOKEN, token=np.int64(of) << 32 | x.token.astype(np.int64), doc=x.doc, line=x.line, n=x.n, at=x.at, bits=x.bits.view(np.int64))
+
+    def sifted() -> tuple[Prefixes, Prefixes]:
+        """(rows of tokens that more than FEW lines have, rows of the others), in the order of (token, n)."""
+        x = Prefixes.joined(held)
+        x = x.taken(np.argsort(x.token.astype(np.uint64) << np.uint64(32) | x.n.astype(np.uint64)))
+        first = np.flatnonzero(np.append(True, x.token[1:] != x.token[:-1]))
+        size = np.diff(np.append(first, len(x.token)))
+        size = np.repeat(size, size)
+        return x.taken(size > FEW), x.taken(size <= FEW)
+
+    for part, kind, a, b, _ in _unpacked(batches):
         if kind == _GONE:
-            z = np.zeros(len(a), np.int64)
-            yield rows(np.stack([z, a, b.astype(np.int64), z, z, z, z]), _GONE)
+            yield out(_GONE, doc=a[0], line=b[0])
             continue
-        h, m = a.reshape(3, -1), b.reshape(3, -1).astype(np.int64)
-        held.append(np.concatenate([h[:2], m, np.zeros((1, h.shape[1]), np.int64), h[2:]]))
-        new += h.shape[1]
+        of = part
+        x = Prefixes(b[0].view(np.uint32), a[0], *b[1:], a[1].view(np.uint64))
+        known = np.isin(x.token, hot)
+        if known.any():
+            yield crowd(x.taken(known))
+            x = x.taken(~known)
+        held.append(x)
+        new += len(x.token)
         if new > _HELD:
-            yield met()
-            new = 0
+            many, rest = sifted()
+            yield crowd(many)
+            hot, held, new = np.union1d(hot, many.token), [rest], 0
     if held:
-        yield met()
+        many, rest = sifted()
+        yield crowd(many)
+        a, b, differ, crowded = _candidates(rest, threshold)
+        yield crowd(rest.taken(crowded))
+        for lo in range(0, len(a), _HELD):
+            x, y = a[lo : lo + _HELD], b[lo : lo + _HELD]
+            yield out(_PAIR, doc=rest.doc[x], line=rest.line[x], doc_b=rest.doc[y], line_b=rest.line[y], differ=differ[lo : lo + _HELD])
 
 
 def _similar(pairs: pd.DataFrame, words: int, threshold: float) -> np.ndarray:
@@ -432,6 +518,16 @@ def _more_bits(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFr
         yield pd.DataFrame({"doc_a": f["doc"], "line_a": f["line"], "more": pd.Series([x.tobytes() for x in bits], index=f.index, dtype=object)})
 
 
+def _crowds(members: DataFrame, threshold: float) -> DataFrame:
+    """Lines with the earliest line (the hub) of each token of members that they have, and whether they may match it."""
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("doc", "line", "n", "at", "bits")]
+    hubs = members.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "at", "bits")).alias("b"))
+    hubs = stash(hubs.select("token", *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("doc", "line", "n", "at", "bits"))), "hubs")
+    sent = F.broadcast if hubs.count() <= SENT_DOCS else (lambda t: t)
+    met = members.select(*side("a"), "token", fresh_key("token").alias("k")).join(sent(hubs.withColumn("k", fresh_key("token"))), ["k", "token"]).where("doc_a <> doc_b or line_a <> line_b")
+    return met.groupBy("doc_a", "line_a", "n_a", "bits_a", "doc_b", "line_b").agg(F.max(_allowed("a", "b", threshold)).alias("ok"))
+
+
 def _pairs_in_crowds(crowd: DataFrame, threshold: float, every: bool) -> DataFrame:
     """doc_a, line_a, doc_b, line_b: lines of a crowd (those that share tokens with its hub) with earlier lines of it that
     they may match by sizes and bits; every: all of these, else the one in each block whose bits are nearest.
@@ -486,8 +582,9 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Lines match when the Jaccard similarity of their token sets is at least threshold. Equal sets are one class, with
     its first line. Classes that share a token of their prefixes (their rarest tokens) are candidates: of a token that up
-    to FEW have, one by one; of others first with the earliest class that has it (the hub), then, for those without a
-    match, with all earlier ones of that hub in blocks, so that no candidate is missed. Only pairs that sizes, places and bits of the sets allow read their texts.
+    to FEW have, each with at most NEAR, one by one where the token is dealt; of others first with the earliest class that
+    has it (the hub), then, for those without a match, with all earlier ones of that hub in blocks, so that no candidate
+    is missed. Only pairs that sizes, places and bits of the sets allow read their texts.
     """
     integer_ids(df, id_col)
     with temporary() as keep:
@@ -500,22 +597,16 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kind = "part int, kind int, longs binary, ints binary, more binary"
         dealt = docs.mapInArrow(releasing(lambda b: _prefixes(b, words, least, threshold, known.value, parts)), kind).repartitionById(parts, "part")
         dealt = dealt.mapInArrow(releasing(lambda b: _classes(b, parts)), kind).repartitionById(parts, "part")
-        found = stash(dealt.mapInArrow(releasing(_shared), "kind int, token long, doc long, line int, n int, at int, bits long"), "members")
+        kinds = ", ".join(f"{k} {'int' if t == 'i4' else 'long'}" for k, t in _FOUND.items())
+        found = stash(dealt.mapInArrow(releasing(lambda b: _shared(b, threshold)), kinds), "found")
         known.unpersist()
-        members, again = found.where(F.col("kind") == _TOKEN).drop("kind"), keep(stash(found.where(F.col("kind") == _GONE).select("doc", "line"), "gone"))
-
-        side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("doc", "line", "n", "at", "bits")]
+        again = keep(stash(found.where(F.col("kind") == _GONE).select("doc", "line"), "gone"))
         pair = ["doc_a", "line_a", "doc_b", "line_b"]
-        hubs = members.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "at", "bits")).alias("b"), F.count("*").alias("many")).where(F.col("many") > FEW)
-        hubs = stash(hubs.select("token", *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("doc", "line", "n", "at", "bits"))), "hubs")
-        sent = F.broadcast if hubs.count() <= SENT_DOCS else (lambda t: t)
-        met = members.select(*side("a"), "token", fresh_key("token").alias("k")).join(sent(hubs.withColumn("k", fresh_key("token"))), ["k", "token"]).where("doc_a <> doc_b or line_a <> line_b")
-        crowd = stash(met.groupBy("doc_a", "line_a", "n_a", "bits_a", "doc_b", "line_b").agg(F.max(_allowed("a", "b", threshold)).alias("ok")), "crowd")
-        later = (F.col("doc_b") < F.col("doc_a")) | (F.col("doc_b") == F.col("doc_a")) & (F.col("line_b") < F.col("line_a"))
-        rare = members.withColumn("k", fresh_key("token")).join(sent(hubs.select("token", fresh_key("token").alias("k"))), ["k", "token"], "left_anti")
-        a, b = (rare.select("k", "token", *side(x)) for x in "ab")
-        few = stash(a.join(b, ["k", "token"]).where(later & _allowed("a", "b", threshold)).select(*pair).distinct(), "few")
-        discard(found, hubs)
+        few = found.where(F.col("kind") == _PAIR).withColumnsRenamed({"doc": "doc_a", "line": "line_a"}).repartition("doc_a", "line_a")
+        few = few.groupBy(*pair).agg(F.min("differ").alias("differ"))
+        order = F.row_number().over(Window.partitionBy("doc_a", "line_a").orderBy("differ", "doc_b", "line_b"))
+        few = stash(few.select(*pair, order.alias("order")), "few")
+        members = found.where(F.col("kind") == _TOKEN).select("token", "doc", "line", "n", "at", "bits")
 
         def picked(ends: list[DataFrame]) -> DataFrame:
             """The texts of lines; of few documents their lines go to all tasks, so that the other texts stay where they are."""
@@ -537,19 +628,30 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = rows.withColumn("j", fresh_key("doc_a", "line_a")).join(more.withColumn("j", fresh_key("doc_a", "line_a")), ["j", "doc_a", "line_a"], "left").drop("j")
             return stash(_pairs_in_crowds(rows, threshold, every), "pairs")
 
-        hub = crowd.where("ok").select(*pair)
-        texts = stash(picked(ends(hub) + ends(few)), "texts")
-        first = keep(stash(_verified(hub, texts, words, threshold), "matched"))
-        matched = first.union(keep(stash(_verified(without(few, first), texts, words, threshold), "matched")))
-        discard(few, texts)
-        long = crowd.where(F.col("n_a") >= LONG).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line"))
-        more = stash(picked([long]).mapInPandas(releasing(lambda f: _more_bits(f, words)), "doc_a long, line_a int, more binary"), "bits")
-        # in crowds: the nearest of each block, then, for lines still without a match, all
-        for every in (False, True):
-            pairs = of_crowds(matched, every)
-            if pairs.isEmpty():
-                break
-            matched = matched.union(keep(stash(_verified(pairs, stash(picked(ends(pairs)), "texts"), words, threshold), "matched")))
+        def verified(pairs: DataFrame) -> DataFrame:
+            texts = stash(picked(ends(pairs)), "texts")
+            out = keep(stash(_verified(pairs, texts, words, threshold), "matched"))
+            discard(texts)
+            return out
+
+        # the nearest candidate of each line, then, for lines still without a match, all
+        matched = verified(few.where("order = 1").select(*pair))
+        left = stash(without(few.where("order > 1").select(*pair), matched), "left")
+        discard(few)
+        if not left.isEmpty():
+            matched = matched.union(verified(left))
+        if not members.isEmpty():
+            crowd = stash(_crowds(members, threshold), "crowd")
+            discard(found)
+            matched = matched.union(verified(stash(without(crowd.where("ok").select(*pair), matched), "left")))
+            long = crowd.where(F.col("n_a") >= LONG).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line"))
+            more = stash(picked([long]).mapInPandas(releasing(lambda f: _more_bits(f, words)), "doc_a long, line_a int, more binary"), "bits")
+            # in crowds: the nearest of each block, then, for lines still without a match, all
+            for every in (False, True):
+                pairs = of_crowds(matched, every)
+                if pairs.isEmpty():
+                    break
+                matched = matched.union(verified(pairs))
 
         return again.union(matched).distinct()
 
