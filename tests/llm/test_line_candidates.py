@@ -48,3 +48,21 @@ def test_numbers_by_bytes():
         x = np.array([[1, -2, 300], [1 << 30, 0, -(1 << 20)]], kind)
         assert (line_dedup._numbers(b"".join(map(line_dedup._planes, x)), kind, 2) == x).all()
         assert line_dedup._numbers(b"", kind, 2).shape == (2, 0)
+
+
+def test_counters_never_part_similar_lines():
+    """Counters differ by no more than the sets do, also where they run over, and tell most unlike long lines apart."""
+    rng = np.random.default_rng(4)
+    apart = 0
+    for _ in range(200):
+        size = int(rng.integers(line_dedup.COUNTED, 250))
+        a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        other = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        near = np.concatenate([a[int(rng.integers(0, size // 6)) :], other[: int(rng.integers(0, size // 9))]])
+        if len(near) < line_dedup.COUNTED:
+            continue
+        sums = line_dedup._sums(np.concatenate([a, near, other, a[:9]]), np.array([len(a), len(near), len(other), 9])).view(np.uint64)
+        assert sums[3] == 0
+        assert line_dedup._apart(sums[:1], sums[1:2])[0] <= len(np.setxor1d(a, near))
+        apart += line_dedup._apart(sums[:1], sums[2:3])[0] > (len(a) + len(other)) / 9
+    assert apart > 100

@@ -36,6 +36,8 @@ BLOCK = 1024
 SENT_DOCS = 100_000
 #: Tokens from which a line has more bits in crowds, and how many times 64.
 LONG, MORE = 65, 4
+#: Tokens from which a line has counters beside its bits.
+COUNTED = 96
 #: Lines that may share a token and be compared where the token is dealt.
 FEW = 2048
 #: Candidates that a line may have among those lines; beyond that they are a crowd.
@@ -206,13 +208,15 @@ def _ordered(t: np.ndarray, rank: np.ndarray, line: np.ndarray) -> np.ndarray:
 class Classes:
     """Lines with equal token sets: digest of the set, first line, bits of the set, its size, and its rarest tokens (a
     prefix; p tokens from place at on, as those before it are of no other line). A token turns one of 64 bits over, so
-    sets differ in at least as many tokens as their bits do."""
+    sets differ in at least as many tokens as their bits do. In long lines, where many bits differ by chance, a token also
+    adds to one of 16 counters modulo 16 (short ones have 0)."""
 
     h0: np.ndarray
     h1: np.ndarray
     doc: np.ndarray
     line: np.ndarray
     bits: np.ndarray
+    sums: np.ndarray
     n: np.ndarray
     at: np.ndarray
     p: np.ndarray
@@ -225,7 +229,7 @@ class Classes:
     def taken(self, at: np.ndarray) -> Classes:
         start, p = (np.cumsum(self.p) - self.p)[at], self.p[at]
         token = self.token[np.repeat(start - (np.cumsum(p) - p), p) + np.arange(p.sum())]
-        return Classes(self.h0[at], self.h1[at], self.doc[at], self.line[at], self.bits[at], self.n[at], self.at[at], p, token)
+        return Classes(self.h0[at], self.h1[at], self.doc[at], self.line[at], self.bits[at], self.sums[at], self.n[at], self.at[at], p, token)
 
     def split(self) -> tuple[Classes, np.ndarray, np.ndarray]:
         """(the first line of each class, doc and line of the others)."""
@@ -272,7 +276,7 @@ def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 #: Columns of longs and ints in a row of each kind.
-_COLUMNS = {_GONE: (1, 1), _CLASS: (4, 4), _TOKEN: (2, 4)}
+_COLUMNS = {_GONE: (1, 1), _CLASS: (5, 4), _TOKEN: (3, 4)}
 #: Columns of what _shared finds; those that a kind doesn't have are 0.
 _FOUND = {"kind": "i4", "token": "i8", "doc": "i8", "line": "i4", "n": "i4", "at": "i4", "bits": "i8", "doc_b": "i8", "line_b": "i4", "differ": "i4"}
 
@@ -284,6 +288,18 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.
             yield part, kind, _numbers(longs, np.int64, n), _numbers(ints, np.int32, m), np.frombuffer(more, np.uint64)
 
 
+def _sums(t: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """16 counters of four bits of each line of at least COUNTED tokens, else 0; t are the tokens of all lines."""
+    long = size >= COUNTED
+    line = np.repeat(np.cumsum(long) - 1, size)
+    t, line = (x[np.repeat(long, size)] for x in (t, line))
+    at = (mixed(t) >> np.uint64(48)).astype(np.int64) & 15
+    n = np.bincount(16 * line + at, minlength=16 * int(long.sum())).astype(np.uint64).reshape(-1, 16) & np.uint64(15)
+    out = np.zeros(len(size), np.uint64)
+    out[long] = (n << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return out.view(np.int64)
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, threshold: float, ranks: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """The lines with at least least words as classes, dealt by their digests; of lines of one class in a few pieces,
     all but the first are gone already."""
@@ -294,7 +310,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, thresho
         rows = [_row(_GONE, int(i), [doc[x]], [line[x]]) for i, x in _by_part(_bucket(mixed(doc.astype(np.uint64)), parts), parts)]
         for i, at in _by_part(_bucket(own.h0, parts), parts):
             c = own.taken(at)
-            rows.append(_row(_CLASS, i, [c.h0, c.h1, c.doc, c.bits], [c.line, c.n, c.at, c.p], c.token))
+            rows.append(_row(_CLASS, i, [c.h0, c.h1, c.doc, c.bits, c.sums], [c.line, c.n, c.at, c.p], c.token))
         return _batch(rows)
 
     for b in batches:
@@ -318,7 +334,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, least: int, thresho
             take = np.repeat(start - (np.cumsum(p) - p), p) + np.arange(p.sum())
             single = rank[take] == 0  # counted once, so no other class has them
             at = np.bincount(np.repeat(np.arange(len(p)), p)[single], minlength=len(p))
-            held.append(Classes(digests[:, 0], digests[:, 1], ids[rows[s.text[some]]].astype(np.int64), s.no[some], bits, size, at, p - at, t[take[~single]]))
+            held.append(Classes(digests[:, 0], digests[:, 1], ids[rows[s.text[some]]].astype(np.int64), s.no[some], bits, _sums(t, size), size, at, p - at, t[take[~single]]))
             if sum(len(c.token) for c in held) > _HELD:
                 yield dealt()
                 held.clear()
@@ -341,7 +357,7 @@ def _classes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
         if kind == _GONE:
             yield _batch([_row(_GONE, part, [*a], [*b])])
             continue
-        held.append(Classes(*a[:3], b[0], a[3], *b[1:], token))
+        held.append(Classes(*a[:3], b[0], *a[3:], *b[1:], token))
         new += a.shape[1]
         if new > _HELD:
             yield firsts()
@@ -358,12 +374,13 @@ def _classes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
             of = np.repeat(np.arange(len(at)), c.p)
             place = np.arange(len(of)) - np.repeat(np.cumsum(c.p) - c.p, c.p) + c.at[of]
             short = c.token.astype(np.uint32).view(np.int32)  # within its part the half tells tokens apart
-            yield _batch([_row(_TOKEN, i, [c.doc[of[x]], c.bits[of[x]]], [short[x], c.line[of[x]], c.n[of[x]], place[x]]) for i, x in _by_part(_bucket(c.token, parts), parts)])
+            yield _batch([_row(_TOKEN, i, [c.doc[of[x]], c.bits[of[x]], c.sums[of[x]]], [short[x], c.line[of[x]], c.n[of[x]], place[x]]) for i, x in _by_part(_bucket(c.token, parts), parts)])
 
 
 @dataclass
 class Prefixes:
-    """Rows of prefix tokens: the half of the token that tells it apart within its part, line, place, size and bits."""
+    """Rows of prefix tokens: the half of the token that tells it apart within its part, line, size, place, bits and
+    counters."""
 
     token: np.ndarray
     doc: np.ndarray
@@ -371,6 +388,7 @@ class Prefixes:
     n: np.ndarray
     at: np.ndarray
     bits: np.ndarray
+    sums: np.ndarray
 
     @classmethod
     def joined(cls, parts: list[Prefixes]) -> Prefixes:
@@ -380,6 +398,15 @@ class Prefixes:
         return Prefixes(*(getattr(self, f.name)[at] for f in fields(self)))
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By how much counters differ at least: sets differ in at least as many tokens."""
+    out = np.zeros(len(a), np.int64)
+    for i in range(0, 64, 4):
+        d = (a >> np.uint64(i)) - (b >> np.uint64(i)) & np.uint64(15)
+        out += np.minimum(d, np.uint64(16) - d).astype(np.int64)
+    return out
+
+
 def _candidates(x: Prefixes, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of rows in the order of (token, n): pairs of rows (later line, earlier line, bits that differ) of one token that
     sizes, places and bits allow, and whether each row is of a crowd: a token at which a line has more than NEAR."""
@@ -396,6 +423,10 @@ def _candidates(x: Prefixes, threshold: float) -> tuple[np.ndarray, np.ndarray,
         need = np.ceil(threshold / (1 + threshold) * both - 1e-9)
         differ = np.bitwise_count(x.bits[a] ^ x.bits[b])
         ok = (np.minimum(x.n[a] - x.at[a], x.n[b] - x.at[b]) >= need) & (differ <= both - 2 * need)
+        a, b, differ, most = a[ok], b[ok], differ[ok], (both - 2 * need)[ok]
+        long = np.flatnonzero(np.minimum(x.n[a], x.n[b]) >= COUNTED)
+        ok = np.ones(len(a), bool)
+        ok[long] = _apart(x.sums[a[long]], x.sums[b[long]]) <= most[long]
         a, b, differ = a[ok], b[ok], differ[ok]
         crowded.append(np.unique(x.token[lo:hi][np.bincount(a - lo, minlength=hi - lo) > NEAR]))
         ok = ~np.isin(x.token[a], crowded[-1])
@@ -437,7 +468,7 @@ def _shared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
             yield out(_GONE, doc=a[0], line=b[0])
             continue
         of = part
-        x = Prefixes(b[0].view(np.uint32), a[0], *b[1:], a[1].view(np.uint64))
+        x = Prefixes(b[0].view(np.uint32), a[0], *b[1:], *a[1:].view(np.uint64))
         known = np.isin(x.token, hot)
         if known.any():
             yield crowd(x.taken(known))
@@ -636,14 +667,16 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         # the nearest candidate of each line, then, for lines still without a match, all
         matched = verified(few.where("order = 1").select(*pair))
-        left = stash(without(few.where("order > 1").select(*pair), matched), "left")
-        discard(few)
+        others = few.where("order > 1").select(*pair)
+        crowds = not members.isEmpty()
+        if crowds:
+            crowd = stash(_crowds(members, threshold), "crowd")
+            others = others.union(crowd.where("ok").select(*pair)).distinct()
+        left = stash(without(others, matched), "left")
+        discard(few, found)
         if not left.isEmpty():
             matched = matched.union(verified(left))
-        if not members.isEmpty():
-            crowd = stash(_crowds(members, threshold), "crowd")
-            discard(found)
-            matched = matched.union(verified(stash(without(crowd.where("ok").select(*pair), matched), "left")))
+        if crowds:
             long = crowd.where(F.col("n_a") >= LONG).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line"))
             more = stash(picked([long]).mapInPandas(releasing(lambda f: _more_bits(f, words)), "doc_a long, line_a int, more binary"), "bits")
             # in crowds: the nearest of each block, then, for lines still without a match, all
