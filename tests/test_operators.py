@@ -320,3 +320,12 @@ def test_candidate_moves_send_nothing_to_all(spark):
     few = Inputs(spark, SF)
     for out in (S.candidate_moves(few.shift_days, 4), S.share_capped_greedy(few.shift_days, 4), few.shift_input):
         assert "Join" not in out._jdf.queryExecution().toString()
+
+
+def test_equal_readings_of_a_day_have_equal_sums(spark):
+    """0.1 + 0.2 + 0.3 isn't 0.3 + 0.2 + 0.1 in doubles: readings of a day are added up in time order, however they are stored."""
+    rows = [(8, h, v) for h, v in ((1, 0.1), (2, 0.2), (3, 0.3))] + [(7, h, v) for h, v in ((3, 0.3), (2, 0.2), (1, 0.1))]
+    rows = [(i, "view", dt.datetime(2024, 1, 8, h), v) for i, h, v in rows]
+    df = spark.createDataFrame(rows, "ca_id long, city string, date timestamp_ntz, value double").coalesce(1)
+    assert [(r.ca_id, r.kwh) for r in U.customer_order(df).orderBy("place").collect()] == [(7, 0.1 + 0.2 + 0.3), (8, 0.1 + 0.2 + 0.3)]
+    assert {r.rank_share for r in U.rank_customers(df).collect()} == {0.75}

@@ -224,9 +224,17 @@ def usage_emissions(df: DataFrame, factor: str, freq: str = "day", keys: Sequenc
     return out if freq == "day" else out.withColumn("annual_grams", F.col("grams") * 52)
 
 
+def _customer_day_usage(df: DataFrame) -> DataFrame:
+    """city, day, ca_id, kwh: readings are added up in the order of time, so that equal readings have equal sums, however
+    the files are split (the optimizer keeps a sort below sums of doubles)."""
+    keys = ["city", "day", "ca_id"]
+    dealt = df.select("city", F.to_date("date").alias("day"), "ca_id", "date", "value").repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, "date", "value").groupBy(*keys).agg(F.sum("value").alias("kwh"))
+
+
 def rank_customers(df: DataFrame, percent: bool = False) -> DataFrame:
     """Average-tie rank / n of customers by daily usage within city and day: descending share, or ascending x 100."""
-    t = df.groupBy("city", F.to_date("date").alias("day"), "ca_id").agg(F.sum("value").alias("kwh"))
+    t = _customer_day_usage(df)
     ranked = average_rank(t, "kwh", "_rank", ["city", "day"])
     sizes = ranked.groupBy("city", "day").agg(F.count("*").alias("_n"))
     share = (F.col("_rank") if percent else F.col("_n") + 1 - F.col("_rank")) / F.col("_n")
@@ -241,8 +249,7 @@ def top_hours(df: DataFrame, n: int = 6) -> DataFrame:
 
 def customer_order(df: DataFrame) -> DataFrame:
     """For each city and day, the customers by descending usage, then id: a row for each, with its place from 1."""
-    t = df.groupBy("city", F.to_date("date").alias("day"), "ca_id").agg(F.sum("value").alias("kwh"))
-    order = placed(t.withColumn("_one", F.lit(1).cast("long")), ["city", "day"], [F.desc("kwh"), "ca_id"], "_one")
+    order = placed(_customer_day_usage(df).withColumn("_one", F.lit(1).cast("long")), ["city", "day"], [F.desc("kwh"), "ca_id"], "_one")
     return order.select("city", "day", (F.col("below") + 1).cast("int").alias("place"), "ca_id", "kwh")
 
 
