@@ -329,3 +329,10 @@ def test_equal_readings_of_a_day_have_equal_sums(spark):
     df = spark.createDataFrame(rows, "ca_id long, city string, date timestamp_ntz, value double").coalesce(1)
     assert [(r.ca_id, r.kwh) for r in U.customer_order(df).orderBy("place").collect()] == [(7, 0.1 + 0.2 + 0.3), (8, 0.1 + 0.2 + 0.3)]
     assert {r.rank_share for r in U.rank_customers(df).collect()} == {0.75}
+
+
+def test_readings_of_a_slot_are_added_up_in_time_order(spark, tmp_path):
+    rows = [(1, "view", dt.datetime(2024, 1, 8, 0, m), v) for m, v in ((3, 0.3), (2, 0.2), (1, 0.1))]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp_ntz, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    few = Inputs(spark, str(tmp_path))
+    assert few.shift_used.first().slots[0].value == few.shift_days.first().slots[0].value == 0.1 + 0.2 + 0.3

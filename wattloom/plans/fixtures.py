@@ -28,8 +28,10 @@ class Inputs:
     @property
     def _slot_lists(self) -> DataFrame:
         """Of each observed customer-day of 'city' ca_id mod 3 the slots in use, in order, with their usage. Readings are
-        dealt once, by customer-day, for both sums: few slots have more than one reading to add up before."""
-        r = self.readings.select("ca_id", F.to_date("date").alias("day"), slot("date").alias("slot"), "value").repartition("ca_id", "day")
+        dealt once, by customer-day, for both sums: few slots have more than one reading to add up before. They are added up
+        in the order of time, so that sums don't depend on how the files are split."""
+        r = self.readings.select("ca_id", F.to_date("date").alias("day"), slot("date").alias("slot"), "date", "value").repartition("ca_id", "day")
+        r = r.sortWithinPartitions("ca_id", "day", "date", "value")
         known = F.col("ca_id").isNotNull() & F.col("slot").isNotNull()
         sums = r.groupBy("ca_id", "day", "slot").agg(F.sum("value").alias("value"))
         days = sums.groupBy("ca_id", "day").agg(F.sort_array(F.collect_list(F.when(known, F.struct("slot", "value")))).alias("slots"))
