@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from test_dedup import frame, lines_by_force
@@ -66,3 +67,29 @@ def test_counters_never_part_similar_lines():
         assert line_dedup._apart(sums[:1], sums[1:2])[0] <= len(np.setxor1d(a, near))
         apart += line_dedup._apart(sums[:1], sums[2:3])[0] > (len(a) + len(other)) / 9
     assert apart > 100
+
+
+def test_texts_of_candidates_are_read_once(spark, monkeypatch):
+    """Lines that match their nearest candidate, another one or one of a crowd: all texts come from one reading."""
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(40)] for _ in range(12)]
+    texts = ["\n".join(" ".join(x if rng.random() > 0.08 else f"x{rng.randrange(90)}" for x in rng.choice(base)) for _ in range(3)) for _ in range(60)]
+    names, write = [], line_dedup.stash
+    monkeypatch.setattr(line_dedup, "stash", lambda df, name: names.append(name) or write(df, name))
+    monkeypatch.setattr(line_dedup, "FEW", 4)
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, texts).repartition(5)).collect()}
+    assert got == {i: len(g) for i, g in lines_by_force(texts).items()}
+    assert names.count("matched") > 1 and names.count("texts") == 1
+
+
+def test_batches_are_scanned_as_texts_are(monkeypatch):
+    texts = ["", "a b\nA  b\n", "\n\n", "é\tü ż\n日本 語", "x" * 50, " ", "last one"]
+    batch = pa.record_batch({"text": pa.array(["before", *texts])}).slice(1)
+    want = line_dedup.scanned(texts, lines=True)
+    for size in (1, 12, 10**6):
+        monkeypatch.setattr(line_dedup, "_BYTES", size)
+        pieces = [(rows, line_dedup.scanned(x, lines=True)) for rows, x in line_dedup._pieces(batch)]
+        assert np.concatenate([rows for rows, _ in pieces]).tolist() == list(range(len(texts)))
+        for name in ("word", "line_hash", "no"):
+            assert (np.concatenate([getattr(s, name) for _, s in pieces]) == getattr(want, name)).all()
+        assert (np.concatenate([rows[s.text] for rows, s in pieces]) == want.text).all()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,8 +32,10 @@ _BYTES = 2_000_000
 _GONE, _CLASS, _TOKEN, _PAIR = 0, 1, 2, 3
 #: Lines of one side of a block.
 BLOCK = 1024
-#: Documents whose line numbers may go to all tasks (with 16 lines each on average, about 10 MB).
-SENT_DOCS = 100_000
+#: Pairs of lines, or hubs, that may go to all tasks (about 20 MB).
+SENT = 100_000
+#: Bits of the number of bits that tell which lines are candidates, at every table size: 2^27, 16 MB in every task.
+ASKED = 27
 #: Tokens from which a line has more bits in crowds, and how many times 64.
 LONG, MORE = 65, 4
 #: Tokens from which a line has counters beside its bits.
@@ -57,11 +59,12 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Scan:
-    """Words and lines of some texts: hash of each word and its line; of each line its hash, text and number in it."""
+    """Words and lines of some texts: hash of each word and its line; of each line its text and number in it, and, where
+    asked for, its hash."""
 
     word: np.ndarray
     line: np.ndarray
-    line_hash: np.ndarray
+    line_hash: np.ndarray | None
     text: np.ndarray
     no: np.ndarray
 
@@ -70,11 +73,30 @@ class Scan:
         return np.bincount(self.line, minlength=len(self.text))
 
 
-def scanned(texts: list[str]) -> Scan:
-    """All words and lines at once: sums of byte values times powers of a base, whose differences, scaled back to the
-    same place and mixed, are the hashes of byte ranges."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    buf = np.frombuffer(b"".join(x + b"\n" for x in raw), np.uint8)
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, each with a line feed at its end, their ends)."""
+    raw = [t.encode("utf-8", "surrogatepass") + b"\n" for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+
+
+def _of(ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The number of the range, by the places where ranges end, of each of the ascending places at."""
+    return np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(at, ends), prepend=0))
+
+
+def _line_ranges(buf: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text, number in it) of each line of joined texts."""
+    end = np.flatnonzero(buf == 10)
+    start = np.append(0, end[:-1] + 1)[: len(end)]
+    text = _of(last, start)
+    return start, end, text, np.arange(len(end)) - np.searchsorted(start, np.append(0, last[:-1])[: len(last)])[text]
+
+
+def scanned(texts: list[str] | tuple[np.ndarray, np.ndarray], lines: bool = False) -> Scan:
+    """All words and lines at once, of texts or their joined bytes: sums of byte values times powers of a base, whose
+    differences, scaled back to the same place and mixed, are the hashes of byte ranges. lines: with hashes of lines."""
+    buf, last = _joined(texts) if isinstance(texts, list) else texts
+    start, end, text, no = _line_ranges(buf, last)
     powers, inverse = _powers(max(16, int(len(buf)).bit_length()))
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * powers[: len(buf)], out=sums[1:])
@@ -82,22 +104,20 @@ def scanned(texts: list[str]) -> Scan:
     def hashed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
-    end = np.flatnonzero(buf == 10)
-    start = np.append(0, end[:-1] + 1)[: len(end)]
-    last = np.cumsum([len(x) + 1 for x in raw]).astype(np.int64)
-    text = np.searchsorted(last, start, side="right")
-    no = np.arange(len(end)) - np.searchsorted(start, np.append(0, last[:-1])[: len(last)])[text]
     letter = ~_BLANK[buf]
     edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
     if len(letter) and letter[0]:
         edge = np.append(0, edge)
     words, ends = edge[::2], edge[1::2]  # the last byte is blank
-    return Scan(hashed(words, ends), np.searchsorted(end, words), hashed(start, end), text, no)
+    return Scan(hashed(words, ends), _of(end, words), hashed(start, end) if lines else None, text, no)
 
 
 def tokens(s: Scan, words: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each token, its line), in text order, of the lines to keep. A token is a run of words in lower case; a
     line of fewer words is one token, a line of none has none."""
+    if words == 1:
+        at = slice(None) if keep is None else keep[s.line]
+        return mixed(s.word[at] * _ODD[0]), s.line[at]
     n = s.n_words
     count = np.where(n > 0, np.maximum(n - words + 1, 1), 0)
     if keep is not None:
@@ -115,18 +135,23 @@ def tokens(s: Scan, words: int, keep: np.ndarray | None = None) -> tuple[np.ndar
     return mixed(t), line
 
 
-def _pieces(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """(row numbers, texts) of a batch, in pieces of bounded size."""
-    held: list[tuple[int, str]] = []
-    size = 0
-    for i, t in enumerate(b.column("text").to_pylist()):
-        held.append((i, t))
-        size += len(t)
-        if size > _BYTES:
-            yield np.array([x[0] for x in held]), [x[1] for x in held]
-            held, size = [], 0
-    if held:
-        yield np.array([x[0] for x in held]), [x[1] for x in held]
+def _pieces(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """(row numbers, joined bytes of the texts) of a batch, in pieces of bounded size: the bytes are those of the batch,
+    without Python objects in between."""
+    col = b.column("text")
+    col = col if pa.types.is_large_string(col.type) else col.cast(pa.large_string())
+    _, offsets, data = col.buffers()
+    if not len(col):
+        return
+    at = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(data or b"", np.uint8)
+    lo = 0
+    while lo < len(col):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + _BYTES)))
+        hi = min(hi, len(col))
+        ends = at[lo + 1 : hi + 1] - at[lo]
+        yield np.arange(lo, hi), (np.insert(data[at[lo] : at[hi]], ends, 10), ends + np.arange(1, hi - lo + 1))
+        lo = hi
 
 
 def _sparse(sums: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -144,7 +169,7 @@ def _counts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
     sums = np.zeros(1 << COUNTERS, np.uint64)
     for b in batches:
         for _, texts in _pieces(b):
-            s = scanned(texts)
+            s = scanned(texts, lines=True)
             new = np.zeros(len(s.text), bool)
             new[np.unique(s.line_hash, return_index=True)[1]] = True
             np.add.at(sums, _counter(tokens(s, words, new)[0]), np.uint64(1))
@@ -507,11 +532,40 @@ def _similar(pairs: pd.DataFrame, words: int, threshold: float) -> np.ndarray:
     return both >= threshold * (size[:n] + size[n:] - both) - 1e-9
 
 
-def _picked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The lines of each text that are asked for."""
-    for f in frames:
-        rows = [(i, n, x[n]) for i, x, want in zip(f["id"], (t.split("\n") for t in f["text"]), f["want"], strict=True) for n in want if n < len(x)]
-        yield pd.DataFrame({"doc": pd.Series([r[0] for r in rows], dtype="int64"), "line": pd.Series([r[1] for r in rows], dtype="int32"), "t": pd.Series([r[2] for r in rows], dtype=object)})
+def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The bit that stands for a line."""
+    return mixed(mixed(doc.astype(np.uint64)) + line.astype(np.uint64)) >> np.uint64(64 - ASKED)
+
+
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of lines, by the words of 64 bits that they are in."""
+    for b in batches:
+        at = np.unique(_place(*(b.column(x).to_numpy(zero_copy_only=False) for x in ("doc", "line"))))
+        word, first = np.unique(at >> np.uint64(6), return_index=True)
+        mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+        yield pa.record_batch({"word": word.astype(np.int32), "mask": mask.view(np.int64)})
+
+
+def asked_lines(lines: DataFrame) -> np.ndarray:
+    """Bits of which those of lines (doc, line) are set; the array has a fixed size, so that others may share them."""
+    rows = lines.mapInArrow(_masks, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(1 << (ASKED - 6), np.uint64)
+    bits[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _picked(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The lines of each text whose bits are set, among them all that are asked for."""
+    for b in batches:
+        ids = b.column("id").to_numpy(zero_copy_only=False)
+        for rows, (buf, last) in _pieces(b):
+            start, end, text, no = _line_ranges(buf, last)
+            doc = ids[rows[text]].astype(np.int64)
+            at = _place(doc, no)
+            some = np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+            raw = buf.tobytes()
+            t = pa.array([raw[i:j] for i, j in zip(start[some].tolist(), end[some].tolist(), strict=True)], pa.string())
+            yield pa.record_batch({"doc": pa.array(doc[some]), "line": pa.array(no[some].astype(np.int32)), "t": t})
 
 
 def _allowed(a: str, b: str, threshold: float) -> Column:
@@ -554,7 +608,7 @@ def _crowds(members: DataFrame, threshold: float) -> DataFrame:
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("doc", "line", "n", "at", "bits")]
     hubs = members.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "at", "bits")).alias("b"))
     hubs = stash(hubs.select("token", *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("doc", "line", "n", "at", "bits"))), "hubs")
-    sent = F.broadcast if hubs.count() <= SENT_DOCS else (lambda t: t)
+    sent = F.broadcast if hubs.count() <= SENT else (lambda t: t)
     met = members.select(*side("a"), "token", fresh_key("token").alias("k")).join(sent(hubs.withColumn("k", fresh_key("token"))), ["k", "token"]).where("doc_a <> doc_b or line_a <> line_b")
     return met.groupBy("doc_a", "line_a", "n_a", "bits_a", "doc_b", "line_b").agg(F.max(_allowed("a", "b", threshold)).alias("ok"))
 
@@ -615,7 +669,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     its first line. Classes that share a token of their prefixes (their rarest tokens) are candidates: of a token that up
     to FEW have, each with at most NEAR, one by one where the token is dealt; of others first with the earliest class that
     has it (the hub), then, for those without a match, with all earlier ones of that hub in blocks, so that no candidate
-    is missed. Only pairs that sizes, places and bits of the sets allow read their texts.
+    is missed. Only pairs that sizes, places and bits of the sets allow are compared by their texts, which are read once.
     """
     integer_ids(df, id_col)
     with temporary() as keep:
@@ -638,16 +692,20 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         order = F.row_number().over(Window.partitionBy("doc_a", "line_a").orderBy("differ", "doc_b", "line_b"))
         few = stash(few.select(*pair, order.alias("order")), "few")
         members = found.where(F.col("kind") == _TOKEN).select("token", "doc", "line", "n", "at", "bits")
+        crowds = not members.isEmpty()
+        if crowds:
+            crowd = stash(_crowds(members, threshold), "crowd")
+        discard(found)
 
-        def picked(ends: list[DataFrame]) -> DataFrame:
-            """The texts of lines; of few documents their lines go to all tasks, so that the other texts stay where they are."""
-            wanted = stash(reduce(DataFrame.union, ends).distinct().groupBy("doc").agg(F.collect_list("line").alias("want")), "wanted")
-            sent = wanted.count() <= SENT_DOCS and (wanted.agg(F.sum(F.size("want"))).first()[0] or 0) <= 16 * SENT_DOCS
-            wanted = F.broadcast(wanted) if sent else wanted
-            texts = docs.join(wanted, docs["id"] == wanted["doc"]).select("id", "text", "want").mapInPandas(releasing(_picked), "doc long, line int, t string")
-            return texts.dropDuplicates(["doc", "line"])
+        def ends(p: DataFrame) -> DataFrame:
+            return p.select(*(F.col(f"{c}_a").alias(c) for c in ("doc", "line"))).union(p.select(*(F.col(f"{c}_b").alias(c) for c in ("doc", "line"))))
 
-        ends = lambda p: [p.select(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line")) for x in "ab"]
+        # the texts of all candidates, from one reading of the documents, which stay where they are
+        bits = asked_lines(ends(few).union(ends(crowd)) if crowds else ends(few))
+        asked = spark.sparkContext.broadcast(bits)
+        texts = docs.mapInArrow(releasing(lambda b: _picked(b, asked.value)), "doc long, line int, t string").dropDuplicates(["doc", "line"])
+        texts = stash(texts, "texts")
+        asked.unpersist()
 
         def without(rows: DataFrame, found: DataFrame) -> DataFrame:
             done = found.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), fresh_key("doc", "line").alias("j"))
@@ -660,25 +718,22 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return stash(_pairs_in_crowds(rows, threshold, every), "pairs")
 
         def verified(pairs: DataFrame) -> DataFrame:
-            texts = stash(picked(ends(pairs)), "texts")
-            out = keep(stash(_verified(pairs, texts, words, threshold), "matched"))
-            discard(texts)
-            return out
+            own = texts.join(F.broadcast(ends(pairs)), ["doc", "line"], "left_semi") if pairs.count() <= SENT else texts
+            return keep(stash(_verified(pairs, own, words, threshold), "matched"))
 
         # the nearest candidate of each line, then, for lines still without a match, all
         matched = verified(few.where("order = 1").select(*pair))
         others = few.where("order > 1").select(*pair)
-        crowds = not members.isEmpty()
         if crowds:
-            crowd = stash(_crowds(members, threshold), "crowd")
             others = others.union(crowd.where("ok").select(*pair)).distinct()
         left = stash(without(others, matched), "left")
-        discard(few, found)
+        discard(few)
         if not left.isEmpty():
             matched = matched.union(verified(left))
         if crowds:
-            long = crowd.where(F.col("n_a") >= LONG).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line"))
-            more = stash(picked([long]).mapInPandas(releasing(lambda f: _more_bits(f, words)), "doc_a long, line_a int, more binary"), "bits")
+            long = crowd.where(F.col("n_a") >= LONG).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line"), fresh_key("doc_a", "line_a").alias("j"))
+            long = texts.withColumn("j", fresh_key("doc", "line")).join(long, ["j", "doc", "line"], "left_semi").drop("j")
+            more = stash(long.mapInPandas(releasing(lambda f: _more_bits(f, words)), "doc_a long, line_a int, more binary"), "bits")
             # in crowds: the nearest of each block, then, for lines still without a match, all
             for every in (False, True):
                 pairs = of_crowds(matched, every)
@@ -706,8 +761,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     gone = gone.groupBy(F.col("doc").alias(doc)).agg(F.collect_list("line").alias(gone_))
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_))
-    out = df.join(gone, df[id_col] == F.col(doc), "left").withColumn(left_, F.when(F.col(gone_).isNotNull(), left)).withColumn(lines_, lines)
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines_))
+    out = df.join(gone, df[id_col] == F.col(doc), "left").withColumn(left_, F.when(F.col(gone_).isNotNull(), left)).withColumn(lines_, F.when(F.col(gone_).isNotNull(), lines))
+    feeds = F.octet_length(df[text_col]) - F.octet_length(F.replace(df[text_col], F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(feeds + 1)
     n_removed = F.when(F.col(left_).isNull(), 0).otherwise(n_lines - F.size(left_))
     text = F.when(F.col(left_).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left_, lambda i: F.element_at(F.col(lines_), i + 1)), "\n"))
     names = [c for c in df.columns if c not in ("n_lines", "n_removed", "kept")]
