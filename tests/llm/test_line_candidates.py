@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -93,3 +94,16 @@ def test_batches_are_scanned_as_texts_are(monkeypatch):
         for name in ("word", "line_hash", "no"):
             assert (np.concatenate([getattr(s, name) for _, s in pieces]) == getattr(want, name)).all()
         assert (np.concatenate([rows[s.text] for rows, s in pieces]) == want.text).all()
+
+
+@pytest.mark.parametrize("words", [1, 3])
+def test_similar_pairs_by_one_sort(monkeypatch, words):
+    """As sets say, from one sort of packed keys; pairs were sorted twice before."""
+    rng = random.Random(2)
+    a = [[f"w{rng.randrange(30)}" for _ in range(rng.randrange(40))] for _ in range(400)]
+    b = [[x if rng.random() > 0.05 else "new" for x in line] for line in a]
+    sets = lambda line: {tuple(line[i : i + words]) for i in range(max(1, len(line) - words + 1))} if line else set()
+    want = [10 * len(sets(x) & sets(y)) >= 8 * len(sets(x) | sets(y)) for x, y in zip(a, b, strict=True)]
+    monkeypatch.setattr(np, "lexsort", None)
+    pairs = pd.DataFrame({"t_a": [" ".join(x) for x in a], "t_b": [" ".join(x) for x in b]})
+    assert line_dedup._similar(pairs, words, 0.8).tolist() == want and 0 < sum(want) < len(want)

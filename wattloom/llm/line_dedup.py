@@ -515,21 +515,21 @@ def _shared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 
 def _similar(pairs: pd.DataFrame, words: int, threshold: float) -> np.ndarray:
-    """Whether the Jaccard similarity of the lines t_a, t_b of each pair is at least threshold: the token sets of both
-    are sorted together, and tokens that both have are neighbours."""
-    n = len(pairs)
-    t, row = tokens(scanned([*pairs["t_a"], *pairs["t_b"]]), words)
-    order = np.lexsort((t, row))
-    t, row = t[order], row[order]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (row[1:] != row[:-1])
-    t, row = t[new], row[new]
-    size = np.bincount(row, minlength=2 * n)
-    pair = row % n
-    order = np.lexsort((t, pair))
+    """Whether the Jaccard similarity of the lines t_a, t_b of each pair is at least threshold: the tokens of both are
+    sorted together, by one packed key unless that has ties, and equal ones are neighbours."""
+    t, row = tokens(scanned([x for both in zip(pairs["t_a"], pairs["t_b"], strict=True) for x in both]), words)
+    pair, side = row >> 1, np.uint8(1) << (row & 1).astype(np.uint8)
+    low = np.uint64(max(1, len(pairs).bit_length()))
+    key = pair.astype(np.uint64) << (np.uint64(64) - low) | t >> low
+    order = np.argsort(key)
+    k, x = key[order], t[order]
+    if ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
+        order = np.lexsort((t, pair))
     t, pair = t[order], pair[order]
-    both = np.bincount(pair[1:][(t[1:] == t[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
-    return both >= threshold * (size[:n] + size[n:] - both) - 1e-9
+    first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (pair[1:] != pair[:-1]))[: len(t)])
+    sides = np.bitwise_or.reduceat(side[order], first) if len(first) else side
+    both, either = (np.bincount(pair[at], minlength=len(pairs)) for at in (first[sides == 3], first))
+    return both >= threshold * either - 1e-9
 
 
 def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
